@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import heapq
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -76,49 +77,88 @@ def pack(sizes: list[int], length: int) -> list[tuple[int, int, int, int, int]]:
     return out
 
 
+class _Numbers(dict):
+    """word -> running number; new words are noted."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[bytes] = []
+
+    def __missing__(self, w: bytes) -> int:
+        self[w] = n = len(self)
+        self.new.append(w)
+        return n
+
+
 class WordTokens:
     """Token ids of texts through a memory of words.
 
-    White space always separates tokens in the vocabularies meant here (it is dropped), so the ids of a text are those
-    of its words in order. Words are cut at ASCII white space only; other white space stays inside and is left to the
-    tokenizer.
+    White space always separates tokens in the vocabularies meant here (it is dropped, as is case), so the ids of a text
+    are those of its words in order, and those of letters followed by punctuation are the ids of the two. Words are cut at
+    ASCII white space only; other white space stays inside and is left to the tokenizer.
     """
 
-    def __init__(self, path: str, bound: int = 300_000):
+    MARKS = b".,;:!?%$#*&"
+    BETWEEN = "<|endoftext|>"
+
+    def __init__(self, path: str, bound: int = 600_000):
+        import os
+
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.between = self.tokenizer.token_to_id(self.BETWEEN)
         self.bound = bound
         self.clear()
 
     def clear(self) -> None:
-        self.at: dict[bytes, int] = {}
-        self.parts: list[np.ndarray] = []
+        self.at = _Numbers()
+        self.cores: dict[bytes, list[int]] = {}
         self.flat = np.zeros(0, np.uint32)
         self.first, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
+    def encode(self, words: list[bytes]) -> None:
+        """Remembers the ids of each word; many are coded at once, with a special token in between."""
+        for k in range(0, len(words), 2000):
+            some = words[k : k + 2000]
+            ids = self.tokenizer.encode(self.BETWEEN.join(w.decode("utf-8", "replace") for w in some), add_special_tokens=False).ids
+            out: list[list[int]] = [[]]
+            for i in ids:
+                if i == self.between:
+                    out.append([])
+                else:
+                    out[-1].append(i)
+            if len(out) != len(some):  # a word that holds the special token itself
+                out = [self.tokenizer.encode(w.decode("utf-8", "replace"), add_special_tokens=False).ids for w in some]
+            self.cores.update(zip(some, out, strict=True))
+
     def learn(self, words: list[bytes]) -> None:
-        coded = self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in words], add_special_tokens=False)
-        ids = [c.ids for c in coded]
+        parts = []
+        for w in words:
+            low = w.lower()
+            core = low.rstrip(self.MARKS)
+            whole = len(core) == len(low) or not core or not (core.isalpha() or core.decode("utf-8", "replace").isalpha())
+            parts.append((low, b"") if whole else (core, low[len(core) :]))
+        cores = self.cores
+        self.encode([w for w in dict.fromkeys(x for p in parts for x in p if x) if w not in cores])
+        cores[b""] = []
+        ids = [cores[a] + cores[b] for a, b in parts]
         size = np.fromiter(map(len, ids), np.int64, len(ids))
-        self.at.update(zip(words, range(len(self.size), len(self.size) + len(words)), strict=True))
         self.first = np.concatenate([self.first, len(self.flat) + np.cumsum(size) - size])
         self.size = np.concatenate([self.size, size])
-        self.flat = np.concatenate([self.flat, np.array([i for x in ids for i in x], np.uint32)])
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum()))])
 
     def ids(self, texts: list[bytes], end: int | None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, each followed by `end` if given, and the count of each text."""
-        split = [t.split() for t in texts]
         if len(self.at) > self.bound:
             self.clear()
-        seen: set[bytes] = set()
-        for ws in split:
-            seen.update(ws)
-        new = [w for w in seen if w not in self.at]
-        if new:
-            self.learn(new)
+        split = [t.split() for t in texts]
         counts = np.fromiter(map(len, split), np.int64, len(split))
-        at = np.fromiter((self.at[w] for ws in split for w in ws), np.int64, int(counts.sum()))
+        at = np.fromiter(map(self.at.__getitem__, chain.from_iterable(split)), np.int64, int(counts.sum()))
+        if self.at.new:
+            self.learn(self.at.new)
+            self.at.new = []
         size, first = self.size[at], self.first[at]
         ends = np.cumsum(size)
         total = int(ends[-1]) if len(ends) else 0
@@ -151,7 +191,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, length: int = 2048, end
 
         def flush():
             nonlocal held, total, seq
-            flat = [(d, i) for d, ids in held for i in [ids]]
+            flat = held
             sizes = [len(i) for _, i in flat]
             room = capacities(sum(sizes), length)
             rows = [

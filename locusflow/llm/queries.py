@@ -53,6 +53,24 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
 
 
+def op8_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from locusflow.llm.warc import round_trip
+
+    return round_trip(table(spark, sf_dir, "pages")).drop("url")
+
+
+def op9_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from locusflow.llm.html_extract import extract_pages
+
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
+def op10_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from locusflow.llm.pii import report
+
+    return report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
