@@ -98,6 +98,19 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words)).view(np.uint64)
 
 
+class Numbers(dict):
+    """word -> running number; new words are noted in `new`."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[bytes] = []
+
+    def __missing__(self, w: bytes) -> int:
+        self[w] = n = len(self)
+        self.new.append(w)
+        return n
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser of 64-bit words."""
     x = x ^ (x >> np.uint64(33))

@@ -12,14 +12,16 @@ documents are never shuffled.
 
 from __future__ import annotations
 
+import gc
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locusflow.llm.common import WordHashes, chunks, mix
+from locusflow.llm.common import Numbers, WordHashes, chunks, mix
 
 WINDOW, COVERAGE, RUN = 8, 0.5, 13
 BLOCK_BYTES = 8 << 20
@@ -30,6 +32,7 @@ UNITS = frozenset(
     b" mph kmh kph watt watts volt volts".split()
 )
 NUMBER, UNIT, NAME, WORD = 1, 2, 3, 0
+DIGIT = re.compile(rb"[0-9]")
 STRIP = b".,;:!?\"'()[]{}$%#*&|<>"
 SCHEMA = "doc_id long, item_id long, n_windows long, n_item_windows long, doc_word long, n_slots long, n_changed_slots long, kind string"
 
@@ -37,44 +40,51 @@ SCHEMA = "doc_id long, item_id long, n_windows long, n_item_windows long, doc_wo
 class Templates:
     """Template codes of words: number, unit and name placeholders or the word's own hash."""
 
-    def __init__(self, bound: int = 400_000):
-        self.seen: dict[bytes, tuple[int, int, int, int]] = {}
-        self.hashes, self.bound = WordHashes(7), bound
-
-    def word(self, raw: bytes) -> tuple[int, int, int, int]:
-        """(hash of the lower-cased core, hash of the core as written, kind, ends a sentence) of a word."""
-        core = raw.strip(STRIP) or raw
-        low = core.decode("utf-8", "replace").lower().encode()
-        if re.search(rb"\d", core):
-            kind = NUMBER
-        elif low in UNITS:
-            kind = UNIT
-        elif core != low and (len(core) == 1 or core.decode("utf-8", "replace")[1:].islower()):
-            kind = NAME
-        else:
-            kind = WORD
-        h = self.hashes
-        out = (h[low], h[core], kind, int(raw[-1:] in b".!?" and len(raw) > 0))
-        if len(self.seen) > self.bound:
-            self.seen.clear()
-            self.hashes.clear()
-        self.seen[raw] = out
-        return out
+    def __init__(self, bound: int = 600_000):
+        self.bound = bound
+        self.clear()
+
+    def clear(self) -> None:
+        self.at = Numbers()
+        # hash of the lower-cased core, hash of the core as written, kind, whether the word ends a sentence
+        self.known = [np.zeros(0, np.int64) for _ in range(4)]
+
+    def learn(self, words: list[bytes]) -> None:
+        h = WordHashes(7, len(words))
+        rows = np.zeros((len(words), 4), np.int64)
+        for i, raw in enumerate(words):
+            core = raw.strip(STRIP) or raw
+            if core.isalpha():
+                low = core.lower()
+                kind = UNIT if low in UNITS else NAME if core != low and core[1:] == low[1:] else WORD
+            else:
+                s = core.decode("utf-8", "replace")
+                small = s.lower()
+                low = small.encode()
+                kind = NUMBER if DIGIT.search(core) else UNIT if low in UNITS else NAME if s[:1] != small[:1] and s[1:] == small[1:] else WORD
+            rows[i] = h[low], h[core], kind, raw[-1:] in (b".", b"!", b"?")
+        self.known = [np.concatenate([k, rows[:, c]]) for c, k in enumerate(self.known)]
 
     def of(self, words: list[bytes], starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(template code, kind, value) of each word; starts: where texts begin.
 
         A capital makes a name only inside a sentence, and a unit only follows a number.
         """
-        get, seen = self.word, self.seen
-        rows = [seen.get(w) or get(w) for w in words]
-        code, value, kind, end = (np.array(c, np.int64) for c in zip(*rows, strict=True)) if rows else (np.zeros(0, np.int64),) * 4
-        first = np.concatenate([[1], end[:-1]]) if len(end) else end.copy()
-        after = np.concatenate([[0], kind[:-1] == NUMBER]) if len(end) else end.copy()
-        first[starts[starts < len(first)]] = 1
-        after[starts[starts < len(after)]] = 0
-        kind = np.where((kind == NAME) & (first == 1), WORD, np.where((kind == UNIT) & (after == 0), WORD, kind))
-        return np.where(kind == WORD, code, kind).view(np.uint64), kind, value
+        if len(self.at) > self.bound:
+            self.clear()
+        at = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
+        if self.at.new:
+            self.learn(self.at.new)
+            self.at.new = []
+        code, value, kind, end = (k[at] for k in self.known)
+        starts = starts[starts < len(at)]
+        first, after = np.ones(len(at), bool), np.zeros(len(at), bool)
+        first[1:] = end[:-1] == 1
+        after[1:] = kind[:-1] == NUMBER
+        first[starts], after[starts] = True, False
+        plain = (kind == WORD) | ((kind == NAME) & first) | ((kind == UNIT) & ~after)
+        kind = np.where(plain, WORD, kind)
+        return np.where(plain, code, kind).view(np.uint64), kind, value
 
 
 def windows(code: np.ndarray, k: int) -> np.ndarray:
@@ -117,6 +127,14 @@ class Index:
         self.hash, self.item, self.pos = h[order], p[0][order], p[1][order]
         self.uniq, self.start, self.n = np.unique(self.hash, return_index=True, return_counts=True)
         self.short = getattr(self, "short", {})
+        self.marks = np.zeros(1 << 20, bool)
+        self.marks[self.uniq >> np.uint64(44)] = True
+
+    def near(self, code: np.ndarray) -> np.ndarray:
+        """Places of a run of words where a window may be one of the index."""
+        out = [np.flatnonzero(self.marks[windows(code, self.width) >> np.uint64(44)])]
+        out += [np.flatnonzero(np.isin(windows(code, size), np.array([h for h, _ in entries]))) for size, entries in self.short.items()]
+        return np.concatenate(out)
 
     def find(self, code: np.ndarray, kind: np.ndarray, value: np.ndarray):
         """Rows of (item, matched windows, item windows, first word, slots, changed slots, kind) of one document."""
@@ -186,17 +204,17 @@ def _against(docs: DataFrame, items: list[tuple[int, str]], width: int) -> DataF
     shared = docs.sparkSession.sparkContext.broadcast(sorted(items, key=lambda x: (x[0] is None, x[0] or 0, x[1] or "")))
 
     def run(batches):
+        gc.disable()  # the memory of words has no cycles, only many objects to go over
         index, templates = Index(shared.value, width), Templates()
         for (ids,), texts in chunks(batches, "text", ["doc_id"]):
             split = [t.split() for t in texts]
             ends = np.cumsum([0, *map(len, split)])
-            code, kind, value = templates.of([w for ws in split for w in ws], ends[:-1])
-            rows = [
-                (d, *r)
-                for d, a, b in zip(ids, ends[:-1], ends[1:], strict=True)
-                if b > a
-                for r in index.find(code[a:b], kind[a:b], value[a:b])
-            ]
+            code, kind, value = templates.of(list(chain.from_iterable(split)), ends[:-1])
+            docs = np.unique(np.searchsorted(ends, index.near(code), side="right") - 1)
+            rows = []
+            for i in docs.tolist():
+                a, b = ends[i], ends[i + 1]
+                rows += [(ids[i], *r) for r in index.find(code[a:b], kind[a:b], value[a:b])]
             cols = list(zip(*rows, strict=True)) or [[]] * 8
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, pa.string() if k == 7 else pa.int64()) for k, c in enumerate(cols)],

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from locusflow.llm.common import chunks
+from locusflow.llm.common import Numbers, chunks
 
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048
 GROUP_TOKENS = 2_000_000
@@ -78,19 +78,6 @@ def pack(sizes: list[int], length: int) -> list[tuple[int, int, int, int, int]]:
     return out
 
 
-class _Numbers(dict):
-    """word -> running number; new words are noted."""
-
-    def __init__(self):
-        super().__init__()
-        self.new: list[bytes] = []
-
-    def __missing__(self, w: bytes) -> int:
-        self[w] = n = len(self)
-        self.new.append(w)
-        return n
-
-
 def _byte_letters() -> dict[str, int]:
     """The usual one-letter names of bytes in byte-level vocabularies, back to the bytes."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -161,7 +148,7 @@ class WordTokens:
         self.clear()
 
     def clear(self) -> None:
-        self.at = _Numbers()
+        self.at = Numbers()
         self.cores: dict[bytes, list[int]] = {}
         self.flat = np.zeros(0, np.uint32)
         self.first, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
