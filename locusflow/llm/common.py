@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Text bytes that one numpy step holds at most, unless a single text is longer.
 CHUNK_BYTES = 4 << 20
@@ -59,6 +60,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Up to so many ids (8 bytes each) are broadcast; more are joined by a shuffle.
+BROADCAST_IDS = 500_000
+
+
+def without_ids(docs: DataFrame, ids: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """docs without the rows whose doc_id (null included) is among the one column of ids."""
+    drop = scratch.keep(ids.toDF("_drop").distinct(), name)
+    small = drop.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(drop) if small else drop, docs["doc_id"].eqNullSafe(drop["_drop"]), "left_anti")
+
+
 def as_bytes(col: pa.Array) -> list[bytes]:
     """The UTF-8 bytes of a string column; null becomes empty."""
     kind = pa.large_binary() if pa.types.is_large_string(col.type) else pa.binary()

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locusflow.llm.common import Numbers, WordHashes, chunks, mix
+from locusflow.llm.common import Numbers, Scratch, WordHashes, chunks, mix, without_ids
 
 WINDOW, COVERAGE, RUN = 8, 0.5, 13
 BLOCK_BYTES = 8 << 20
@@ -224,7 +224,7 @@ def _against(docs: DataFrame, items: list[tuple[int, str]], width: int) -> DataF
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """docs without those in which an item was found."""
-    bad = contamination(docs, benchmark).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
+    scratch = scratch or Scratch(docs.sparkSession, "decontam")
+    return without_ids(docs, contamination(docs, benchmark).select("doc_id"), scratch, "found")

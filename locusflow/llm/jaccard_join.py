@@ -22,13 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locusflow.llm.common import Scratch, WordHashes, chunks, mix, shingles
+from locusflow.llm.common import BROADCAST_IDS, Scratch, WordHashes, chunks, mix, shingles, without_ids
 
 BAND = 1.5
 BITS = 1024
 BLOCK = 1024
-#: Up to so many node ids (8 bytes each) are broadcast to pick documents; beyond it the ids are joined by a shuffle.
-BROADCAST_IDS = 500_000
 
 
 class Tiles:
@@ -293,8 +291,13 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     return rows.join(comps, "node", "left").select("doc_id", "n_shingles", F.coalesce("comp", "node").alias("component_id"))
 
 
-def keep_first(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """docs with one document, that of the smallest doc_id, of each component; rows without doc_id stay."""
-    found = jaccard_components(docs, k, num, den)
-    drop = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_drop")).distinct()
-    return docs.join(drop, docs["doc_id"] == drop["_drop"], "left_anti").dropDuplicates(["doc_id", "text"])
+def keep_first(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, scratch: Scratch | None = None) -> DataFrame:
+    """docs with one document, that of the smallest doc_id, of each component; rows without doc_id stay.
+
+    Repeated rows of one doc_id and text become one.
+    """
+    scratch = scratch or Scratch(docs.sparkSession, "jaccard")
+    found = jaccard_components(docs, k, num, den, scratch)
+    out = without_ids(docs, found.filter("doc_id <> component_id").select("doc_id"), scratch, "copies")
+    unique = docs.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").isEmpty()
+    return out if unique else out.filter("doc_id is not null").dropDuplicates(["doc_id", "text"]).unionByName(out.filter("doc_id is null"))

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from locusflow.llm.common import Scratch, chunks
+from locusflow.llm.common import Scratch, chunks, without_ids
 
 #: Frequent function words of the four languages in the corpus.
 FUNCTION_WORDS = frozenset(
@@ -164,7 +164,6 @@ def score_documents(docs: DataFrame, scratch: Scratch | None = None) -> DataFram
 
 
 def keep_good(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
-    """docs without the rejected ones. Features are joined by row, so doc_id must name a row; repeated ids stand or fall together."""
-    verdict = score_documents(docs, scratch)
-    bad = verdict.filter(~F.col("kept")).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
+    """docs without the rejected ones; rows of one doc_id stand or fall together."""
+    scratch = scratch or Scratch(docs.sparkSession, "quality")
+    return without_ids(docs, score_documents(docs, scratch).filter(~F.col("kept")).select("doc_id"), scratch, "rejected")

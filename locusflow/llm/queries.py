@@ -12,6 +12,13 @@ from locusflow.llm.common import table
 TOKENIZER = "word_bpe_49k.json"
 
 
+def tokenizer_path(name: str = TOKENIZER) -> str:
+    """Where the installed public vocabularies are; the operators take any path."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
 def op7_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from locusflow.llm.sharding import shard_documents
 
@@ -19,11 +26,9 @@ def op7_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import public_tokenizers
-
     from locusflow.llm.packing import pack_documents
 
-    return pack_documents(table(spark, sf_dir, "documents"), str(public_tokenizers.path(TOKENIZER)))
+    return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
