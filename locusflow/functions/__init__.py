@@ -1 +1 @@
-"""Part of locusflow."""
+"""Column functions and numerical routines."""

@@ -1 +1 @@
-"""Part of locusflow."""
+"""DataFrame operators over intervals, signal, density matrices, clusters and sequences."""

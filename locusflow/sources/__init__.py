@@ -1 +1 @@
-"""Part of locusflow."""
+"""Readers and writers of the file formats around the engine."""

@@ -1 +1 @@
-"""Part of locusflow."""
+"""Incremental forms of the counting operators for Structured Streaming."""
