@@ -16,8 +16,8 @@ into buckets without losing a repeat:
    span to remove. Intervals with one left extension are part of the interval one byte before.
 4. Spans meet the texts again, which are cut and hashed.
 
-No task holds more than one bucket; buckets, fixed by the number of shuffle partitions, hold parts of documents only as
-packed arrays.
+Rows between the steps are packed arrays, one a bucket and flush; there are as many buckets as shuffle partitions, and a
+task holds one bucket's arrays, never its texts.
 """
 
 from __future__ import annotations
@@ -30,34 +30,41 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from locusflow.llm.common import Scratch, as_bytes, chunks, mix
+from locusflow.llm.common import Scratch, chunks, mix
 
 LENGTH, K = 50, 20
 STEP = 2 << 20
 #: Contexts that a task gathers before it sends them on.
 FLUSH = 1_000_000
-BUCKETS_A_PARTITION = 8
 ODD = np.uint64(0xD6E8FEB86659FD93)
 RECORD = (("h", "<u4", 4), ("c", "<u8", 6), ("doc", "<i8", 8), ("tag", "<u4", 4), ("lo", "<u4", 4), ("off", "u1", 1), ("span", "u1", 1))
 SPAN = (("doc", "<i8", 8), ("tag", "<u4", 4), ("lo", "<u4", 4), ("end", "<u4", 4))
 WANT = (("bucket", "<u4", 4), ("doc", "<i8", 8), ("tag", "<u4", 4), ("lo", "<u4", 4), ("span", "u1", 1))
-ROWS = "bucket int, dbucket int, kind int, data binary"
-SPANS, RECORDS, WANTS = 0, 1, 2
+ROWS = "bucket int, kind int, data binary"
+#: Kinds of rows: spans and wanted contexts by the bucket of their document, records and contexts by that of their anchor;
+#: whole texts sort behind what belongs to them.
+SPANS, RECORDS, WANTS, CONTEXTS, TEXTS = range(5)
+
+
+FIELDS = {SPANS: SPAN, RECORDS: RECORD, WANTS: WANT, CONTEXTS: (*WANT, ("body", "u1", 0))}
 
 
 def pack(fields, arrays: dict[str, np.ndarray]) -> bytes:
-    """Arrays of one length as planes of bytes, which compress well."""
+    """Arrays of one length as planes of bytes, which compress well. A field of size 0 has rows of bytes, kept as they are."""
     n = len(arrays[fields[0][0]])
-    return b"".join(np.ascontiguousarray(arrays[f].astype(t)).view(np.uint8).reshape(n, -1)[:, :size].T.tobytes() for f, t, size in fields)
+    planes = [np.ascontiguousarray(arrays[f].astype(t)).view(np.uint8).reshape(n, -1) for f, t, _ in fields]
+    return n.to_bytes(8, "little") + b"".join((p[:, :size].T if size else p).tobytes() for p, (*_, size) in zip(planes, fields, strict=True))
 
 
 def unpack(fields, blobs: list[bytes]) -> dict[str, np.ndarray]:
-    width = sum(size for *_, size in fields)
     parts: dict[str, list[np.ndarray]] = {f: [] for f, *_ in fields}
     for blob in blobs:
-        n, at = len(blob) // width, 0
+        n, at = int.from_bytes(blob[:8], "little"), 8
         raw = np.frombuffer(blob, np.uint8)
         for f, t, size in fields:
+            if not size:
+                parts[f].append(raw[at:].reshape(n, -1))
+                continue
             full = np.zeros((n, np.dtype(t).itemsize), np.uint8)
             full[:, :size] = raw[at : at + n * size].reshape(size, n).T
             parts[f].append(full.view(t)[:, 0])
@@ -142,7 +149,7 @@ def _group(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.flatnonzero(change)
 
 
-def _dbucket(doc: np.ndarray, tag: np.ndarray, count: int) -> np.ndarray:
+def _dbucket(doc: np.ndarray, count: int) -> np.ndarray:
     x = doc ^ (doc >> np.int64(9)) ^ (doc >> np.int64(23))
     return np.mod(x, np.int64(count))
 
@@ -153,32 +160,78 @@ def _dbucket_column(doc: Column, count: int) -> Column:
 
 
 class Rows:
-    """Rows of ROWS, as they gather."""
+    """Packed arrays that gather until they are sent on: one row for each kind and bucket."""
 
     def __init__(self):
-        self.rows: list[tuple] = []
-
-    def spread(self, fields, arrays: dict[str, np.ndarray], kind: int, by: np.ndarray, bucket=None) -> None:
-        """One row for each value of `by`: of dbucket, or of bucket where kind is RECORDS."""
-        if not len(by):
-            return
-        order = np.argsort(by, kind="stable")
-        cut = np.concatenate([[0], np.flatnonzero(np.diff(by[order])) + 1, [len(by)]])
-        put = {f: arrays[f][order] for f, *_ in fields}
-        for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-            key = int(by[order[a]])
-            blob = pack(fields, {f: v[a:b] for f, v in put.items()})
-            self.rows.append((key, 0, kind, blob) if kind == RECORDS else (key if bucket is None else bucket, key, kind, blob))
-
-    def batch(self) -> pa.RecordBatch:
-        cols = list(zip(*self.rows, strict=True)) or [[]] * 4
-        self.rows = []
-        return pa.RecordBatch.from_arrays(
-            [*(pa.array(c, pa.int32()) for c in cols[:3]), pa.array(cols[3], pa.binary())], names=["bucket", "dbucket", "kind", "data"]
-        )
+        self.held: dict[int, list[tuple[np.ndarray, dict[str, np.ndarray]]]] = {}
+        self.count = 0
 
+    def add(self, kind: int, bucket: np.ndarray, arrays: dict[str, np.ndarray]) -> None:
+        if len(bucket):
+            self.held.setdefault(kind, []).append((bucket, arrays))
+            self.count += len(bucket)
 
-def _find(docs: DataFrame, length: int, k: int, buckets: int, dbuckets: int, tagged: bool) -> DataFrame:
+    def batch(self) -> pa.RecordBatch:
+        keys, kinds, blobs = [], [], []
+        for kind, parts in sorted(self.held.items()):
+            fields = FIELDS[kind]
+            bucket = np.concatenate([b for b, _ in parts])
+            order = np.argsort(bucket, kind="stable")
+            arrays = {f: np.concatenate([x[f] for _, x in parts])[order] for f, *_ in fields}
+            bucket = bucket[order]
+            cut = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
+            for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                keys.append(int(bucket[a]))
+                kinds.append(kind)
+                blobs.append(pack(fields, {f: v[a:b] for f, v in arrays.items()}))
+        self.held, self.count = {}, 0
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(kinds, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "kind", "data"])
+
+
+def _deal(rows: DataFrame, buckets: int) -> DataFrame:
+    """One bucket a partition, each bucket's rows by kind."""
+    return rows.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket", "kind")
+
+
+def _whole(batches):
+    """(bucket, {kind: blobs}) of dealt rows, one bucket at a time."""
+    key, held = None, {}
+    for batch in batches:
+        for b, k, d in zip(*(batch.column(c).to_pylist() for c in ("bucket", "kind", "data")), strict=True):
+            if b != key:
+                if key is not None:
+                    yield key, held
+                key, held = b, {}
+            held.setdefault(k, []).append(d)
+    if key is not None:
+        yield key, held
+
+
+def _by_text(batches, fields):
+    """(sorted arrays of a bucket, where each (doc, tag) lies in them, ids, texts) for each batch of a bucket's texts."""
+    key, blobs, x, where = None, [], None, {}
+    for batch in batches:
+        bucket, kind = (batch.column(c).to_numpy() for c in ("bucket", "kind"))
+        cut = np.concatenate([[0], np.flatnonzero((np.diff(bucket) != 0) | ((np.diff(kind) != 0) & (kind[1:] == TEXTS))) + 1, [len(bucket)]])
+        for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+            if a == b:
+                continue
+            if bucket[a] != key:
+                key, blobs, x = int(bucket[a]), [], None
+            part = batch.slice(a, b - a)
+            if kind[a] != TEXTS:
+                blobs += part.column("data").to_pylist()
+                continue
+            if x is None:
+                x = unpack(fields, blobs)
+                order, start = _group(x["tag"], x["doc"])
+                x = {f: v[order] for f, v in x.items()}
+                stop = np.concatenate([start[1:], [len(order)]])
+                where = {(int(x["doc"][i]), int(x["tag"][i])): (i, j) for i, j in zip(start.tolist(), stop.tolist(), strict=True)}
+            yield x, where, part.column("doc_id").to_pylist(), part.column("data").to_pylist()
+
+
+def _find(docs: DataFrame, length: int, k: int, buckets: int, tagged: bool) -> DataFrame:
     def run(batches):
         anchors, out = Anchors(length, k), Rows()
         held: list[tuple[np.ndarray, ...]] = []
@@ -188,7 +241,7 @@ def _find(docs: DataFrame, length: int, k: int, buckets: int, dbuckets: int, tag
             nonlocal held, count
             doc, tag, lo, span, off, gram, c = (np.concatenate(x) for x in zip(*held, strict=True))
             held, count = [], 0
-            order, start = _group(lo, doc, c, gram)
+            order = _group(lo, doc, c, gram)[0]
             group = np.zeros(len(order), bool)
             g, cc, d = gram[order], c[order], doc[order]
             group[:1] = True
@@ -197,10 +250,10 @@ def _find(docs: DataFrame, length: int, k: int, buckets: int, dbuckets: int, tag
             later = d > least  # a smaller document of this task has the whole context
             rest, later = order[~later], order[later]
             span_of = {"doc": doc[later], "tag": tag[later], "lo": lo[later], "end": lo[later] + span[later] + length}
-            out.spread(SPAN, span_of, SPANS, _dbucket(doc[later], tag[later], dbuckets))
+            out.add(SPANS, _dbucket(doc[later], buckets), span_of)
             bucket = ((gram[rest] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
             rec = {"h": gram[rest] & np.uint64(0xFFFFFFFF), "c": c[rest], "doc": doc[rest], "tag": tag[rest], "lo": lo[rest], "off": off[rest], "span": span[rest]}
-            out.spread(RECORD, rec, RECORDS, bucket)
+            out.add(RECORDS, bucket, rec)
             return out.batch()
 
         for (ids,), texts in chunks(batches, "text", ["doc_id"], STEP):
@@ -224,18 +277,21 @@ def _find(docs: DataFrame, length: int, k: int, buckets: int, dbuckets: int, tag
     return docs.select("doc_id", "text").mapInArrow(run, ROWS)
 
 
-def _settle(rows: DataFrame, length: int, dbuckets: int) -> DataFrame:
+def _settle(rows: DataFrame, length: int, buckets: int) -> DataFrame:
     """Per bucket: spans of whole contexts that a smaller document has, and the contexts that must be looked at."""
 
-    def run(group: pa.Table) -> pa.Table:
-        kind = group.column("kind").to_numpy()
-        data = group.column("data").to_pylist()
+    def run(batches):
         out = Rows()
-        bucket = group.column("bucket")[0].as_py()
-        out.rows = [(0, d, SPANS, b) for d, k, b in zip(group.column("dbucket").to_pylist(), kind, data, strict=True) if k == SPANS]
-        x = unpack(RECORD, [b for b, k in zip(data, kind, strict=True) if k == RECORDS])
-        if len(x["h"]):
+        for bucket, blobs in _whole(batches):
+            passed = blobs.get(SPANS, [])  # dealt by document, and stay so
+            if passed:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([bucket] * len(passed), pa.int32()), pa.array([SPANS] * len(passed), pa.int32()), pa.array(passed, pa.binary())], names=["bucket", "kind", "data"]
+                )
+            x = unpack(RECORD, blobs.get(RECORDS, []))
             order, start = _group(x["c"], x["h"])
+            if not len(order):
+                continue
             x = {f: v[order] for f, v in x.items()}
             least = np.minimum.reduceat(x["doc"], start)  # of each class of equal contexts
             size = np.diff(np.concatenate([start, [len(order)]]))
@@ -246,41 +302,42 @@ def _settle(rows: DataFrame, length: int, dbuckets: int) -> DataFrame:
             mine, several = np.repeat(least, size), np.repeat(several, size)
             later = x["doc"] > mine
             y = {f: v[later] for f, v in x.items()}
-            out.spread(SPAN, y | {"end": y["lo"].astype(np.int64) + y["span"] + length}, SPANS, _dbucket(y["doc"], y["tag"], dbuckets), 0)
+            out.add(SPANS, _dbucket(y["doc"], buckets), y | {"end": y["lo"].astype(np.int64) + y["span"] + length})
             want = ~later & several
             y = {f: v[want] for f, v in x.items()}
-            out.spread(WANT, y | {"bucket": np.full(len(y["doc"]), bucket)}, WANTS, _dbucket(y["doc"], y["tag"], dbuckets), 0)
-        return pa.Table.from_batches([out.batch()])
+            out.add(WANTS, _dbucket(y["doc"], buckets), y | {"bucket": np.full(len(y["doc"]), bucket)})
+            if out.count >= FLUSH:
+                yield out.batch()
+        yield out.batch()
 
-    return rows.groupBy("bucket").applyInArrow(run, ROWS)
+    return _deal(rows, buckets).mapInArrow(run, ROWS)
 
 
-def _contexts(texts: DataFrame, wanted: DataFrame, length: int, width: int, tagged: bool) -> DataFrame:
-    """The bytes of the wanted contexts, by bucket: WANT records and, after them, `width` bytes for each."""
+def _with_texts(texts: DataFrame, rows: DataFrame, buckets: int) -> DataFrame:
+    """Rows by document, dealt with the texts behind them."""
+    both = rows.withColumn("doc_id", F.lit(None).cast("long")).unionByName(
+        texts.select("bucket", F.lit(TEXTS).alias("kind"), F.coalesce("text", F.lit("")).cast("binary").alias("data"), "doc_id")
+    )
+    return _deal(both, buckets)
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        rows: dict[int, tuple[list, list]] = {}
-        if right.num_rows and left.num_rows:
-            x = unpack(WANT, right.column("data").to_pylist())
-            found: dict[tuple[int, int], bytes] = {}
-            for batch in left.to_batches():
-                for d, t in zip(batch.column("doc_id").to_pylist(), as_bytes(batch.column("text")), strict=True):
-                    found[d, zlib.crc32(t) if tagged else 0] = t
-            order = np.argsort(x["bucket"], kind="stable")
-            cut = np.concatenate([[0], np.flatnonzero(np.diff(x["bucket"][order])) + 1, [len(order)]])
-            for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-                some = {f: v[order[a:b]] for f, v in x.items()}
-                body = b"".join(
-                    found[d, t][lo : lo + length + s].ljust(width, b"\0")
-                    for d, t, lo, s in zip(*(some[f].tolist() for f in ("doc", "tag", "lo", "span")), strict=True)
-                )
-                rows[int(some["bucket"][0])] = ([pack(WANT, some)], [body])
-        keys = sorted(rows)
-        return pa.table({
-            "bucket": pa.array(keys, pa.int32()), "data": pa.array([rows[k][0][0] for k in keys], pa.binary()), "body": pa.array([rows[k][1][0] for k in keys], pa.binary()),
-        })
 
-    return texts.groupBy("dbucket").cogroup(wanted.groupBy("dbucket")).applyInArrow(run, "bucket int, data binary, body binary")
+def _contexts(texts: DataFrame, wanted: DataFrame, length: int, width: int, buckets: int, tagged: bool) -> DataFrame:
+    """The bytes of the wanted contexts, `width` for each, by the bucket of the anchor."""
+
+    def run(batches):
+        out = Rows()
+        for x, where, ids, whole in _by_text(batches, WANT):
+            for d, t in zip(ids, whole, strict=True):
+                if (at := where.get((d, zlib.crc32(t) if tagged else 0))) is None:
+                    continue
+                y = {f: v[at[0] : at[1]] for f, v in x.items()}
+                body = b"".join(t[lo : lo + length + s].ljust(width, b"\0") for lo, s in zip(y["lo"].tolist(), y["span"].tolist(), strict=True))
+                out.add(CONTEXTS, y["bucket"].astype(np.int64), y | {"body": np.frombuffer(body, np.uint8).reshape(-1, width)})
+            if out.count >= FLUSH // 4:
+                yield out.batch()
+        yield out.batch()
+
+    return _with_texts(texts, wanted, buckets).mapInArrow(run, ROWS)
 
 
 def interval_spans(suffix: np.ndarray, rest: np.ndarray, doc: np.ndarray, left: np.ndarray, length: int) -> np.ndarray:
@@ -361,27 +418,30 @@ def interval_spans(suffix: np.ndarray, rest: np.ndarray, doc: np.ndarray, left:
     return out
 
 
-def _repeats(contexts: DataFrame, length: int, width: int, dbuckets: int) -> DataFrame:
-    def run(group: pa.Table) -> pa.Table:
-        x = unpack(WANT, group.column("data").to_pylist())
-        body = np.frombuffer(b"".join(group.column("body").to_pylist()), np.uint8).reshape(-1, width)
-        span = x["span"].astype(np.int64)
-        row = np.repeat(np.arange(len(span)), span + 1)
-        at = np.arange(len(row)) - np.repeat(np.cumsum(span + 1) - span - 1, span + 1)
-        padded = np.zeros((len(body), 2 * width), np.uint8)
-        padded[:, :width] = body
-        suffix = np.lib.stride_tricks.sliding_window_view(padded, width, axis=1)[row, at]
-        left = body[row, np.maximum(at - 1, 0)].astype(np.int64)
-        left[at == 0] = -1
-        got = interval_spans(suffix, span[row] + length - at, x["doc"][row], left, length)
-        hit = got > 0
-        row, lo = row[hit], x["lo"][row[hit]].astype(np.int64) + at[hit]
-        y = {"doc": x["doc"][row], "tag": x["tag"][row], "lo": lo, "end": lo + got[hit]}
-        out = Rows()
-        out.spread(SPAN, y, SPANS, _dbucket(y["doc"], y["tag"], dbuckets), 0)
-        return pa.Table.from_batches([out.batch()])
+def _repeats(contexts: DataFrame, length: int, width: int, buckets: int) -> DataFrame:
+    """Spans of repeats inside contexts; the interval tree of each bucket."""
 
-    return contexts.groupBy("bucket").applyInArrow(run, ROWS)
+    def run(batches):
+        out = Rows()
+        for _, blobs in _whole(batches):
+            x = unpack(FIELDS[CONTEXTS], blobs[CONTEXTS])
+            body, span = x["body"], x["span"].astype(np.int64)
+            row = np.repeat(np.arange(len(span)), span + 1)
+            at = np.arange(len(row)) - np.repeat(np.cumsum(span + 1) - span - 1, span + 1)
+            padded = np.zeros((len(body), 2 * width), np.uint8)
+            padded[:, :width] = body
+            suffix = np.lib.stride_tricks.sliding_window_view(padded, width, axis=1)[row, at]
+            left = body[row, np.maximum(at - 1, 0)].astype(np.int64)
+            left[at == 0] = -1
+            got = interval_spans(suffix, span[row] + length - at, x["doc"][row], left, length)
+            hit = got > 0
+            row, lo = row[hit], x["lo"][row[hit]].astype(np.int64) + at[hit]
+            out.add(SPANS, _dbucket(x["doc"][row], buckets), {"doc": x["doc"][row], "tag": x["tag"][row], "lo": lo, "end": lo + got[hit]})
+            if out.count >= FLUSH:
+                yield out.batch()
+        yield out.batch()
+
+    return _deal(contexts, buckets).mapInArrow(run, ROWS)
 
 
 def merged(lo: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -392,30 +452,25 @@ def merged(lo: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return lo[new], end[np.concatenate([np.flatnonzero(new)[1:] - 1, [len(lo) - 1]])]
 
 
-def _cut(texts: DataFrame, spans: DataFrame, tagged: bool, with_text: bool) -> DataFrame:
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        x = unpack(SPAN, right.column("data").to_pylist() if right.num_rows else [])
-        order, start = _group(x["tag"], x["doc"])
-        stop = np.concatenate([start[1:], [len(order)]])
-        where = {(int(x["doc"][order[a]]), int(x["tag"][order[a]])): (a, b) for a, b in zip(start, stop, strict=True)}
-        lo, end = x["lo"][order].astype(np.int64), x["end"][order].astype(np.int64)
-        rows = []
-        for batch in left.to_batches():
-            for d, t in zip(batch.column("doc_id").to_pylist(), as_bytes(batch.column("text")), strict=True):
+def _cut(texts: DataFrame, spans: DataFrame, buckets: int, tagged: bool, with_text: bool) -> DataFrame:
+    def run(batches):
+        for x, where, ids, whole in _by_text(batches, SPAN):
+            rows = []
+            for d, t in zip(ids, whole, strict=True):
                 kept, removed, runs = t, 0, 0
                 if (at := where.get((d, zlib.crc32(t) if tagged else 0))) is not None:
-                    s, e = merged(lo[at[0] : at[1]], end[at[0] : at[1]])
+                    s, e = merged(x["lo"][at[0] : at[1]].astype(np.int64), x["end"][at[0] : at[1]].astype(np.int64))
                     runs, removed = len(s), int((e - s).sum())
                     edges = [0, *np.stack([s, e], 1).ravel().tolist(), len(t)]
                     kept = b"".join(t[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
                 rows.append((d, len(t), removed, runs, hashlib.sha256(kept).hexdigest(), *([kept] if with_text else [])))
-        cols = list(zip(*rows, strict=True)) or [[]] * (5 + with_text)
-        types = [*[pa.int64()] * 4, pa.string(), pa.binary()]
-        names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
-        return pa.table([pa.array(c, t) for c, t in zip(cols, types, strict=False)], names=names[: len(cols)])
+            cols = list(zip(*rows, strict=True))
+            types = [*[pa.int64()] * 4, pa.string(), pa.binary()]
+            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=False)], names=names[: len(cols)])
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_text else "")
-    return texts.groupBy("dbucket").cogroup(spans.groupBy("dbucket")).applyInArrow(run, schema)
+    return _with_texts(texts, spans, buckets).mapInArrow(run, schema)
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, with_text: bool = False, scratch: Scratch | None = None) -> DataFrame:
@@ -427,15 +482,15 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, with_text:
     """
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "suffix")
-    buckets = dbuckets = BUCKETS_A_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions")) + 1
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     width = 2 * length - k
     tagged = not docs.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").isEmpty()
-    found = scratch.keep(_settle(_find(docs, length, k, buckets, dbuckets, tagged), length, dbuckets).drop("bucket"), "found")
+    # Kinds by document pass the deal of records untouched, so both come from one pass over the texts.
+    first = _find(docs, length, k, buckets, tagged)
+    found = scratch.keep(_settle(first, length, buckets), "found")
     scratch.release()
-    texts = docs.select("doc_id", "text", _dbucket_column(F.col("doc_id"), dbuckets).alias("dbucket"))
-    wanted = found.filter(F.col("kind") == WANTS).select("dbucket", "data")
-    contexts = _contexts(texts.filter("doc_id is not null"), wanted, length, width, tagged)
-    parts = scratch.keep(_repeats(contexts, length, width, dbuckets).select("dbucket", "data"), "repeats")
+    texts = docs.select("doc_id", "text", _dbucket_column(F.col("doc_id"), buckets).alias("bucket"))
+    contexts = _contexts(texts.filter("doc_id is not null"), found.filter(F.col("kind") == WANTS), length, width, buckets, tagged)
+    parts = scratch.keep(_repeats(contexts, length, width, buckets), "repeats")
     scratch.release()
-    spans = found.filter(F.col("kind") == SPANS).select("dbucket", "data").unionByName(parts)
-    return _cut(texts, spans, tagged, with_text)
+    return _cut(texts, found.filter(F.col("kind") == SPANS).unionByName(parts), buckets, tagged, with_text)
