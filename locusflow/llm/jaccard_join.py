@@ -2,14 +2,14 @@
 
 Sets of word shingles (64-bit hashes) link when den * |A and B| >= num * |A or B|. Every link is found:
 
-* Documents of equal sets form a class; its smallest id, the node, stands for it.
+* Documents of equal sets form a class, linked to its smallest id. Each task gives keys for one document of a class only.
 * Tile t holds the sizes of band t (a factor BAND wide) and those just above that can still link into it. In a tile two
   linked sets differ in at most H elements, so of m = H + 1 + e parts of the hash range at least e + 1 hold the same
   elements. A node leaves out its e parts of fewest elements (the same order in both sets, so one equal part stays) and
   gives one key (tile, part, sum of the part's hashes) for each other one. Parts hold several shingles, so a passage or
   word that many documents share does not make keys equal.
-* Nodes of equal key are candidates. First each is held against the key's smallest node. Then, in keys whose nodes are
-  not in one component by now, all pairs of different components are taken in blocks of BLOCK by BLOCK nodes; 1,024-bit
+* Nodes of equal key are candidates. First each is held against the smallest node of any of its keys, then, unless they
+  are in one component by now, against the smallest node of each key. Then, in keys whose nodes still are in several, all pairs of different components are taken in blocks of BLOCK by BLOCK nodes; 1,024-bit
   bitmaps bound their overlap from above, and what passes is intersected exactly. A pair within one component needs no
   test: it changes no component.
 * Components come from alternating large-star and small-star steps on stored edge tables.
@@ -27,6 +27,9 @@ from locusflow.llm.common import BROADCAST_IDS, Scratch, WordHashes, chunks, mix
 BAND = 1.5
 BITS = 1024
 BLOCK = 1024
+#: Sets of a task that are remembered, so that copies give no keys again; a bound on memory only.
+SEEN = 200_000
+NONE = np.zeros(0, np.int64)
 
 
 class Tiles:
@@ -91,12 +94,17 @@ def text_sets(texts: list[bytes], k: int, hashes: WordHashes):
 def _features(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     def run(batches):
         hashes, tiles = WordHashes(1), Tiles(num, den)
+        seen: set[tuple[int, int, int]] = set()
         for (ids,), texts in chunks(batches, "text", ["doc_id"]):
+            if len(seen) > SEEN:
+                seen.clear()
             rows = []
-            for s in text_sets(texts, k, hashes):
-                keys = tiles.keys(s).view(np.int64)
-                sums = [int(mix(s ^ np.uint64(c)).sum(dtype=np.uint64).view(np.int64)) for c in (3, 5)]
-                rows.append((len(s), *sums, keys))
+            for d, s in zip(ids, text_sets(texts, k, hashes), strict=True):
+                whole = (len(s), *(int(mix(s ^ np.uint64(c)).sum(dtype=np.uint64).view(np.int64)) for c in (3, 5)))
+                keys = NONE if d is None or whole in seen else tiles.keys(s).view(np.int64)
+                if d is not None:
+                    seen.add(whole)
+                rows.append((*whole, keys))
             size = [len(r[3]) for r in rows]
             keys = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(np.concatenate([r[3] for r in rows])))
             cols = [pa.array(c, pa.int64()) for c in (ids, *list(zip(*rows, strict=True))[:3])]
@@ -250,7 +258,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     A text of fewer than k words is one shingle, its whole sequence; null, empty or blank texts have no shingles and link
     with nothing. Rows with the same set link, repeated rows included. Rows of one doc_id and different texts are labelled
     each on its own and count as one node. Rows with a null doc_id keep a null component and link nothing. An empty table
-    gives no rows; other columns are not read. `links` beside the result, in the scratch folder, has the tested links.
+    gives no rows; other columns are not read.
     """
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "jaccard")
@@ -260,17 +268,25 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     classes = scratch.keep(classes.filter("copies > 1").drop("copies"), "classes")
     rows = scratch.keep(feats.select("doc_id", *whole).join(classes, whole, "left").withColumn("node", F.coalesce("first", "doc_id")).select("doc_id", "n_shingles", "node"), "rows")
 
-    copies = rows.filter("node <> doc_id").select("doc_id").distinct()
-    keyed = feats.filter("doc_id is not null and size(keys) > 0").select("doc_id", "keys").join(copies, "doc_id", "left_anti")
-    keyed = keyed.select(F.explode("keys").alias("key"), F.col("doc_id").alias("node"))
+    copies = rows.filter("node <> doc_id").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
+    keyed = feats.filter("size(keys) > 0").select(F.explode("keys").alias("key"), F.col("doc_id").alias("node"))
     shared = scratch.keep(_shared(keyed.repartition("key").sortWithinPartitions("key", "node")), "shared")
     scratch.drop("features")
     scratch.release()
 
     sets = scratch.keep(_sets(docs, shared.select("node").distinct(), k), "sets")
-    stars = shared.filter("node <> center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct()
-    links = scratch.keep(_linked(stars, sets, num, den), "links-star")
+    scratch.release()
+    nearest = shared.groupBy(F.col("node").alias("b")).agg(F.min("center").alias("a")).filter("a <> b").select("a", "b")
+    links = scratch.keep(_linked(nearest, sets, num, den).select("a", "b").unionByName(copies), "links-nearest")
+    scratch.release()
     comps = scratch.keep(components(links, scratch, "first"), "comps-first")
+    stars = shared.filter("node <> center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct()
+    stars = scratch.keep(_apart(stars, comps).join(nearest, ["a", "b"], "left_anti"), "stars")
+    more = scratch.keep(_linked(stars, sets, num, den).select("a", "b"), "links-star")
+    if not more.isEmpty():
+        links = links.unionByName(more)
+        comps = scratch.keep(components(links, scratch, "second"), "comps-second")
+    scratch.release()
 
     # What is left: keys whose members, the center aside, are in several components.
     rest = shared.filter("node <> center").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
@@ -285,12 +301,18 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
         several = several.select("key", "node", "comp", "block", F.explode(ij).alias("ij"))
         several = several.join(sets.select("node", "size", "bits"), "node").select("key", "ij.i", "ij.j", "block", "node", "comp", "size", "bits")
         pairs = scratch.keep(_across(several, num, den).distinct(), "pairs")
-        more = scratch.keep(_linked(pairs, sets, num, den), "links-across")
+        more = scratch.keep(_linked(pairs, sets, num, den).select("a", "b"), "links-across")
         if not more.isEmpty():
-            comps = scratch.keep(components(links.unionByName(more), scratch, "second"), "comps-second")
+            comps = scratch.keep(components(links.unionByName(more), scratch, "third"), "comps-third")
     return rows.join(comps, "node", "left").select("doc_id", "n_shingles", F.coalesce("comp", "node").alias("component_id"))
 
 
+def _apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
+    """Pairs whose ends are in different components."""
+    x = pairs.join(comps.select(F.col("node").alias("a"), F.col("comp").alias("_x")), "a", "left").join(comps.select(F.col("node").alias("b"), F.col("comp").alias("_y")), "b", "left")
+    return x.filter(F.coalesce("_x", "a") != F.coalesce("_y", "b")).select("a", "b")
+
+
 def keep_first(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, scratch: Scratch | None = None) -> DataFrame:
     """docs with one document, that of the smallest doc_id, of each component; rows without doc_id stay.
 
