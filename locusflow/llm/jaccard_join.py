@@ -9,8 +9,8 @@ Sets of word shingles (64-bit hashes) link when den * |A and B| >= num * |A or B
   gives one key (tile, part, sum of the part's hashes) for each other one. Parts hold several shingles, so a passage or
   word that many documents share does not make keys equal.
 * Nodes of equal key are candidates. First each is held against the smallest node of any of its keys, then, unless they
-  are in one component by now, against the smallest node of each key. Then, in keys whose nodes still are in several, all pairs of different components are taken in blocks of BLOCK by BLOCK nodes; 1,024-bit
-  bitmaps bound their overlap from above, and what passes is intersected exactly. A pair within one component needs no
+  are in one component by now, against the smallest node of each key. Then, in keys whose nodes still are in several, all pairs of different components are taken in blocks of BLOCK by BLOCK nodes. Bitmaps
+  bound the overlap of every pair from above, and what passes is intersected exactly. A pair within one component needs no
   test: it changes no component.
 * Components come from alternating large-star and small-star steps on stored edge tables.
 """
@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 from locusflow.llm.common import BROADCAST_IDS, Scratch, WordHashes, chunks, mix, shingles, without_ids
 
 BAND = 1.5
-BITS = 1024
+#: Least and most bits of a bitmap.
+BITS = (256, 1 << 16)
 BLOCK = 1024
 #: Sets of a task that are remembered, so that copies give no keys again; a bound on memory only.
 SEEN = 200_000
@@ -76,11 +77,20 @@ class Tiles:
 
 
 def bitmap(sets: np.ndarray) -> np.ndarray:
-    bits = np.zeros(BITS, np.uint8)
-    bits[(mix(sets ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(64 - BITS.bit_length() + 1)).astype(np.int64)] = 1
+    """A bitmap of the elements' hashes, twice as many bits as elements or more (a power of two within BITS), as 64-bit words."""
+    width = min(max(BITS[0], 1 << max(2 * len(sets) - 1, 1).bit_length()), BITS[1])
+    bits = np.zeros(width, np.uint8)
+    bits[(mix(sets ^ np.uint64(0x5851F42D4C957F2D)) & np.uint64(width - 1)).astype(np.int64)] = 1
     return np.packbits(bits).view(np.uint64)
 
 
+def fold(bits: np.ndarray, words: int) -> np.ndarray:
+    """The bitmap that the same elements have in fewer bits."""
+    while len(bits) > words:
+        bits = bits[: len(bits) // 2] | bits[len(bits) // 2 :]
+    return bits
+
+
 def text_sets(texts: list[bytes], k: int, hashes: WordHashes):
     """The sorted shingle set of each text; A-Z count as a-z."""
     split = [t.lower().split() for t in texts]
@@ -166,35 +176,51 @@ def _least(x, y, num: int, den: int):
     return -(-num * (x + y) // (den + num))
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Those of the pairs (a, b) that link, with their intersection."""
-    left = sets.select(F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("bits").alias("bits_a"), F.col("elements").alias("elements_a"))
-    right = sets.select(F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("bits").alias("bits_b"), F.col("elements").alias("elements_b"))
+def _possible(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Those of the pairs (a, b) whose bitmaps leave room for a link."""
+    side = lambda n: sets.select(F.col("node").alias(n), F.col("size").alias(f"size_{n}"), F.col("bits").alias(f"bits_{n}"))
 
     def run(batches):
         for batch in batches:
-            rows = []
-            cols = [batch.column(i) for i in range(batch.num_columns)]
+            keep = np.zeros(batch.num_rows, bool)
+            x, y = (batch.column(c).to_pylist() for c in ("size_a", "size_b"))
+            bx, by = (batch.column(c) for c in ("bits_a", "bits_b"))
             for i in range(batch.num_rows):
-                a, b, x, bx, ex, y, by, ey = (c[i] for c in cols)
-                x, y = x.as_py(), y.as_py()
-                need = _least(x, y, num, den)
-                if min(x, y) < need:
-                    continue
-                p, q = (np.frombuffer(z.as_buffer(), np.uint64) for z in (bx, by))
-                if min(x - int(np.bitwise_count(p & ~q).sum()), y - int(np.bitwise_count(q & ~p).sum())) < need:
+                need = _least(x[i], y[i], num, den)
+                if min(x[i], y[i]) < need:
                     continue
-                p, q = (np.frombuffer(z.as_buffer(), np.uint64) for z in (ex, ey))
+                p, q = (np.frombuffer(z[i].as_buffer(), np.uint64) for z in (bx, by))
+                words = min(len(p), len(q))
+                p, q = fold(p, words), fold(q, words)
+                keep[i] = min(x[i] - int(np.bitwise_count(p & ~q).sum()), y[i] - int(np.bitwise_count(q & ~p).sum())) >= need
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+    joined = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "size_a", "bits_a", "size_b", "bits_b")
+    return joined.mapInArrow(run, "a long, b long").dropDuplicates(["a", "b"])
+
+
+def _linked(pairs: DataFrame, sets: DataFrame, num: int, den: int, scratch: Scratch, name: str) -> DataFrame:
+    """Those of the pairs (a, b) that link: bitmaps first, then sorted elements of what they let pass."""
+    pairs = scratch.keep(_possible(pairs, sets, num, den), f"{name}-possible")
+    scratch.release()
+    side = lambda n: sets.select(F.col("node").alias(n), F.col("elements").alias(f"elements_{n}"))
+
+    def run(batches):
+        for batch in batches:
+            keep = np.zeros(batch.num_rows, bool)
+            ex, ey = batch.column("elements_a"), batch.column("elements_b")
+            for i in range(batch.num_rows):
+                p, q = (np.frombuffer(z[i].as_buffer(), np.uint64) for z in (ex, ey))
                 both = np.concatenate([p, q])
                 both.sort(kind="stable")
-                n = int((both[1:] == both[:-1]).sum())
-                if n >= need:
-                    rows.append((a.as_py(), b.as_py(), n))
-            out = list(zip(*rows, strict=True)) or [[]] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["a", "b", "shared"])
+                keep[i] = int((both[1:] == both[:-1]).sum()) >= _least(len(p), len(q), num, den)
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
 
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "size_a", "bits_a", "elements_a", "size_b", "bits_b", "elements_b")
-    return joined.mapInArrow(run, "a long, b long, shared long").dropDuplicates(["a", "b"])
+    joined = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "elements_a", "elements_b")
+    out = scratch.keep(joined.mapInArrow(run, "a long, b long").dropDuplicates(["a", "b"]), name)
+    scratch.drop(f"{name}-possible")
+    scratch.release()
+    return out
 
 
 def _across(rows: DataFrame, num: int, den: int) -> DataFrame:
@@ -202,14 +228,17 @@ def _across(rows: DataFrame, num: int, den: int) -> DataFrame:
 
     def run(group: pa.Table) -> pa.Table:
         node, comp, size, block = (group.column(c).to_numpy() for c in ("node", "comp", "size", "block"))
-        bits = np.frombuffer(b"".join(group.column("bits").to_pylist()), np.uint64).reshape(len(node), -1)
+        each = [np.frombuffer(b, np.uint64) for b in group.column("bits").to_pylist()]
+        words = min(map(len, each))  # sizes of a tile differ by little
+        bits = np.stack([fold(b, words) for b in each])
         i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
         rest = np.flatnonzero(block == j)
         out = []
         for r in np.flatnonzero(block == i):
             c = rest[(comp[rest] != comp[r]) & (node[rest] != node[r]) & ((node[rest] > node[r]) | (i != j))]
             need = _least(size[c], size[r], num, den)
-            c, need = c[m := np.minimum(size[c], size[r]) >= need], need[m]
+            fits = np.minimum(size[c], size[r]) >= need
+            c, need = c[fits], need[fits]
             if not len(c):
                 continue
             most = np.minimum(
@@ -277,12 +306,11 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     sets = scratch.keep(_sets(docs, shared.select("node").distinct(), k), "sets")
     scratch.release()
     nearest = shared.groupBy(F.col("node").alias("b")).agg(F.min("center").alias("a")).filter("a <> b").select("a", "b")
-    links = scratch.keep(_linked(nearest, sets, num, den).select("a", "b").unionByName(copies), "links-nearest")
-    scratch.release()
+    links = _linked(nearest, sets, num, den, scratch, "links-nearest").unionByName(copies)
     comps = scratch.keep(components(links, scratch, "first"), "comps-first")
     stars = shared.filter("node <> center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct()
     stars = scratch.keep(_apart(stars, comps).join(nearest, ["a", "b"], "left_anti"), "stars")
-    more = scratch.keep(_linked(stars, sets, num, den).select("a", "b"), "links-star")
+    more = _linked(stars, sets, num, den, scratch, "links-star")
     if not more.isEmpty():
         links = links.unionByName(more)
         comps = scratch.keep(components(links, scratch, "second"), "comps-second")
@@ -301,7 +329,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
         several = several.select("key", "node", "comp", "block", F.explode(ij).alias("ij"))
         several = several.join(sets.select("node", "size", "bits"), "node").select("key", "ij.i", "ij.j", "block", "node", "comp", "size", "bits")
         pairs = scratch.keep(_across(several, num, den).distinct(), "pairs")
-        more = scratch.keep(_linked(pairs, sets, num, den).select("a", "b"), "links-across")
+        more = _linked(pairs, sets, num, den, scratch, "links-across")
         if not more.isEmpty():
             comps = scratch.keep(components(links.unionByName(more), scratch, "third"), "comps-third")
     return rows.join(comps, "node", "left").select("doc_id", "n_shingles", F.coalesce("comp", "node").alias("component_id"))
