@@ -8,12 +8,13 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that one numpy step holds at most, unless a single text is longer.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -80,22 +81,21 @@ def as_bytes(col: pa.Array) -> list[bytes]:
 def chunks(batches: Iterable[pa.RecordBatch], text: str, keep: list[str], limit: int = CHUNK_BYTES) -> Iterator[tuple[list[list], list[bytes]]]:
     """Columns `keep` and the texts of the batches, cut to about `limit` bytes of text a piece."""
     for batch in batches:
-        texts = as_bytes(batch.column(batch.schema.get_field_index(text)))
-        cols = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in keep]
-        start = held = 0
-        for i, t in enumerate(texts):
-            held += len(t)
-            if held >= limit:
-                yield [c[start : i + 1] for c in cols], texts[start : i + 1]
-                start, held = i + 1, 0
-        if start < len(texts):
-            yield [c[start:] for c in cols], texts[start:]
+        col = batch.column(text)
+        ends = np.cumsum(pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False))
+        start = 0
+        while start < batch.num_rows:
+            done = int(ends[start - 1]) if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, done + limit, side="right")))
+            part = batch.slice(start, stop - start)
+            yield [part.column(c).to_pylist() for c in keep], as_bytes(part.column(text))
+            start = stop
 
 
 class WordHashes(dict):
     """word (bytes) -> 64-bit hash as a signed int, remembered up to a bound."""
 
-    def __init__(self, seed: int = 0, bound: int = 400_000):
+    def __init__(self, seed: int = 0, bound: int = 150_000):
         super().__init__()
         self.seed, self.bound = seed, bound
 

@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from locusflow.llm.common import Numbers, Scratch, WordHashes, chunks, mix, without_ids
 
 WINDOW, COVERAGE, RUN = 8, 0.5, 13
+#: Words, and a quarter of the match, that must be literally alike where slots differ.
+LITERAL = 4
 BLOCK_BYTES = 8 << 20
 UNITS = frozenset(
     b"mm cm m km in ft mi inch inches foot feet mile miles metre metres meter meters mg g kg lb lbs oz ton tons gram grams"
@@ -40,7 +42,7 @@ SCHEMA = "doc_id long, item_id long, n_windows long, n_item_windows long, doc_wo
 class Templates:
     """Template codes of words: number, unit and name placeholders or the word's own hash."""
 
-    def __init__(self, bound: int = 600_000):
+    def __init__(self, bound: int = 300_000):
         self.bound = bound
         self.clear()
 
@@ -176,6 +178,9 @@ class Index:
             if not consistent(slots, there):
                 continue
             changed = int((slots != there).sum())
+            literal = int(((code[lo:hi] == c[lo - d : hi - d]) & (kind[lo:hi] == WORD)).sum())
+            if changed and literal < max(LITERAL, (hi - lo) // 4):
+                continue  # placeholders alone fit anything
             row = (got, -changed, -lo, total, len(same))
             best[i] = max(best.get(i, row), row)
         for i, (got, changed, lo, total, slots) in sorted(best.items()):

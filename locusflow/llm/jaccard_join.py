@@ -29,7 +29,7 @@ BAND = 1.5
 BITS = (256, 1 << 16)
 BLOCK = 1024
 #: Sets of a task that are remembered, so that copies give no keys again; a bound on memory only.
-SEEN = 200_000
+SEEN = 50_000
 NONE = np.zeros(0, np.int64)
 
 
@@ -295,7 +295,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     whole = ["n_shingles", "s1", "s2"]
     classes = feats.filter("n_shingles > 0 and doc_id is not null").groupBy(*whole).agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"))
     classes = scratch.keep(classes.filter("copies > 1").drop("copies"), "classes")
-    rows = scratch.keep(feats.select("doc_id", *whole).join(classes, whole, "left").withColumn("node", F.coalesce("first", "doc_id")).select("doc_id", "n_shingles", "node"), "rows")
+    rows = scratch.keep(feats.select("doc_id", *whole).join(classes, whole, "left").withColumn("node", F.when(F.col("doc_id").isNotNull(), F.coalesce("first", "doc_id"))).select("doc_id", "n_shingles", "node"), "rows")
 
     copies = rows.filter("node <> doc_id").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
     keyed = feats.filter("size(keys) > 0").select(F.explode("keys").alias("key"), F.col("doc_id").alias("node"))

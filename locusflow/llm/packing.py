@@ -135,7 +135,7 @@ class WordTokens:
     MARKS = b".,;:!?%$#*&"
     BETWEEN = "<|endoftext|>"
 
-    def __init__(self, path: str, bound: int = 600_000):
+    def __init__(self, path: str, bound: int = 400_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")

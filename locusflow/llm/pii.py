@@ -254,7 +254,7 @@ def redact(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     fitted = model(scratch.keep(docs.select(settled(proposals(F.col("text"))).alias("spans")), "proposals"))
     name = lambda k: F.element_at(F.array(*map(F.lit, KINDS)), k + 1)
     merged = F.aggregate(
-        "_spans", F.array().cast("array<struct<start:int,kind:int,end:int>>"),
+        "_locusflow_spans", F.array().cast("array<struct<start:int,kind:int,end:int>>"),
         lambda acc, s: F.when(
             (F.size(acc) > 0) & (s["start"] < F.element_at(acc, -1)["end"]),
             F.concat(
@@ -265,13 +265,13 @@ def redact(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     )
     text = F.col("text")
     pieces = F.transform(
-        "_merged",
+        "_locusflow_merged",
         lambda s, i: F.concat(
-            F.substring(text, F.when(i == 0, 0).otherwise(F.get("_merged", i - 1)["end"]) + 1, s["start"] - F.when(i == 0, 0).otherwise(F.get("_merged", i - 1)["end"])),
+            F.substring(text, F.when(i == 0, 0).otherwise(F.get("_locusflow_merged", i - 1)["end"]) + 1, s["start"] - F.when(i == 0, 0).otherwise(F.get("_locusflow_merged", i - 1)["end"])),
             F.lit("<"), name(s["kind"]), F.lit(">"),
         ),
     )
-    tail = F.substring(text, F.element_at("_merged", -1)["end"] + 1, F.char_length(text))
-    clean = F.when(F.size("_merged") > 0, F.concat(F.array_join(pieces, ""), tail)).otherwise(text)
-    found = docs.withColumn("_spans", chosen(settled(proposals(text)), fitted)).withColumn("_merged", merged)
-    return found.withColumn("text", clean).drop("_spans", "_merged")
+    tail = F.substring(text, F.element_at("_locusflow_merged", -1)["end"] + 1, F.char_length(text))
+    clean = F.when(F.size("_locusflow_merged") > 0, F.concat(F.array_join(pieces, ""), tail)).otherwise(text)
+    found = docs.withColumn("_locusflow_spans", chosen(settled(proposals(text)), fitted)).withColumn("_locusflow_merged", merged)
+    return found.withColumn("text", clean).drop("_locusflow_spans", "_locusflow_merged")

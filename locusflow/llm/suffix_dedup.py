@@ -226,7 +226,7 @@ def _by_text(batches, fields):
                 x = unpack(fields, blobs)
                 order, start = _group(x["tag"], x["doc"])
                 x = {f: v[order] for f, v in x.items()}
-                stop = np.concatenate([start[1:], [len(order)]])
+                stop = np.append(start, len(order))[1:]
                 where = {(int(x["doc"][i]), int(x["tag"][i])): (i, j) for i, j in zip(start.tolist(), stop.tolist(), strict=True)}
             yield x, where, part.column("doc_id").to_pylist(), part.column("data").to_pylist()
 

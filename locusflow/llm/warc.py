@@ -74,6 +74,8 @@ def parse(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
     stop = data.find(b"\r\n\r\n", at)
     if stop < 0:
         raise Broken("headers do not end")
+    if VERSION.search(data, at + 1, stop):
+        raise Broken("headers run into another record")
     head = {}
     for line in data[at:stop].split(b"\r\n")[1:]:
         name, colon, value = line.partition(b":")
