@@ -81,3 +81,13 @@ def parse_polya_signals(df: DataFrame, column: str = "signals") -> DataFrame:
 
 def strip_version(column) -> Column:
     return F.substring_index(column, ".", 1)
+
+
+def host_sides(nested: DataFrame) -> DataFrame:
+    """up_start..up_end and down_start..down_end of hosts (strand, start, end) around features fs..fe, 5' to 3'."""
+    plus = F.col("strand") == "+"
+    low, high = ("start", "fs"), ("fe", "end")
+    return nested.withColumns({
+        "up_start": F.when(plus, F.col(low[0])).otherwise(F.col(high[0])), "up_end": F.when(plus, F.col(low[1])).otherwise(F.col(high[1])),
+        "down_start": F.when(plus, F.col(high[0])).otherwise(F.col(low[0])), "down_end": F.when(plus, F.col(high[1])).otherwise(F.col(low[1])),
+    })

@@ -7,7 +7,7 @@ the vector's length alone, so dense vectors are never built. Results are at the
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from locusflow.functions.vectors import METHODS, SITE_PSEUDOCOUNT
@@ -16,7 +16,8 @@ from locusflow.functions.vectors import METHODS, SITE_PSEUDOCOUNT
 def paired(profile: DataFrame, treatment: str, controls: list[str]) -> DataFrame:
     """id, rp, ip, ctrl of one replicate; controls are the libraries to try in order of preference (their first in use)."""
     ctrl = controls[0]
-    wide = profile.filter(F.col("lib").isin(treatment, ctrl)).groupBy("id", "rp")
+    # Dealt by id alone: the windows and joins by id that follow need no further shuffle.
+    wide = profile.filter(F.col("lib").isin(treatment, ctrl)).repartition("id").groupBy("id", "rp")
     return wide.agg(
         F.sum(F.when(F.col("lib") == treatment, F.col("n")).otherwise(0)).cast("double").alias("ip"),
         F.sum(F.when(F.col("lib") == ctrl, F.col("n")).otherwise(0)).cast("double").alias("ctrl"),
@@ -31,11 +32,11 @@ def remove_background(pairs: DataFrame, lengths: DataFrame, method: str | None,
         return pairs.select("id", "rp", F.col("ip").alias("value"))
     if method == "subtract":
         return pairs.select("id", "rp", F.greatest(F.col("ip") - F.col("ctrl"), F.lit(0.0)).alias("value"))
-    sums = pairs.groupBy("id").agg(
-        F.sum("ip").alias("s_ip"), F.sum("ctrl").alias("s_ctrl"),
-        F.coalesce(F.min(F.when(F.col("ip") > 0, F.col("ip"))), F.lit(1.0)).alias("m_ip"), F.coalesce(F.min(F.when(F.col("ctrl") > 0, F.col("ctrl"))), F.lit(1.0)).alias("m_ctrl"),
-    )
-    x = pairs.join(sums, "id")
+    w = Window.partitionBy("id")
+    x = pairs.withColumns({
+        "s_ip": F.sum("ip").over(w), "s_ctrl": F.sum("ctrl").over(w),
+        "m_ip": F.coalesce(F.min(F.when(F.col("ip") > 0, F.col("ip"))).over(w), F.lit(1.0)), "m_ctrl": F.coalesce(F.min(F.when(F.col("ctrl") > 0, F.col("ctrl"))).over(w), F.lit(1.0)),
+    })
     if method == "subtract normal":
         share = F.col("ip") / F.nullif("s_ip", F.lit(0.0))
         value = F.when(F.col("s_ip") == 0, 0.0).when(F.col("s_ctrl") == 0, share).otherwise(F.greatest(share - F.col("ctrl") / F.nullif("s_ctrl", F.lit(0.0)), F.lit(0.0)))
@@ -50,5 +51,13 @@ def remove_background(pairs: DataFrame, lengths: DataFrame, method: str | None,
 
 def normalize(values: DataFrame) -> DataFrame:
     """value over the sum of its id; null where that is 0."""
-    sums = values.groupBy("id").agg(F.sum("value").alias("_s"))
-    return values.join(sums, "id").withColumn("value", F.when(F.col("_s") != 0, F.col("value") / F.col("_s"))).drop("_s")
+    x = values.withColumn("_s", F.sum("value").over(Window.partitionBy("id")))
+    return x.withColumn("value", F.when(F.col("_s") != 0, F.col("value") / F.col("_s"))).drop("_s")
+
+
+def pooled_information(pairs: DataFrame, pseudocount: float) -> DataFrame:
+    """id, information: the positive part of p ln(p/q) summed over places; pairs: id, rp, ip, ct."""
+    w = Window.partitionBy("id")
+    x = pairs.select("id", (F.col("ip") + pseudocount).alias("p"), (F.col("ct") + pseudocount).alias("q"))
+    x = x.withColumns({"p": F.col("p") / F.sum("p").over(w), "q": F.col("q") / F.sum("q").over(w)})
+    return x.groupBy("id").agg(F.sum(F.greatest(F.col("p") * F.ln(F.col("p") / F.col("q")), F.lit(0.0))).alias("information"))

@@ -51,6 +51,13 @@ def split(clusters: DataFrame) -> DataFrame:
     return clusters.withColumn("kind", kind).filter("kind is not null")
 
 
+def gaps(clusters: DataFrame, keys: list[str], size: int = 30) -> DataFrame:
+    """Windows of one size around the middle of the gap to the next cluster."""
+    after = F.lead("start").over(Window.partitionBy(*keys).orderBy("start"))
+    x = clusters.withColumn("_n", after).filter("_n is not null").withColumn("start", (F.floor((F.col("end") + F.col("_n")) / 2) - size // 2).cast("bigint"))
+    return x.withColumn("end", F.col("start") + size).drop("_n")
+
+
 def free_controls(control: DataFrame, real: DataFrame, key: list[str]) -> DataFrame:
     """Control clusters that overlap no real one of their strand."""
     return anti_overlap(control, real, key)

@@ -9,10 +9,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from locusflow.operators.intervals import BIN, overlap_pairs
+from locusflow.operators.intervals import overlap_pairs
 
+#: Bins of point joins: well under a transcript's length, so that few candidates miss.
+POINT_BIN = 512
 
-def on_transcripts(sites: DataFrame, transcripts: DataFrame, stranded: bool = True, inclusive: bool = True, size: int = BIN) -> DataFrame:
+
+def on_transcripts(sites: DataFrame, transcripts: DataFrame, stranded: bool = True, inclusive: bool = True, size: int = POINT_BIN) -> DataFrame:
     """Sites on transcripts: transcript columns, pos, lib and the relative position rp. Only transcripts are listed by bin."""
     keys = ["chrom", "strand"] if stranded else ["chrom"]
     last = F.col("end") if inclusive else F.col("end") - 1
@@ -26,8 +29,8 @@ def profile(sites: DataFrame, transcripts: DataFrame) -> DataFrame:
     """Counts n by (id, lib, rp): the sparse site vectors. Sites are counted by place first, before transcripts multiply them."""
     places = sites.groupBy("chrom", "strand", "pos", "lib").agg(F.count(F.lit(1)).alias("w"))
     keys = ["chrom", "strand"]
-    binned = transcripts.withColumn("_bin", F.explode(F.sequence(F.expr(f"start div {BIN}"), F.expr(f"end div {BIN}")))).select("id", *keys, "start", "end", "_bin")
-    hits = binned.join(places.withColumn("_bin", F.expr(f"pos div {BIN}")), [*keys, "_bin"]).filter("pos between start and end")
+    binned = transcripts.withColumn("_bin", F.explode(F.sequence(F.expr(f"start div {POINT_BIN}"), F.expr(f"end div {POINT_BIN}")))).select("id", *keys, "start", "end", "_bin")
+    hits = binned.join(places.withColumn("_bin", F.expr(f"pos div {POINT_BIN}")), [*keys, "_bin"]).filter("pos between start and end")
     rp = F.when(F.col("strand") == "-", F.col("end") - F.col("pos")).otherwise(F.col("pos") - F.col("start"))
     # A place belongs to a transcript once, so this is no aggregation where ids are unique.
     return hits.select("id", "lib", rp.alias("rp"), F.col("w").alias("n"))

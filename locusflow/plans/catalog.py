@@ -63,14 +63,20 @@ def mean_profile(spark: SparkSession, sf: str) -> DataFrame:
     """
     raw = S.profile(B.sites(spark, sf), B.transcripts(spark, sf))
     bg = BG.normalize(BG.remove_background(BG.paired(raw, "rep1", ["ctrl1"]), None, "subtract").filter("value > 0"))
+    # A transcript's values meet its exons once; each exon gives its values by position and its own length.
+    by_tx = bg.groupBy("id").agg(F.collect_list(F.struct("rp", "value")).alias("values"))
     minus = F.col("strand") == "-"
     exons = B.features(spark, sf).filter("fname = 'exon'").select("id", F.when(minus, F.col("end") - F.col("f_end")).otherwise(F.col("f_start") - F.col("start")).alias("rs"), (F.col("f_end") - F.col("f_start")).alias("len"))
-    exons = exons.join(bg.select("id").distinct(), "id", "left_semi")
-    hits = exons.join(bg, "id").filter("rp >= rs and rp < rs + len and rp - rs < 100").groupBy((F.col("rp") - F.col("rs")).alias("pos")).agg(F.sum("value").alias("sx"))
-    # Slices by length (a small table), then how many exceed each position.
-    lengths = exons.groupBy(F.least("len", F.lit(100)).alias("len")).agg(F.count(F.lit(1)).alias("c"))
-    den = lengths.filter("len > 0").select("c", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("len") - 1)).alias("pos")).groupBy("pos").agg(F.sum("c").alias("n_slices"))
-    return den.join(hits, "pos", "left").select("pos", "n_slices", F.round(F.coalesce("sx", F.lit(0.0)) / F.col("n_slices"), 6).alias("mean_density"))
+    inside = F.filter("values", lambda v: (v["rp"] >= F.col("rs")) & (v["rp"] < F.col("rs") + F.least(F.col("len"), F.lit(100))))
+    rows = F.concat(
+        F.transform(inside, lambda v: F.struct((v["rp"] - F.col("rs")).alias("pos"), v["value"].alias("value"), F.lit(0).alias("slices"))),
+        F.array(F.struct((F.least("len", F.lit(100)) - 1).alias("pos"), F.lit(0.0).alias("value"), F.lit(1).alias("slices"))),
+    )
+    per_pos = exons.filter("len > 0").join(by_tx, "id").select(F.explode(rows).alias("r")).groupBy("r.pos").agg(F.sum("r.value").alias("sx"), F.sum("r.slices").alias("c"))
+    # A hundred rows: slices that end at each position or later.
+    per_pos = spark.range(100).select(F.col("id").alias("pos")).join(per_pos, "pos", "left").na.fill(0)
+    n = F.sum("c").over(Window.orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, 0))
+    return per_pos.withColumn("n_slices", n).filter("n_slices > 0").select("pos", "n_slices", F.round(F.col("sx") / F.col("n_slices"), 6).alias("mean_density"))
 
 
 # ---- libraries, reads, manifests ------------------------------------------------------------------------------------
@@ -144,7 +150,7 @@ def site_profile(spark, sf):
     return S.profile(B.sites(spark, sf), B.transcripts(spark, sf))
 
 
-@query(sql("raw", "SELECT id, lib, max(e) - max(s) + 1 AS length, sum(n)::BIGINT AS total, sum(n * rp)::BIGINT AS weighted FROM raw JOIN tx USING (id) WHERE id % 50 = 0 OR true GROUP BY id, lib"))
+@query(sql("raw", "SELECT id, lib, max(e) - max(s) + 1 AS length, sum(n)::BIGINT AS total, sum(n * rp)::BIGINT AS weighted FROM raw JOIN tx USING (id) GROUP BY id, lib"))
 def site_vector(spark, sf):
     """Dense vectors, checked by their length, sum and first moment."""
     tx = B.transcripts(spark, sf)
@@ -862,3 +868,97 @@ def de_groups(spark, sf):
 def ids_not_found(spark, sf):
     tx = B.transcripts(spark, sf)
     return SH.missing_ids(tx.select("id"), S.site_counts(B.sites(spark, sf), tx).select("id").distinct())
+
+
+# ---- stored signal, plot data, further compositions -----------------------------------------------------------------
+
+from locusflow.operators import motif as M  # noqa: E402
+from locusflow.operators import plots as P  # noqa: E402
+from locusflow.operators import values as RV  # noqa: E402
+
+
+@query(sql("cov tx", """h AS (SELECT tx.id, tx.strand, tx.s, tx.e, greatest(c.s, tx.s) AS a, least(c.e, tx.e) AS b, value FROM tx JOIN cov c ON c.chrom = tx.chrom AND c.strand = tx.strand AND c.s < tx.e AND tx.s < c.e WHERE lib = 'rep1')
+SELECT id, count(DISTINCT p) AS n_bases, round(sum(value), 2) AS total, round(sum(value * (CASE strand WHEN '-' THEN e - 1 - p ELSE p - s END)), 0) AS weighted FROM (SELECT *, unnest(range(a, b)) AS p FROM h) GROUP BY id"""))
+def coverage_on_transcripts(spark, sf):
+    """Stored runs at each base of a transcript, checked by their number, sum and first moment."""
+    x = RV.runs_on_transcripts(peaks(spark, sf), B.transcripts(spark, sf))
+    return x.groupBy("id").agg(F.count(F.lit(1)).alias("n_bases"), F.round(F.sum("value"), 2).alias("total"), F.round(F.sum(F.col("value") * F.col("rp")), 0).alias("weighted"))
+
+
+@query(sql("vl", "SELECT rep, pos, round(avg(x), 6) AS center, round(avg(x) - stddev_pop(x) / sqrt(count(*)), 6) AS low, round(avg(x) + stddev_pop(x) / sqrt(count(*)), 6) AS high FROM vl GROUP BY ALL"))
+def plot_mean_curve(spark, sf):
+    return big(P.mean_curve(B.vectors(spark, sf), ["rep"]).select("rep", "pos", *r6("center", "low", "high")), "pos")
+
+
+@query(sql("vec", "m AS (SELECT id // 2 AS id, list(v) AS vs FROM vec GROUP BY id // 2), a AS (SELECT id, list_transform(range(1, 65), lambda p: list_avg(list_transform(vs, lambda x: x[p]))) AS v FROM m) SELECT id, row_number() OVER (ORDER BY v, id) AS rank FROM a"))
+def plot_heat_map(spark, sf):
+    return big(P.heat_map(_paired(spark, sf)).select("id", "rank"), "rank")
+
+
+@query("""SELECT fname, side, pos, CASE WHEN (side = 'left') = (fname = 'branchpoint') THEN pos - 50 ELSE pos END AS label FROM (SELECT unnest(['exon', 'branchpoint']) AS fname), (SELECT unnest(['left', 'right']) AS side), (SELECT unnest(range(0, 50)) AS pos)""")
+def plot_axis_labels(spark, sf):
+    x = spark.range(50).select(F.col("id").alias("pos"), F.explode(F.array(F.lit("exon"), F.lit("branchpoint"))).alias("fname")).withColumn("side", F.explode(F.array(F.lit("left"), F.lit("right"))))
+    return x.select("fname", "side", "pos", P.axis_label(F.col("fname"), F.col("side"), F.col("pos"), F.lit(50)).alias("label"))
+
+
+@query(sql("sq", RVALUE + " SELECT kmer, CASE WHEN fq = 0 THEN true ELSE fi / fq > 2 END OR fi > 0.125 AS labelled FROM r"))
+def plot_labelled_kmers(spark, sf):
+    return P.labelled_kmers(K.r_values(B.sequences(spark, sf), 5)).select("kmer", "labelled")
+
+
+@query(sql("ft", "SELECT fname, max(fe - fs) AS width, count(*) AS n FROM ft GROUP BY fname"))
+def feature_lengths(spark, sf):
+    return B.features(spark, sf).groupBy("fname").agg(F.max(F.col("f_end") - F.col("f_start")).alias("width"), F.count(F.lit(1)).alias("n"))
+
+
+@query(sql("rd", PILE + """, w AS (SELECT chrom, pos, strand, sum(trun + mismatch + deletion) FILTER (lib = 'rep1') AS rep1, sum(trun + mismatch + deletion) FILTER (lib = 'rep2') AS rep2, sum(trun + mismatch + deletion) FILTER (lib = 'ctrl1') AS ctrl1
+  FROM pm WHERE trun + mismatch + deletion > 0 AND lib IN ('rep1', 'rep2', 'ctrl1') GROUP BY ALL) SELECT chrom, pos, strand, coalesce(rep1, 0)::BIGINT AS rep1, coalesce(rep2, 0)::BIGINT AS rep2, coalesce(ctrl1, 0)::BIGINT AS ctrl1 FROM w"""))
+def events_by_library(spark, sf):
+    """Libraries side by side at each place."""
+    e = S.event_sites(S.pileup(B.reads(spark, sf))).filter("lib in ('rep1', 'rep2', 'ctrl1')")
+    return e.groupBy("chrom", "pos", "strand").pivot("lib", ["rep1", "rep2", "ctrl1"]).agg(F.sum("n")).na.fill(0)
+
+
+@query(sql("ft", """h AS (SELECT DISTINCT id, strand, s, e, fs, fe FROM ft WHERE fname = 'CDS')
+SELECT id, fs, fe, CASE strand WHEN '+' THEN s ELSE fe END AS up_start, CASE strand WHEN '+' THEN fs ELSE e END AS up_end, CASE strand WHEN '+' THEN fe ELSE s END AS down_start, CASE strand WHEN '+' THEN e ELSE fs END AS down_end FROM h"""))
+def host_decomposition(spark, sf):
+    """What of a host lies up- and downstream of each feature nested in it."""
+    h = B.features(spark, sf).filter("fname = 'CDS'").select("id", "strand", "start", "end", F.col("f_start").alias("fs"), F.col("f_end").alias("fe"))
+    return A.host_sides(h).select("id", "fs", "fe", "up_start", "up_end", "down_start", "down_end")
+
+
+@query(sql("raw", """t AS (SELECT id, rp, sum(n) FILTER (lib IN ('rep1', 'rep2'))::DOUBLE AS ip, sum(n) FILTER (lib IN ('ctrl1', 'ctrl2'))::DOUBLE AS ct FROM raw WHERE lib <> 'other' GROUP BY ALL),
+z AS (SELECT id, coalesce(ip, 0) + 0.001::DOUBLE AS p, coalesce(ct, 0) + 0.001::DOUBLE AS q FROM t), s AS (SELECT id, sum(p) AS sp, sum(q) AS sq FROM z GROUP BY id)
+SELECT id, round(sum(greatest(p / sp * ln((p / sp) / (q / sq)), 0)), 5) AS information FROM z JOIN s USING (id) GROUP BY id"""))
+def pooled_information(spark, sf):
+    """Positive relative information (natural log) of pooled replicates against pooled controls, over places with events."""
+    raw = S.profile(B.sites(spark, sf), B.transcripts(spark, sf)).filter("lib <> 'other'")
+    t = raw.repartition("id").groupBy("id", "rp").agg(F.sum(F.when(F.col("lib").startswith("rep"), F.col("n")).otherwise(0)).alias("ip"), F.sum(F.when(F.col("lib").startswith("ctrl"), F.col("n")).otherwise(0)).alias("ct"))
+    return BG.pooled_information(t, 0.001).select("id", F.round("information", 5).alias("information"))
+
+
+@query(sql("sq", """w AS (SELECT id, strpos(seq, 'tion') - 1 AS place FROM sq WHERE strpos(seq, 'tion') > 0), si AS (SELECT id, (id * 13 + j * 29) % 120 AS pos, 1 + j AS n FROM sq, (SELECT unnest(range(0, 3)) AS j)),
+g AS (SELECT id, o AS "offset", 1 + coalesce((SELECT sum(n) FROM si WHERE si.id = w.id AND si.pos - place = o), 0) AS n FROM w, (SELECT unnest(range(-15, 16)) AS o)), s AS (SELECT *, n / sum(n) OVER (PARTITION BY id) AS p FROM g)
+SELECT "offset", round(avg(p), 6) AS p FROM s GROUP BY "offset" """))
+def crosslink_preference(spark, sf):
+    s = B.sequences(spark, sf)
+    w = s.filter(F.instr("seq", "tion") > 0).select("id", F.lit("tion").alias("motif"), (F.instr("seq", "tion") - 1).alias("place"))
+    sites = s.select("id", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("j")).select("id", ((F.col("id") * 13 + F.col("j") * 29) % 120).alias("pos"), (F.col("j") + 1).alias("n"))
+    return big(M.preference(sites, w).select("offset", *r6("p")), "offset")
+
+
+@query(sql("ev", CLUSTERS + """, r AS (SELECT chrom, strand, s, e, lead(s) OVER (PARTITION BY chrom, strand ORDER BY s) AS n FROM cl)
+SELECT chrom, strand, CAST(floor((e + n) / 2) - 15 AS BIGINT) AS start, CAST(floor((e + n) / 2) + 15 AS BIGINT) AS "end" FROM r WHERE n IS NOT NULL"""))
+def cluster_gaps(spark, sf):
+    """Control windows in the middle of the gaps between clusters."""
+    return C.gaps(_clusters(spark, sf), ["chrom", "strand"]).select("chrom", "strand", "start", "end")
+
+
+@query()
+def motif_refinement(spark, sf):
+    """Iterative motif refinement over documents as sequences; its steps are checked by themselves."""
+    s = B.sequences(spark, sf).select("id", F.translate(F.lower("seq"), "abcdefghijklmnopqrstuvwxyzéèçñäöü .,|", "ACGUACGUACGUACGUACGUACGUACACGUACGUACG").alias("seq"), "role")
+    bg = K.background(s.filter("role = 'input'").select("id", "seq"), 5, 30, 5)
+    sites = s.select("id", ((F.col("id") * 13) % 120).cast("int").alias("pos"), F.lit(1).alias("n"))
+    out, _ = M.refine(s.filter("role = 'ip'").select("id", "seq"), sites, 5, bg, iterations=2)
+    return out.select("id", "motif", "place", *r6("score", "loglik"), "include")
