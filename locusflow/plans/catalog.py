@@ -877,12 +877,14 @@ from locusflow.operators import plots as P  # noqa: E402
 from locusflow.operators import values as RV  # noqa: E402
 
 
-@query(sql("cov tx", """h AS (SELECT tx.id, tx.strand, tx.s, tx.e, greatest(c.s, tx.s) AS a, least(c.e, tx.e) AS b, value FROM tx JOIN cov c ON c.chrom = tx.chrom AND c.strand = tx.strand AND c.s < tx.e AND tx.s < c.e WHERE lib = 'rep1')
-SELECT id, count(DISTINCT p) AS n_bases, round(sum(value), 2) AS total, round(sum(value * (CASE strand WHEN '-' THEN e - 1 - p ELSE p - s END)), 0) AS weighted FROM (SELECT *, unnest(range(a, b)) AS p FROM h) GROUP BY id"""))
+@query(sql("cov tx", """h AS (SELECT tx.id, tx.strand, tx.s, tx.e, greatest(c.s, tx.s) AS a, least(c.e, tx.e) AS b, value FROM tx JOIN cov c ON c.chrom = tx.chrom AND c.strand = tx.strand AND c.s < tx.e AND tx.s < c.e WHERE lib = 'rep1'),
+b AS (SELECT id, CASE strand WHEN '-' THEN e - 1 - p ELSE p - s END AS rp, CAST(round(sum(value) * 100) AS BIGINT) AS c FROM (SELECT *, unnest(range(a, b)) AS p FROM h) GROUP BY ALL)
+SELECT id, count(*) AS n_bases, sum(c)::BIGINT AS total, sum(c * rp)::BIGINT AS weighted FROM b GROUP BY id"""))
 def coverage_on_transcripts(spark, sf):
     """Stored runs at each base of a transcript, checked by their number, sum and first moment."""
     x = RV.runs_on_transcripts(peaks(spark, sf), B.transcripts(spark, sf))
-    return x.groupBy("id").agg(F.count(F.lit(1)).alias("n_bases"), F.round(F.sum("value"), 2).alias("total"), F.round(F.sum(F.col("value") * F.col("rp")), 0).alias("weighted"))
+    x = x.withColumn("c", F.round(F.col("value") * 100).cast("bigint"))
+    return x.groupBy("id").agg(F.count(F.lit(1)).alias("n_bases"), F.sum("c").alias("total"), F.sum(F.col("c") * F.col("rp")).alias("weighted"))
 
 
 @query(sql("vl", "SELECT rep, pos, round(avg(x), 6) AS center, round(avg(x) - stddev_pop(x) / sqrt(count(*)), 6) AS low, round(avg(x) + stddev_pop(x) / sqrt(count(*)), 6) AS high FROM vl GROUP BY ALL"))
