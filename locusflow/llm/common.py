@@ -34,6 +34,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.base = f"{shared_dir(spark)}/locusflow/{label}-{uuid.uuid4().hex}"
+        self.marked = False
 
     def path(self, name: str) -> str:
         return f"{self.base}/{name}"
@@ -41,6 +42,9 @@ class Scratch:
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         """Write df once and return the stored table."""
         df.write.mode("overwrite").parquet(self.path(name))
+        if not self.marked:  # gone when the application ends, if not before
+            base = self.spark._jvm.org.apache.hadoop.fs.Path(self.base)
+            self.marked = base.getFileSystem(self.spark._jsc.hadoopConfiguration()).deleteOnExit(base)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, name: str) -> None:
