@@ -10,7 +10,8 @@ Sets of word shingles (64-bit hashes) link when den * |A and B| >= num * |A or B
   word that many documents share does not make keys equal.
 * Nodes of equal key are candidates. First each is held against the smallest node of any of its keys, then, unless they
   are in one component by now, against the smallest node of each key. Then, in keys whose nodes still are in several, all pairs of different components are taken in blocks of BLOCK by BLOCK nodes. Bitmaps
-  bound the overlap of every pair from above, and what passes is intersected exactly. A pair within one component needs no
+  bound the overlap of every pair from above, and what passes is intersected exactly. Between those steps, ROUNDS of
+  centers picked by hash merge what they can. A pair within one component needs no
   test: it changes no component.
 * Components come from alternating large-star and small-star steps on stored edge tables.
 """
@@ -28,6 +29,8 @@ BAND = 1.5
 #: Least and most bits of a bitmap.
 BITS = (256, 1 << 16)
 BLOCK = 1024
+#: Rounds of other centers before pairs, and keys that a node carries to tell a pair's first key.
+ROUNDS, FIRSTS = 2, 8
 #: Sets of a task that are remembered, so that copies give no keys again; a bound on memory only.
 SEEN = 50_000
 NONE = np.zeros(0, np.int64)
@@ -224,18 +227,23 @@ def _linked(pairs: DataFrame, sets: DataFrame, num: int, den: int, scratch: Scra
 
 
 def _across(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of different components within a block of a key that their bitmaps let pass. rows: key, i, j, block, node, comp, size, bits."""
+    """Pairs of different components within a block of a key that their bitmaps let pass. rows: key, i, j, block, node, comp, size, bits, firsts."""
 
     def run(group: pa.Table) -> pa.Table:
         node, comp, size, block = (group.column(c).to_numpy() for c in ("node", "comp", "size", "block"))
         each = [np.frombuffer(b, np.uint64) for b in group.column("bits").to_pylist()]
         words = min(map(len, each))  # sizes of a tile differ by little
         bits = np.stack([fold(b, words) for b in each])
-        i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
+        i, j, key = (group.column(c)[0].as_py() for c in ("i", "j", "key"))
+        # Keys before this one, padded with the key itself, which no list of earlier keys holds.
+        lists = [[k for k in f if k < key] for f in group.column("firsts").to_pylist()]
+        before = np.array([(f + [key] * FIRSTS)[:FIRSTS] for f in lists], np.int64)
         rest = np.flatnonzero(block == j)
         out = []
         for r in np.flatnonzero(block == i):
             c = rest[(comp[rest] != comp[r]) & (node[rest] != node[r]) & ((node[rest] > node[r]) | (i != j))]
+            if lists[r]:
+                c = c[~np.isin(before[c], lists[r]).any(1)]
             need = _least(size[c], size[r], num, den)
             fits = np.minimum(size[c], size[r]) >= need
             c, need = c[fits], need[fits]
@@ -316,18 +324,35 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
         comps = scratch.keep(components(links, scratch, "second"), "comps-second")
     scratch.release()
 
-    # What is left: keys whose members, the center aside, are in several components.
-    rest = shared.filter("node <> center").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    rest = scratch.keep(rest.select("key", "node", "comp"), "rest")
+    # Keys whose members, the center aside, still are in several components: other centers, picked by hash, merge most.
+    others = shared.filter("node <> center").select("key", "node")
+    for step in range(ROUNDS):
+        rest = scratch.keep(_in_components(others, comps), f"rest-{step}")
+        pick = F.xxhash64("node", F.lit(step))
+        spread = rest.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min_by(F.struct("node", "comp"), pick).alias("c"))
+        pairs = rest.join(spread.filter("lo < hi").select("key", "c"), "key").filter("comp <> c.comp")
+        pairs = scratch.keep(pairs.select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")).distinct(), f"pairs-{step}")
+        more = _linked(pairs, sets, num, den, scratch, f"links-{step}")
+        scratch.drop(f"rest-{step}")
+        if more.isEmpty():
+            break
+        links = links.unionByName(more)
+        comps = scratch.keep(components(links, scratch, f"round-{step}"), f"comps-round-{step}")
+
+    # What is left is held pair by pair.
+    rest = scratch.keep(_in_components(others, comps), "rest")
     member = F.xxhash64("node", F.lit(17)).cast("decimal(38,0)")
     open_keys = rest.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n"), F.sum(F.hash("node").cast("long")).alias("h1"), F.sum(member).alias("h2"))
     open_keys = open_keys.filter("lo < hi").groupBy("n", "h1", "h2").agg(F.min("key").alias("key"))  # equal member lists once
     open_keys = scratch.keep(open_keys.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "open")
     if not open_keys.isEmpty():
-        several = rest.join(open_keys, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        several = scratch.keep(rest.join(open_keys, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "several")
+        # The least keys of each node: a pair that shares one is given there and not in its later keys.
+        firsts = several.groupBy("node").agg(F.slice(F.array_sort(F.collect_set("key")), 1, FIRSTS).alias("firsts"))
+        about = firsts.join(sets.select("node", "size", "bits"), "node")
         ij = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j")))
         several = several.select("key", "node", "comp", "block", F.explode(ij).alias("ij"))
-        several = several.join(sets.select("node", "size", "bits"), "node").select("key", "ij.i", "ij.j", "block", "node", "comp", "size", "bits")
+        several = several.join(about, "node").select("key", "ij.i", "ij.j", "block", "node", "comp", "size", "bits", "firsts")
         pairs = scratch.keep(_across(several, num, den).distinct(), "pairs")
         more = _linked(pairs, sets, num, den, scratch, "links-across")
         if not more.isEmpty():
@@ -335,6 +360,11 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     return rows.join(comps, "node", "left").select("doc_id", "n_shingles", F.coalesce("comp", "node").alias("component_id"))
 
 
+def _in_components(members: DataFrame, comps: DataFrame) -> DataFrame:
+    """key, node, comp; a node without links is its own component."""
+    return members.join(comps, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
+
+
 def _apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
     """Pairs whose ends are in different components."""
     x = pairs.join(comps.select(F.col("node").alias("a"), F.col("comp").alias("_x")), "a", "left").join(comps.select(F.col("node").alias("b"), F.col("comp").alias("_y")), "b", "left")
