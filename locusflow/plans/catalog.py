@@ -738,25 +738,41 @@ o AS (SELECT kmer, count(*) / (SELECT count(*) FROM sq WHERE role = 'ip') AS f F
 zs AS (SELECT kmer, CASE WHEN std > 0.0000001 THEN (f - mean) / std END AS z FROM o JOIN bg USING (kmer))"""
 
 
-def _zscores(spark, sf):
+def _zscores(spark, sf, n=1000, iterations=100, shrink=True):
     s = B.sequences(spark, sf)
-    bg = K.background(s.filter("role = 'input'").select("id", "seq"), 5, 30, 5).withColumn("std", F.when(F.col("std") > 1e-7, F.col("std")).otherwise(0.0))
+    bg = K.background(s.filter("role = 'input'").select("id", "seq"), 5, n, iterations, shrink=shrink).withColumn("std", F.when(F.col("std") > 1e-7, F.col("std")).otherwise(0.0))
     ip = s.filter("role = 'ip'")
     n = ip.agg(F.count(F.lit(1)).alias("n_all"))
     observed = K.document_frequency(ip, 5).crossJoin(F.broadcast(n)).select("kmer", F.try_divide("n", "n_all").alias("f"))
     return K.z_scores(observed, bg)
 
 
+def _elbow(z):
+    return K.elbow(z.withColumn("z", F.round("z", 5))).select(F.round("slope", 6).alias("slope"), F.round("intercept", 4).alias("intercept"), F.round("cutoff", 4).alias("cutoff"))
+
+
 @query(sql("sq", ZSCORE + " SELECT kmer, round(z, 5) AS z FROM zs"))
 def kmer_zscore(spark, sf):
-    return _zscores(spark, sf).select("kmer", F.round("z", 5).alias("z"))
+    """A check against SQL, with 5 draws of 30 sequences; kmer_zscore_full has the reference's background."""
+    return _zscores(spark, sf, 30, 5, False).select("kmer", F.round("z", 5).alias("z"))
 
 
 @query(sql("sq", ZSCORE + """, q AS (SELECT round(z, 5) AS z, row_number() OVER (ORDER BY round(z, 5), kmer) - 1 AS r, count(*) OVER () AS n FROM zs WHERE z IS NOT NULL),
 g AS (SELECT regr_slope(z, r) AS a, regr_intercept(z, r) AS b FROM q WHERE r < ceil(n / 2)) SELECT round(max(a), 6) AS slope, round(max(b), 4) AS intercept, round(arg_min(z, r) FILTER (r > n / 2 AND z - (a * r + b) > 1), 4) AS cutoff FROM q, g"""))
 def zscore_elbow(spark, sf):
-    z = _zscores(spark, sf).withColumn("z", F.round("z", 5))
-    return K.elbow(z).select(F.round("slope", 6).alias("slope"), F.round("intercept", 4).alias("intercept"), F.round("cutoff", 4).alias("cutoff"))
+    """A check against SQL, over the z-scores of kmer_zscore; zscore_elbow_full is over those of kmer_zscore_full."""
+    return _elbow(_zscores(spark, sf, 30, 5, False))
+
+
+@query()
+def kmer_zscore_full(spark, sf):
+    """Over 100 draws of 1,000 sequences, or of a third where there are fewer."""
+    return _zscores(spark, sf).select("kmer", F.round("z", 5).alias("z"))
+
+
+@query()
+def zscore_elbow_full(spark, sf):
+    return _elbow(_zscores(spark, sf))
 
 
 @query(sql("sq", RVALUE + ", a AS (SELECT kmer, CASE WHEN fi < 0.01 THEN 0 ELSE fi END AS x, CASE WHEN fq < 0.02 THEN 0 ELSE fq END AS y FROM r) SELECT round(corr(x, y), 6) AS r FROM a"))
@@ -967,7 +983,7 @@ def cluster_gaps(spark, sf):
 def motif_refinement(spark, sf):
     """Iterative motif refinement over documents as sequences; its steps are checked by themselves."""
     s = B.sequences(spark, sf).select("id", F.translate(F.lower("seq"), "abcdefghijklmnopqrstuvwxyzéèçñäöü .,|", "ACGUACGUACGUACGUACGUACGUACACGUACGUACG").alias("seq"), "role")
-    bg = K.background(s.filter("role = 'input'").select("id", "seq"), 5, 30, 5)
+    bg = K.background(s.filter("role = 'input'").select("id", "seq"), 5)
     sites = s.select("id", ((F.col("id") * 13) % 120).cast("int").alias("pos"), F.lit(1).alias("n"))
     out, _ = M.refine(s.filter("role = 'ip'").select("id", "seq"), sites, 5, bg, iterations=2)
     return out.select("id", "motif", "place", *r6("score", "loglik"), "include")
