@@ -102,7 +102,7 @@ def span(kind: str, strict: bool, m: Column) -> Column:
     n = F.char_length(digits)
     false = F.lit(False)
     if kind == "email":
-        base, form = F.lit(strict), yes_no(value.rlike(r"(?i)\.[a-z]{2,12}$"), value.rlike(r"\.[0-9]+$"))
+        base, form = F.lit(strict), yes_no(value.rlike(r"(?i)(?:\.|dot\x20?[\])]\x20?)[a-z]{2,12}$"), value.rlike(r"\.[0-9]+$"))
         checksum, known = F.lit(0), yes_no(value.rlike(r"(?i)(?:mail|gmail|example|\.com$|\.org$|\.net$)"), false)
     elif kind == "ip":
         base = value.rlike(OCTETS)
@@ -160,7 +160,8 @@ def learn(counted: list[tuple[tuple[int, tuple[int, ...], int, bool], int]], ste
     """The classifier from ((kind, votes, shape, base), count) rows: log odds by kind, and by (feature, value).
 
     Base spans are known to be personal data; the others' labels are latent. A labeler is right with its reliability
-    (within 0.55 and 0.99) whichever the class.
+    (within 0.55 and 0.99) whichever the class. Base spans tell how personal data look, not how much of the rest is: what
+    comes before the votes (the prior, the weight of a kind) is estimated from the others only.
     """
     right = dict.fromkeys(LABELERS, 0.8)
     prior = dict.fromkeys(range(len(KINDS)), 0.5)
@@ -176,8 +177,9 @@ def learn(counted: list[tuple[tuple[int, tuple[int, ...], int, bool], int]], ste
         good, cast, share, size = defaultdict(float), defaultdict(float), defaultdict(float), defaultdict(float)
         for (kind, votes, _shape, base), n in counted:
             p = posterior(kind, votes, base)
-            share[kind] += p * n
-            size[kind] += n
+            if not base:
+                share[kind] += p * n
+                size[kind] += n
             for name, v in zip(LABELERS, votes, strict=True):
                 if v:
                     cast[name] += n
@@ -185,16 +187,16 @@ def learn(counted: list[tuple[tuple[int, tuple[int, ...], int, bool], int]], ste
         right = {k: min(0.99, max(0.55, (good[k] + 8) / (cast[k] + 10))) for k in LABELERS}
         prior = {k: min(0.9, max(0.1, (share[k] + 1) / (size[k] + 2))) for k in prior}
     # The final classifier: naive Bayes over kind with votes, and shape, from the posteriors.
-    yes, no = defaultdict(lambda: 1.0), defaultdict(lambda: 1.0)
+    yes, no, all_yes, all_no = defaultdict(lambda: 1.0), defaultdict(lambda: 1.0), 2.0, 2.0
     for (kind, votes, shape, base), n in counted:
         p = posterior(kind, votes, base)
-        for f in [("kind", kind), ("shape", shape), *zip(LABELERS, votes, strict=True)]:
+        all_yes += p * n
+        all_no += (1 - p) * n
+        for f in [*([] if base else [("kind", kind)]), ("shape", shape), *zip(LABELERS, votes, strict=True)]:
             yes[f] += p * n
             no[f] += (1 - p) * n
-    all_yes = 2.0 + sum(posterior(k, v, b) * n for (k, v, _, b), n in counted)
-    all_no = 2.0 + sum((1 - posterior(k, v, b)) * n for (k, v, _, b), n in counted)
-    weights = {f: math.log(yes[f] / all_yes) - math.log(no[f] / all_no) for f in set(yes) | set(no)}
-    return {"weights": weights, "bias": math.log(all_yes / all_no), "reliability": right, "prior": prior}
+    seen = {f: math.log(yes[f]) - math.log(no[f]) for f in set(yes) | set(no)}
+    return {"weights": {f: w if f[0] == "kind" else w - math.log(all_yes / all_no) for f, w in seen.items()}, "bias": 0.0, "reliability": right, "prior": prior}
 
 
 def model(stored: DataFrame) -> dict:
@@ -214,7 +216,7 @@ def chosen(spans: Column, fitted: dict) -> Column:
         return z
 
     cut = math.log(PROBABILITY / (1 - PROBABILITY))
-    kept = F.filter(spans, lambda s: s["base"] | ((odds(s) >= cut) & (s["context"] > 0)))
+    kept = F.filter(spans, lambda s: s["base"] | ((odds(s) >= cut)))
     plain = F.transform(kept, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), s["base"].alias("base")))
     return F.array_sort(plain)
 
