@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that one numpy step holds at most, unless a single text is longer.
@@ -76,6 +76,23 @@ def without_ids(docs: DataFrame, ids: DataFrame, scratch: Scratch, name: str) ->
     return docs.join(F.broadcast(drop) if small else drop, docs["doc_id"].eqNullSafe(drop["_drop"]), "left_anti")
 
 
+def text_key(text: Column) -> Column:
+    """SHA-256 of a text, null as empty: what hashlib gives for the bytes of as_bytes."""
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
+
+
+#: Up to so many pairs of an id and a text's hash are broadcast.
+BROADCAST_ROWS = 100_000
+
+
+def without_rows(docs: DataFrame, rows: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """docs without the rows whose doc_id (null included) and text are among rows, of columns doc_id and text_key."""
+    drop = scratch.keep(rows.select(F.col("doc_id").alias("_drop"), F.col("text_key").alias("_key")).distinct(), name)
+    small = drop.count() <= BROADCAST_ROWS
+    same = docs["doc_id"].eqNullSafe(drop["_drop"]) & text_key(docs["text"]).eqNullSafe(drop["_key"])
+    return docs.join(F.broadcast(drop) if small else drop, same, "left_anti")
+
+
 def as_bytes(col: pa.Array) -> list[bytes]:
     """The UTF-8 bytes of a string column; null becomes empty."""
     kind = pa.large_binary() if pa.types.is_large_string(col.type) else pa.binary()

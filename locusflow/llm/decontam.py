@@ -13,6 +13,7 @@ documents are never shuffled.
 from __future__ import annotations
 
 import gc
+import hashlib
 import re
 from itertools import chain
 
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locusflow.llm.common import Numbers, Scratch, WordHashes, chunks, mix, without_ids
+from locusflow.llm.common import Numbers, Scratch, WordHashes, chunks, mix, without_rows
 
 WINDOW, COVERAGE, RUN = 8, 0.5, 13
 #: Words, and a quarter of the match, that must be literally alike where slots differ.
@@ -193,6 +194,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) ->
     Null or empty texts match nothing, in either table; equal items are all reported; documents of equal id are reported
     each on its own; items under WINDOW words must match as a whole. Other columns are not read.
     """
+    return _keyed(docs, benchmark, width).drop("text_key")
+
+
+def _keyed(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
+    """contamination with common.text_key of each document found."""
     spark = docs.sparkSession
     total = benchmark.select(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     blocks = max(1, -(-int(total) // BLOCK_BYTES))
@@ -219,17 +225,18 @@ def _against(docs: DataFrame, items: list[tuple[int, str]], width: int) -> DataF
             rows = []
             for i in docs.tolist():
                 a, b = ends[i], ends[i + 1]
-                rows += [(ids[i], *r) for r in index.find(code[a:b], kind[a:b], value[a:b])]
-            cols = list(zip(*rows, strict=True)) or [[]] * 8
+                key = hashlib.sha256(texts[i]).digest()
+                rows += [(ids[i], *r, key) for r in index.find(code[a:b], kind[a:b], value[a:b])]
+            cols = list(zip(*rows, strict=True)) or [[]] * 9
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, pa.string() if k == 7 else pa.int64()) for k, c in enumerate(cols)],
-                names=[x.split()[0] for x in SCHEMA.split(", ")],
+                [pa.array(c, {7: pa.string(), 8: pa.binary()}.get(k, pa.int64())) for k, c in enumerate(cols)],
+                names=[*(x.split()[0] for x in SCHEMA.split(", ")), "text_key"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA + ", text_key binary")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, scratch: Scratch | None = None) -> DataFrame:
-    """docs without those in which an item was found."""
+    """docs without the rows in which an item was found; rows of one doc_id, or without one, go each by its own text."""
     scratch = scratch or Scratch(docs.sparkSession, "decontam")
-    return without_ids(docs, contamination(docs, benchmark).select("doc_id"), scratch, "found")
+    return without_rows(docs, _keyed(docs, benchmark), scratch, "found")

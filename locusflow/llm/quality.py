@@ -7,6 +7,7 @@ can be trusted, and a document is kept when its posterior probability of being g
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
@@ -14,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from locusflow.llm.common import Scratch, chunks, without_ids
+from locusflow.llm.common import Scratch, chunks, without_rows
 
 #: Frequent function words of the four languages in the corpus.
 FUNCTION_WORDS = frozenset(
@@ -67,8 +68,8 @@ def dup_lines(text: bytes) -> tuple[int, int]:
     return len(lines), len(lines) - len(set(lines))
 
 
-def text_features(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """id and FEATURES (long) of every whole text; null and empty texts have zeros."""
+def text_features(docs: DataFrame, id_col: str = "doc_id", keyed: bool = False) -> DataFrame:
+    """id and FEATURES (long) of every whole text; null and empty texts have zeros. keyed: with common.text_key as well."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
@@ -89,9 +90,10 @@ def text_features(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
                 int(known[np.fromiter((at[w] for w in ws), np.int64, len(ws))].sum()) if ws else 0 for ws in split
             ]
             cols = [list(map(len, split)), word_chars, symbols, dups, repeats, lines, letters, upper, shouts, function]
-            yield pa.RecordBatch.from_arrays([pa.array(ids), *(pa.array(c, pa.int64()) for c in cols)], names=[id_col, *FEATURES])
+            key = [pa.array([hashlib.sha256(t).digest() for t in texts], pa.binary())] if keyed else []
+            yield pa.RecordBatch.from_arrays([pa.array(ids), *(pa.array(c, pa.int64()) for c in cols), *key], names=[id_col, *FEATURES, *["text_key"][: len(key)]])
 
-    return docs.select(id_col, "text").mapInArrow(run, f"{id_col} {kind}, " + ", ".join(f"{f} long" for f in FEATURES))
+    return docs.select(id_col, "text").mapInArrow(run, f"{id_col} {kind}, " + ", ".join(f"{f} long" for f in FEATURES) + (", text_key binary" if keyed else ""))
 
 
 def ratio(a: str, b: str) -> Column:
@@ -172,6 +174,7 @@ def score_documents(docs: DataFrame, scratch: Scratch | None = None) -> DataFram
 
 
 def keep_good(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
-    """docs without the rejected ones; rows of one doc_id stand or fall together."""
+    """docs without the rejected rows; rows of one doc_id, or without one, stand or fall each by its own text."""
     scratch = scratch or Scratch(docs.sparkSession, "quality")
-    return without_ids(docs, score_documents(docs, scratch).filter(~F.col("kept")).select("doc_id"), scratch, "rejected")
+    scored = judged(scratch.keep(text_features(docs, keyed=True), "features"))[0]
+    return without_rows(docs, scored.filter(~F.col("kept")), scratch, "rejected")
