@@ -2,9 +2,10 @@
 
 Words become template tokens: numbers, units after a number and names turn into typed placeholders. Windows of WINDOW
 template tokens of the benchmark items are looked up for every window of every document. Matches on one diagonal
-(document position minus item position) that cover COVERAGE of the item's windows, or RUN of its words, mark the pair,
-if the slots are consistent: one value in the item always stands for one value in the document. So an item counts as
-found when its text was copied, and also when only its numbers and names were changed.
+(document position minus item position) that cover COVERAGE of the item's windows, or RUN of its words, mark the pair:
+at once if RUN words in a row, or COVERAGE of the windows, are literally alike, slots included; else if the slots are
+consistent: one value in the item always stands for one value in the document. So an item counts as found when its text
+was copied, in full or nearly, and also when only its numbers and names were changed.
 
 The benchmark is taken in blocks of at most BLOCK_BYTES of text, each sent to the tasks and held against all documents;
 documents are never shuffled.
@@ -103,6 +104,13 @@ def consistent(item: np.ndarray, doc: np.ndarray) -> bool:
     return pairs == len(set(item.tolist())) == len(set(doc.tolist()))
 
 
+def copied(alike: np.ndarray, width: int, total: int) -> bool:
+    """Whether RUN of the words in a row, or the windows that COVERAGE of total takes, are literally alike."""
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], alike, [0]]).astype(np.int8)))
+    runs = edges[1::2] - edges[::2]
+    return bool(len(runs)) and (int(runs.max()) >= RUN or int(np.maximum(runs - width + 1, 0).sum()) >= COVERAGE * total)
+
+
 class Index:
     """Windows of one block of benchmark items, sorted by hash."""
 
@@ -174,14 +182,13 @@ class Index:
             if got < COVERAGE * total and got + width - 1 < RUN:
                 continue
             lo, hi = int(where[a]), int(where[b - 1]) + width  # words that the matches span
-            same = np.flatnonzero((code[lo:hi] == c[lo - d : hi - d]) & (kind[lo:hi] != WORD)) + lo
+            fits, word = code[lo:hi] == c[lo - d : hi - d], kind[lo:hi] == WORD
+            same = np.flatnonzero(fits & ~word) + lo
             slots, there = vi[same - d], value[same]
-            if not consistent(slots, there):
-                continue
             changed = int((slots != there).sum())
-            literal = int(((code[lo:hi] == c[lo - d : hi - d]) & (kind[lo:hi] == WORD)).sum())
-            if changed and literal < max(LITERAL, (hi - lo) // 4):
-                continue  # placeholders alone fit anything
+            if changed and not copied(fits & (word | (value[lo:hi] == vi[lo - d : hi - d])), width, total):
+                if not consistent(slots, there) or int((fits & word).sum()) < max(LITERAL, (hi - lo) // 4):
+                    continue  # placeholders alone fit anything
             row = (got, -changed, -lo, total, len(same))
             best[i] = max(best.get(i, row), row)
         for i, (got, changed, lo, total, slots) in sorted(best.items()):
