@@ -40,6 +40,8 @@ HIDDEN = re.compile(r"\shidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*
 ATTRIBUTE = re.compile(r"\b(?:class|id)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 #: Elements that an opening block tag closes when they are still open (HTML's implied end tags).
 IMPLIED = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "p": {"p"}}
+#: What can stand in a head; text or any other tag ends one that is open (HTML lets </head> be left out).
+IN_HEAD = frozenset("html head base basefont bgsound link meta noframes noscript script style template title".split())
 SPACE = re.compile(r"\s+")
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "main", "boiler", "beside", "title")
 
@@ -77,6 +79,13 @@ def blocks(page: str) -> list[tuple[str, float, int]]:
                 out.append((whole, sum(in_link) / max(raw, 1), block_bits))
             text, in_link = [], []
 
+    def end_head() -> None:
+        nonlocal bits, links
+        i = next(i for i, s in enumerate(stack) if s[0] == "head")
+        bits = stack[i][2]
+        links -= sum(s[0] == "a" for s in stack[i:])
+        del stack[i:]
+
     block_bits = 0
     find = TOKEN.finditer
     pos, size = 0, len(page)
@@ -85,6 +94,8 @@ def blocks(page: str) -> list[tuple[str, float, int]]:
         jumped = False
         for m in find(page, pos):
             a, b = m.span()
+            if a > pos and stack and stack[-1][0] == "head" and not page[pos:a].isspace():
+                end_head()
             if a > pos and not bits & 1:
                 piece = page[pos:a]
                 if not text:
@@ -97,6 +108,8 @@ def blocks(page: str) -> list[tuple[str, float, int]]:
             if tag is None:
                 continue
             tag, closing, attrs = tag.lower(), m.group(1), m.group(3)
+            if bits & 1 and not closing and tag not in IN_HEAD and (stack[-1][0] == "head" or (tag == "body" and any(s[0] == "head" for s in stack))):
+                end_head()
             if tag == "br":
                 if text:
                     text.append(" ")
@@ -131,6 +144,8 @@ def blocks(page: str) -> list[tuple[str, float, int]]:
                 jumped = True
                 break
         else:
+            if pos < size and stack and stack[-1][0] == "head" and not page[pos:].isspace():
+                end_head()
             if pos < size and not bits & 1:
                 if not text:
                     block_bits = bits
