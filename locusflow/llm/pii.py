@@ -28,9 +28,9 @@ IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?+[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 #: Proposed only, never base.
-SPELT_EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+\x20?[\[(]\x20?at\x20?[\])]\x20?[A-Za-z0-9-]{1,63}+(?:(?:\.|\x20?[\[(]\x20?dot\x20?[\])]\x20?)[A-Za-z0-9-]{1,63}+){1,8}+"
+SPELT_EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?[\[(]\x20?at\x20?[\])]\x20?[A-Za-z0-9-]++(?:(?:\.|\x20?[\[(]\x20?dot\x20?[\])]\x20?)[A-Za-z0-9-]++)++"
 LOCAL_PHONE = r"(?<![0-9+.-])(?:\([0-9]{2,4}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9])"
-SECRET = r"(?<![0-9A-Za-z+/_-])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|(?=[A-Z]*+[0-9])[A-Z0-9]{20}|(?:sk|pk|ghp|xox[bp])[-_][0-9A-Za-z]{16,64})(?![0-9A-Za-z+/_-])"
+SECRET = r"(?<![0-9A-Za-z+/_-])(?:[0-9a-f]{32,}+|[0-9A-F]{32,}+|(?=[A-Z]*+[0-9])[A-Z0-9]{20}|(?:sk|pk|ghp|xox[bp])[-_][0-9A-Za-z_-]{16,}+)(?![0-9A-Za-z+/_-])"
 OCTETS = r"^0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?:\.0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])){3}$"
 CONTEXT = 24
 LEADS = {
