@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager, suppress
 
 import numpy as np
 import pyarrow as pa
@@ -18,9 +20,12 @@ CHUNK_BYTES = 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where it is unset (local tests), a new temporary one."""
+    """The folder in spark.checkpoint.dir; where it is unset, a new temporary one, but only in local mode: the executors of
+    a cluster would each write to a disk of their own."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = spark.conf.get("spark.locusflow.scratch", None)
         if not at:
             at = "file://" + tempfile.mkdtemp(prefix="locusflow-")
@@ -61,6 +66,18 @@ class Scratch:
         self.spark._jvm.System.gc()
 
 
+@contextmanager
+def small_batches(spark: SparkSession, most: int = 4 << 20) -> Iterator[None]:
+    """Jobs started inside send Arrow batches of about `most` bytes, for steps whose rows are long."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -93,6 +110,20 @@ def without_rows(docs: DataFrame, rows: DataFrame, scratch: Scratch, name: str)
     return docs.join(F.broadcast(drop) if small else drop, same, "left_anti")
 
 
+def tidy(run):
+    """run (a function over batches), after which a reused worker gives the memory of the task back to the system."""
+
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with suppress(OSError, AttributeError):  # the C library may have no such call
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return task
+
+
 def as_bytes(col: pa.Array) -> list[bytes]:
     """The UTF-8 bytes of a string column; null becomes empty."""
     kind = pa.large_binary() if pa.types.is_large_string(col.type) else pa.binary()
@@ -159,7 +190,7 @@ def shingles(words: np.ndarray, k: int) -> np.ndarray:
     if not n:
         return words
     width = min(k, n)
-    out = np.full(n - width + 1, np.uint64(width) * np.uint64(0x9E3779B97F4A7C15), np.uint64)
+    out = np.full(n - width + 1, np.uint64(width * 0x9E3779B97F4A7C15 & (1 << 64) - 1), np.uint64)
     for j in range(width):
         out = mix(out + words[j : j + n - width + 1])
     return out

@@ -8,11 +8,14 @@ Sets of word shingles (64-bit hashes) link when den * |A and B| >= num * |A or B
   elements. A node leaves out its e parts of fewest elements (the same order in both sets, so one equal part stays) and
   gives one key (tile, part, sum of the part's hashes) for each other one. Parts hold several shingles, so a passage or
   word that many documents share does not make keys equal.
-* Nodes of equal key are candidates. First each is held against the smallest node of any of its keys, then, unless they
-  are in one component by now, against the smallest node of each key. Then, in keys whose nodes still are in several, all pairs of different components are taken in blocks of BLOCK by BLOCK nodes. Bitmaps
-  bound the overlap of every pair from above, and what passes is intersected exactly. Between those steps, ROUNDS of
-  centers picked by hash merge what they can. A pair within one component needs no
-  test: it changes no component.
+* Nodes of equal key are candidates. A node's home is the smallest node of any of its keys (and that one's home, twice),
+  so a family of near copies mostly has one home. Homes are cut into blocks bounded in nodes and bytes, and each node's
+  elements are sent to its block once, a home's own to each of its blocks. Within a block all pairs of fitting sizes and
+  different components are compared: bitmaps bound their overlap from above, what passes is intersected exactly, and a
+  block gives one edge less than its nodes at most.
+* What is left are keys whose nodes are in several blocks and, by now, several components. Each pair of blocks that such
+  a key spans is a tile; it gets the nodes of these keys, once each, and is solved like a block. A pair within one
+  component needs no test: it changes no component.
 * Components come from alternating large-star and small-star steps on stored edge tables.
 """
 
@@ -23,14 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locusflow.llm.common import BROADCAST_IDS, Scratch, WordHashes, chunks, mix, shingles, without_ids
+from locusflow.llm.common import BROADCAST_IDS, Scratch, WordHashes, chunks, mix, shingles, small_batches, tidy, without_ids
 
 BAND = 1.5
-#: Least and most bits of a bitmap.
-BITS = (256, 1 << 16)
-BLOCK = 1024
-#: Rounds of other centers before pairs, and keys that a node carries to tell a pair's first key.
-ROUNDS, FIRSTS = 2, 8
+#: Bits of a bitmap for each element of the largest set of a block, least and most; up to FEW sets go without.
+BITS_EACH, BITS, FEW = 6, (256, 1 << 16), 4
+#: Nodes and bytes of elements that a block holds at most (on average where a home is cut into blocks by hash).
+BLOCK, BLOCK_BYTES = 1024, 4 << 20
 #: Sets of a task that are remembered, so that copies give no keys again; a bound on memory only.
 SEEN = 50_000
 NONE = np.zeros(0, np.int64)
@@ -79,21 +81,13 @@ class Tiles:
         return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def bitmap(sets: np.ndarray) -> np.ndarray:
-    """A bitmap of the elements' hashes, twice as many bits as elements or more (a power of two within BITS), as 64-bit words."""
-    width = min(max(BITS[0], 1 << max(2 * len(sets) - 1, 1).bit_length()), BITS[1])
+def bitmap(sets: np.ndarray, width: int) -> np.ndarray:
+    """A bitmap of the elements' hashes with this many bits (a power of two), as 64-bit words."""
     bits = np.zeros(width, np.uint8)
     bits[(mix(sets ^ np.uint64(0x5851F42D4C957F2D)) & np.uint64(width - 1)).astype(np.int64)] = 1
     return np.packbits(bits).view(np.uint64)
 
 
-def fold(bits: np.ndarray, words: int) -> np.ndarray:
-    """The bitmap that the same elements have in fewer bits."""
-    while len(bits) > words:
-        bits = bits[: len(bits) // 2] | bits[len(bits) // 2 :]
-    return bits
-
-
 def text_sets(texts: list[bytes], k: int, hashes: WordHashes):
     """The sorted shingle set of each text; A-Z count as a-z."""
     split = [t.lower().split() for t in texts]
@@ -123,7 +117,7 @@ def _features(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
             cols = [pa.array(c, pa.int64()) for c in (ids, *list(zip(*rows, strict=True))[:3])]
             yield pa.RecordBatch.from_arrays([*cols, keys], names=["doc_id", "n_shingles", "s1", "s2", "keys"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, s1 long, s2 long, keys array<long>")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, n_shingles long, s1 long, s2 long, keys array<long>")
 
 
 def _shared(keyed: DataFrame) -> DataFrame:
@@ -157,21 +151,23 @@ def _shared(keyed: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
-    """node, size, bits, elements (sorted, packed) of the documents that are nodes."""
+    """node, size, elements (sorted, packed) of the documents that are nodes."""
     want = nodes.select(F.col("node").alias("_node"))
-    picked = docs.select("doc_id", "text").join(F.broadcast(want) if want.count() <= BROADCAST_IDS else want, F.col("doc_id") == F.col("_node"), "left_semi")
+    picked = docs.select("doc_id", "text").join(_small(want), F.col("doc_id") == F.col("_node"), "left_semi")
 
     def run(batches):
         hashes = WordHashes(1)
         for (ids,), texts in chunks(batches, "text", ["doc_id"]):
             sets = list(text_sets(texts, k, hashes))
-            cols = [
-                pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
-                pa.array([bitmap(s).tobytes() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary()),
-            ]
-            yield pa.RecordBatch.from_arrays(cols, names=["node", "size", "bits", "elements"])
+            cols = [pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["node", "size", "elements"])
+
+    return picked.mapInArrow(tidy(run), "node long, size long, elements binary")
+
 
-    return picked.mapInArrow(run, "node long, size long, bits binary, elements binary")
+def _small(df: DataFrame) -> DataFrame:
+    """A stored table of narrow rows, broadcast if it has few of them."""
+    return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
 
 
 def _least(x, y, num: int, den: int):
@@ -179,86 +175,72 @@ def _least(x, y, num: int, den: int):
     return -(-num * (x + y) // (den + num))
 
 
-def _possible(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Those of the pairs (a, b) whose bitmaps leave room for a link."""
-    side = lambda n: sets.select(F.col("node").alias(n), F.col("size").alias(f"size_{n}"), F.col("bits").alias(f"bits_{n}"))
+def links_in(comp: np.ndarray, side: np.ndarray, sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
+    """Pairs of components that links between the sets join, at most one less than there are components.
 
-    def run(batches):
-        for batch in batches:
-            keep = np.zeros(batch.num_rows, bool)
-            x, y = (batch.column(c).to_pylist() for c in ("size_a", "size_b"))
-            bx, by = (batch.column(c) for c in ("bits_a", "bits_b"))
-            for i in range(batch.num_rows):
-                need = _least(x[i], y[i], num, den)
-                if min(x[i], y[i]) < need:
-                    continue
-                p, q = (np.frombuffer(z[i].as_buffer(), np.uint64) for z in (bx, by))
-                words = min(len(p), len(q))
-                p, q = fold(p, words), fold(q, words)
-                keep[i] = min(x[i] - int(np.bitwise_count(p & ~q).sum()), y[i] - int(np.bitwise_count(q & ~p).sum())) >= need
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
-
-    joined = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "size_a", "bits_a", "size_b", "bits_b")
-    return joined.mapInArrow(run, "a long, b long").dropDuplicates(["a", "b"])
-
-
-def _linked(pairs: DataFrame, sets: DataFrame, num: int, den: int, scratch: Scratch, name: str) -> DataFrame:
-    """Those of the pairs (a, b) that link: bitmaps first, then sorted elements of what they let pass."""
-    pairs = scratch.keep(_possible(pairs, sets, num, den), f"{name}-possible")
-    scratch.release()
-    side = lambda n: sets.select(F.col("node").alias(n), F.col("elements").alias(f"elements_{n}"))
-
-    def run(batches):
-        for batch in batches:
-            keep = np.zeros(batch.num_rows, bool)
-            ex, ey = batch.column("elements_a"), batch.column("elements_b")
-            for i in range(batch.num_rows):
-                p, q = (np.frombuffer(z[i].as_buffer(), np.uint64) for z in (ex, ey))
-                both = np.concatenate([p, q])
-                both.sort(kind="stable")
-                keep[i] = int((both[1:] == both[:-1]).sum()) >= _least(len(p), len(q), num, den)
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
-
-    joined = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "elements_a", "elements_b")
-    out = scratch.keep(joined.mapInArrow(run, "a long, b long").dropDuplicates(["a", "b"]), name)
-    scratch.drop(f"{name}-possible")
-    scratch.release()
+    comp has the component of each set so far. Two sets are compared if they are on different sides (or side is 0 for
+    all) and in different components by then: bitmaps bound their overlap from above, and if that leaves room for a link
+    the sorted elements are intersected.
+    """
+    order = np.argsort([len(s) for s in sets], kind="stable")
+    sets = [sets[i] for i in order]
+    comp, side = comp[order].copy(), side[order]
+    size = np.array([len(s) for s in sets], np.int64)
+    ends = np.searchsorted(size, size * den // num, side="right")
+    twice = bool(side.any())
+    words = 0
+    if len(sets) > FEW:
+        width = min(max(BITS[0], 1 << int(BITS_EACH * size[-1] - 1).bit_length()), BITS[1])
+        bits = np.stack([bitmap(s, width) for s in sets])
+        words, count = bits.shape[1], np.bitwise_count(bits).sum(1, dtype=np.int64)
+    out = []
+    for r in range(len(sets) - 1):
+        c = np.arange(r + 1, ends[r])
+        c = c[(comp[c] != comp[r]) & (side[c] != side[r])] if twice else c[comp[c] != comp[r]]
+        if not len(c):
+            continue
+        need = _least(size[c], size[r], num, den)
+        if words:
+            both = np.bitwise_count(bits[c] & bits[r]).sum(1, dtype=np.int64)
+            most = np.minimum(size[r] - count[r], size[c] - count[c]) + both
+            c, need = c[most >= need], need[most >= need]
+        for d, n in zip(c.tolist(), need.tolist(), strict=True):
+            if comp[d] == comp[r]:
+                continue
+            both = np.concatenate([sets[r], sets[d]])
+            both.sort(kind="stable")
+            if int(np.count_nonzero(both[1:] == both[:-1])) >= n:
+                lo, hi = sorted((int(comp[r]), int(comp[d])))
+                out.append((lo, hi))
+                comp[comp == hi] = lo
     return out
 
 
-def _across(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of different components within a block of a key that their bitmaps let pass. rows: key, i, j, block, node, comp, size, bits, firsts."""
+def _links(members: DataFrame, by: list[str], num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of components that links within the groups of `by` join. members: by, side, comp, elements."""
 
-    def run(group: pa.Table) -> pa.Table:
-        node, comp, size, block = (group.column(c).to_numpy() for c in ("node", "comp", "size", "block"))
-        each = [np.frombuffer(b, np.uint64) for b in group.column("bits").to_pylist()]
-        words = min(map(len, each))  # sizes of a tile differ by little
-        bits = np.stack([fold(b, words) for b in each])
-        i, j, key = (group.column(c)[0].as_py() for c in ("i", "j", "key"))
-        # Keys before this one, padded with the key itself, which no list of earlier keys holds.
-        lists = [[k for k in f if k < key] for f in group.column("firsts").to_pylist()]
-        before = np.array([(f + [key] * FIRSTS)[:FIRSTS] for f in lists], np.int64)
-        rest = np.flatnonzero(block == j)
-        out = []
-        for r in np.flatnonzero(block == i):
-            c = rest[(comp[rest] != comp[r]) & (node[rest] != node[r]) & ((node[rest] > node[r]) | (i != j))]
-            if lists[r]:
-                c = c[~np.isin(before[c], lists[r]).any(1)]
-            need = _least(size[c], size[r], num, den)
-            fits = np.minimum(size[c], size[r]) >= need
-            c, need = c[fits], need[fits]
-            if not len(c):
-                continue
-            most = np.minimum(
-                size[r] - np.bitwise_count(bits[r] & ~bits[c]).sum(1, dtype=np.int64),
-                size[c] - np.bitwise_count(bits[c] & ~bits[r]).sum(1, dtype=np.int64),
-            )
-            for d in c[most >= need]:
-                out.append((min(node[r], node[d]), max(node[r], node[d])))
-        a, b = zip(*out, strict=True) if out else ((), ())
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+    def run(batches):
+        last, held = None, []
 
-    return rows.groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
+        def flush():
+            if len(held) < 2:
+                return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 2, names=["a", "b"])
+            comp, side, sets = zip(*held, strict=True)
+            found = links_in(np.array(comp), np.array(side), [np.frombuffer(e, np.uint64) for e in sets], num, den)
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*found, strict=True) if found else ((), ()))], names=["a", "b"])
+
+        for b in batches:
+            groups = zip(*(b.column(c).to_pylist() for c in by), strict=True)
+            for group, *row in zip(groups, b.column("side").to_pylist(), b.column("comp").to_pylist(), b.column("elements"), strict=True):
+                if group != last:
+                    yield flush()
+                    last, held = group, []
+                side, comp, elements = row
+                held.append((comp, side, elements.as_py()))
+        yield flush()
+
+    dealt = members.select(*by, "side", "comp", "elements").repartition(*by).sortWithinPartitions(*by)
+    return dealt.mapInArrow(tidy(run), "a long, b long")
 
 
 def components(edges: DataFrame, scratch: Scratch, label: str) -> DataFrame:
@@ -305,70 +287,78 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     classes = scratch.keep(classes.filter("copies > 1").drop("copies"), "classes")
     rows = scratch.keep(feats.select("doc_id", *whole).join(classes, whole, "left").withColumn("node", F.when(F.col("doc_id").isNotNull(), F.coalesce("first", "doc_id"))).select("doc_id", "n_shingles", "node"), "rows")
 
-    copies = rows.filter("node <> doc_id").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
     keyed = feats.filter("size(keys) > 0").select(F.explode("keys").alias("key"), F.col("doc_id").alias("node"))
     shared = scratch.keep(_shared(keyed.repartition("key").sortWithinPartitions("key", "node")), "shared")
     scratch.drop("features")
     scratch.release()
 
-    sets = scratch.keep(_sets(docs, shared.select("node").distinct(), k), "sets")
-    scratch.release()
-    nearest = shared.groupBy(F.col("node").alias("b")).agg(F.min("center").alias("a")).filter("a <> b").select("a", "b")
-    links = _linked(nearest, sets, num, den, scratch, "links-nearest").unionByName(copies)
-    comps = scratch.keep(components(links, scratch, "first"), "comps-first")
-    stars = shared.filter("node <> center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct()
-    stars = scratch.keep(_apart(stars, comps).join(nearest, ["a", "b"], "left_anti"), "stars")
-    more = _linked(stars, sets, num, den, scratch, "links-star")
-    if not more.isEmpty():
-        links = links.unionByName(more)
-        comps = scratch.keep(components(links, scratch, "second"), "comps-second")
+    homes = _homes(shared, scratch)
+    sets = scratch.keep(_sets(docs, homes, k), "sets")
+    blocks = scratch.keep(_blocks(homes, sets), "blocks")
+    with small_batches(spark):
+        links = scratch.keep(_links(_in_blocks(blocks, sets), ["home", "part"], num, den), "links")
     scratch.release()
+    comps = scratch.keep(components(links.unionByName(_one_node(rows, homes)), scratch, "first"), "comps")
+
+    tiles = _tiles(shared, blocks, comps, scratch)
+    if not tiles.isEmpty():
+        with small_batches(spark):
+            across = scratch.keep(_links(_small(tiles).join(sets.select("node", "elements"), "node"), ["x", "y"], num, den), "links-across")
+        scratch.release()
+        if not across.isEmpty():
+            known = comps.filter("node <> comp").select(F.col("comp").alias("a"), F.col("node").alias("b"))
+            comps = scratch.keep(components(known.unionByName(across), scratch, "second"), "comps-across")
+    return rows.join(comps, "node", "left").select("doc_id", "n_shingles", F.coalesce("comp", "node").alias("component_id"))
 
-    # Keys whose members, the center aside, still are in several components: other centers, picked by hash, merge most.
-    others = shared.filter("node <> center").select("key", "node")
-    for step in range(ROUNDS):
-        rest = scratch.keep(_in_components(others, comps), f"rest-{step}")
-        pick = F.xxhash64("node", F.lit(step))
-        spread = rest.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min_by(F.struct("node", "comp"), pick).alias("c"))
-        pairs = rest.join(spread.filter("lo < hi").select("key", "c"), "key").filter("comp <> c.comp")
-        pairs = scratch.keep(pairs.select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")).distinct(), f"pairs-{step}")
-        more = _linked(pairs, sets, num, den, scratch, f"links-{step}")
-        scratch.drop(f"rest-{step}")
-        if more.isEmpty():
-            break
-        links = links.unionByName(more)
-        comps = scratch.keep(components(links, scratch, f"round-{step}"), f"comps-round-{step}")
 
-    # What is left is held pair by pair.
-    rest = scratch.keep(_in_components(others, comps), "rest")
-    member = F.xxhash64("node", F.lit(17)).cast("decimal(38,0)")
-    open_keys = rest.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n"), F.sum(F.hash("node").cast("long")).alias("h1"), F.sum(member).alias("h2"))
-    open_keys = open_keys.filter("lo < hi").groupBy("n", "h1", "h2").agg(F.min("key").alias("key"))  # equal member lists once
-    open_keys = scratch.keep(open_keys.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "open")
-    if not open_keys.isEmpty():
-        several = scratch.keep(rest.join(open_keys, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "several")
-        # The least keys of each node: a pair that shares one is given there and not in its later keys.
-        firsts = several.groupBy("node").agg(F.slice(F.array_sort(F.collect_set("key")), 1, FIRSTS).alias("firsts"))
-        about = firsts.join(sets.select("node", "size", "bits"), "node")
-        ij = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j")))
-        several = several.select("key", "node", "comp", "block", F.explode(ij).alias("ij"))
-        several = several.join(about, "node").select("key", "ij.i", "ij.j", "block", "node", "comp", "size", "bits", "firsts")
-        pairs = scratch.keep(_across(several, num, den).distinct(), "pairs")
-        more = _linked(pairs, sets, num, den, scratch, "links-across")
-        if not more.isEmpty():
-            comps = scratch.keep(components(links.unionByName(more), scratch, "third"), "comps-third")
-    return rows.join(comps, "node", "left").select("doc_id", "n_shingles", F.coalesce("comp", "node").alias("component_id"))
+def _one_node(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges (a, b) from the first of a class to its members that gave keys, and among the nodes of one doc_id."""
+    copies = rows.filter("node <> doc_id").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
+    copies = copies.join(_small(nodes.select(F.col("node").alias("_node"))), F.col("b") == F.col("_node"), "left_semi")
+    several = rows.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("_most")).filter("a < _most").drop("_most")
+    return copies.unionByName(rows.join(several, "doc_id").select("a", F.col("node").alias("b")))
+
+
+def _homes(shared: DataFrame, scratch: Scratch) -> DataFrame:
+    """node and home: the smallest center of its keys, then that center's home, and that one's."""
+    homes = scratch.keep(shared.groupBy("node").agg(F.min("center").alias("home")), "nearest")
+    to = homes.select(F.col("node").alias("home"), F.col("home").alias("next"))
+    for _ in range(2):
+        homes = homes.join(to, "home").select("node", F.col("next").alias("home"))
+    return scratch.keep(homes, "homes")
 
 
-def _in_components(members: DataFrame, comps: DataFrame) -> DataFrame:
-    """key, node, comp; a node without links is its own component."""
-    return members.join(comps, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
+def _blocks(homes: DataFrame, sets: DataFrame) -> DataFrame:
+    """node, home, part, parts: homes of many nodes or bytes are cut into parts of about BLOCK nodes, BLOCK_BYTES at most."""
+    load = sets.select("node", "size").join(homes, "node").groupBy("home").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("elements"))
+    parts = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("elements") * 8 / BLOCK_BYTES)).cast("int")
+    load = load.select("home", parts.alias("parts"))
+    return homes.join(load, "home").select("node", "home", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), "parts")
 
 
-def _apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
-    """Pairs whose ends are in different components."""
-    x = pairs.join(comps.select(F.col("node").alias("a"), F.col("comp").alias("_x")), "a", "left").join(comps.select(F.col("node").alias("b"), F.col("comp").alias("_y")), "b", "left")
-    return x.filter(F.coalesce("_x", "a") != F.coalesce("_y", "b")).select("a", "b")
+def _in_blocks(blocks: DataFrame, sets: DataFrame) -> DataFrame:
+    """home, part, side, comp, elements of every node once, and of a home that is cut in each of its parts."""
+    cut = blocks.filter("parts > 1").select("home", "parts").distinct()
+    cut = cut.select(F.col("home").alias("node"), "home", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    return _small(blocks.select("node", "home", "part").unionByName(cut)).join(sets, "node").select("home", "part", F.lit(0).alias("side"), F.col("node").alias("comp"), "elements")
+
+
+def _tiles(shared: DataFrame, blocks: DataFrame, comps: DataFrame, scratch: Scratch) -> DataFrame:
+    """x, y, node, side, comp: nodes of two blocks that share a key there while the key's nodes are in several components."""
+    about = blocks.join(comps, "node", "left").select("node", F.struct("home", "part").alias("block"), F.coalesce("comp", "node").alias("comp"))
+    about = scratch.keep(about, "about")
+    rest = shared.select("key", "node").join(_small(about), "node")
+    member = F.xxhash64("node", F.lit(17)).cast("decimal(38,0)")
+    edges = [f(c).alias(f"{n}_{c}") for c in ("comp", "block") for n, f in (("lo", F.min), ("hi", F.max))]
+    keys = rest.groupBy("key").agg(*edges, F.count(F.lit(1)).alias("n"), F.sum(F.hash("node").cast("long")).alias("h1"), F.sum(member).alias("h2"))
+    keys = keys.filter("lo_comp < hi_comp and lo_block < hi_block").groupBy("n", "h1", "h2").agg(F.min("key").alias("key"))  # equal member lists once
+    keys = scratch.keep(keys.select("key"), "open")
+    rest = scratch.keep(rest.join(_small(keys), "key"), "rest")
+    side = lambda b, s: rest.groupBy("key", F.col("block").alias(b)).agg(F.min("comp").alias(f"lo_{s}"), F.max("comp").alias(f"hi_{s}"))
+    pairs = side("x", 0).join(side("y", 1), "key").filter("x < y and least(lo_0, lo_1) < greatest(hi_0, hi_1)").select("key", "x", "y")
+    pairs = scratch.keep(pairs, "pairs")
+    ends = [rest.join(pairs.withColumn("block", F.col(b)), ["key", "block"]).select("x", "y", "node", F.lit(s).alias("side"), "comp") for s, b in enumerate("xy")]
+    return scratch.keep(ends[0].unionByName(ends[1]).distinct(), "tiles")
 
 
 def keep_first(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, scratch: Scratch | None = None) -> DataFrame:
