@@ -1,9 +1,11 @@
 """WARC archives: a writer of response and revisit records and a salvage reader.
 
-Archives are uncompressed WARC/1.1 files made by Spark's text writer, whose commits survive lost executors; each record
-is one row of text. Files hold at most RECORDS_PER_FILE records. The reader takes plain and per-record-gzip archives. It
-checks each record (version line, headers, length, closing blank lines, payload digest); after a failed check it looks
-for the next version line or gzip member, goes on there, and logs the gap as quarantined.
+Archives are WARC/1.1 files of one gzip member a record, made by Spark's text writer, whose commits survive lost
+executors. Each record is a row. The writer must end rows with a byte; a member's last byte is the highest of its length,
+0 below 16 MB, so rows leave it out and the row end is that byte (a longer record is followed by an empty member, which
+ends so). Files hold at most RECORDS_PER_FILE records. The reader takes plain and per-record-gzip archives. It checks each
+record (version line, headers, length, closing blank lines, payload digest); after a failed check it looks for the next
+version line or gzip member, goes on there, and logs the gap as quarantined.
 """
 
 from __future__ import annotations
@@ -14,13 +16,15 @@ import re
 import uuid
 import zlib
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locusflow.llm.common import Scratch, chunks
+from locusflow.llm.common import BROADCAST_ROWS, Scratch, chunks, tidy
 
 RECORDS_PER_FILE = 2000
+LEVEL = 4
 VERSION = re.compile(rb"WARC/\d+\.\d+\r\n")
 GZIP = b"\x1f\x8b\x08"
 HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
@@ -67,12 +71,12 @@ class Broken(ValueError):
     pass
 
 
-def parse(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
+def parse(data: bytes, at: int, places: Places) -> tuple[dict[str, str], bytes, int]:
     """(headers, block, end) of the record at this place, or Broken."""
     if not VERSION.match(data, at):
         raise Broken("no version line")
-    stop = data.find(b"\r\n\r\n", at)
-    if stop < 0:
+    stop = places.after("blank", at)
+    if stop == len(data):
         raise Broken("headers do not end")
     if VERSION.search(data, at + 1, stop):
         raise Broken("headers run into another record")
@@ -92,80 +96,139 @@ def parse(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
 
 
 def checked(head: dict[str, str], block: bytes) -> tuple[bytes, str]:
-    """(payload, digest as recorded); Broken if the payload of a response is not what its digest says."""
+    """(payload, its digest, of a revisit as recorded); Broken if the payload is not what its digest says."""
     payload = block.partition(b"\r\n\r\n")[2] if "http" in head.get("content-type", "") else block
     said = head.get("warc-payload-digest", "").removeprefix("sha1:")
-    if said and head.get("warc-type") != "revisit" and digest(payload) != said:
+    if head.get("warc-type") == "revisit":
+        return payload, said
+    if said and said != (is_ := digest(payload)):
         raise Broken("the payload digest differs")
-    return payload, said
+    return payload, is_ if said else digest(payload)
+
+
+#: Compressed bytes that are handed to the decompressor at a time.
+STEP = 1 << 16
 
 
 def members(data: bytes, at: int) -> tuple[bytes, int]:
-    """(content, end) of the gzip member at this place, or Broken."""
-    d = zlib.decompressobj(31)
+    """(content, end) of the gzip member at this place, or Broken. Takes time and memory by the member, not by the file."""
+    d, view, out = zlib.decompressobj(31), memoryview(data), []
     try:
-        out = d.decompress(data[at:])
+        while not d.eof and at < len(data):
+            out.append(d.decompress(view[at : at + STEP]))
+            at += STEP
     except zlib.error as e:
         raise Broken(f"gzip: {e}") from None
     if not d.eof:
         raise Broken("gzip: the member is cut off")
-    return out, len(data) - len(d.unused_data)
+    return b"".join(out), min(at, len(data)) - len(d.unused_data)
+
+
+class Places:
+    """The next place of a pattern at or after a place that only moves on, so that a file is searched once."""
+
+    def __init__(self, data: bytes):
+        self.data, self.size = data, len(data)
+        self.next = {"version": -1, "gzip": -1, "blank": -1}
+
+    def after(self, kind: str, at: int) -> int:
+        """The size of the data if there is none."""
+        if self.next[kind] < at:
+            if kind == "version":
+                m = VERSION.search(self.data, at)
+                self.next[kind] = m.start() if m else self.size
+            else:
+                i = self.data.find(GZIP if kind == "gzip" else b"\r\n\r\n", at)
+                self.next[kind] = i if i >= 0 else self.size
+        return self.next[kind]
 
 
 def salvage(data: bytes):
-    """Yields ("record", start, end, headers, block) and ("gap", start, end, reason) over a whole archive, without holes."""
-    at, gap, why = 0, None, ""
+    """Yields ("record", start, end, headers, payload, digest) and ("gap", start, end, reason) over a whole archive, without holes.
+
+    digest is that of a response's payload, and what the header says for others. Empty gzip members belong to the record
+    before them.
+    """
+    at, gap, why, held = 0, None, "", None
+    places = Places(data)
     while at < len(data):
         try:
             if data.startswith(GZIP, at):
                 content, end = members(data, at)
-                head, block, stop = parse(content, 0)
+                if not content and held and gap is None:
+                    held, at = (*held[:2], end, *held[3:]), end
+                    continue
+                head, block, stop = parse(content, 0, Places(content))
                 if stop != len(content):
                     raise Broken("bytes after the record in its member")
             else:
-                head, block, end = parse(data, at)
-            checked(head, block)
+                head, block, end = parse(data, at, places)
+            payload, sum_ = checked(head, block)
         except Broken as e:
             if gap is None:
                 gap, why = at, str(e)
-            found = [m.start() for m in [VERSION.search(data, at + 1)] if m] + [i for i in [data.find(GZIP, at + 1)] if i >= 0]
-            at = min(found, default=len(data))
+            at = min(places.after("version", at + 1), places.after("gzip", at + 1))
             continue
+        if held:
+            yield held
         if gap is not None:
             yield "gap", gap, at, why
             gap = None
-        yield "record", at, end, head, block
-        at = end
+        held, at = ("record", at, end, head, payload, sum_), end
+    if held:
+        yield held
     if gap is not None:
         yield "gap", gap, len(data), why
 
 
 def originals(pages: DataFrame, scratch: Scratch, least: int = 0) -> DataFrame:
-    """page_id and refers_to of the pages whose payload (of at least `least` bytes) a page of larger id has too."""
-    html = F.coalesce("html", F.lit("")).cast("binary")
-    narrow = pages.select("page_id", F.sha2(html, 256).alias("same"), F.octet_length(html).alias("n")).filter(F.col("n") >= least)
-    narrow = scratch.keep(narrow.select("page_id", "same"), "digests")
-    last = narrow.groupBy("same").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    last = scratch.keep(last.select("same", "refers_to"), "originals")  # stored, so that the join below can be split where a digest is hot
-    return narrow.join(last, "same").filter("page_id < refers_to").select("page_id", "refers_to").dropDuplicates(["page_id"])
+    """same (SHA-256 of a payload of at least `least` bytes that several rows have) and refers_to, their largest page_id."""
+    narrow = pages.select("page_id", _same().alias("same"), F.octet_length(_payload()).alias("n")).filter(F.col("n") >= least)
+    last = narrow.groupBy("same").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).filter("n > 1 and refers_to is not null")
+    return scratch.keep(last.select("same", "refers_to"), "originals")
+
+
+def _payload() -> Column:
+    return F.coalesce("html", F.lit("")).cast("binary")
+
+
+def _same() -> Column:
+    return F.unhex(F.sha2(_payload(), 256))
 
 
 def write_warc(pages: DataFrame, path: str, scratch: Scratch, least: int = 0) -> None:
     """Writes a record for each row of pages (page_id, url, html).
 
     Null html is an empty payload and null urls are empty; other columns are not written. Of equal payloads the largest
-    page_id is the response. Rows of one page_id must have one html; repeated rows are written each.
+    page_id is the response; rows of that id are responses each, and rows without page_id are revisits of it (responses,
+    where no row of the payload has an id). Rows of one page_id and different html are taken each by its own payload.
     """
-    revisits = originals(pages, scratch, least).withColumnRenamed("page_id", "_page")
-    joined = pages.select("page_id", "url", "html").join(revisits, F.col("page_id") == F.col("_page"), "left").drop("_page")
+    last = originals(pages, scratch, least).withColumnRenamed("same", "_same")
+    last = F.broadcast(last) if last.count() <= BROADCAST_ROWS else last  # else a shuffle, of which adaptive execution splits hot payloads
+    joined = pages.select("page_id", "url", "html").join(last, _same() == F.col("_same"), "left")
+    revisit = F.col("page_id").isNull() | (F.col("page_id") < F.col("refers_to"))
+    joined = joined.select("page_id", "url", "html", F.when(revisit, F.col("refers_to")).alias("refers_to"))
 
     def run(batches):
         for (ids, urls, refers), texts in chunks(batches, "html", ["page_id", "url", "refers_to"]):
-            out = [record(*x) for x in zip(ids, urls, texts, refers, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()).cast(pa.string())], names=["value"])
+            rows = [packed(record(*x) + b"\r\n") for x in zip(ids, urls, texts, refers, strict=True)]
+            ends = np.cumsum([0, *map(len, rows)], dtype=np.int32)
+            # Bytes as they are, which Arrow's own cast to strings would refuse.
+            out = pa.StringArray.from_buffers(len(rows), pa.py_buffer(ends), pa.py_buffer(b"".join(rows)))
+            yield pa.RecordBatch.from_arrays([out], names=["value"])
+
+    lines = joined.mapInArrow(tidy(run), "value string")
+    lines.write.mode("overwrite").option("lineSep", "\0").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+
 
-    lines = joined.mapInArrow(run, "value string")
-    lines.write.mode("overwrite").option("lineSep", "\r\n").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+def packed(record: bytes) -> bytes:
+    """A record as a gzip member less its last byte, 0."""
+    c = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
+    out = c.compress(record) + c.flush()
+    if out[-1]:
+        c = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
+        out += c.flush()
+    return out[:-1]
 
 
 RECORDS = (
@@ -178,7 +241,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """Records and gaps of the archives under path (RECORDS); `gap` is null on records and the reason on gaps.
 
     payload_bytes and payload_digest are taken from the payload of responses and from the headers of revisits. An
-    archive is held by one task; empty ones give no rows.
+    archive is held by one task (as Spark's binaryFile source reads it, up to 2 GB); empty ones give no rows.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
 
@@ -190,20 +253,19 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                     if kind == "gap":
                         rows.append((file.as_py(), start, end, *[None] * 7, rest[0]))
                         continue
-                    head, block = rest
-                    payload, said = checked(head, block)
+                    head, payload, sum_ = rest
                     number = lambda k, h=head: int(h[k]) if re.fullmatch(r"-?\d+", h.get(k, "")) else None
                     revisit = head.get("warc-type") == "revisit"
                     rows.append((
                         file.as_py(), start, end, head.get("warc-type"), head.get("warc-record-id"), head.get("warc-target-uri"),
                         number("x-page-id"), number("x-refers-to-page-id"),
-                        number("x-payload-length") if revisit else len(payload), said if revisit else digest(payload), None,
+                        number("x-payload-length") if revisit else len(payload), sum_, None,
                     ))
                 cols = list(zip(*rows, strict=True)) or [[]] * 11
                 types = [pa.string(), pa.int64(), pa.int64(), *[pa.string()] * 3, *[pa.int64()] * 3, pa.string(), pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=[x.split()[0] for x in RECORDS.split(", ")])
 
-    return files.mapInArrow(run, RECORDS)
+    return files.mapInArrow(tidy(run), RECORDS)
 
 
 def round_trip(pages: DataFrame, scratch: Scratch | None = None) -> DataFrame:
