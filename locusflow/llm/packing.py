@@ -2,8 +2,8 @@
 
 Each task packs its own stream of documents in groups of about GROUP_TOKENS tokens, so memory is bounded and nothing is
 shuffled. Within a group, a piece of n tokens costs LINEAR * n + QUADRATIC * n^2 (attention). Pieces are taken in
-descending order of cost and go to the sequence of lowest cost that has room; where none of the PROBES cheapest has
-room, the piece is cut at the capacity of the cheapest. A group's last tokens fill sequences whose lengths are powers of
+descending order of cost and go to the sequence of lowest cost that has room; only where none has room, the piece is cut
+at the capacity of the cheapest that is not full. A group's last tokens fill sequences whose lengths are powers of
 two, which need no padding.
 """
 
@@ -12,6 +12,7 @@ from __future__ import annotations
 import gc
 import heapq
 import zlib
+from array import array
 from itertools import chain
 
 import numpy as np
@@ -19,11 +20,12 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from locusflow.llm.common import Numbers, chunks
+from locusflow.llm.common import Numbers, chunks, tidy
 
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048
 GROUP_TOKENS = 2_000_000
-PROBES = 16
+#: Text bytes that are tokenised at a time.
+STEP = 1 << 20
 SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
     "sequence_id long, offset long, sequence_tokens long"
@@ -42,37 +44,24 @@ def capacities(total: int, length: int) -> list[int]:
 
 def pack(sizes: list[int], length: int) -> list[tuple[int, int, int, int, int]]:
     """(document, start, tokens, sequence, offset) for every piece; sizes are token counts, all positive."""
-    room = capacities(sum(sizes), length)
-    filled = [0] * len(room)
+    full = np.array(capacities(sum(sizes), length), np.int64)
+    room, spent = full.copy(), np.zeros(len(full))
     pieces: list[tuple[float, int, int, int]] = []  # -cost, document, start, tokens
     for d, n in enumerate(sizes):
         for s in range(0, n, length):
             take = min(length, n - s)
             pieces.append((-cost(take), d, s, take))
     heapq.heapify(pieces)
-    # Sequences by cost so far, then the longer first; those without room leave the heap.
-    heap = [(0.0, -c, q) for q, c in enumerate(room)]
-    heapq.heapify(heap)
     out = []
     while pieces:
         _, d, s, n = heapq.heappop(pieces)
-        tried = []
-        for _ in range(PROBES):
-            if not heap:
-                break
-            top = heapq.heappop(heap)
-            tried.append(top)
-            if room[top[2]] - filled[top[2]] >= n:
-                break
-        q = tried[-1] if room[tried[-1][2]] - filled[tried[-1][2]] >= n else tried[0]
-        for t in tried:
-            if t is not q:
-                heapq.heappush(heap, t)
-        take = min(n, room[q[2]] - filled[q[2]])
-        out.append((d, s, take, q[2], filled[q[2]]))
-        filled[q[2]] += take
-        if filled[q[2]] < room[q[2]]:
-            heapq.heappush(heap, (q[0] + cost(take), q[1], q[2]))
+        q = int(np.where(room >= n, spent, np.inf).argmin())  # of equal cost the longer, then the first
+        if room[q] < n:
+            q = int(np.where(room > 0, spent, np.inf).argmin())
+        take = min(n, int(room[q]))
+        out.append((d, s, take, q, int(full[q] - room[q])))
+        room[q] -= take
+        spent[q] += cost(take)
         if take < n:
             heapq.heappush(pieces, (-cost(n - take), d, s + take, n - take))
     return out
@@ -129,13 +118,16 @@ class WordTokens:
 
     White space always separates tokens in the vocabularies meant here (it is dropped, as is case), so the ids of a text
     are those of its words in order, and those of letters followed by punctuation are the ids of the two. Words are cut at
-    ASCII white space only; other white space stays inside and is left to the tokenizer.
+    ASCII white space only; other white space stays inside and is left to the tokenizer. A vocabulary for which that does
+    not hold on PROBE is used as it is, text by text.
     """
 
+    PROBE = "Don't STOP,\t  caf\u00e9!! \u00c9T\u00c9 x1.2 #tag\n\n a_b \u65e5\u672c \u00a0\u0085 tail... (x) \u00dcber-\u00e9l\u00e8ve "
+
     MARKS = b".,;:!?%$#*&"
     BETWEEN = "<|endoftext|>"
 
-    def __init__(self, path: str, bound: int = 400_000):
+    def __init__(self, path: str, bound: int = 200_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -144,12 +136,15 @@ class WordTokens:
         self.tokenizer = Tokenizer.from_file(path)
         self.between = self.tokenizer.token_to_id(self.BETWEEN)
         self.bound = bound
-        self.fast = fast_words(path)
+        self.fast, self.whole = fast_words(path), False
+        self.clear()
+        probe = [self.PROBE.encode(), self.PROBE.strip().lower().encode(), b"", b" the Quick  brown fox.\n"]
+        self.whole = self.ids(probe, None)[0].tolist() != self.plain(probe, None)[0].tolist()
         self.clear()
 
     def clear(self) -> None:
         self.at = Numbers()
-        self.cores: dict[bytes, list[int]] = {}
+        self.cores: dict[bytes, bytes] = {}  # ids as packed uint32
         self.flat = np.zeros(0, np.uint32)
         self.first, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
@@ -160,7 +155,7 @@ class WordTokens:
             rest = []
             for w in words:
                 if latin_letters(w):
-                    cores[w] = fast(w)
+                    cores[w] = array("I", fast(w)).tobytes()
                 else:
                     rest.append(w)
             words = rest
@@ -175,7 +170,7 @@ class WordTokens:
                     out[-1].append(i)
             if len(out) != len(some):  # a word that holds the special token itself
                 out = [self.tokenizer.encode(w.decode("utf-8", "replace"), add_special_tokens=False).ids for w in some]
-            self.cores.update(zip(some, out, strict=True))
+            self.cores.update((w, array("I", ids).tobytes()) for w, ids in zip(some, out, strict=True))
 
     def learn(self, words: list[bytes]) -> None:
         parts = []
@@ -186,15 +181,22 @@ class WordTokens:
             parts.append((low, b"") if whole else (core, low[len(core) :]))
         cores = self.cores
         self.encode([w for w in dict.fromkeys(x for p in parts for x in p if x) if w not in cores])
-        cores[b""] = []
+        cores[b""] = b""
         ids = [cores[a] + cores[b] for a, b in parts]
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         self.first = np.concatenate([self.first, len(self.flat) + np.cumsum(size) - size])
         self.size = np.concatenate([self.size, size])
-        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum()))])
+        self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(ids), np.uint32)])
+
+    def plain(self, texts: list[bytes], end: int | None) -> tuple[np.ndarray, np.ndarray]:
+        """What ids gives, from the tokenizer alone."""
+        out = [e.ids + ([] if end is None else [end]) for e in self.tokenizer.encode_batch([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(out), np.uint32, sum(map(len, out))), np.fromiter(map(len, out), np.int64, len(out))
 
     def ids(self, texts: list[bytes], end: int | None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, each followed by `end` if given, and the count of each text."""
+        if self.whole:
+            return self.plain(texts, end)
         if len(self.at) > self.bound:
             self.clear()
         split = [t.split() for t in texts]
@@ -230,6 +232,12 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, length: int = 2048, end
 
     def run(batches):
         gc.disable()  # the memory of words has no cycles, only many objects to go over
+        try:
+            yield from packed(batches)
+        finally:
+            gc.enable()
+
+    def packed(batches):
         tokens, part, seq = WordTokens(tokenizer_path), TaskContext.get().partitionId(), 0
         held: list[tuple] = []
         total = 0
@@ -247,7 +255,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, length: int = 2048, end
             held, total = [], 0
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
-        for (ids,), texts in chunks(batches, "text", ["doc_id"]):
+        for (ids,), texts in chunks(batches, "text", ["doc_id"], STEP):
             flat, sizes = tokens.ids(texts, end_id)
             for d, piece in zip(ids, np.split(flat, np.cumsum(sizes)[:-1]), strict=True):
                 held.append((d, piece.astype("<u4")))
@@ -257,4 +265,4 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, length: int = 2048, end
         if held:
             yield flush()
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), SCHEMA)
