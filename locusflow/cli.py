@@ -24,22 +24,13 @@ from locusflow.operators import signal as S
 def density_rows(sites: DataFrame, transcripts: DataFrame, features: DataFrame, ip: str, ctrl: str, method: str | None, settings: Settings, normalized: bool = True) -> DataFrame:
     """id, fname, side, v: windows of every feature aligned left and right, of background-removed and normalised signal.
 
-    Values are cut from the sparse profile, so a vector has the window's length and never the transcript's.
+    Values are cut from the sparse profile, so a vector has the window's length and never the transcript's; places without
+    counts have the value that the method gives them.
     """
     pairs = BG.paired(S.profile(sites, transcripts), ip, [ctrl])
     lengths = transcripts.select("id", (F.col("end") - F.col("start") + 1).alias("length"))
     values = BG.remove_background(pairs, lengths, method)
-    values = BG.normalize(values) if normalized else values
-    by_tx = values.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("rp", "value"))).alias("m"))
-    minus = F.col("strand") == "-"
-    cut = features.select("id", "fname", F.when(minus, F.col("end") - F.col("f_end")).otherwise(F.col("f_start") - F.col("start")).alias("rs"), (F.col("f_end") - F.col("f_start")).alias("len"))
-    x = cut.filter("len > 0").join(by_tx, "id").withColumn("v", F.transform(F.sequence(F.col("rs"), F.col("rs") + F.col("len") - 1), lambda p: F.coalesce(F.col("m")[p], F.lit(0.0))))
-    names = [r["fname"] for r in features.select("fname").distinct().collect()]  # a few dozen names
-    parts = [D.multi_feature_average(x.filter(F.col("fname") == n).select("id", "fname", "v"), settings.length(n), side).withColumn("side", F.lit(side)) for n in names for side in (V.LEFT, V.RIGHT)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return D.feature_windows(BG.normalize(values) if normalized else values, features, settings.length)
 
 
 def main(argv: list[str] | None = None) -> None:

@@ -12,6 +12,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+#: Largest samples whose p-values are exact; beyond, asymptotic ones are taken. These are the usual automatic choice of
+#: statistics libraries, and parameters of the functions.
 EXACT_KS = 10_000
 EXACT_WILCOXON = 25
 
@@ -37,8 +39,8 @@ def binomial_cdf(k: int, n: int, p: float) -> float:
     return float(min(1.0, np.exp(lg[n] - lg[i] - lg[n - i] + i * math.log(p) + (n - i) * math.log1p(-p)).sum()))
 
 
-def ks_p(d: float, m: int, n: int) -> float:
-    """One-sided two-sample Kolmogorov-Smirnov: P(D >= d) without ties. Exact up to EXACT_KS values a sample."""
+def ks_p(d: float, m: int, n: int, exact: int = EXACT_KS) -> float:
+    """One-sided two-sample Kolmogorov-Smirnov: P(D >= d) without ties. Exact up to `exact` values a sample (equal sizes: always)."""
     if m <= 0 or n <= 0:
         return float("nan")
     if d <= 0:
@@ -46,32 +48,29 @@ def ks_p(d: float, m: int, n: int) -> float:
     if m == n:
         h = round(d * n)
         return float(np.prod([(n - j) / (n + j + 1) for j in range(h)]))
-    if max(m, n) > EXACT_KS:
+    if max(m, n) > exact:
         big, small = max(m, n), min(m, n)
         z = math.sqrt(m * n / (m + n)) * d
         return min(1.0, math.exp(-2 * z * z - 2 * z * (big + 2 * small) / math.sqrt(m * n * (m + n)) / 3))
-    # The share of lattice paths from (0, 0) to (m, n) that reach i/m - j/n >= d, column by column as probabilities.
+    # The share of lattice paths from (0, 0) to (m, n) that reach i/m - j/n >= d, diagonal by diagonal as probabilities.
     g = math.gcd(m, n)
     bound = round(d * (m // g) * n)
-    j = np.arange(n + 1)
-    safe = np.zeros(n + 1)  # probability to be at (i, j) and never to have crossed
+    i = np.arange(m + 1)
+    safe = np.zeros(m + 1)  # probability to be at (i, s - i) and never to have crossed
     safe[0] = 1.0
-    for i in range(m + 1):
-        ok = (i * (n // g) - j * (m // g)) < bound
-        new = np.zeros(n + 1)
-        for y in range(n + 1):
-            if not ok[y]:
-                continue
-            left = m + n - i - y
-            from_left = safe[y] * (m - i + 1) / (left + 1) if i else 0.0
-            from_below = new[y - 1] * (n - y + 1) / (left + 1) if y else 0.0
-            new[y] = (1.0 if i == y == 0 else 0.0) + from_left + from_below
+    for s in range(m + n):
+        new = safe * np.clip(n - s + i, 0, n) / (m + n - s)
+        new[1:] += safe[:-1] * (m - i[:-1]) / (m + n - s)
+        new[(i * (n // g) - (s + 1 - i) * (m // g) >= bound) | (i > s + 1) | (s + 1 - i > n)] = 0.0
         safe = new
-    return float(min(1.0, max(0.0, 1.0 - safe[n])))
+    return float(min(1.0, max(0.0, 1.0 - safe[m])))
+
 
+def wilcoxon_greater(diffs: list[float], exact: int = EXACT_WILCOXON) -> tuple[float, float]:
+    """(R+, p) of the signed-rank test that differences exceed 0; zeros are dropped, ties get average ranks.
 
-def wilcoxon_greater(diffs: list[float]) -> tuple[float, float]:
-    """(R+, p) of the signed-rank test that differences exceed 0; zeros are dropped, ties get average ranks."""
+    Exact for up to `exact` differences without zeros and ties, else by the normal approximation.
+    """
     d = np.array([x for x in diffs if x != 0], float)
     n, zeros = len(d), len(diffs) - len(d)
     if not n:
@@ -80,7 +79,7 @@ def wilcoxon_greater(diffs: list[float]) -> tuple[float, float]:
     lo, hi = np.searchsorted(order, np.abs(d), "left"), np.searchsorted(order, np.abs(d), "right")
     rank = (lo + hi + 1) / 2
     r = float(rank[d > 0].sum())
-    if n <= EXACT_WILCOXON and not zeros and len(np.unique(rank)) == n:
+    if n <= exact and not zeros and len(np.unique(rank)) == n:
         ways = np.zeros(n * (n + 1) // 2 + 1)
         ways[0] = 1
         for k in range(1, n + 1):
@@ -137,13 +136,15 @@ def find_peaks(v: np.ndarray, height: float, distance: int = 1) -> list[int]:
                     peaks.append((i + j) // 2)
                 i = j
         i += 1
-    keep = dict.fromkeys(peaks, True)
-    for p in sorted(peaks, key=lambda p: (-v[p], -p)):
-        if keep[p]:
-            for q in peaks:
-                if q != p and abs(q - p) < distance:
+    keep = [True] * len(peaks)
+    for k in sorted(range(len(peaks)), key=lambda k: (-v[peaks[k]], -peaks[k])):
+        if keep[k]:
+            for step in (-1, 1):
+                q = k + step
+                while 0 <= q < len(peaks) and abs(peaks[q] - peaks[k]) < distance:
                     keep[q] = False
-    return [p for p in peaks if keep[p]]
+                    q += step
+    return [p for p, k in zip(peaks, keep, strict=True) if k]
 
 
 def _udf(f, arity: int):

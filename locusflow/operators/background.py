@@ -2,20 +2,31 @@
 
 Treatment and control are counts at the positions that have any; the others are zeros, whose contribution is known from
 the vector's length alone, so dense vectors are never built. Results are at the positions where either has counts;
-`zero` columns carry the value at all others.
+column `zero` is the value at each of the `rest` others (0 for methods that leave zeros as they are).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from locusflow.functions.vectors import METHODS, SITE_PSEUDOCOUNT
 
 
-def paired(profile: DataFrame, treatment: str, controls: list[str]) -> DataFrame:
-    """id, rp, ip, ctrl of one replicate; controls are the libraries to try in order of preference (their first in use)."""
-    ctrl = controls[0]
+def control_of(replicate: str, libraries: Iterable[str]) -> str:
+    """The control of a replicate: the shared `ctrl` if the experiment has one, else that of the replicate's number."""
+    return "ctrl" if "ctrl" in libraries else "ctrl" + replicate.removeprefix("rep")
+
+
+def paired(profile: DataFrame, treatment: str, controls: list[str], libraries: Iterable[str] | None = None) -> DataFrame:
+    """id, rp, ip, ctrl of one replicate. The control is the first of `controls` that is among the experiment's libraries
+    (the first of all where these are not given)."""
+    known = list(controls if libraries is None else libraries)
+    ctrl = next((c for c in controls if c in known), None)
+    if ctrl is None:
+        raise ValueError(f"none of {controls} is among the libraries {known}")
     # Dealt by id alone: the windows and joins by id that follow need no further shuffle.
     wide = profile.filter(F.col("lib").isin(treatment, ctrl)).repartition("id").groupBy("id", "rp")
     return wide.agg(
@@ -24,14 +35,17 @@ def paired(profile: DataFrame, treatment: str, controls: list[str]) -> DataFrame
     )
 
 
-def remove_background(pairs: DataFrame, lengths: DataFrame, method: str | None, pseudocount: float | None = SITE_PSEUDOCOUNT) -> DataFrame:
-    """id, rp, value. lengths: id, length of the vectors. pseudocount None takes each vector's least positive value (1 if none)."""
+def remove_background(pairs: DataFrame, lengths: DataFrame | None, method: str | None, pseudocount: float | None = SITE_PSEUDOCOUNT) -> DataFrame:
+    """id, rp, value, zero, rest. lengths: id, length of the vectors. pseudocount None takes each vector's least positive
+    value (1 if none). Methods with pseudocounts need lengths; for the others zero and rest are 0.
+    """
     if method not in METHODS:
         raise ValueError(f"unknown background method {method!r}")
+    none = F.lit(0.0).alias("zero"), F.lit(0).cast("bigint").alias("rest")
     if not method:
-        return pairs.select("id", "rp", F.col("ip").alias("value"))
+        return pairs.select("id", "rp", F.col("ip").alias("value"), *none)
     if method == "subtract":
-        return pairs.select("id", "rp", F.greatest(F.col("ip") - F.col("ctrl"), F.lit(0.0)).alias("value"))
+        return pairs.select("id", "rp", F.greatest(F.col("ip") - F.col("ctrl"), F.lit(0.0)).alias("value"), *none)
     w = Window.partitionBy("id")
     x = pairs.withColumns({
         "s_ip": F.sum("ip").over(w), "s_ctrl": F.sum("ctrl").over(w),
@@ -40,19 +54,24 @@ def remove_background(pairs: DataFrame, lengths: DataFrame, method: str | None,
     if method == "subtract normal":
         share = F.col("ip") / F.nullif("s_ip", F.lit(0.0))
         value = F.when(F.col("s_ip") == 0, 0.0).when(F.col("s_ctrl") == 0, share).otherwise(F.greatest(share - F.col("ctrl") / F.nullif("s_ctrl", F.lit(0.0)), F.lit(0.0)))
-        return x.select("id", "rp", value.alias("value"))
+        return x.select("id", "rp", value.alias("value"), *none)
     c_ip, c_ctrl = (F.lit(pseudocount), F.lit(pseudocount)) if pseudocount is not None else (F.col("m_ip"), F.col("m_ctrl"))
-    x = x.join(lengths, "id")
-    p = (F.col("ip") + c_ip) / (F.col("s_ip") + c_ip * F.col("length"))
-    q = (F.col("ctrl") + c_ctrl) / (F.col("s_ctrl") + c_ctrl * F.col("length"))
-    value = F.log2(p / q)
-    return x.select("id", "rp", (value if method == "fold change" else p * value).alias("value"))
+    x = x.withColumn("covered", F.count(F.lit(1)).over(w)).join(lengths, "id")
+
+    def value(ip: Column, ctrl: Column) -> Column:
+        p = (ip + c_ip) / (F.col("s_ip") + c_ip * F.col("length"))
+        q = (ctrl + c_ctrl) / (F.col("s_ctrl") + c_ctrl * F.col("length"))
+        return F.log2(p / q) if method == "fold change" else p * F.log2(p / q)
+
+    rest = (F.col("length") - F.col("covered")).cast("bigint")
+    return x.select("id", "rp", value(F.col("ip"), F.col("ctrl")).alias("value"), value(F.lit(0.0), F.lit(0.0)).alias("zero"), rest.alias("rest"))
 
 
 def normalize(values: DataFrame) -> DataFrame:
-    """value over the sum of its id; null where that is 0."""
-    x = values.withColumn("_s", F.sum("value").over(Window.partitionBy("id")))
-    return x.withColumn("value", F.when(F.col("_s") != 0, F.col("value") / F.col("_s"))).drop("_s")
+    """value (and zero) over the sum of its id, positions without counts included; null where that is 0."""
+    total = F.sum("value").over(Window.partitionBy("id")) + F.col("zero") * F.col("rest")
+    x = values.withColumn("_s", F.nullif(total, F.lit(0.0)))
+    return x.withColumns({"value": F.col("value") / F.col("_s"), "zero": F.col("zero") / F.col("_s")}).drop("_s")
 
 
 def pooled_information(pairs: DataFrame, pseudocount: float) -> DataFrame:

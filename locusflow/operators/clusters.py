@@ -11,23 +11,47 @@ from pyspark.sql import functions as F
 
 from locusflow.functions import stats as S
 from locusflow.functions.vectors import gaussian_kernel
-from locusflow.operators.intervals import anti_overlap, semi_overlap
+from locusflow.operators.intervals import PIECE, anti_overlap, merge_by, overlap_pairs, semi_overlap, subtract_within
 
 
-def dbscan(sites: DataFrame, keys: list[str], eps: int, min_samples: int | str) -> DataFrame:
-    """Clusters of core sites: keys, start (least position), end (greatest), no_ip, no_input.
+def dbscan(sites: DataFrame, keys: list[str], eps: int, min_samples: int | str, members: bool = False, piece: int = PIECE) -> DataFrame:
+    """Clusters of core sites: keys, start (least position), end (greatest), no_ip, no_input (and ip_members, input_members:
+    the sorted positions of the cores, each as often as it occurs).
 
-    A site is core with min_samples sites (itself included; an int or a column of each group) within eps; cores closer
-    than eps chain. Sites have pos and is_ip. Equal positions are counted once, with weights, before the windows.
+    A site is core with min_samples sites (itself included; an int or a column of each group) within eps; cores no more
+    than eps apart chain. Sites have pos and is_ip. Equal positions are counted once, with weights; neighbours are counted
+    and chains formed in pieces of positions, so a chromosome is never one task's work.
     """
-    w = sites.groupBy(*keys, "pos", *([min_samples] if isinstance(min_samples, str) else [])).agg(F.count_if("is_ip").alias("ip"), F.count(F.lit(1)).alias("n"))
-    near = F.sum("n").over(Window.partitionBy(*keys).orderBy("pos").rangeBetween(-eps, eps))
-    least = F.col(min_samples) if isinstance(min_samples, str) else F.lit(min_samples)
-    core = w.withColumn("near", near).filter(F.col("near") >= least)
-    over = Window.partitionBy(*keys).orderBy("pos")
-    step = F.when(F.col("pos") - F.lag("pos").over(over) <= eps, 0).otherwise(1)
-    core = core.withColumn("_step", step).withColumn("label", F.sum("_step").over(over.rowsBetween(Window.unboundedPreceding, 0)))
-    return core.groupBy(*keys, "label").agg(F.min("pos").alias("start"), F.max("pos").alias("end"), F.sum("ip").alias("no_ip"), F.sum(F.col("n") - F.col("ip")).alias("no_input"))
+    extra = [min_samples] if isinstance(min_samples, str) else []
+    w = sites.groupBy(*keys, "pos", *extra).agg(F.count_if("is_ip").alias("ip"), F.count(F.lit(1)).alias("n"))
+    home = F.floor(F.col("pos") / piece)
+    # A position is listed in each piece that one of its neighbours may lie in, and judged in its own.
+    listed = w.withColumn("_piece", F.explode(F.sequence(F.floor((F.col("pos") - eps) / piece), F.floor((F.col("pos") + eps) / piece))))
+    near = F.sum("n").over(Window.partitionBy(*keys, "_piece").orderBy("pos").rangeBetween(-eps, eps))
+    core = listed.withColumn("near", near).filter((F.col("_piece") == home) & (F.col("near") >= (F.col(min_samples) if extra else F.lit(min_samples))))
+    reach = core.withColumns({"start": F.col("pos"), "end": F.col("pos") + eps, "_in": F.col("n") - F.col("ip")})
+    sums = {"no_ip": (F.sum("ip"), F.sum("no_ip")), "no_input": (F.sum("_in"), F.sum("no_input"))}
+    if members:
+        for name, n in (("ip_members", "ip"), ("input_members", "_in")):
+            sums[name] = (F.flatten(F.collect_list(F.array_repeat("pos", F.col(n).cast("int")))), F.array_sort(F.flatten(F.collect_list(name))))
+    return merge_by(reach, keys, sums, piece).withColumn("end", F.col("end") - eps)
+
+
+def region_clusters(sites: DataFrame, regions: DataFrame, eps: int = 2, cov_ratio: float = 10, combine: bool = True, size: int = 30, members: bool = False) -> DataFrame:
+    """Scored clusters of `size` of each region (id, chrom, start, end, strand): id, chrom, strand, start, end, no_ip, no_input, pseudoscore.
+
+    Sites (chrom, pos, strand, is_ip) count in the regions they lie in. min_samples of a region is cov_ratio times its
+    sites per base, rounded down; without `combine` clusters are of ip sites only, against the totals of both.
+    """
+    r = regions.select("id", "chrom", "strand", "start", "end").filter("start < end")
+    points = sites.select("chrom", "strand", F.col("pos").alias("start"), (F.col("pos") + 1).alias("end"), "is_ip")
+    hits = overlap_pairs(r, points).select("id", (F.col("end") - F.col("start")).alias("_len"), F.col("b_start").alias("pos"), F.col("b_is_ip").alias("is_ip"))
+    totals = hits.groupBy("id", "_len").agg(F.count_if("is_ip").alias("ip"), F.count_if(~F.col("is_ip")).alias("input"))
+    least = F.floor(F.lit(float(cov_ratio)) * ((F.col("ip") + F.col("input")) / F.col("_len"))).cast("int")
+    hits = hits.drop("_len").join(totals.select("id", least.alias("least")), "id")
+    found = dbscan(hits if combine else hits.filter("is_ip"), ["id"], eps, "least", members)
+    scored = score(fixed_size(found, size), totals.select("id", "ip", "input"), ["id"])
+    return scored.join(r.select("id", "chrom", "strand"), "id")
 
 
 def fixed_size(clusters: DataFrame, size: int = 30) -> DataFrame:
@@ -58,6 +82,41 @@ def gaps(clusters: DataFrame, keys: list[str], size: int = 30) -> DataFrame:
     return x.withColumn("end", F.col("start") + size).drop("_n")
 
 
+def matched_controls(clusters: DataFrame, regions: DataFrame) -> DataFrame:
+    """id, start, end of control windows: what clusters leave of their region is gone through in order, and each part that
+    the next cluster fits into gives a window of its width around the part's middle. Parts and clusters without a partner
+    give none. Clusters have id (of their region), start and end; their order is by start.
+    """
+    r = regions.select("id", "chrom", "strand", "start", "end")
+    mine = clusters.select("id", "start", "end")
+    left = subtract_within(r, mine)
+    parts = left.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("parts"))
+    found = mine.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("found"))
+
+    def step(state, part):
+        c = F.get("found", state["at"])
+        width = c["end"] - c["start"]
+        fits = c.isNotNull() & (part["end"] - part["start"] >= width)
+        middle = (part["start"] + part["end"]) / 2
+        window = F.struct(F.ceil(middle - width / 2).cast("bigint").alias("start"), F.greatest(F.ceil(middle + width / 2), F.lit(0)).cast("bigint").alias("end"))
+        return F.when(fits, F.struct((state["at"] + 1).alias("at"), F.concat(state["out"], F.array(window)).alias("out"))).otherwise(state)
+
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("out"))
+    windows = F.aggregate("parts", zero, step, lambda s: s["out"])
+    return parts.join(found, "id").select("id", F.explode(windows).alias("w")).select("id", "w.start", "w.end")
+
+
+def with_region(clusters: DataFrame, regions: DataFrame, columns: list[str]) -> DataFrame:
+    """Clusters with the named attributes of their region (null where it has none)."""
+    return clusters.join(regions.select("id", *columns), "id", "left")
+
+
+def top_clusters(clusters: DataFrame, n: int, least: float = 0.0, column: str = "pseudoscore") -> DataFrame:
+    """The n clusters of highest score above `least`; ties by place."""
+    order = [F.desc(column), *(c for c in ("chrom", "id", "start", "end") if c in clusters.columns)]
+    return clusters.filter(F.col(column) > least).orderBy(*order).limit(n)
+
+
 def free_controls(control: DataFrame, real: DataFrame, key: list[str]) -> DataFrame:
     """Control clusters that overlap no real one of their strand."""
     return anti_overlap(control, real, key)
@@ -74,6 +133,16 @@ def score_bins(df: DataFrame, column: str = "pseudoscore", width: float = 0.2) -
     return df.withColumn("bin", F.when(F.col(column) > 0, F.ceil(F.round(F.col(column) / width, 9)).cast("int"))).filter("bin is not null")
 
 
+def purity_by_bin(new: DataFrame, old: DataFrame, key: list[str], by: str = "bin") -> DataFrame:
+    """by, n, purity, sensitivity: for each group of new, its share that overlaps old, and the share of old that overlaps it."""
+    pairs = overlap_pairs(new.select(*key, by, "chrom", "strand", "start", "end"), old.withColumn("_old", F.struct(*key)).select("_old", "chrom", "strand", "start", "end"))
+    sizes = new.groupBy(by).agg(F.count(F.lit(1)).alias("n"))
+    hits = pairs.groupBy(by).agg(F.count_distinct(F.struct(*key)).alias("h"), F.count_distinct("b__old").alias("o"))
+    total = old.agg(F.count(F.lit(1)).alias("m"))
+    x = sizes.join(hits, by, "left").na.fill(0).crossJoin(F.broadcast(total))
+    return x.select(by, "n", F.try_divide("h", "n").alias("purity"), F.try_divide("o", "m").alias("sensitivity"))
+
+
 def relative_information_track(ip: np.ndarray, ctrl: np.ndarray, pseudocount: float = 0.1, sigma: float = 2.0) -> np.ndarray:
     """p ln(p/q) of two smoothed vectors after a pseudocount."""
     k = np.array(gaussian_kernel(sigma))

@@ -99,6 +99,43 @@ def multi_feature_average(slices: DataFrame, length: int, side: str) -> DataFram
     return means.groupBy("id", "fname").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("v"))
 
 
+#: Bins of positions that slices and values are joined by.
+SLICE_BIN = 512
+
+
+def feature_windows(values: DataFrame, features: DataFrame, length: Callable[[str], int], sides: tuple[str, ...] = (V.LEFT, V.RIGHT)) -> DataFrame:
+    """id, fname, side, v: for each feature of a transcript the mean of its slices, each brought to the feature's length.
+
+    values: id, rp, value and zero, the value at positions without a row. Features without any length give nothing, nor do
+    transcripts without values. One join by bins serves all features and sides, and a transcript's values are never one
+    row; null where no slice reaches.
+    """
+    minus = F.col("strand") == "-"
+    slices = features.select("id", "fname", F.when(minus, F.col("end") - F.col("f_end")).otherwise(F.col("f_start") - F.col("start")).alias("rs"), (F.col("f_end") - F.col("f_start")).alias("len")).filter("len > 0")
+    names = sorted(r["fname"] for r in features.select("fname").distinct().collect())  # a few dozen names
+    widths = features.sparkSession.createDataFrame([(n, length(n)) for n in names], "fname string, width int")
+    slices = slices.join(F.broadcast(widths), "fname")
+    bins = F.sequence(F.floor(F.col("rs") / SLICE_BIN), F.floor((F.col("rs") + F.col("len") - 1) / SLICE_BIN))
+    hits = slices.withColumn("_bin", F.explode(bins)).join(values.select("id", "rp", "value", F.floor(F.col("rp") / SLICE_BIN).alias("_bin")), ["id", "_bin"])
+    hits = hits.filter("rp >= rs and rp < rs + len").withColumn("side", F.explode(F.array(*map(F.lit, sides))))
+    at = F.col("rp") - F.col("rs")
+    hits = hits.withColumn("pos", F.when(F.col("side") == V.LEFT, at).otherwise(F.col("width") - F.col("len") + at).cast("int")).filter("pos >= 0 and pos < width")
+    sums = hits.groupBy("id", "fname", "side", "pos").agg(F.sum("value").alias("s"), F.count(F.lit(1)).alias("n"))
+    known = sums.groupBy("id", "fname", "side").agg(F.map_from_entries(F.collect_list(F.struct("pos", F.struct("s", "n")))).alias("_m"))
+    zeros = values.groupBy("id").agg(F.first("zero").alias("zero"))
+    lens = slices.groupBy("id", "fname", "width").agg(F.collect_list("len").alias("_lens")).join(zeros, "id")
+    x = lens.withColumn("side", F.explode(F.array(*map(F.lit, sides)))).join(known, ["id", "fname", "side"], "left")
+
+    def mean(p: Column) -> Column:
+        reach = F.when(F.col("side") == V.LEFT, p).otherwise(F.col("width") - 1 - p)
+        return V.let(
+            F.struct(F.size(F.filter("_lens", lambda n: n > reach)).alias("c"), F.col("_m")[p].alias("h")),
+            lambda y: F.when(y["c"] > 0, (F.coalesce(y["h"]["s"], F.lit(0.0)) + F.col("zero") * (y["c"] - F.coalesce(y["h"]["n"], F.lit(0)))) / y["c"]),
+        )
+
+    return x.select("id", "fname", "side", F.transform(F.sequence(F.lit(0), F.col("width") - 1), mean).alias("v"))
+
+
 def wide_matrix(matrix: DataFrame, key: str, length: int, how: str = "mean") -> DataFrame:
     """key, v: one row of summaries for each key, missing as 0."""
     x = long(matrix).groupBy(key, "pos").agg(REDUCERS[how]("x").alias("x"))

@@ -61,9 +61,13 @@ def merge(a: DataFrame, stranded: bool = True, extra: list[str] | None = None, p
     `extra` are further key columns. Islands are formed among the intervals that start in one piece, and then among those
     islands, of which there are far fewer.
     """
-    keys = _keys(stranded) + (extra or [])
-    first = _islands(a.withColumn("_piece", F.expr(f"start div {piece}")), [*keys, "_piece"], {"n": F.count(F.lit(1))})
-    return _islands(first.drop("_piece"), keys, {"n": F.sum("n")}).select(*keys, "start", "end", "n")
+    return merge_by(a, _keys(stranded) + (extra or []), {"n": (F.count(F.lit(1)), F.sum("n"))}, piece)
+
+
+def merge_by(a: DataFrame, keys: list[str], aggregates: dict[str, tuple[Column, Column]], piece: int = PIECE) -> DataFrame:
+    """Unions by keys: keys, start, end and aggregates, given as name: (over intervals, over the pieces' results)."""
+    first = _islands(a.withColumn("_piece", F.expr(f"start div {piece}")), [*keys, "_piece"], {n: x for n, (x, _) in aggregates.items()})
+    return _islands(first.drop("_piece"), keys, {n: y for n, (_, y) in aggregates.items()}).select(*keys, "start", "end", *aggregates)
 
 
 def subtract(a: DataFrame, b: DataFrame, key: list[str], stranded: bool = True) -> DataFrame:
@@ -84,6 +88,19 @@ def subtract(a: DataFrame, b: DataFrame, key: list[str], stranded: bool = True)
     return pairs.select(*keys, F.explode(pieces).alias("p")).select(*keys, F.col("p.s").alias("start"), F.col("p.e").alias("end")).filter("start < end")
 
 
+def subtract_within(a: DataFrame, b: DataFrame) -> DataFrame:
+    """id, start, end of what the intervals of b with an id leave of the interval of a with that id."""
+    whole = a.select("id", "start", "end").filter("start < end")
+    cut = whole.join(b.select("id", F.col("start").alias("_s"), F.col("end").alias("_e")), "id")
+    cut = cut.select("id", F.greatest("start", "_s").alias("start"), F.least("end", "_e").alias("end")).filter("start < end")
+    holes = merge_by(cut, ["id"], {})
+    inner = Window.partitionBy("id").orderBy("start")
+    after = holes.select("id", F.col("end").alias("start"), F.lead("start").over(inner).alias("end"))
+    after = after.join(whole.select("id", F.col("end").alias("_end")), "id").select("id", "start", F.coalesce("end", "_end").alias("end"))
+    first = whole.join(holes.groupBy("id").agg(F.min("start").alias("_s")), "id", "left").select("id", "start", F.coalesce("_s", "end").alias("end"))
+    return first.unionByName(after).filter("start < end")
+
+
 def coverage_runs(a: DataFrame, stranded: bool = True, piece: int = PIECE) -> DataFrame:
     """Run-length depth between the first start and the last end of each chromosome, runs of zero depth included.
 

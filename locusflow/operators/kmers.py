@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from locusflow.operators.enrich import ks_statistic
+
 COMPLEMENT = ("ACGTacgt", "UGCAugca")
 
 
@@ -18,9 +20,24 @@ def kmers(seq: Column, k: int) -> Column:
     return F.array_distinct(F.regexp_extract_all(seq, F.lit(f"(?s)(?=(.{{{k}}}))"), F.lit(1)))
 
 
-def document_frequency(seqs: DataFrame, k: int, keys: list[str] | None = None) -> DataFrame:
-    """kmer, n: sequences that contain it."""
-    return seqs.select(*(keys or []), F.explode(kmers(F.col("seq"), k)).alias("kmer")).groupBy(*(keys or []), "kmer").agg(F.count(F.lit(1)).alias("n"))
+def document_frequency(seqs: DataFrame, k: int, keys: list[str] | None = None, weight: str | None = None) -> DataFrame:
+    """kmer, n: sequences that contain it, each as often as its weight says."""
+    w = F.col(weight) if weight else F.lit(1)
+    x = seqs.select(*(keys or []), w.cast("bigint").alias("_w"), F.explode(kmers(F.col("seq"), k)).alias("kmer"))
+    return x.groupBy(*(keys or []), "kmer").agg(F.sum("_w").alias("n"))
+
+
+def site_sequences(sites: DataFrame, genome: DataFrame, chunk: int, window: int) -> DataFrame:
+    """sites (chrom, pos, strand, ...) with seq, the transcribed bases from pos - window to pos + window, cut at the chromosome's start."""
+    r = sites.withColumns({"start": F.greatest(F.col("pos") - window, F.lit(0)), "end": F.col("pos") + window}).filter("start < end")
+    return region_sequences(r, genome, chunk).drop("start", "end")
+
+
+def motif_ks(scored: DataFrame, motifs: list[str]) -> DataFrame:
+    """motif, n_ip, n_null, d_less, d_greater: scores of sequences with the motif (ip) against those without. scored: seq, score."""
+    names = F.explode(F.array(*map(F.lit, motifs)))
+    x = scored.select("seq", "score", names.alias("motif")).select("motif", F.col("seq").contains(F.col("motif")).alias("ip"), F.col("score").alias("x"))
+    return ks_statistic(x, ["motif"], F.col("ip"))
 
 
 def r_values(seqs: DataFrame, k: int) -> DataFrame:
@@ -76,7 +93,7 @@ def elbow(z: DataFrame, cutoff: float = 1.0) -> DataFrame:
     x = ranked.crossJoin(F.broadcast(n)).withColumn("_low", F.col("_r") < F.ceil(F.col("_n") / 2))
     line = x.filter("_low").agg(F.regr_slope("z", F.col("_r").cast("double")).alias("slope"), F.regr_intercept("z", F.col("_r").cast("double")).alias("intercept"))
     y = x.crossJoin(F.broadcast(line))
-    over = (F.col("_r") > F.col("_n") / 2) & (F.col("z") - (F.col("slope") * F.col("_r") + F.col("intercept")) > cutoff)
+    over = (F.col("_r") > F.ceil(F.col("_n") / 2)) & (F.col("z") - (F.col("slope") * F.col("_r") + F.col("intercept")) > cutoff)
     return y.agg(F.max("slope").alias("slope"), F.max("intercept").alias("intercept"), F.min_by(F.when(over, F.col("z")), F.when(over, F.col("_r"))).alias("cutoff"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from locusflow.functions import stats as S
 from locusflow.functions import vectors as V
+from locusflow.operators.enrich import ks_statistic
 
 
 def windows_around(sites: DataFrame, shape: DataFrame, width: int) -> DataFrame:
@@ -42,5 +43,14 @@ def expression_groups(results: DataFrame, padj: float = 0.05, fold: float = 1.0)
     return results.filter(F.col("padj") < padj).select(F.substring_index("id", ".", 1).alias("id"), way.alias("direction")).filter("direction is not null")
 
 
+def group_ks(density: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
+    """direction, keys, n_ip, n_null, d_less, d_greater: rows (id, keys, x) of each group's ids against those of no group's."""
+    names = groups.select("direction").distinct()  # two
+    mine = density.join(groups.select("id", "direction"), "id", "left")
+    rest = mine.filter("direction is null").drop("direction").crossJoin(F.broadcast(names)).withColumn("ip", F.lit(False))
+    x = mine.filter("direction is not null").withColumn("ip", F.lit(True)).unionByName(rest)
+    return ks_statistic(x.select("direction", *keys, "ip", "x"), ["direction", *keys], F.col("ip"))
+
+
 def missing_ids(wanted: DataFrame, known: DataFrame) -> DataFrame:
     return wanted.join(known.select("id"), "id", "left_anti")

@@ -71,19 +71,6 @@ def junction(cigar: Column, intron: int = 500) -> Column:
     return F.coalesce(F.regexp_extract(cigar, r"(\d+)N", 1).try_cast("int") > intron, F.lit(False))
 
 
-def pileup(reads: DataFrame) -> DataFrame:
-    """Counts of each base, deletions, insertions and truncations by (chrom, pos, strand, lib), and mismatches.
-
-    A mismatch is a base other than the majority of its place.
-    """
-    count = lambda c: F.count_if(c).alias
-    counts = reads.groupBy("chrom", "pos", "strand", "lib").agg(
-        *(count((F.col("indel") == 0) & (F.col("base") == b))(b) for b in "ATCG"),
-        count(F.col("indel") < 0)("deletion"), count(F.col("indel") > 0)("insertion"), count(F.col("flag").bitwiseAND(4) == 0)("trun"),
-    )
-    return counts.withColumn("mismatch", F.expr("A + T + C + G - greatest(A, T, C, G)"))
-
-
 def event_sites(piles: DataFrame, included: tuple[str, ...] = ("trun", "mismatch", "deletion")) -> DataFrame:
     """The number of chosen events at each place; places without are dropped."""
     return piles.withColumn("n", sum((F.col(c) for c in included), F.lit(0))).filter("n > 0").select("chrom", "pos", "strand", "lib", "n")

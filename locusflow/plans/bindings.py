@@ -45,6 +45,18 @@ def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One read an event, with a CIGAR of matches, skips, deletions, insertions or clips and its 50 bases."""
+    i = F.col("event_id")
+    cigar = (
+        F.when(F.col("k") % 3 == 0, F.concat(F.lit("30M"), ((F.col("k") + 1) * 90).cast("string"), F.lit("N20M"))).when(i % 11 == 0, "20M3D30M")
+        .when(i % 13 == 0, "25M2I23M").when(i % 7 == 0, "5S45M").otherwise("50M")
+    )
+    seq = F.substring(F.lit("ACGTTGCAGT" * 6), (i % 10 + 1).cast("int"), F.lit(50))
+    e = events(spark, sf_dir).select("event_id", "k")
+    return reads(spark, sf_dir).select("event_id", "chrom", "pos", "strand", "lib", "flag").join(e, "event_id").select("event_id", "chrom", "pos", "strand", "lib", "flag", cigar.alias("cigar"), seq.alias("seq"))
+
+
 def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
     start = k * 7919 % 40000
@@ -87,6 +99,11 @@ CTE = {
     + (CASE WHEN event_id % 23 = 0 THEN 256 ELSE 0 END) AS INTEGER) AS flag,
   CASE WHEN k % 3 = 0 THEN '30M' || (k * 90) || 'N20M' ELSE '50M' END AS cigar, substr('ACGT', CAST(event_id * 7 % 4 + 1 AS INTEGER), 1) AS base,
   CASE WHEN event_id % 11 = 0 THEN -1 WHEN event_id % 13 = 0 THEN 2 ELSE 0 END AS indel FROM ev)""",
+    "al": """al AS (SELECT event_id, rd.chrom, rd.pos, rd.strand, rd.lib, rd.flag, CASE WHEN k % 3 = 0 THEN '30M' || ((k + 1) * 90) || 'N20M' WHEN event_id % 11 = 0 THEN '20M3D30M'
+  WHEN event_id % 13 = 0 THEN '25M2I23M' WHEN event_id % 7 = 0 THEN '5S45M' ELSE '50M' END AS cigar, substr(repeat('ACGTTGCAGT', 6), CAST(event_id % 10 + 1 AS BIGINT), 50) AS seq FROM rd JOIN ev USING (event_id)),
+co AS (SELECT * EXCLUDE (ns, os), CAST(ns[i] AS BIGINT) AS n, os[i] AS op FROM (SELECT *, unnest(range(1, len(ns) + 1)) AS i FROM (SELECT *, regexp_extract_all(cigar, '(\\d+)([MIDNS])', 1) AS ns, regexp_extract_all(cigar, '(\\d+)([MIDNS])', 2) AS os FROM al))),
+pl AS (SELECT *, pos + coalesce(sum(CASE WHEN op IN ('M', 'D', 'N') THEN n ELSE 0 END) OVER b, 0)::BIGINT AS ref, coalesce(sum(CASE WHEN op IN ('M', 'I', 'S') THEN n ELSE 0 END) OVER b, 0)::BIGINT AS query,
+  lead(op) OVER (PARTITION BY event_id ORDER BY i) AS nxt FROM co WINDOW b AS (PARTITION BY event_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))""",
     "tx": """tx AS (SELECT o_orderkey AS id, o_custkey % 5 AS chrom, o_orderkey * 7919 % 40000 AS s, o_orderkey * 7919 % 40000 + 100 + o_orderkey * 31 % 2000 AS e,
   CASE WHEN o_orderkey % 2 = 0 THEN '+' ELSE '-' END AS strand, o_orderpriority AS type FROM orders)""",
     "ft": """ft AS (SELECT DISTINCT id, CASE l_returnflag WHEN 'N' THEN 'exon' WHEN 'R' THEN 'intron' ELSE 'CDS' END AS fname, s + l_partkey * 13 % (e - s) AS fs,
@@ -97,7 +114,7 @@ CTE = {
     "raw": """raw AS (SELECT id, lib, CASE tx.strand WHEN '-' THEN e - pos ELSE pos - s END AS rp, count(*) AS n FROM tx JOIN ev ON ev.chrom = tx.chrom AND ev.strand = tx.strand
   AND pos BETWEEN s AND e GROUP BY ALL)""",
 }
-NEEDS = {"cov": ["ev"], "rd": ["ev"], "ft": ["tx"], "vl": ["vec"], "raw": ["ev", "tx"]}
+NEEDS = {"cov": ["ev"], "rd": ["ev"], "al": ["rd"], "ft": ["tx"], "vl": ["vec"], "raw": ["ev", "tx"]}
 
 
 def sql(names: str, body: str) -> str:

@@ -16,6 +16,7 @@ from locusflow.operators import density as D
 from locusflow.operators import enrich as E
 from locusflow.operators import intervals as I  # noqa: E741
 from locusflow.operators import kmers as K
+from locusflow.operators import reads as R
 from locusflow.operators import shape as SH
 from locusflow.operators import signal as S
 from locusflow.plans import bindings as B
@@ -63,16 +64,16 @@ def mean_profile(spark: SparkSession, sf: str) -> DataFrame:
     """
     raw = S.profile(B.sites(spark, sf), B.transcripts(spark, sf))
     bg = BG.normalize(BG.remove_background(BG.paired(raw, "rep1", ["ctrl1"]), None, "subtract").filter("value > 0"))
-    # A transcript's values meet its exons once; each exon gives its values by position and its own length.
-    by_tx = bg.groupBy("id").agg(F.collect_list(F.struct("rp", "value")).alias("values"))
     minus = F.col("strand") == "-"
-    exons = B.features(spark, sf).filter("fname = 'exon'").select("id", F.when(minus, F.col("end") - F.col("f_end")).otherwise(F.col("f_start") - F.col("start")).alias("rs"), (F.col("f_end") - F.col("f_start")).alias("len"))
-    inside = F.filter("values", lambda v: (v["rp"] >= F.col("rs")) & (v["rp"] < F.col("rs") + F.least(F.col("len"), F.lit(100))))
-    rows = F.concat(
-        F.transform(inside, lambda v: F.struct((v["rp"] - F.col("rs")).alias("pos"), v["value"].alias("value"), F.lit(0).alias("slices"))),
-        F.array(F.struct((F.least("len", F.lit(100)) - 1).alias("pos"), F.lit(0.0).alias("value"), F.lit(1).alias("slices"))),
-    )
-    per_pos = exons.filter("len > 0").join(by_tx, "id").select(F.explode(rows).alias("r")).groupBy("r.pos").agg(F.sum("r.value").alias("sx"), F.sum("r.slices").alias("c"))
+    exons = B.features(spark, sf).filter("fname = 'exon'").select("id", F.when(minus, F.col("end") - F.col("f_end")).otherwise(F.col("f_start") - F.col("start")).alias("rs"), (F.col("f_end") - F.col("f_start")).alias("len")).filter("len > 0")
+    # Values meet the exons' first hundred places by bins; an exon's length counts once for its transcript's having values.
+    size = D.SLICE_BIN
+    reach = exons.withColumn("to", F.col("rs") + F.least("len", F.lit(100)))
+    reach = reach.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("rs") / size), F.floor((F.col("to") - 1) / size))))
+    hits = reach.join(bg.select("id", "rp", "value", F.floor(F.col("rp") / size).alias("_bin")), ["id", "_bin"]).filter("rp >= rs and rp < to")
+    hits = hits.groupBy((F.col("rp") - F.col("rs")).alias("pos")).agg(F.sum("value").alias("sx"))
+    ends = exons.join(bg.select("id").distinct(), "id", "left_semi").groupBy((F.least("len", F.lit(100)) - 1).alias("pos")).agg(F.count(F.lit(1)).alias("c"))
+    per_pos = hits.join(ends, "pos", "full")
     # A hundred rows: slices that end at each position or later.
     per_pos = spark.range(100).select(F.col("id").alias("pos")).join(per_pos, "pos", "left").na.fill(0)
     n = F.sum("c").over(Window.orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, 0))
@@ -304,24 +305,44 @@ def custom_feature(spark, sf):
 
 # ---- pile-ups -------------------------------------------------------------------------------------------------------
 
-PILE = """pile AS (SELECT chrom, pos, strand, lib, count(*) FILTER (indel = 0 AND base = 'A') AS A, count(*) FILTER (indel = 0 AND base = 'T') AS T, count(*) FILTER (indel = 0 AND base = 'C') AS C,
-  count(*) FILTER (indel = 0 AND base = 'G') AS G, count(*) FILTER (indel < 0) AS deletion, count(*) FILTER (indel > 0) AS insertion, count(*) FILTER ((flag & 4) = 0) AS trun FROM rd GROUP BY ALL),
+PILE = """ex AS (SELECT chrom, strand, lib, ref + j AS pos, substr(seq, query + j + 1, 1) AS what FROM (SELECT *, unnest(range(0, n)) AS j FROM pl WHERE op = 'M' AND (flag & 128) <> 0 AND (flag & 1796) = 0)
+  UNION ALL SELECT chrom, strand, lib, ref + n - 1, CASE nxt WHEN 'D' THEN 'del' ELSE 'ins' END FROM pl WHERE op IN ('M', 'D', 'N') AND nxt IN ('D', 'I') AND (flag & 128) <> 0 AND (flag & 1796) = 0
+  UNION ALL SELECT chrom, strand, lib, CASE strand WHEN '-' THEN max(ref + n) - 1 ELSE min(pos) END, 'trun' FROM pl WHERE op IN ('M', 'D', 'N') AND (flag & 128) <> 0 AND (flag & 1796) = 0 GROUP BY event_id, chrom, strand, lib),
+pile AS (SELECT chrom, pos, strand, lib, count(*) FILTER (what = 'A') AS A, count(*) FILTER (what = 'T') AS T, count(*) FILTER (what = 'C') AS C, count(*) FILTER (what = 'G') AS G,
+  count(*) FILTER (what = 'del') AS deletion, count(*) FILTER (what = 'ins') AS insertion, count(*) FILTER (what = 'trun') AS trun FROM ex GROUP BY ALL),
 pm AS (SELECT *, A + T + C + G - greatest(A, T, C, G) AS mismatch FROM pile)"""
 
 
-@query(sql("rd", PILE + " SELECT * EXCLUDE (mismatch) FROM pm"))
+@query(sql("al", PILE + " SELECT * EXCLUDE (mismatch) FROM pm"))
 def pileup_profile(spark, sf):
-    return S.pileup(B.reads(spark, sf)).drop("mismatch")
+    """Of second mates, by a walk along each read's CIGAR."""
+    return R.pileup(B.alignments(spark, sf)).drop("mismatch")
 
 
-@query(sql("rd", PILE + " SELECT chrom, strand, sum(mismatch)::BIGINT AS mismatch FROM pm GROUP BY ALL"))
+@query(sql("al", PILE + " SELECT chrom, strand, sum(mismatch)::BIGINT AS mismatch FROM pm GROUP BY ALL"))
 def mismatch_counts(spark, sf):
-    return S.pileup(B.reads(spark, sf)).groupBy("chrom", "strand").agg(F.sum("mismatch").alias("mismatch"))
+    return R.pileup(B.alignments(spark, sf)).groupBy("chrom", "strand").agg(F.sum("mismatch").alias("mismatch"))
 
 
-@query(sql("rd", PILE + " SELECT chrom, pos, strand, lib, trun + mismatch + deletion AS n FROM pm WHERE trun + mismatch + deletion > 0"))
+@query(sql("al", PILE + " SELECT chrom, pos, strand, lib, trun + mismatch + deletion AS n FROM pm WHERE trun + mismatch + deletion > 0"))
 def crosslink_events(spark, sf):
-    return S.event_sites(S.pileup(B.reads(spark, sf)))
+    return S.event_sites(R.pileup(B.alignments(spark, sf)))
+
+
+@query(sql("al tx", PILE + """ SELECT id, lib, CASE tx.strand WHEN '-' THEN e - pos ELSE pos - s END AS rp, trun AS n FROM pm JOIN tx ON pm.chrom = tx.chrom AND pm.strand = tx.strand
+  AND CASE tx.strand WHEN '-' THEN pos > s AND pos <= e ELSE pos >= s AND pos < e END WHERE trun > 0"""))
+def truncation_axis(spark, sf):
+    """Truncations along transcripts; on the minus strand the axis runs from end down to start + 1."""
+    return R.truncation_axis(S.event_sites(R.pileup(B.alignments(spark, sf)), ("trun",)), B.transcripts(spark, sf))
+
+
+@query(sql("al", """bl AS (SELECT event_id, chrom, strand, min(ref) AS s, max(ref + n) AS e FROM (SELECT *, sum(CASE WHEN op = 'N' THEN 1 ELSE 0 END) OVER (PARTITION BY event_id ORDER BY i) AS b FROM pl) WHERE op IN ('M', 'D') GROUP BY event_id, chrom, strand, b),
+d AS (SELECT chrom, strand, s AS pos, 1 AS d FROM bl UNION ALL SELECT chrom, strand, e, -1 FROM bl), g AS (SELECT chrom, strand, pos, sum(d) AS d FROM d GROUP BY ALL),
+r AS (SELECT chrom, strand, pos AS start, lead(pos) OVER w AS "end", sum(d) OVER w AS depth FROM g WINDOW w AS (PARTITION BY chrom, strand ORDER BY pos))
+SELECT chrom, strand, start, "end", depth::BIGINT AS depth FROM r WHERE "end" IS NOT NULL"""))
+def coverage_runs_split(spark, sf):
+    """Depth of aligned blocks: skipped regions count for nothing."""
+    return I.coverage_runs(R.blocks(B.alignments(spark, sf)))
 
 
 # ---- background -----------------------------------------------------------------------------------------------------
@@ -353,6 +374,52 @@ for _n, (_m, _x) in BG_SQL.items():
     query(sql("raw", f"{PAIRS} SELECT id, rp, round({_x}, 6)::DOUBLE AS value FROM z"), _n)(_background(_m, _n.endswith("coverage")))
 
 
+#: Few counts give values that are exact ties of rounding; times this they are none.
+UNTIE = 0.6180339887498949
+DENSE = """dn AS (SELECT g.id, g.rp, coalesce(ip, 0) AS ip, coalesce(ctrl, 0) AS ctrl, si, sc, mi, mc, len FROM (SELECT su.*, e - s + 1 AS len, unnest(range(0, e - s + 1)) AS rp FROM su JOIN tx USING (id)) g LEFT JOIN pr ON pr.id = g.id AND pr.rp = g.rp)"""
+
+
+def _dense(method, cover):
+    def run(spark, sf):
+        tx = B.transcripts(spark, sf)
+        pairs = BG.paired(S.profile(B.sites(spark, sf), tx), "rep1", ["ctrl1"])
+        lengths = tx.select("id", (F.col("end") - F.col("start") + 1).alias("length"))
+        x = BG.remove_background(pairs, lengths, method, None if cover else V.SITE_PSEUDOCOUNT)
+        own, n = [F.first("zero").alias("zero"), F.first("rest").alias("rest")], F.col("rest") + F.col("k")
+        sums = [F.count(F.lit(1)).alias("k"), F.sum("rp").alias("srp"), F.sum("value").alias("sv"), F.sum(F.col("value") * F.col("rp")).alias("sw")]
+        total, weighted = F.col("sv") + F.col("zero") * F.col("rest"), F.col("sw") + F.col("zero") * (n * (n - 1) / 2 - F.col("srp"))
+        raw = x.groupBy("id").agg(*own, *sums).select("id", n.alias("n"), total.alias("total"), weighted.alias("weighted"))
+        norm = BG.normalize(x).groupBy("id").agg(*own, *sums).select("id", weighted.alias("center"))
+        center = F.when(F.abs("total") > 1e-3, F.round(F.col("center") * UNTIE, 4)).alias("center")
+        return raw.join(norm, "id").select("id", "n", F.round(F.col("total") * UNTIE, 6).alias("total"), F.round(F.col("weighted") / F.col("n") * UNTIE, 4).alias("weighted"), center)
+
+    return run
+
+
+for _n, (_m, _x) in BG_SQL.items():
+    if _m in ("relative information", "fold change"):
+        query(sql("raw", f"{PAIRS},\n{DENSE}, v AS (SELECT id, rp, {_x} AS x FROM dn) SELECT id, count(*) AS n, round(sum(x) * {UNTIE}, 6)::DOUBLE AS total, round(sum(x * rp) / count(*) * {UNTIE}, 4)::DOUBLE AS weighted, CASE WHEN abs(sum(x)) > 0.001 THEN round(sum(x * rp) / sum(x) * {UNTIE}, 4) END::DOUBLE AS center FROM v GROUP BY id"), _n.replace("bg_", "dense_"))(
+            _dense(_m, _n.endswith("coverage")))
+
+
+@query(sql("raw ft", f"""{PAIRS},
+v AS (SELECT id, rp, {BG_SQL["bg_relative_information"][1]} AS x FROM z), zz AS (SELECT id, any_value({BG_SQL["bg_relative_information"][1]}) AS x FROM (SELECT id, 0::DOUBLE AS ip, 0::DOUBLE AS ctrl, si, sc, len FROM z) GROUP BY id),
+sl AS (SELECT id, fname, CASE strand WHEN '-' THEN e - fe ELSE fs - s END AS rs, fe - fs AS len, CASE fname WHEN 'intron' THEN 500 ELSE 100 END AS width FROM ft WHERE fs < fe),
+c AS (SELECT *, CASE side WHEN 'left' THEN p ELSE len - width + p END AS q FROM (SELECT *, unnest(range(0, width)) AS p FROM sl, (SELECT unnest(['left', 'right']) AS side))),
+m AS (SELECT c.id, fname, side, p, avg(coalesce(v.x, zz.x)) AS x FROM c JOIN zz ON zz.id = c.id LEFT JOIN v ON v.id = c.id AND v.rp = rs + q WHERE q >= 0 AND q < len GROUP BY ALL)
+SELECT id, fname, side, count(*) AS n, round(sum(x), 6) AS total, round(sum(x * p), 4) AS weighted FROM m GROUP BY ALL"""))
+def density_windows(spark, sf):
+    """All features and both sides of background-removed signal in one pass, checked by the number, sum and first moment of each vector."""
+    from locusflow.config import Settings
+
+    tx = B.transcripts(spark, sf)
+    pairs = BG.paired(S.profile(B.sites(spark, sf), tx), "rep1", ["ctrl1"])
+    values = BG.remove_background(pairs, tx.select("id", (F.col("end") - F.col("start") + 1).alias("length")), "relative information")
+    w = D.feature_windows(values, B.features(spark, sf), Settings().length)
+    x = D.long(w).filter("x is not null")
+    return x.groupBy("id", "fname", "side").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("x"), 6).alias("total"), F.round(F.sum(F.col("x") * F.col("pos")), 4).alias("weighted"))
+
+
 @query(sql("raw", "SELECT id, rp, n::DOUBLE AS value FROM raw WHERE lib = 'ctrl1'"))
 def bg_null(spark, sf):
     return S.profile(B.sites(spark, sf), B.transcripts(spark, sf)).filter("lib = 'ctrl1'").select("id", "rp", F.col("n").cast("double").alias("value"))
@@ -640,7 +707,7 @@ def region_poisson_call(spark, sf):
     return E.call_regions(t, 100, 0.5, 1.5).select("id", "ip", "ctrl", F.round("log10_padj", 4).alias("log10_padj"), *r6("log2_fold"))
 
 
-EPS, LEAST = 30, 12
+EPS, LEAST = 60, 3
 CLUSTERS = f"""st AS (SELECT chrom, strand, pos, lib IN ('rep1', 'rep2') AS ip FROM ev WHERE lib IN ('rep1', 'rep2', 'ctrl1')),
 n AS (SELECT *, count(*) OVER (PARTITION BY chrom, strand ORDER BY pos RANGE BETWEEN {EPS} PRECEDING AND {EPS} FOLLOWING) AS near FROM st),
 k AS (SELECT *, CASE WHEN pos - lag(pos) OVER (PARTITION BY chrom, strand ORDER BY pos) <= {EPS} THEN 0 ELSE 1 END AS f FROM n WHERE near >= {LEAST}),
@@ -689,6 +756,52 @@ def score_bins(spark, sf):
     return C.score_bins(_scored(spark, sf)).groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.sum("no_ip").alias("no_ip"))
 
 
+@query(sql("ev", CLUSTERS + """, mb AS (SELECT chrom, strand, min(pos) AS s, list(pos ORDER BY pos) FILTER (ip) AS a, list(pos ORDER BY pos) FILTER (NOT ip) AS b FROM l GROUP BY chrom, strand, label)
+SELECT chrom, strand, s AS start, coalesce(array_to_string(a, ','), '') AS ip_members, coalesce(array_to_string(b, ','), '') AS input_members FROM mb"""))
+def cluster_members(spark, sf):
+    """The member positions of each cluster, of either library."""
+    c = C.dbscan(_cluster_sites(spark, sf), ["chrom", "strand"], EPS, LEAST, members=True)
+    listed = lambda n: F.array_join(F.col(n).cast("array<string>"), ",").alias(n)
+    return c.select("chrom", "strand", "start", listed("ip_members"), listed("input_members"))
+
+
+REGIONAL = f"""st AS (SELECT tx.id, tx.chrom, tx.strand, tx.e - tx.s AS len, pos, lib IN ('rep1', 'rep2') AS ip FROM {HALF} AND ev.strand = tx.strand WHERE lib IN ('rep1', 'rep2', 'ctrl1')),
+tt AS (SELECT id, count(*) FILTER (ip) AS ip, count(*) FILTER (NOT ip) AS input, CAST(floor(400 * (count(*) / len)) AS INTEGER) AS least FROM st GROUP BY id, len),
+n AS (SELECT st.*, least, count(*) OVER (PARTITION BY id ORDER BY pos RANGE BETWEEN 20 PRECEDING AND 20 FOLLOWING) AS near FROM st JOIN tt USING (id)),
+k AS (SELECT *, CASE WHEN pos - lag(pos) OVER (PARTITION BY id ORDER BY pos) <= 20 THEN 0 ELSE 1 END AS f FROM n WHERE near >= least),
+l AS (SELECT *, sum(f) OVER (PARTITION BY id ORDER BY pos, f DESC ROWS UNBOUNDED PRECEDING) AS label FROM k),
+cl AS (SELECT id, chrom, strand, min(pos) AS s, max(pos) AS e, count(*) FILTER (ip) AS no_ip, count(*) FILTER (NOT ip) AS no_input FROM l GROUP BY id, chrom, strand, label),
+sc AS (SELECT cl.*, CASE WHEN ip = 0 THEN 0 ELSE (SELECT sum(exp(lgamma(no_ip + no_input + 3) - lgamma(i + 1) - lgamma(no_ip + no_input + 2 - i + 1) + i * ln((ip + 1) / (ip + input + 2))
+  + (no_ip + no_input + 2 - i) * ln(1 - (ip + 1) / (ip + input + 2)))) FROM range(0, 200) r(i) WHERE i <= no_ip + 1) END AS score FROM cl JOIN tt USING (id)),
+fx AS (SELECT id, chrom, strand, CAST(ceil((s + e) / 2) - 15 AS BIGINT) AS s, CAST(ceil((s + e) / 2) + 15 AS BIGINT) AS e, no_ip, no_input, round(score, 9) AS score FROM sc)"""
+
+
+def _regional(spark, sf):
+    return C.region_clusters(_cluster_sites(spark, sf), B.transcripts(spark, sf), 20, 400).withColumn("pseudoscore", F.round("pseudoscore", 9))
+
+
+@query(sql("ev tx", REGIONAL + f' SELECT id, s AS start, e AS "end", no_ip, no_input, round(score * {UNTIE}, 6) AS scaled_score FROM fx'))
+def region_clusters(spark, sf):
+    """Clusters of each transcript as a region, min_samples by its coverage."""
+    return _regional(spark, sf).select("id", "start", "end", "no_ip", "no_input", F.round(F.col("pseudoscore") * UNTIE, 6).alias("scaled_score"))
+
+
+@query(sql("ev tx", REGIONAL + f' SELECT fx.id, fx.s AS start, fx.e AS "end", round(score * {UNTIE}, 6) AS scaled_score, type, tx.e - tx.s AS width FROM fx JOIN tx USING (id) WHERE score > 0.2 ORDER BY score DESC, fx.chrom, id, fx.s, fx.e LIMIT 200'))
+def top_region_clusters(spark, sf):
+    """A top-k report: the 200 clusters of highest score, with attributes of their region."""
+    tx = B.transcripts(spark, sf).withColumn("width", F.col("end") - F.col("start"))
+    return C.with_region(C.top_clusters(_regional(spark, sf), 200, 0.2), tx, ["type", "width"]).select("id", "start", "end", F.round(F.col("pseudoscore") * UNTIE, 6).alias("scaled_score"), "type", "width")
+
+
+@query(sql("ev tx cov", REGIONAL + """, bn AS (SELECT *, CAST(ceil(round(score / 0.2, 9)) AS INTEGER) AS bin FROM fx WHERE score > 0), o AS (SELECT event_id, chrom, strand, s, e FROM cov WHERE lib = 'rep1'),
+h AS (SELECT bin, count(DISTINCT (bn.id, bn.s, bn.e)) AS h, count(DISTINCT event_id) AS o FROM bn JOIN o ON o.chrom = bn.chrom AND o.strand = bn.strand AND bn.s < o.e AND o.s < bn.e GROUP BY bin)
+SELECT bin, n, round(coalesce(h, 0) / n, 6) AS purity, round(coalesce(o, 0) / (SELECT count(*) FROM o), 6) AS sensitivity FROM (SELECT bin, count(*) AS n FROM bn GROUP BY bin) LEFT JOIN h USING (bin)"""))
+def purity_by_bin(spark, sf):
+    b = C.score_bins(_regional(spark, sf)).dropDuplicates(["id", "start", "end", "bin", "no_ip", "no_input"]).withColumn("event_id", F.struct("id", "start", "end"))
+    old = peaks(spark, sf).withColumn("event_id", F.struct(F.col("event_id").alias("id"), F.lit(0).cast("bigint").alias("start"), F.lit(0).cast("bigint").alias("end")))
+    return C.purity_by_bin(b, old, ["event_id"]).select("bin", "n", *r6("purity", "sensitivity"))
+
+
 @query(sql("cov tx", """a AS (SELECT event_id, chrom, strand, s, e FROM cov WHERE lib = 'rep1'), b AS (SELECT event_id, chrom, strand, s, e FROM cov WHERE lib = 'rep2')
 SELECT round((SELECT count(*) FROM a WHERE EXISTS (SELECT 1 FROM b WHERE a.chrom = b.chrom AND a.strand = b.strand AND a.s < b.e AND b.s < a.e)) / (SELECT count(*) FROM a), 6) AS purity,
   round((SELECT count(*) FROM b WHERE EXISTS (SELECT 1 FROM a WHERE a.chrom = b.chrom AND a.strand = b.strand AND a.s < b.e AND b.s < a.e)) / (SELECT count(*) FROM b), 6) AS sensitivity"""))
@@ -758,7 +871,7 @@ def kmer_zscore(spark, sf):
 
 
 @query(sql("sq", ZSCORE + """, q AS (SELECT round(z, 5) AS z, row_number() OVER (ORDER BY round(z, 5), kmer) - 1 AS r, count(*) OVER () AS n FROM zs WHERE z IS NOT NULL),
-g AS (SELECT regr_slope(z, r) AS a, regr_intercept(z, r) AS b FROM q WHERE r < ceil(n / 2)) SELECT round(max(a), 6) AS slope, round(max(b), 4) AS intercept, round(arg_min(z, r) FILTER (r > n / 2 AND z - (a * r + b) > 1), 4) AS cutoff FROM q, g"""))
+g AS (SELECT regr_slope(z, r) AS a, regr_intercept(z, r) AS b FROM q WHERE r < ceil(n / 2)) SELECT round(max(a), 6) AS slope, round(max(b), 4) AS intercept, round(arg_min(z, r) FILTER (r > ceil(n / 2) AND z - (a * r + b) > 1), 4) AS cutoff FROM q, g"""))
 def zscore_elbow(spark, sf):
     """A check against SQL, over the z-scores of kmer_zscore; zscore_elbow_full is over those of kmer_zscore_full."""
     return _elbow(_zscores(spark, sf, 30, 5, False))
@@ -893,6 +1006,50 @@ def ids_not_found(spark, sf):
     return SH.missing_ids(tx.select("id"), S.site_counts(B.sites(spark, sf), tx).select("id").distinct())
 
 
+@query(sql("raw ft", f"""{DE}, g AS (SELECT CAST(split_part(id, '.', 1) AS BIGINT) AS id, CASE WHEN lfc > 1 THEN 'up' ELSE 'down' END AS direction FROM de WHERE padj < 0.05 AND (lfc > 1 OR lfc < -1)),
+pr AS (SELECT id, rp, greatest(sum(CASE WHEN lib = 'rep1' THEN n ELSE 0 END) - sum(CASE WHEN lib = 'ctrl1' THEN n ELSE 0 END), 0)::DOUBLE AS x FROM raw WHERE lib IN ('rep1', 'ctrl1') GROUP BY id, rp),
+sl AS (SELECT id, CASE strand WHEN '-' THEN e - fe ELSE fs - s END AS rs, fe - fs AS len FROM ft WHERE fname = 'exon' AND fs < fe AND id IN (SELECT id FROM pr)),
+c AS (SELECT id, rs, unnest(range(0, least(len, 100))) AS p FROM sl), m AS (SELECT c.id, p AS pos, round(avg(coalesce(x, 0)), 9) AS x FROM c LEFT JOIN pr ON pr.id = c.id AND pr.rp = c.rs + p GROUP BY c.id, p),
+t AS (SELECT d.direction, pos, x, g.direction IS NOT NULL AS ip FROM m CROSS JOIN (SELECT unnest(['up', 'down']) AS direction) d LEFT JOIN g ON g.id = m.id WHERE g.direction IS NULL OR g.direction = d.direction),
+k AS (SELECT direction, pos, x, sum(CASE WHEN ip THEN 1 ELSE 0 END) OVER w AS ca, sum(CASE WHEN ip THEN 0 ELSE 1 END) OVER w AS cb, sum(CASE WHEN ip THEN 1 ELSE 0 END) OVER v AS na, sum(CASE WHEN ip THEN 0 ELSE 1 END) OVER v AS nb
+  FROM t WINDOW w AS (PARTITION BY direction, pos ORDER BY x), v AS (PARTITION BY direction, pos))
+SELECT direction, pos, max(na)::BIGINT AS n_ip, max(nb)::BIGINT AS n_null, round(greatest(max(cb / nb - ca / na), 0), 6) AS d_less, round(greatest(max(ca / na - cb / nb), 0), 6) AS d_greater FROM k WHERE na > 0 AND nb > 0 GROUP BY direction, pos"""))
+def de_group_ks(spark, sf):
+    """Density of transcripts of either direction of change against those of no change, position by position."""
+    from locusflow.config import Settings
+
+    tx = B.transcripts(spark, sf)
+    pairs = BG.paired(S.profile(B.sites(spark, sf), tx), "rep1", ["ctrl1"])
+    values = BG.remove_background(pairs, None, "subtract")
+    w = D.feature_windows(values, B.features(spark, sf).filter("fname = 'exon'"), Settings().length, ("left",))
+    x = D.long(w).filter("x is not null").withColumn("x", F.round("x", 9))
+    groups = SH.expression_groups(_de(spark, sf)).withColumn("id", F.col("id").cast("bigint"))
+    return SH.group_ks(x, groups, ["pos"]).select("direction", F.col("pos").cast("bigint").alias("pos"), "n_ip", "n_null", *r6("d_less", "d_greater"))
+
+
+@query(sql("sq", """s AS (SELECT seq, (id * 37 % 1000) / 1000 AS score FROM sq), m AS (SELECT unnest(['the', 'tion', 'que', 'sch', 'ción']) AS motif),
+x AS (SELECT motif, contains(seq, motif) AS ip, score FROM s, m), c AS (SELECT motif, sum(CASE WHEN ip THEN 1 ELSE 0 END) OVER w AS ca, sum(CASE WHEN ip THEN 0 ELSE 1 END) OVER w AS cb, sum(CASE WHEN ip THEN 1 ELSE 0 END) OVER v AS na, sum(CASE WHEN ip THEN 0 ELSE 1 END) OVER v AS nb
+  FROM x WINDOW w AS (PARTITION BY motif ORDER BY score), v AS (PARTITION BY motif))
+SELECT motif, max(na)::BIGINT AS n_with, max(nb)::BIGINT AS n_without, round(greatest(max(cb / nb - ca / na), 0), 6) AS d_less FROM c WHERE na > 0 AND nb > 0 GROUP BY motif"""))
+def motif_score_ks(spark, sf):
+    """Scores of sequences with a motif against those without it, for each of a list of motifs."""
+    s = B.sequences(spark, sf).select("seq", (F.col("id") * 37 % 1000 / 1000).alias("score"))
+    return K.motif_ks(s, ["the", "tion", "que", "sch", "ción"]).select("motif", F.col("n_ip").alias("n_with"), F.col("n_null").alias("n_without"), *r6("d_less"))
+
+
+@query(sql("al", PILE + """, g AS (SELECT unnest(range(0, 5)) AS chrom), gs AS (SELECT chrom, repeat(substr('ACGTTGCAAC', CAST(chrom AS BIGINT) + 1, 4) || 'GATTACA', 5000) AS seq FROM g),
+w AS (SELECT lib, trun AS n, CASE strand WHEN '+' THEN translate(cut, 'Tt', 'Uu') ELSE translate(reverse(cut), 'ACGTacgt', 'UGCAugca') END AS txt FROM (SELECT pm.*, substr(seq, greatest(pos - 25, 0) + 1, greatest(pos + 25 - greatest(pos - 25, 0), 0)) AS cut FROM pm JOIN gs USING (chrom) WHERE trun > 0)),
+k AS (SELECT lib, n, unnest(list_distinct(list_transform(range(1, length(txt) - 3), lambda i: substr(txt, i, 5)))) AS kmer FROM w WHERE length(txt) >= 5)
+SELECT lib, kmer, sum(n)::BIGINT AS n FROM k WHERE length(kmer) = 5 GROUP BY ALL"""))
+def kmer_from_reads(spark, sf):
+    """k-mers around truncation sites, each sequence as often as its site is hit."""
+    size = 4096
+    g = spark.range(5).select(F.col("id").alias("chrom"), F.repeat(F.concat(F.substring(F.lit("ACGTTGCAAC"), (F.col("id") + 1).cast("int"), F.lit(4)), F.lit("GATTACA")), F.lit(5000)).alias("all"))
+    chunks = g.select("chrom", "all", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(13).cast("bigint"))).alias("chunk")).select("chrom", "chunk", F.substring("all", (F.col("chunk") * size + 1).cast("int"), F.lit(size)).alias("seq"))
+    sites = S.event_sites(R.pileup(B.alignments(spark, sf)), ("trun",))
+    return K.document_frequency(K.site_sequences(sites, chunks, size, 25), 5, ["lib"], "n")
+
+
 # ---- stored signal, plot data, further compositions -----------------------------------------------------------------
 
 from locusflow.operators import motif as M  # noqa: E402
@@ -936,11 +1093,11 @@ def feature_lengths(spark, sf):
     return B.features(spark, sf).groupBy("fname").agg(F.max(F.col("f_end") - F.col("f_start")).alias("width"), F.count(F.lit(1)).alias("n"))
 
 
-@query(sql("rd", PILE + """, w AS (SELECT chrom, pos, strand, sum(trun + mismatch + deletion) FILTER (lib = 'rep1') AS rep1, sum(trun + mismatch + deletion) FILTER (lib = 'rep2') AS rep2, sum(trun + mismatch + deletion) FILTER (lib = 'ctrl1') AS ctrl1
+@query(sql("al", PILE + """, w AS (SELECT chrom, pos, strand, sum(trun + mismatch + deletion) FILTER (lib = 'rep1') AS rep1, sum(trun + mismatch + deletion) FILTER (lib = 'rep2') AS rep2, sum(trun + mismatch + deletion) FILTER (lib = 'ctrl1') AS ctrl1
   FROM pm WHERE trun + mismatch + deletion > 0 AND lib IN ('rep1', 'rep2', 'ctrl1') GROUP BY ALL) SELECT chrom, pos, strand, coalesce(rep1, 0)::BIGINT AS rep1, coalesce(rep2, 0)::BIGINT AS rep2, coalesce(ctrl1, 0)::BIGINT AS ctrl1 FROM w"""))
 def events_by_library(spark, sf):
     """Libraries side by side at each place."""
-    e = S.event_sites(S.pileup(B.reads(spark, sf))).filter("lib in ('rep1', 'rep2', 'ctrl1')")
+    e = S.event_sites(R.pileup(B.alignments(spark, sf))).filter("lib in ('rep1', 'rep2', 'ctrl1')")
     return e.groupBy("chrom", "pos", "strand").pivot("lib", ["rep1", "rep2", "ctrl1"]).agg(F.sum("n")).na.fill(0)
 
 
