@@ -66,28 +66,30 @@ def ks_p(d: float, m: int, n: int, exact: int = EXACT_KS) -> float:
     return float(min(1.0, max(0.0, 1.0 - safe[m])))
 
 
-def wilcoxon_greater(diffs: list[float], exact: int = EXACT_WILCOXON) -> tuple[float, float]:
-    """(R+, p) of the signed-rank test that differences exceed 0; zeros are dropped, ties get average ranks.
+def wilcoxon_p(r: float, n: int, ties: float, zeros: int = 0, exact: int = EXACT_WILCOXON) -> float:
+    """P(R+ >= r) of n signed ranks; ties is the sum of t^3 - t over groups of t equal ranks.
 
-    Exact for up to `exact` differences without zeros and ties, else by the normal approximation.
+    Exact for up to `exact` ranks without ties and zeros, else by the normal approximation.
     """
-    d = np.array([x for x in diffs if x != 0], float)
-    n, zeros = len(d), len(diffs) - len(d)
     if not n:
-        return 0.0, 1.0
-    order = np.sort(np.abs(d))
-    lo, hi = np.searchsorted(order, np.abs(d), "left"), np.searchsorted(order, np.abs(d), "right")
-    rank = (lo + hi + 1) / 2
-    r = float(rank[d > 0].sum())
-    if n <= exact and not zeros and len(np.unique(rank)) == n:
+        return 1.0
+    if n <= exact and not zeros and not ties:
         ways = np.zeros(n * (n + 1) // 2 + 1)
         ways[0] = 1
         for k in range(1, n + 1):
             ways[k:] += ways[:-k].copy()
-        return r, float(ways[math.ceil(r) :].sum() / 2**n)
-    ties = np.unique(np.abs(d), return_counts=True)[1]
-    sd = math.sqrt((n * (n + 1) * (2 * n + 1) - (ties**3 - ties).sum() / 2) / 24)
-    return r, 0.5 * math.erfc((r - n * (n + 1) / 4) / sd / math.sqrt(2))
+        return float(ways[math.ceil(r) :].sum() / 2**n)
+    sd = math.sqrt((n * (n + 1) * (2 * n + 1) - ties / 2) / 24)
+    return 0.5 * math.erfc((r - n * (n + 1) / 4) / sd / math.sqrt(2))
+
+
+def wilcoxon_greater(diffs: list[float], exact: int = EXACT_WILCOXON) -> tuple[float, float]:
+    """(R+, p) of the signed-rank test that differences exceed 0; zeros are dropped, ties get average ranks."""
+    d = np.array([x for x in diffs if x != 0], float)
+    size = np.sort(np.abs(d))
+    lo, hi = np.searchsorted(size, np.abs(d), "left"), np.searchsorted(size, np.abs(d), "right")
+    r = float(((lo + hi + 1) / 2)[d > 0].sum())
+    return r, wilcoxon_p(r, len(d), float(((hi - lo) ** 2 - 1).sum()), len(diffs) - len(d), exact)
 
 
 def beta_inc(a: float, b: float, x: float) -> float:
@@ -185,3 +187,8 @@ def ks_p_udf(d, m, n):
 
 def t_upper_udf(t, df):
     return _udf(t_upper, 2)(t, df)
+
+
+def wilcoxon_p_udf(r, n, ties):
+    """ties below 0 stands for none, but zeros among the differences."""
+    return _udf(lambda r, n, t: wilcoxon_p(r, int(n), max(t, 0.0), int(t < 0)), 3)(r, n, ties)

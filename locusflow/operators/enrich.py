@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,31 +54,28 @@ def fdr(df: DataFrame, keys: list[str], p: str = "pval", ties: list[str] | None
 def wilcoxon_enrichment(x: DataFrame, keys: list[str], sample: Column, drop: int = 0) -> DataFrame:
     """Signed ranks of sorted ip against sorted null values, after the largest are dropped: r_plus and pval ('greater').
 
-    Where the differences sum to 0 the result is (0, 1). One group's sorted differences are one task's.
+    Where the differences sum to 0 the result is (0, 1). Ranks are windows; only one row a group reaches the tail's UDF.
     """
     sides = trimmed(x.withColumn("_ip", sample), [*keys, "_ip"], drop)
     place = F.row_number().over(Window.partitionBy(*keys, "_ip").orderBy("x"))
     pairs = sides.withColumn("_k", place).groupBy(*keys, "_k").agg(F.max(F.when(F.col("_ip"), F.col("x"))).alias("a"), F.max(F.when(~F.col("_ip"), F.col("x"))).alias("b"))
     diffs = pairs.filter("a is not null and b is not null").withColumn("d", F.col("a") - F.col("b"))
-
-    def test(s: pd.Series) -> dict:
-        r, p = (0.0, 1.0) if abs(s.sum()) < 1e-12 else S.wilcoxon_greater(s.tolist())
-        return {"r_plus": r, "pval": p}
-
-    def packed(s: pd.Series) -> str:
-        v = test(s)
-        return f"{v['r_plus']!r},{v['pval']!r}"
-
-    out = diffs.groupBy(*keys).agg(F.pandas_udf(packed, "string")("d").alias("_t"))
-    return out.select(*keys, F.split("_t", ",")[0].cast("double").alias("r_plus"), F.split("_t", ",")[1].cast("double").alias("pval"))
+    whole = diffs.groupBy(*keys).agg(F.sum("d").alias("_sum"), F.count_if(F.col("d") == 0).alias("_zeros"))
+    out = whole.join(signed_rank_statistic(diffs, keys), keys, "left").na.fill(0, ["r_plus", "n", "ties"])
+    ties = F.when((F.col("_zeros") > 0) & (F.col("ties") == 0), -1.0).otherwise(F.col("ties"))
+    flat = F.abs("_sum") < 1e-12
+    p = F.when(flat, 1.0).otherwise(S.wilcoxon_p_udf(F.col("r_plus"), F.col("n").cast("double"), ties))
+    return out.select(*keys, F.when(flat, 0.0).otherwise(F.col("r_plus")).alias("r_plus"), p.alias("pval"))
 
 
 def signed_rank_statistic(diffs: DataFrame, keys: list[str], d: str = "d") -> DataFrame:
-    """R+ and n of nonzero differences, ties at average ranks, in SQL windows only."""
+    """r_plus and n of nonzero differences, ties at average ranks, and ties, the sum of t^3 - t over groups of t equal ones."""
     nz = diffs.filter(F.col(d) != 0).withColumn("_a", F.abs(d))
     w = Window.partitionBy(*keys)
-    rank = F.rank().over(w.orderBy("_a")) + (F.count(F.lit(1)).over(Window.partitionBy(*keys, "_a")) - 1) / 2
-    return nz.withColumn("_r", rank).groupBy(*keys).agg(F.sum(F.when(F.col(d) > 0, F.col("_r")).otherwise(0.0)).alias("r_plus"), F.count(F.lit(1)).alias("n"))
+    nz = nz.withColumn("_t", F.count(F.lit(1)).over(Window.partitionBy(*keys, "_a")))
+    nz = nz.withColumn("_r", F.rank().over(w.orderBy("_a")) + (F.col("_t") - 1) / 2)
+    up = F.sum(F.when(F.col(d) > 0, F.col("_r")).otherwise(0.0))
+    return nz.groupBy(*keys).agg(up.alias("r_plus"), F.count(F.lit(1)).alias("n"), F.sum(F.col("_t") * F.col("_t") - 1).cast("double").alias("ties"))
 
 
 def null_threshold(x: DataFrame, keys: list[str], pos: str = "pos", percentile: float = 0.99) -> DataFrame:

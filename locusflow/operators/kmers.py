@@ -63,15 +63,14 @@ def downsample(rows: DataFrame, key: str, fraction: float, seed: int = 5) -> Dat
     return rows.filter(h < int(fraction * 2**32))
 
 
-def background(seqs: DataFrame, k: int, n: int = 1000, iterations: int = 100, seed: int = 1, shrink: bool = True) -> DataFrame:
+def background(seqs: DataFrame, k: int, n: int = 1000, iterations: int = 100, seed: int = 1) -> DataFrame:
     """kmer, mean and std (sample) of its document frequency over n sampled sequences; iterations without it count as 0.
 
-    Of fewer than n sequences a third is drawn (rounded up); without shrink all of them are, still divided
-    by n. Ids are unique; a sequence is cut into k-mers once, however often it is drawn.
+    Of fewer than n sequences a third is drawn (rounded up). Ids are unique; a sequence is cut into k-mers once, however
+    often it is drawn.
     """
-    if shrink:
-        size = seqs.count()
-        n = n if size >= n else -(-size // 3)
+    size = seqs.count()
+    n = n if size >= n else -(-size // 3)
     drawn = sample(seqs.select("id"), "id", n, iterations, seed).groupBy("id").agg(F.collect_list("iteration").alias("_its"))
     x = seqs.join(drawn, "id").select("_its", F.explode(kmers(F.col("seq"), k)).alias("kmer")).select("kmer", F.explode("_its").alias("iteration"))
     x = x.groupBy("iteration", "kmer").agg((F.count(F.lit(1)) / F.lit(n)).alias("f"))

@@ -589,19 +589,6 @@ def ks_stat(spark, sf):
     return E.ks_statistic(_ks_input(spark, sf), ["grp", "pos"], F.col("ip")).select("grp", "pos", "n_ip", "n_null", *r6("d_less", "d_greater"))
 
 
-@query(sql("vl", """s AS (SELECT rep % 2 = 0 AS ip, id, pos, x FROM vl), q AS (SELECT ip, pos, x, row_number() OVER (PARTITION BY ip, pos ORDER BY md5(id || '-ks')) AS k FROM s),
-f AS (SELECT * FROM q WHERE k <= 40),
-c AS (SELECT pos, sum(CASE WHEN ip THEN 1 ELSE 0 END) OVER w AS ca, sum(CASE WHEN ip THEN 0 ELSE 1 END) OVER w AS cb FROM f WINDOW w AS (PARTITION BY pos ORDER BY x)),
-d AS (SELECT pos, greatest(max(cb - ca), 0) AS h FROM c GROUP BY pos)
-SELECT pos, round(h / 40, 6) AS stat, round(coalesce((SELECT exp(sum(ln((40 - j) / (40 + j + 1)))) FROM range(0, 40) r(j) WHERE j < d.h), 1), 6) AS pval FROM d"""))
-def ks_enrich_equal(spark, sf):
-    """A check of exact p-values against SQL, on 40 hashed rows of either side; ks_enrich_all is the test of all rows."""
-    x = _ks_input(spark, sf)
-    w = Window.partitionBy("ip", "pos").orderBy(F.md5(F.concat(F.col("id").cast("string"), F.lit("-ks"))))
-    x = x.withColumn("k", F.row_number().over(w)).filter("k <= 40")
-    return E.ks_enrichment(x, ["pos"], F.col("ip")).select("pos", *r6("stat", "pval"))
-
-
 @query()
 def ks_enrich_all(spark, sf):
     """All rows of both sides but the five largest of each, with exact p-values, which SQL has not."""
@@ -629,21 +616,23 @@ def bh_fdr(spark, sf):
     return E.fdr(x, ["rep"], ties=["pos"]).select("rep", "pos", *r6("fdr"))
 
 
-@query(sql("vl", """a AS (SELECT rep, pos, x, row_number() OVER (PARTITION BY rep, pos ORDER BY x) AS k FROM vl), d AS (SELECT a.pos, round(a.x - b.x, 9) AS d FROM a JOIN a b ON a.k = b.k AND a.pos = b.pos WHERE a.rep = 0 AND b.rep = 1),
-z AS (SELECT pos, d, rank() OVER (PARTITION BY pos ORDER BY abs(d)) + (count(*) OVER (PARTITION BY pos, abs(d)) - 1) / 2 AS r FROM d WHERE d <> 0)
-SELECT pos, count(*) AS n, round(coalesce(sum(r) FILTER (d > 0), 0), 6)::DOUBLE AS r_plus FROM z GROUP BY pos"""))
+@query(sql("vl", """a AS (SELECT rep, pos, x, row_number() OVER (PARTITION BY rep, pos ORDER BY x) AS k FROM vl), d AS (SELECT a.rep // 2 AS grp, a.pos, round(a.x - b.x, 9) AS d FROM a JOIN a b ON a.k = b.k AND a.pos = b.pos AND b.rep = a.rep + 1 WHERE a.rep % 2 = 0),
+z AS (SELECT grp, pos, d, rank() OVER (PARTITION BY grp, pos ORDER BY abs(d)) + (count(*) OVER (PARTITION BY grp, pos, abs(d)) - 1) / 2 AS r FROM d WHERE d <> 0)
+SELECT grp, pos, count(*) AS n, round(coalesce(sum(r) FILTER (d > 0), 0), 6)::DOUBLE AS r_plus FROM z GROUP BY grp, pos"""))
 def wilcoxon_rplus(spark, sf):
-    x = D.long(B.vectors(spark, sf)).withColumn("pos", F.col("pos").cast("bigint"))
-    x = x.withColumn("k", F.row_number().over(Window.partitionBy("rep", "pos").orderBy("x")))
-    d = x.filter("rep = 0").select("pos", "k", F.col("x").alias("a")).join(x.filter("rep = 1").select("pos", "k", F.col("x").alias("b")), ["pos", "k"])
-    return E.signed_rank_statistic(d.withColumn("d", F.round(F.col("a") - F.col("b"), 9)), ["pos"]).select("pos", "n", *r6("r_plus"))
+    """Sorted values of labels 0, 2, ... against those of labels 1, 3, ..."""
+    x = _ks_input(spark, sf)
+    x = x.withColumn("k", F.row_number().over(Window.partitionBy("grp", "ip", "pos").orderBy("x")))
+    side = lambda ip, n: x.filter("ip" if ip else "not ip").select("grp", "pos", "k", F.col("x").alias(n))
+    d = side(True, "a").join(side(False, "b"), ["grp", "pos", "k"])
+    return E.signed_rank_statistic(d.withColumn("d", F.round(F.col("a") - F.col("b"), 9)), ["grp", "pos"]).select("grp", "pos", "n", *r6("r_plus"))
 
 
 @query()
 def wilcoxon_enrich(spark, sf):
     """With exact or normal p-values and false discovery rates; ranks are those of wilcoxon_rplus."""
-    x = D.long(B.vectors(spark, sf)).filter("rep in (0, 1)").withColumn("pos", F.col("pos").cast("bigint"))
-    return E.fdr(E.wilcoxon_enrichment(x, ["pos"], F.col("rep") == 0, 5), [], ties=["pos"]).select("pos", *r6("r_plus", "pval", "fdr"))
+    t = E.wilcoxon_enrichment(_ks_input(spark, sf), ["grp", "pos"], F.col("ip"), 5)
+    return E.fdr(t, ["grp"], ties=["pos"]).select("grp", "pos", *r6("r_plus", "pval", "fdr"))
 
 
 THRESHOLD = "th AS (SELECT rep, pos, quantile_cont(x, 0.99) AS thr FROM vl GROUP BY ALL)"
@@ -701,10 +690,10 @@ def region_poisson_test(spark, sf):
 
 
 @query(sql("ev tx", REGION + """, f AS (SELECT * FROM p WHERE p < 0.05), s AS (SELECT min(p) AS p1 FROM f), s2 AS (SELECT min(p) AS p2 FROM f, s WHERE p > p1),
-g AS (SELECT id, ip, ctrl, lf, log10(CASE WHEN p = 0 THEN coalesce(p2, p1) ELSE p END * 100) AS lp FROM f, s, s2) SELECT id, ip, ctrl, round(lp, 4) AS log10_padj, round(lf, 6) AS log2_fold FROM g WHERE lp < log10(0.5) AND lf > log2(1.5)"""))
+g AS (SELECT id, ip, ctrl, lf, log10(CASE WHEN p = 0 THEN coalesce(p2, p1) ELSE p END * (SELECT count(*) FROM tx)) AS lp FROM f, s, s2) SELECT id, ip, ctrl, round(lp, 4) AS log10_padj, round(lf, 6) AS log2_fold FROM g WHERE lp < log10(0.5) AND lf > log2(1.5)"""))
 def region_poisson_call(spark, sf):
     t = E.region_tests(_region_counts(spark, sf), *_totals(spark, sf))
-    return E.call_regions(t, 100, 0.5, 1.5).select("id", "ip", "ctrl", F.round("log10_padj", 4).alias("log10_padj"), *r6("log2_fold"))
+    return E.call_regions(t, B.transcripts(spark, sf).count(), 0.5, 1.5).select("id", "ip", "ctrl", F.round("log10_padj", 4).alias("log10_padj"), *r6("log2_fold"))
 
 
 EPS, LEAST = 60, 3
@@ -843,17 +832,17 @@ def kmer_topk(spark, sf):
     return r.select("kmer", "ip_count", *r6("r_value"))
 
 
-ZSCORE = KMERS + """, b AS (SELECT id, seq, role FROM sq WHERE role = 'input'), it AS (SELECT unnest(range(0, 5)) AS iteration),
-h AS (SELECT iteration, id, row_number() OVER (PARTITION BY iteration ORDER BY md5(id || '-' || iteration || '-1')) AS r FROM b, it), pick AS (SELECT iteration, id FROM h WHERE r <= 30),
-f AS (SELECT iteration, kmer, count(*) / 30 AS f FROM pick JOIN km USING (id) GROUP BY ALL), s AS (SELECT kmer, sum(f) AS s, sum(f * f) AS ss FROM f GROUP BY kmer),
-bg AS (SELECT kmer, s / 5 AS mean, sqrt(greatest((ss - 5 * (s / 5) * (s / 5)) / 4, 0)) AS std FROM s),
+ZSCORE = KMERS + """, b AS (SELECT id FROM sq WHERE role = 'input'), sz AS (SELECT CASE WHEN count(*) >= 1000 THEN 1000 ELSE CAST(ceil(count(*) / 3) AS BIGINT) END AS n FROM b), it AS (SELECT unnest(range(0, 100)) AS iteration),
+h AS (SELECT iteration, id, row_number() OVER (PARTITION BY iteration ORDER BY md5(id || '-' || iteration || '-1')) AS r FROM b, it), pick AS (SELECT iteration, id FROM h, sz WHERE r <= n),
+f AS (SELECT iteration, kmer, count(*) / (SELECT n FROM sz) AS f FROM pick JOIN km USING (id) GROUP BY ALL), s AS (SELECT kmer, sum(f) AS s, sum(f * f) AS ss FROM f GROUP BY kmer),
+bg AS (SELECT kmer, s / 100 AS mean, sqrt(greatest((ss - 100 * (s / 100) * (s / 100)) / 99, 0)) AS std FROM s),
 o AS (SELECT kmer, count(*) / (SELECT count(*) FROM sq WHERE role = 'ip') AS f FROM km WHERE role = 'ip' GROUP BY kmer),
 zs AS (SELECT kmer, CASE WHEN std > 0.0000001 THEN (f - mean) / std END AS z FROM o JOIN bg USING (kmer))"""
 
 
-def _zscores(spark, sf, n=1000, iterations=100, shrink=True):
+def _zscores(spark, sf):
     s = B.sequences(spark, sf)
-    bg = K.background(s.filter("role = 'input'").select("id", "seq"), 5, n, iterations, shrink=shrink).withColumn("std", F.when(F.col("std") > 1e-7, F.col("std")).otherwise(0.0))
+    bg = K.background(s.filter("role = 'input'").select("id", "seq"), 5).withColumn("std", F.when(F.col("std") > 1e-7, F.col("std")).otherwise(0.0))
     ip = s.filter("role = 'ip'")
     n = ip.agg(F.count(F.lit(1)).alias("n_all"))
     observed = K.document_frequency(ip, 5).crossJoin(F.broadcast(n)).select("kmer", F.try_divide("n", "n_all").alias("f"))
@@ -866,25 +855,13 @@ def _elbow(z):
 
 @query(sql("sq", ZSCORE + " SELECT kmer, round(z, 5) AS z FROM zs"))
 def kmer_zscore(spark, sf):
-    """A check against SQL, with 5 draws of 30 sequences; kmer_zscore_full has the reference's background."""
-    return _zscores(spark, sf, 30, 5, False).select("kmer", F.round("z", 5).alias("z"))
+    """Over 100 draws of 1,000 sequences, or of a third where there are fewer."""
+    return _zscores(spark, sf).select("kmer", F.round("z", 5).alias("z"))
 
 
 @query(sql("sq", ZSCORE + """, q AS (SELECT round(z, 5) AS z, row_number() OVER (ORDER BY round(z, 5), kmer) - 1 AS r, count(*) OVER () AS n FROM zs WHERE z IS NOT NULL),
 g AS (SELECT regr_slope(z, r) AS a, regr_intercept(z, r) AS b FROM q WHERE r < ceil(n / 2)) SELECT round(max(a), 6) AS slope, round(max(b), 4) AS intercept, round(arg_min(z, r) FILTER (r > ceil(n / 2) AND z - (a * r + b) > 1), 4) AS cutoff FROM q, g"""))
 def zscore_elbow(spark, sf):
-    """A check against SQL, over the z-scores of kmer_zscore; zscore_elbow_full is over those of kmer_zscore_full."""
-    return _elbow(_zscores(spark, sf, 30, 5, False))
-
-
-@query()
-def kmer_zscore_full(spark, sf):
-    """Over 100 draws of 1,000 sequences, or of a third where there are fewer."""
-    return _zscores(spark, sf).select("kmer", F.round("z", 5).alias("z"))
-
-
-@query()
-def zscore_elbow_full(spark, sf):
     return _elbow(_zscores(spark, sf))
 
 
