@@ -1,14 +1,15 @@
 """Benchmark decontamination by templates.
 
-Words become template tokens: numbers, units after a number and names turn into typed placeholders. Windows of WINDOW
-template tokens of the benchmark items are looked up for every window of every document. Matches on one diagonal
-(document position minus item position) that cover COVERAGE of the item's windows, or RUN of its words, mark the pair:
-at once if RUN words in a row, or COVERAGE of the windows, are literally alike, slots included; else if the slots are
-consistent: one value in the item always stands for one value in the document. So an item counts as found when its text
-was copied, in full or nearly, and also when only its numbers and names were changed.
-
-The benchmark is taken in blocks of at most BLOCK_BYTES of text, each sent to the tasks and held against all documents;
-documents are never shuffled.
+Words become template tokens: numbers, units after a number and names (a run of them is one) turn into typed
+placeholders. Windows of WINDOW tokens of the benchmark items are looked up for every window of every document. Matches on
+one diagonal (document position minus item position), or on diagonals within SHIFT of each other where words were put in or
+left out, that cover COVERAGE of the item's windows, or RUN of its words, mark the pair: at once if RUN words in a row, or
+COVERAGE of the windows, are literally alike, slots included; else if the slots are consistent: one value in the item
+always stands for one value in the document. So an item counts as found when its text was copied, in full or nearly, and
+also when only its numbers and names were changed.
+
+The benchmark is taken in blocks of at most BLOCK_BYTES of text, each sent to the tasks and held against all documents in
+a scan of its own; documents are never shuffled.
 """
 
 from __future__ import annotations
@@ -23,9 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locusflow.llm.common import Numbers, Scratch, WordHashes, chunks, mix, without_rows
+from locusflow.llm.common import Numbers, Scratch, WordHashes, chunks, mix, tidy, without_rows
 
-WINDOW, COVERAGE, RUN = 8, 0.5, 13
+WINDOW, COVERAGE, RUN, SHIFT = 8, 0.5, 13, 3
 #: Words, and a quarter of the match, that must be literally alike where slots differ.
 LITERAL = 4
 BLOCK_BYTES = 8 << 20
@@ -35,8 +36,20 @@ UNITS = frozenset(
     b" week weeks month months year years dollar dollars euro euros cent cents pound pounds usd eur percent degree degrees"
     b" mph kmh kph watt watts volt volts".split()
 )
+#: Words that begin sentences and are no names for their capital.
+OPENERS = frozenset(
+    b"a an the this that these those there it its he she they we you i his her their our your my one two three all both each every"
+    b" some any no many most few if when while where what which who whose whom why how as after before because since until although"
+    b" though and but or so then yet for of in on at by to from with without into over under between during is are was were do does"
+    b" did has have had can could will would shall should may might must let find given suppose calculate compute determine consider"
+    b" write explain describe name choose select assume now also not only here le la les un une des ce cette ces il elle ils elles nous"
+    b" vous je on et mais ou si quand comme dans pour par sur avec sans que qui der die das den dem ein eine einen es er sie wir ihr"
+    b" ich und aber oder wenn als wie auf mit von zu bei nach el los las una esto esta este ella ellos nosotros yo y pero o cuando"
+    b" como en con sin por para que".split()
+)
 NUMBER, UNIT, NAME, WORD = 1, 2, 3, 0
 DIGIT = re.compile(rb"[0-9]")
+MARKS = tuple(bytes([c]) for c in b".,;:!?")
 STRIP = b".,;:!?\"'()[]{}$%#*&|<>"
 SCHEMA = "doc_id long, item_id long, n_windows long, n_item_windows long, doc_word long, n_slots long, n_changed_slots long, kind string"
 
@@ -44,13 +57,13 @@ SCHEMA = "doc_id long, item_id long, n_windows long, n_item_windows long, doc_wo
 class Templates:
     """Template codes of words: number, unit and name placeholders or the word's own hash."""
 
-    def __init__(self, bound: int = 300_000):
+    def __init__(self, bound: int = 150_000):
         self.bound = bound
         self.clear()
 
     def clear(self) -> None:
         self.at = Numbers()
-        # hash of the lower-cased core, hash of the core as written, kind, whether the word ends a sentence
+        # hash of the lower-cased core, hash of the core as written, kind, whether a mark ends a run of names after the word
         self.known = [np.zeros(0, np.int64) for _ in range(4)]
 
     def learn(self, words: list[bytes]) -> None:
@@ -60,19 +73,21 @@ class Templates:
             core = raw.strip(STRIP) or raw
             if core.isalpha():
                 low = core.lower()
-                kind = UNIT if low in UNITS else NAME if core != low and core[1:] == low[1:] else WORD
+                named = core != low and core[1:] == low[1:]
+                kind = UNIT if low in UNITS else NAME if named and low not in OPENERS else WORD
             else:
                 s = core.decode("utf-8", "replace")
                 small = s.lower()
                 low = small.encode()
-                kind = NUMBER if DIGIT.search(core) else UNIT if low in UNITS else NAME if s[:1] != small[:1] and s[1:] == small[1:] else WORD
-            rows[i] = h[low], h[core], kind, raw[-1:] in (b".", b"!", b"?")
+                named = s[:1] != small[:1] and s[1:] == small[1:]
+                kind = NUMBER if DIGIT.search(core) else UNIT if low in UNITS else NAME if named and low not in OPENERS else WORD
+            rows[i] = h[low], h[core], kind, raw[-1:] in MARKS
         self.known = [np.concatenate([k, rows[:, c]]) for c, k in enumerate(self.known)]
 
-    def of(self, words: list[bytes], starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(template code, kind, value) of each word; starts: where texts begin.
+    def of(self, words: list[bytes], starts: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(template code, kind, value, first word) of each token and (hash) of each word; starts: where texts begin.
 
-        A capital makes a name only inside a sentence, and a unit only follows a number.
+        A unit only follows a number. Names that follow each other in one text, no mark between, are one token.
         """
         if len(self.at) > self.bound:
             self.clear()
@@ -80,15 +95,21 @@ class Templates:
         if self.at.new:
             self.learn(self.at.new)
             self.at.new = []
-        code, value, kind, end = (k[at] for k in self.known)
+        low, value, kind, end = (k[at] for k in self.known)
         starts = starts[starts < len(at)]
-        first, after = np.ones(len(at), bool), np.zeros(len(at), bool)
-        first[1:] = end[:-1] == 1
+        first, after = np.zeros(len(at), bool), np.zeros(len(at), bool)
         after[1:] = kind[:-1] == NUMBER
         first[starts], after[starts] = True, False
-        plain = (kind == WORD) | ((kind == NAME) & first) | ((kind == UNIT) & ~after)
-        kind = np.where(plain, WORD, kind)
-        return np.where(plain, code, kind).view(np.uint64), kind, value
+        kind = np.where((kind == UNIT) & ~after, WORD, kind)
+        if not len(at):
+            return low.view(np.uint64), kind, value, at, low
+        more = np.zeros(len(at), bool)
+        more[1:] = (kind[1:] == NAME) & (kind[:-1] == NAME) & (end[:-1] == 0)
+        token = np.flatnonzero(~(more & ~first))
+        step = np.arange(len(at)) - np.repeat(token, np.diff(np.append(token, len(at))))
+        value = np.add.reduceat(mix(value.view(np.uint64) + step.astype(np.uint64)), token).view(np.int64)
+        kind = kind[token]
+        return np.where(kind == WORD, low[token], kind).view(np.uint64), kind, value, token, low
 
 
 def windows(code: np.ndarray, k: int) -> np.ndarray:
@@ -99,9 +120,8 @@ def windows(code: np.ndarray, k: int) -> np.ndarray:
 
 
 def consistent(item: np.ndarray, doc: np.ndarray) -> bool:
-    """Whether each value in the item stands for one value in the document, and the other way round."""
-    pairs = len(set(zip(item.tolist(), doc.tolist(), strict=True)))
-    return pairs == len(set(item.tolist())) == len(set(doc.tolist()))
+    """Whether each value in the item stands for one value in the document; two may stand for the same."""
+    return len(set(zip(item.tolist(), doc.tolist(), strict=True))) == len(set(item.tolist()))
 
 
 def copied(alike: np.ndarray, width: int, total: int) -> bool:
@@ -122,16 +142,16 @@ class Index:
             words = (text or "").encode().split()
             if not words:
                 continue
-            code, kind, value = t.of(words, np.zeros(1, np.int64))
-            w = windows(code, min(width, len(words)))
-            self.items.append((code, kind, value, len(w)))
+            code, kind, value, first, low = t.of(words, np.zeros(1, np.int64))
+            w = windows(code, min(width, len(code)))
+            self.items.append((code, kind, value, len(w), first, low))
             self.ids.append(item_id)
-            if len(words) >= width:
+            if len(code) >= width:
                 hashes.append(w)
                 at.append(np.stack([np.full(len(w), len(self.ids) - 1), np.arange(len(w))]))
             else:  # an item shorter than a window is looked for as a whole, in windows of its own length
                 self.short = getattr(self, "short", {})
-                self.short.setdefault(len(words), []).append((w[0], len(self.ids) - 1))
+                self.short.setdefault(len(code), []).append((w[0], len(self.ids) - 1))
         h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
         p = np.concatenate(at, axis=1) if at else np.zeros((2, 0), np.int64)
         order = np.argsort(h, kind="stable")
@@ -147,7 +167,7 @@ class Index:
         out += [np.flatnonzero(np.isin(windows(code, size), np.array([h for h, _ in entries]))) for size, entries in self.short.items()]
         return np.concatenate(out)
 
-    def find(self, code: np.ndarray, kind: np.ndarray, value: np.ndarray):
+    def find(self, code: np.ndarray, kind: np.ndarray, value: np.ndarray, first: np.ndarray, low: np.ndarray):
         """Rows of (item, matched windows, item windows, first word, slots, changed slots, kind) of one document."""
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         w = windows(code, self.width)
@@ -170,36 +190,66 @@ class Index:
         if not found:
             return
         item, where, pos = (np.concatenate(x) for x in zip(*found, strict=True))
-        best: dict[int, tuple] = {}
         diag = where - pos
         order = np.lexsort((where, diag, item))
         item, where, diag = item[order], where[order], diag[order]
         cut = np.flatnonzero((np.diff(item) != 0) | (np.diff(diag) != 0)) + 1
-        for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(item)], strict=True):
-            i, d, got = int(item[a]), int(diag[a]), b - a
-            c, ki, vi, total = self.items[i]
-            width = min(self.width, len(c))
-            if got < COVERAGE * total and got + width - 1 < RUN:
+        lines = [(int(item[a]), int(diag[a]), where[a:b]) for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(item)], strict=True)]
+        best: dict[int, tuple] = {}
+        for i, d, at in lines:
+            if row := self.judge(i, [(d, at)], code, kind, value, first, low):
+                best[i] = max(best.get(i, row), row)
+        # Items that no single diagonal shows: diagonals near each other, in one stretch of the document.
+        for a, (i, d, at) in enumerate(lines):
+            if i in best:
                 continue
-            lo, hi = int(where[a]), int(where[b - 1]) + width  # words that the matches span
-            fits, word = code[lo:hi] == c[lo - d : hi - d], kind[lo:hi] == WORD
-            same = np.flatnonzero(fits & ~word) + lo
-            slots, there = vi[same - d], value[same]
-            changed = int((slots != there).sum())
-            if changed and not copied(fits & (word | (value[lo:hi] == vi[lo - d : hi - d])), width, total):
-                if not consistent(slots, there) or int((fits & word).sum()) < max(LITERAL, (hi - lo) // 4):
-                    continue  # placeholders alone fit anything
-            row = (got, -changed, -lo, total, len(same))
-            best[i] = max(best.get(i, row), row)
-        for i, (got, changed, lo, total, slots) in sorted(best.items()):
-            yield self.ids[i], got, total, -lo, slots, -changed, "changed" if changed else "copied"
+            near = [(d, at)]
+            for j, e, other in lines[a + 1 :]:
+                if j != i or e > d + SHIFT:
+                    break
+                if abs(int(other[0]) - int(at[0])) <= len(self.items[i][0]) + SHIFT:
+                    near.append((e, other))
+            if len(near) > 1 and (row := self.judge(i, near, code, kind, value, first, low)):
+                best[i] = max(best.get(i, row), row)
+        for i, (got, changed, word, total, slots) in sorted(best.items()):
+            yield self.ids[i], got, total, -word, slots, -changed, "changed" if changed else "copied"
+
+    def judge(self, i: int, lines: list[tuple[int, np.ndarray]], code, kind, value, first, low) -> tuple | None:
+        """(matched windows, -changed slots, -first word, item windows, slots) where the windows on these diagonals mark item i."""
+        c, ki, vi, total, mine, words = self.items[i]
+        width = min(self.width, len(c))
+        got = len(np.unique(np.concatenate([at - d for d, at in lines])))
+        spans = [(int(at[0]), int(at[-1]) + width, d) for d, at in lines]
+        begin, stop = min(a for a, *_ in spans), max(b for _, b, _ in spans)
+        ends = np.append(first, len(low))
+        if got < COVERAGE * total and int(ends[stop] - ends[begin]) < RUN:
+            return None
+        slots, there, literal, whole = [], [], 0, False
+        for a, b, d in spans:
+            fits, word = code[a:b] == c[a - d : b - d], kind[a:b] == WORD
+            same = np.flatnonzero(fits & ~word) + a
+            slots.append(vi[same - d])
+            there.append(value[same])
+            literal += int((fits & word).sum())
+            if not whole:  # word by word, from the matches' first plain word on
+                anchor = np.flatnonzero(fits & word)
+                shift = int(first[a + anchor[0]] - mine[a - d + anchor[0]]) if len(anchor) else int(first[a] - mine[a - d])
+                x, y = max(0, -shift), min(len(words), len(low) - shift)
+                whole = y > x and copied(low[x + shift : y + shift] == words[x:y], min(self.width, len(words)), total)
+        slots, there = np.concatenate(slots), np.concatenate(there)
+        changed = int((slots != there).sum())
+        if changed and not whole:
+            if not consistent(slots, there) or literal < max(LITERAL, (stop - begin) // 4):
+                return None  # placeholders alone fit anything
+        return got, -changed, -int(first[begin]), total, len(slots)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
     """One row for each document and benchmark item found in it, with its best diagonal (SCHEMA).
 
     Null or empty texts match nothing, in either table; equal items are all reported; documents of equal id are reported
-    each on its own; items under WINDOW words must match as a whole. Other columns are not read.
+    each on its own, and those without id too, with a null id; items under WINDOW tokens must match as a whole. Other columns
+    are not read.
     """
     return _keyed(docs, benchmark, width).drop("text_key")
 
@@ -223,24 +273,31 @@ def _against(docs: DataFrame, items: list[tuple[int, str]], width: int) -> DataF
 
     def run(batches):
         gc.disable()  # the memory of words has no cycles, only many objects to go over
+        try:
+            yield from held(batches)
+        finally:
+            gc.enable()
+
+    def held(batches):
         index, templates = Index(shared.value, width), Templates()
         for (ids,), texts in chunks(batches, "text", ["doc_id"]):
             split = [t.split() for t in texts]
             ends = np.cumsum([0, *map(len, split)])
-            code, kind, value = templates.of(list(chain.from_iterable(split)), ends[:-1])
-            docs = np.unique(np.searchsorted(ends, index.near(code), side="right") - 1)
+            code, kind, value, first, low = templates.of(list(chain.from_iterable(split)), ends[:-1])
+            cut = np.searchsorted(first, ends)
+            docs = np.unique(np.searchsorted(cut, index.near(code), side="right") - 1)
             rows = []
             for i in docs.tolist():
-                a, b = ends[i], ends[i + 1]
+                a, b, x, y = cut[i], cut[i + 1], ends[i], ends[i + 1]
                 key = hashlib.sha256(texts[i]).digest()
-                rows += [(ids[i], *r, key) for r in index.find(code[a:b], kind[a:b], value[a:b])]
+                rows += [(ids[i], *r, key) for r in index.find(code[a:b], kind[a:b], value[a:b], first[a:b] - x, low[x:y])]
             cols = list(zip(*rows, strict=True)) or [[]] * 9
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, {7: pa.string(), 8: pa.binary()}.get(k, pa.int64())) for k, c in enumerate(cols)],
                 names=[*(x.split()[0] for x in SCHEMA.split(", ")), "text_key"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA + ", text_key binary")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), SCHEMA + ", text_key binary")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, scratch: Scratch | None = None) -> DataFrame:

@@ -2,7 +2,8 @@
 
 A page is read as one run of tags and text. Block-level tags end a block; each block has its words, its link density,
 those of the blocks before and after it, and what surrounds it (article, menu, form, comments, ...). A CART tree, trained
-on the small labelled table LABELLED, tells main text from the rest.
+on the blocks of the labelled pages of html_labelled, tells main text from the rest. A page on which it finds none gives the
+blocks that no menu, form, advert or the like surrounds and that are not links, so a short page is not empty.
 """
 
 from __future__ import annotations
@@ -14,9 +15,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from locusflow.llm.common import chunks
+from locusflow.llm.common import chunks, tidy
+from locusflow.llm.html_labelled import MARK, PAGES
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
+#: A quote opens a value only after an equals sign, so one that stands elsewhere swallows nothing.
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z))?+)*+)(?:>|\Z)", re.S)
 #: Elements whose content is no text of the page.
 RAW = frozenset("script style noscript template iframe object svg math canvas audio video textarea select option datalist head title".split())
 RAW_TEXT = frozenset("script style textarea title iframe".split())  # whose content has no tags
@@ -31,13 +34,15 @@ MAIN = frozenset("article main".split())
 #: Words in class or id that name something beside the article.
 BESIDE = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|banner|sponsor\w*|promo\w*|cookie\w*|consent|gdpr|notice|alert|popup|modal|overlay|"
-    r"nav|navbar|navigation|menu|breadcrumb\w*|sidebar\w*|side|aside|widget\w*|footer|foot|header|masthead|topbar|toolbar|"
+    r"nav|navbar|navigation|menu|breadcrumb\w*|sidebar\w*|aside|widget\w*|footer|header|masthead|topbar|toolbar|"
     r"comment\w*|disqus|replies|respond|share|sharing|social|related|recommend\w*|newsletter|subscri\w*|signup|login|search|"
-    r"form|pagination|pager|tags|copyright|legal|disclaimer)(?:$|[\s_-])", re.I
+    r"pagination|pager|copyright)(?:$|[\s_-])", re.I
 )
-ROLES = re.compile(r"\brole\s*=\s*[\"']?(?:navigation|banner|contentinfo|complementary|search|form|dialog|alert|menu)", re.I)
-HIDDEN = re.compile(r"\shidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none|visibility\s*:\s*hidden", re.I)
-ATTRIBUTE = re.compile(r"\b(?:class|id)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+#: Words in class or id of an element that holds the article where a page has neither article nor main.
+CONTENT = re.compile(r"(?:^|\s)(?:content|main|main-content|page-content|(?:post|entry|article|story)(?:-?(?:content|body|text))?|articlebody)(?:$|\s)", re.I)
+ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
+HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>]+)))?")
 #: Elements that an opening block tag closes when they are still open (HTML's implied end tags).
 IMPLIED = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "p": {"p"}}
 #: What can stand in a head; text or any other tag ends one that is open (HTML lets </head> be left out).
@@ -47,112 +52,125 @@ FEATURES = ("words", "links", "words_before", "links_before", "words_after", "li
 
 
 def _kind(tag: str, attrs: str) -> int:
-    """What an element makes of its content: bits 1 raw or hidden, 2 main, 4 boilerplate element, 8 named as beside."""
-    k = 0
-    if tag in RAW or (attrs and HIDDEN.search(attrs)):
-        k |= 1
-    if tag in MAIN or (attrs and re.search(r"\brole\s*=\s*[\"']?main\b", attrs, re.I)):
-        k |= 2
-    if tag in BOILER or (attrs and ROLES.search(attrs)):
-        k |= 4
-    if attrs and tag not in ("html", "body", "article", "main"):
-        for m in ATTRIBUTE.finditer(attrs):
-            if BESIDE.search(" ".join(x for x in m.groups() if x)):
-                k |= 8
+    """What an element makes of its content: bits 1 raw or hidden, 2 main, 4 boilerplate element, 8 named as beside, 16 named as content."""
+    k = (tag in RAW) | (tag in MAIN) << 1 | (tag in BOILER) << 2
+    if not attrs:
+        return k
+    for name, *values in ATTRIBUTE.findall(attrs):
+        name, value = name.lower(), "".join(values)
+        if name == "hidden" or (name == "aria-hidden" and value.strip().lower() == "true") or (name == "style" and HIDING.search(value)):
+            k |= 1
+        elif name == "role":
+            roles = value.lower().split()
+            k |= 2 * ("main" in roles) | 4 * (not ROLES.isdisjoint(roles))
+        elif name in ("class", "id") and tag not in ("html", "body", "article", "main"):
+            k |= 8 * (BESIDE.search(value) is not None) | 16 * (CONTENT.search(value) is not None)
     return k
 
 
+class Open:
+    """The open elements: tag and bits of the surroundings of each, and where each tag and the block elements stand."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, int]] = []
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+        self.bits = self.links = 0
+
+    def push(self, tag: str, own: int) -> None:
+        self.places.setdefault(tag, []).append(len(self.stack))
+        if tag not in INLINE:
+            self.blocks.append(len(self.stack))
+        self.stack.append((tag, self.bits))
+        self.bits |= own
+        self.links += tag == "a"
+
+    def close(self, at: int) -> None:
+        """Ends the element at this place and all in it."""
+        while len(self.stack) > at:
+            tag, self.bits = self.stack.pop()
+            self.places[tag].pop()
+            if tag not in INLINE:
+                self.blocks.pop()
+            self.links -= tag == "a"
+
+    def last(self, tag: str) -> int:
+        """The place of the innermost element of this tag, or -1."""
+        return self.places[tag][-1] if self.places.get(tag) else -1
+
+    def top(self) -> str:
+        return self.stack[-1][0] if self.stack else ""
+
+    def imply(self, ended: set[str]) -> None:
+        """Ends block elements of these tags, as long as the innermost block is one, inline elements in them included."""
+        while self.blocks and self.stack[self.blocks[-1]][0] in ended:
+            self.close(self.blocks[-1])
+
+
 def blocks(page: str) -> list[tuple[str, float, int]]:
     """(text, share of its characters in links, context bits) of each block that has text."""
     out: list[tuple[str, float, int]] = []
-    stack: list[tuple[str, int, int]] = []  # tag, own bits, bits of the surroundings
-    bits = links = at = 0
+    now = Open()
     text: list[str] = []
-    in_link: list[int] = []
+    in_link = block_bits = 0
+
+    def add(piece: str) -> None:
+        nonlocal in_link, block_bits
+        if piece and now.top() == "head" and not piece.isspace():
+            now.close(now.last("head"))
+        if not piece or now.bits & 1:
+            return
+        if not text:
+            block_bits = now.bits
+        text.append(piece)
+        in_link += len(piece) * (now.links > 0)
 
     def end() -> None:
         nonlocal text, in_link
         if text:
-            whole = SPACE.sub(" ", html.unescape("".join(text))).strip()
+            raw = "".join(text)
+            whole = SPACE.sub(" ", html.unescape(raw)).strip()
             if whole:
-                raw = sum(map(len, text))
-                out.append((whole, sum(in_link) / max(raw, 1), block_bits))
-            text, in_link = [], []
-
-    def end_head() -> None:
-        nonlocal bits, links
-        i = next(i for i, s in enumerate(stack) if s[0] == "head")
-        bits = stack[i][2]
-        links -= sum(s[0] == "a" for s in stack[i:])
-        del stack[i:]
-
-    block_bits = 0
-    find = TOKEN.finditer
-    pos, size = 0, len(page)
-    lower = None
+                out.append((whole, in_link / max(len(raw), 1), block_bits))
+            text, in_link = [], 0
+
+    pos, size, lower = 0, len(page), None
     while pos < size:
-        jumped = False
-        for m in find(page, pos):
-            a, b = m.span()
-            if a > pos and stack and stack[-1][0] == "head" and not page[pos:a].isspace():
-                end_head()
-            if a > pos and not bits & 1:
-                piece = page[pos:a]
-                if not text:
-                    block_bits = bits
-                text.append(piece)
-                if links:
-                    in_link.append(len(piece))
-            pos = b
-            tag = m.group(2)
-            if tag is None:
-                continue
-            tag, closing, attrs = tag.lower(), m.group(1), m.group(3)
-            if bits & 1 and not closing and tag not in IN_HEAD and (stack[-1][0] == "head" or (tag == "body" and any(s[0] == "head" for s in stack))):
-                end_head()
-            if tag == "br":
-                if text:
-                    text.append(" ")
-                continue
-            if tag not in INLINE:
-                end()
-            if closing:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == tag:
-                        if tag in INLINE and any(s[0] not in INLINE for s in stack[i + 1 :]):
-                            break  # an inline end tag does not close blocks
-                        bits = stack[i][2]
-                        links -= sum(s[0] == "a" for s in stack[i:])
-                        del stack[i:]
-                        break
-                continue
-            if tag in VOID or (attrs and attrs.endswith("/") and tag not in INLINE and tag not in RAW and not tag.isalpha()):
-                continue
-            if tag in IMPLIED:
-                while stack and (stack[-1][0] in IMPLIED[tag] or stack[-1][0] in INLINE) and any(s[0] in IMPLIED[tag] for s in stack[-8:]):
-                    s = stack.pop()
-                    bits = s[2]
-                    links -= s[0] == "a"
-            own = _kind(tag, attrs) if attrs or tag in RAW or tag in MAIN or tag in BOILER else 0
-            stack.append((tag, own, bits))
-            bits |= own
-            links += tag == "a"
-            if tag in RAW_TEXT:
-                lower = page.lower() if lower is None else lower
-                stop = lower.find(f"</{tag}", b)
-                pos = size if stop < 0 else stop
-                jumped = True
-                break
-        else:
-            if pos < size and stack and stack[-1][0] == "head" and not page[pos:].isspace():
-                end_head()
-            if pos < size and not bits & 1:
-                if not text:
-                    block_bits = bits
-                text.append(page[pos:])
-            pos = size
-        if not jumped:
+        m = TOKEN.search(page, pos)
+        if m is None:
             break
+        a, b = m.span()
+        add(page[pos:a])
+        pos = b
+        tag = m.group(2)
+        if tag is None:
+            continue
+        tag, closing, attrs = tag.lower(), m.group(1), m.group(3)
+        head = now.last("head")
+        if head >= 0 and not closing and tag not in IN_HEAD and (now.top() == "head" or tag == "body"):
+            now.close(head)
+        if tag == "br":
+            if text:
+                text.append(" ")
+            continue
+        if tag not in INLINE:
+            end()
+        if closing:
+            at = now.last(tag)
+            # An inline end tag does not close blocks.
+            if at >= 0 and not (tag in INLINE and now.blocks and now.blocks[-1] > at):
+                now.close(at)
+            continue
+        if tag in VOID or (attrs and attrs.endswith("/") and tag not in INLINE and tag not in RAW and not tag.isalpha()):
+            continue
+        if tag in IMPLIED:
+            now.imply(IMPLIED[tag])
+        now.push(tag, _kind(tag, attrs) if attrs or tag in RAW or tag in MAIN or tag in BOILER else 0)
+        if tag in RAW_TEXT:
+            lower = page.lower() if lower is None else lower
+            stop = lower.find(f"</{tag}", b)
+            pos = size if stop < 0 else stop
+    add(page[pos:])
     end()
     return out
 
@@ -168,55 +186,22 @@ def features(found: list[tuple[str, float, int]]) -> np.ndarray:
     x[1:, 2:4] = x[:-1, :2]
     x[:-1, 4:6] = x[1:, :2]
     bits = np.array([b for _, _, b in found])
-    x[:, 6], x[:, 7], x[:, 8] = bits >> 1 & 1, bits >> 2 & 1, bits >> 3 & 1
-    x[:, 9] = (bits & 2).any()
+    main = bits >> 1 & 1 if (bits & 2).any() else bits >> 4 & 1
+    x[:, 6], x[:, 7], x[:, 8] = main, bits >> 2 & 1, bits >> 3 & 1
+    x[:, 9] = main.any()
     return x
 
 
-#: Labelled blocks: FEATURES (`title` is whether the page has a main element at all), then 1 for main text.
-LABELLED = (
-    # pages with an article element: its blocks of any length are main text, what is outside is not
-    (120, 0.00, 90, 0.0, 80, 0.0, 1, 0, 0, 1, 1), (60, 0.00, 8, 0.0, 45, 0.0, 1, 0, 0, 1, 1), (8, 0.00, 12, 0.0, 60, 0.0, 1, 0, 0, 1, 1),
-    (1, 0.00, 50, 0.0, 70, 0.0, 1, 0, 0, 1, 1), (2, 0.00, 1, 0.0, 2, 0.0, 1, 0, 0, 1, 1), (3, 1.00, 40, 0.0, 30, 0.0, 1, 0, 0, 1, 1),
-    (30, 0.40, 25, 0.0, 55, 0.1, 1, 0, 0, 1, 1), (15, 0.05, 1, 1.0, 15, 0.0, 1, 0, 0, 1, 1), (200, 0.02, 200, 0.0, 4, 0.0, 1, 0, 0, 1, 1),
-    (7, 0.00, 5, 0.0, 12, 0.0, 1, 0, 0, 1, 1), (90, 0.00, 60, 0.0, 9, 0.0, 1, 0, 0, 1, 1), (5, 0.00, 30, 0.0, 6, 0.0, 1, 0, 0, 1, 1),
-    (1, 1.00, 1, 1.0, 1, 1.0, 0, 1, 0, 1, 0), (1, 1.00, 0, 0.0, 1, 1.0, 0, 1, 0, 1, 0), (3, 0.00, 1, 1.0, 40, 0.0, 0, 1, 0, 1, 0),
-    (9, 0.00, 1, 1.0, 8, 0.0, 0, 0, 1, 1, 0), (25, 0.00, 1, 1.0, 10, 0.0, 0, 0, 1, 1, 0), (40, 0.00, 3, 1.0, 60, 0.0, 0, 0, 1, 1, 0),
-    (8, 0.00, 70, 0.0, 0, 0.0, 0, 1, 0, 1, 0), (30, 0.10, 90, 0.0, 0, 0.0, 0, 1, 0, 1, 0), (5, 0.00, 2, 1.0, 6, 0.0, 0, 0, 0, 1, 0),
-    (50, 0.00, 60, 0.0, 3, 1.0, 0, 0, 0, 1, 0), (12, 0.50, 4, 1.0, 20, 0.0, 0, 0, 0, 1, 0), (80, 0.00, 80, 0.0, 80, 0.0, 0, 0, 0, 1, 0),
-    (35, 0.00, 60, 0.0, 28, 0.0, 1, 0, 1, 1, 0), (18, 0.00, 45, 0.0, 5, 0.0, 1, 1, 0, 1, 0), (4, 1.00, 70, 0.0, 4, 1.0, 1, 0, 1, 1, 0),
-    (6, 0.00, 20, 0.0, 35, 0.0, 1, 1, 0, 1, 0), (60, 0.00, 60, 0.0, 60, 0.0, 1, 0, 1, 1, 0), (2, 0.00, 2, 0.0, 2, 0.0, 1, 1, 1, 1, 0),
-    # pages without one: long blocks of few links, and short ones between such
-    (85, 0.00, 70, 0.0, 90, 0.0, 0, 0, 0, 0, 1), (40, 0.05, 30, 0.0, 60, 0.0, 0, 0, 0, 0, 1), (22, 0.00, 8, 0.0, 45, 0.0, 0, 0, 0, 0, 1),
-    (6, 0.00, 50, 0.0, 70, 0.0, 0, 0, 0, 0, 1), (3, 0.00, 35, 0.0, 90, 0.0, 0, 0, 0, 0, 1), (12, 0.10, 40, 0.0, 30, 0.0, 0, 0, 0, 0, 1),
-    (150, 0.20, 5, 0.0, 2, 0.0, 0, 0, 0, 0, 1), (30, 0.00, 1, 1.0, 3, 0.0, 0, 0, 0, 0, 1), (18, 0.00, 20, 0.0, 22, 0.0, 0, 0, 0, 0, 1),
-    (8, 0.00, 2, 1.0, 60, 0.0, 0, 0, 0, 0, 1), (5, 0.00, 1, 1.0, 35, 0.0, 0, 0, 0, 0, 1), (20, 0.00, 60, 0.0, 1, 1.0, 0, 0, 0, 0, 1),
-    (1, 1.00, 1, 1.0, 1, 1.0, 0, 0, 0, 0, 0), (2, 1.00, 30, 0.0, 2, 1.0, 0, 0, 0, 0, 0), (25, 0.90, 20, 0.8, 25, 0.9, 0, 0, 0, 0, 0),
-    (40, 0.70, 60, 0.0, 3, 1.0, 0, 0, 0, 0, 0), (3, 0.00, 2, 1.0, 2, 1.0, 0, 0, 0, 0, 0), (4, 0.00, 1, 1.0, 3, 0.0, 0, 0, 0, 0, 0),
-    (6, 0.00, 1, 1.0, 5, 1.0, 0, 0, 0, 0, 0), (30, 0.00, 40, 0.0, 20, 0.0, 0, 1, 0, 0, 0), (60, 0.00, 80, 0.0, 40, 0.0, 0, 0, 1, 0, 0),
-    (9, 0.00, 70, 0.0, 0, 0.0, 0, 1, 0, 0, 0), (5, 0.00, 3, 1.0, 80, 0.0, 0, 0, 1, 0, 0), (15, 0.00, 90, 0.0, 15, 0.0, 0, 0, 1, 0, 0),
-)
-
-
-
-
-def _grid() -> list[tuple]:
-    """Blocks of pages without marks of structure, labelled by hand's rule: main text is longer, or beside longer text, and not links."""
-    rows = []
-    sides = ((0, 0.0), (1, 1.0), (4, 0.0), (40, 0.0), (90, 0.05))
-    for words in (2, 8, 20, 60, 180):
-        for links in (0.0, 0.1, 0.6, 1.0):
-            for before in sides:
-                for after in sides:
-                    near = any(w >= 12 and d < 0.4 for w, d in (before, after))
-                    rows.append((words, links, *before, *after, 0, 0, 0, 0, int(links < 0.4 and (words >= 12 or near))))
-    return rows
+def labelled(page: str) -> tuple[np.ndarray, np.ndarray]:
+    """FEATURES of the blocks of a labelled page, and whether each is main text: its text starts with MARK."""
+    found = blocks(page)
+    return features([(t.removeprefix(MARK), d, b) for t, d, b in found]), np.array([t.startswith(MARK) for t, _, _ in found], float)
 
 
 SURROUNDINGS, TEXT = (7, 8, 9, 6), (1, 0, 2, 3, 4, 5)
 
 
-def grow(x: np.ndarray, y: np.ndarray, least: int = 1):
+def grow(x: np.ndarray, y: np.ndarray, least: int = 2):
     """A CART tree by Gini impurity: a share, or (feature, threshold, below or equal, above).
 
     The surroundings are split on first, as long as that lowers the impurity by a twentieth; then the text.
@@ -255,16 +240,19 @@ def judge(tree, x: np.ndarray) -> np.ndarray:
     return out
 
 
-def train():
-    table = np.array([*LABELLED, *_grid()], float)
-    return grow(table[:, :-1], table[:, -1])
+def train(pages: tuple[str, ...] = PAGES):
+    x, y = zip(*map(labelled, pages), strict=True)
+    return grow(np.concatenate(x), np.concatenate(y))
 
 
 def main_text(page: str, tree) -> str:
     found = blocks(page)
     if not found:
         return ""
-    keep = judge(tree, features(found)) >= 0.5
+    x = features(found)
+    keep = judge(tree, x) >= 0.5
+    if not keep.any():
+        keep = (x[:, 7] == 0) & (x[:, 8] == 0) & (x[:, 1] < 0.5)
     return "\n".join(t for (t, _, _), k in zip(found, keep, strict=True) if k)
 
 
@@ -282,4 +270,4 @@ def extract_pages(pages: DataFrame) -> DataFrame:
             cols = [pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array(out, pa.string()), pa.array(map(len, out), pa.int64())]
             yield pa.RecordBatch.from_arrays(cols, names=["page_id", "url", "text", "n_chars"])
 
-    return pages.select("page_id", "url", "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return pages.select("page_id", "url", "html").mapInArrow(tidy(run), "page_id long, url string, text string, n_chars long")

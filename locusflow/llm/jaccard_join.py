@@ -9,10 +9,10 @@ Sets of word shingles (64-bit hashes) link when den * |A and B| >= num * |A or B
   gives one key (tile, part, sum of the part's hashes) for each other one. Parts hold several shingles, so a passage or
   word that many documents share does not make keys equal.
 * Nodes of equal key are candidates. A node's home is the smallest node of any of its keys (and that one's home, twice),
-  so a family of near copies mostly has one home. Homes are cut into blocks bounded in nodes and bytes, and each node's
-  elements are sent to its block once, a home's own to each of its blocks. Within a block all pairs of fitting sizes and
-  different components are compared: bitmaps bound their overlap from above, what passes is intersected exactly, and a
-  block gives one edge less than its nodes at most.
+  so a family of near copies mostly has one home. Homes are cut into blocks bounded in nodes and bytes, and each node is
+  sent to its block once, a home's own to each of its blocks. Within a block all pairs of fitting sizes and different
+  components are compared, first by bitmaps, which bound their overlap from above; only nodes with a partner that passes
+  send their elements, which are intersected exactly. A block gives one edge less than its nodes at most.
 * What is left are keys whose nodes are in several blocks and, by now, several components. Each pair of blocks that such
   a key spans is a tile; it gets the nodes of these keys, once each, and is solved like a block. A pair within one
   component needs no test: it changes no component.
@@ -23,16 +23,16 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from locusflow.llm.common import BROADCAST_IDS, Scratch, WordHashes, chunks, mix, shingles, small_batches, tidy, without_ids
 
 BAND = 1.5
-#: Bits of a bitmap for each element of the largest set of a block, least and most; up to FEW sets go without.
-BITS_EACH, BITS, FEW = 6, (256, 1 << 16), 4
+#: Bits of a bitmap for each element, least and most (a power of two).
+BITS_EACH, BITS = 4, (256, 1 << 16)
 #: Nodes and bytes of elements that a block holds at most (on average where a home is cut into blocks by hash).
-BLOCK, BLOCK_BYTES = 1024, 4 << 20
+BLOCK, BLOCK_BYTES = 4096, 16 << 20
 #: Sets of a task that are remembered, so that copies give no keys again; a bound on memory only.
 SEEN = 50_000
 NONE = np.zeros(0, np.int64)
@@ -81,13 +81,21 @@ class Tiles:
         return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def bitmap(sets: np.ndarray, width: int) -> np.ndarray:
-    """A bitmap of the elements' hashes with this many bits (a power of two), as 64-bit words."""
+def bitmap(sets: np.ndarray) -> np.ndarray:
+    """A bitmap of the elements' hashes, BITS_EACH bits an element or more, as 64-bit words."""
+    width = min(max(BITS[0], 1 << max(BITS_EACH * len(sets) - 1, 1).bit_length()), BITS[1])
     bits = np.zeros(width, np.uint8)
     bits[(mix(sets ^ np.uint64(0x5851F42D4C957F2D)) & np.uint64(width - 1)).astype(np.int64)] = 1
     return np.packbits(bits).view(np.uint64)
 
 
+def fold(bits: np.ndarray, words: int) -> np.ndarray:
+    """The bitmap that the same elements have in fewer bits."""
+    while len(bits) > words:
+        bits = bits[: len(bits) // 2] | bits[len(bits) // 2 :]
+    return bits
+
+
 def text_sets(texts: list[bytes], k: int, hashes: WordHashes):
     """The sorted shingle set of each text; A-Z count as a-z."""
     split = [t.lower().split() for t in texts]
@@ -151,7 +159,7 @@ def _shared(keyed: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
-    """node, size, elements (sorted, packed) of the documents that are nodes."""
+    """node, size, bits, elements (sorted, packed) of the documents that are nodes."""
     want = nodes.select(F.col("node").alias("_node"))
     picked = docs.select("doc_id", "text").join(_small(want), F.col("doc_id") == F.col("_node"), "left_semi")
 
@@ -159,10 +167,13 @@ def _sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
         hashes = WordHashes(1)
         for (ids,), texts in chunks(batches, "text", ["doc_id"]):
             sets = list(text_sets(texts, k, hashes))
-            cols = [pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, names=["node", "size", "elements"])
+            cols = [
+                pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
+                pa.array([bitmap(s).tobytes() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary()),
+            ]
+            yield pa.RecordBatch.from_arrays(cols, names=["node", "size", "bits", "elements"])
 
-    return picked.mapInArrow(tidy(run), "node long, size long, elements binary")
+    return picked.mapInArrow(tidy(run), "node long, size long, bits binary, elements binary")
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -175,72 +186,122 @@ def _least(x, y, num: int, den: int):
     return -(-num * (x + y) // (den + num))
 
 
+def possible_in(comp: np.ndarray, side: np.ndarray, size: np.ndarray, bits: list[np.ndarray], num: int, den: int) -> np.ndarray:
+    """Which sets have a partner, on another side (or side is 0 for all) and in another component, that their bitmaps let link."""
+    order = np.argsort(size, kind="stable")
+    comp, side, size, bits = comp[order], side[order], size[order], [bits[i] for i in order]
+    ends = np.searchsorted(size, size * den // num, side="right")
+    words = np.array([len(b) for b in bits])
+    twice, found = bool(side.any()), np.zeros(len(size), bool)
+    for w in np.unique(words).tolist():  # sets that can link have as many bits or twice as many
+        mine = np.flatnonzero((words == w) | (words == 2 * w))
+        table = np.stack([fold(bits[i], w) for i in mine])
+        count = np.bitwise_count(table).sum(1, dtype=np.int64)
+        stop = np.searchsorted(mine, ends[mine])
+        for k in range(int((words[mine] == w).sum())):
+            r, c = mine[k], np.arange(k + 1, stop[k])
+            other = mine[c]
+            fits = comp[other] != comp[r]
+            if twice:
+                fits &= side[other] != side[r]
+            if found[r]:
+                fits &= ~found[other]
+            c, other = c[fits], other[fits]
+            if not len(c):
+                continue
+            both = np.bitwise_count(table[c] & table[k]).sum(1, dtype=np.int64)
+            most = np.minimum(size[r] - count[k], size[other] - count[c]) + both
+            if (hit := other[most >= _least(size[other], size[r], num, den)]).size:
+                found[r] = found[hit] = True
+    out = np.zeros(len(size), bool)
+    out[order] = found
+    return out
+
+
 def links_in(comp: np.ndarray, side: np.ndarray, sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
     """Pairs of components that links between the sets join, at most one less than there are components.
 
-    comp has the component of each set so far. Two sets are compared if they are on different sides (or side is 0 for
-    all) and in different components by then: bitmaps bound their overlap from above, and if that leaves room for a link
-    the sorted elements are intersected.
+    comp has the component of each set so far; sets are compared as in possible_in, and no more once they are in one
+    component.
     """
     order = np.argsort([len(s) for s in sets], kind="stable")
     sets = [sets[i] for i in order]
     comp, side = comp[order].copy(), side[order]
     size = np.array([len(s) for s in sets], np.int64)
     ends = np.searchsorted(size, size * den // num, side="right")
-    twice = bool(side.any())
-    words = 0
-    if len(sets) > FEW:
-        width = min(max(BITS[0], 1 << int(BITS_EACH * size[-1] - 1).bit_length()), BITS[1])
-        bits = np.stack([bitmap(s, width) for s in sets])
-        words, count = bits.shape[1], np.bitwise_count(bits).sum(1, dtype=np.int64)
-    out = []
-    for r in range(len(sets) - 1):
-        c = np.arange(r + 1, ends[r])
-        c = c[(comp[c] != comp[r]) & (side[c] != side[r])] if twice else c[comp[c] != comp[r]]
-        if not len(c):
-            continue
-        need = _least(size[c], size[r], num, den)
-        if words:
-            both = np.bitwise_count(bits[c] & bits[r]).sum(1, dtype=np.int64)
-            most = np.minimum(size[r] - count[r], size[c] - count[c]) + both
-            c, need = c[most >= need], need[most >= need]
-        for d, n in zip(c.tolist(), need.tolist(), strict=True):
-            if comp[d] == comp[r]:
+    bits = [bitmap(s) for s in sets]
+    words = np.array([len(b) for b in bits])
+    twice, out = bool(side.any()), []
+    for w in np.unique(words).tolist():
+        mine = np.flatnonzero((words == w) | (words == 2 * w))
+        table = np.stack([fold(bits[i], w) for i in mine])
+        count = np.bitwise_count(table).sum(1, dtype=np.int64)
+        stop = np.searchsorted(mine, ends[mine])
+        for k in range(int((words[mine] == w).sum())):
+            r, c = mine[k], np.arange(k + 1, stop[k])
+            other = mine[c]
+            fits = comp[other] != comp[r]
+            if twice:
+                fits &= side[other] != side[r]
+            c, other = c[fits], other[fits]
+            if not len(c):
                 continue
-            both = np.concatenate([sets[r], sets[d]])
-            both.sort(kind="stable")
-            if int(np.count_nonzero(both[1:] == both[:-1])) >= n:
-                lo, hi = sorted((int(comp[r]), int(comp[d])))
-                out.append((lo, hi))
-                comp[comp == hi] = lo
+            both = np.bitwise_count(table[c] & table[k]).sum(1, dtype=np.int64)
+            need = _least(size[other], size[r], num, den)
+            pick = np.minimum(size[r] - count[k], size[other] - count[c]) + both >= need
+            for d, n in zip(other[pick].tolist(), need[pick].tolist(), strict=True):
+                if comp[d] == comp[r]:
+                    continue
+                pair = np.concatenate([sets[r], sets[d]])
+                pair.sort(kind="stable")
+                if int(np.count_nonzero(pair[1:] == pair[:-1])) >= n:
+                    lo, hi = sorted((int(comp[r]), int(comp[d])))
+                    out.append((lo, hi))
+                    comp[comp == hi] = lo
     return out
 
 
-def _links(members: DataFrame, by: list[str], num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of components that links within the groups of `by` join. members: by, side, comp, elements."""
+def _groups(batches, names: list[str]):
+    """(group, columns) of rows that come sorted by group, one group at a time; binary columns stay Arrow scalars."""
+    last, held = None, []
+    for b in batches:
+        cols = [b.column(c) if pa.types.is_binary(b.schema.field(c).type) else b.column(c).to_pylist() for c in names]
+        for group, *row in zip(b.column("group").to_pylist(), *cols, strict=True):
+            if group != last:
+                if len(held) > 1:
+                    yield last, list(zip(*held, strict=True))
+                last, held = group, []
+            held.append([x.as_py() if isinstance(x, pa.Scalar) else x for x in row])
+    if len(held) > 1:
+        yield last, list(zip(*held, strict=True))
 
-    def run(batches):
-        last, held = None, []
 
-        def flush():
-            if len(held) < 2:
-                return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 2, names=["a", "b"])
-            comp, side, sets = zip(*held, strict=True)
-            found = links_in(np.array(comp), np.array(side), [np.frombuffer(e, np.uint64) for e in sets], num, den)
-            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*found, strict=True) if found else ((), ()))], names=["a", "b"])
+def _dealt(rows: DataFrame) -> DataFrame:
+    return rows.repartition("group").sortWithinPartitions("group")
 
-        for b in batches:
-            groups = zip(*(b.column(c).to_pylist() for c in by), strict=True)
-            for group, *row in zip(groups, b.column("side").to_pylist(), b.column("comp").to_pylist(), b.column("elements"), strict=True):
-                if group != last:
-                    yield flush()
-                    last, held = group, []
-                side, comp, elements = row
-                held.append((comp, side, elements.as_py()))
-        yield flush()
 
-    dealt = members.select(*by, "side", "comp", "elements").repartition(*by).sortWithinPartitions(*by)
-    return dealt.mapInArrow(tidy(run), "a long, b long")
+def _links(members: DataFrame, sets: DataFrame, num: int, den: int, scratch: Scratch, name: str) -> DataFrame:
+    """Pairs (a, b) of components that links within the groups join. members: group, side, node, comp; stored tables."""
+
+    def near(batches):
+        for group, (side, node, comp, size, bits) in _groups(batches, ["side", "node", "comp", "size", "bits"]):
+            keep = possible_in(np.array(comp), np.array(side), np.array(size), [np.frombuffer(b, np.uint64) for b in bits], num, den)
+            cols = [np.full(int(keep.sum()), group), np.array(side)[keep], np.array(node)[keep], np.array(comp)[keep]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64()), strict=True)], names=["group", "side", "node", "comp"])
+
+    def link(batches):
+        for _, (side, comp, elements) in _groups(batches, ["side", "comp", "elements"]):
+            found = links_in(np.array(comp), np.array(side), [np.frombuffer(e, np.uint64) for e in elements], num, den)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*found, strict=True) if found else ((), ()))], names=["a", "b"])
+
+    with small_batches(sets.sparkSession):
+        about = _small(members).join(sets.select("node", "size", "bits"), "node").select("group", "side", "node", "comp", "size", "bits")
+        likely = scratch.keep(_dealt(about).mapInArrow(tidy(near), "group long, side int, node long, comp long"), f"{name}-likely")
+        scratch.release()
+        whole = _small(likely).join(sets.select("node", "elements"), "node").select("group", "side", "comp", "elements")
+        out = scratch.keep(_dealt(whole).mapInArrow(tidy(link), "a long, b long"), name)
+    scratch.release()
+    return out
 
 
 def components(edges: DataFrame, scratch: Scratch, label: str) -> DataFrame:
@@ -295,16 +356,12 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     homes = _homes(shared, scratch)
     sets = scratch.keep(_sets(docs, homes, k), "sets")
     blocks = scratch.keep(_blocks(homes, sets), "blocks")
-    with small_batches(spark):
-        links = scratch.keep(_links(_in_blocks(blocks, sets), ["home", "part"], num, den), "links")
-    scratch.release()
+    links = _links(scratch.keep(_in_blocks(blocks), "members"), sets, num, den, scratch, "links")
     comps = scratch.keep(components(links.unionByName(_one_node(rows, homes)), scratch, "first"), "comps")
 
     tiles = _tiles(shared, blocks, comps, scratch)
     if not tiles.isEmpty():
-        with small_batches(spark):
-            across = scratch.keep(_links(_small(tiles).join(sets.select("node", "elements"), "node"), ["x", "y"], num, den), "links-across")
-        scratch.release()
+        across = _links(tiles, sets, num, den, scratch, "links-across")
         if not across.isEmpty():
             known = comps.filter("node <> comp").select(F.col("comp").alias("a"), F.col("node").alias("b"))
             comps = scratch.keep(components(known.unionByName(across), scratch, "second"), "comps-across")
@@ -328,36 +385,47 @@ def _homes(shared: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.keep(homes, "homes")
 
 
+def _block(home: Column, part: Column) -> Column:
+    """A block's number. Blocks that should share one would only be one larger block."""
+    return F.xxhash64(home, part)
+
+
 def _blocks(homes: DataFrame, sets: DataFrame) -> DataFrame:
-    """node, home, part, parts: homes of many nodes or bytes are cut into parts of about BLOCK nodes, BLOCK_BYTES at most."""
+    """node, home, parts, block: homes of many nodes or bytes are cut into parts of about BLOCK nodes, BLOCK_BYTES at most."""
     load = sets.select("node", "size").join(homes, "node").groupBy("home").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("elements"))
     parts = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("elements") * 8 / BLOCK_BYTES)).cast("int")
     load = load.select("home", parts.alias("parts"))
-    return homes.join(load, "home").select("node", "home", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), "parts")
+    part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    return homes.join(load, "home").select("node", "home", "parts", _block(F.col("home"), part).alias("block"))
 
 
-def _in_blocks(blocks: DataFrame, sets: DataFrame) -> DataFrame:
-    """home, part, side, comp, elements of every node once, and of a home that is cut in each of its parts."""
+def _in_blocks(blocks: DataFrame) -> DataFrame:
+    """group, side, node, comp: every node in its block, and of a home that is cut in each of its blocks."""
     cut = blocks.filter("parts > 1").select("home", "parts").distinct()
-    cut = cut.select(F.col("home").alias("node"), "home", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    return _small(blocks.select("node", "home", "part").unionByName(cut)).join(sets, "node").select("home", "part", F.lit(0).alias("side"), F.col("node").alias("comp"), "elements")
+    cut = cut.select("home", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).select(_block(F.col("home"), F.col("part")).alias("group"), F.col("home").alias("node"))
+    every = blocks.select(F.col("block").alias("group"), "node").unionByName(cut)
+    return every.select("group", F.lit(0).alias("side"), "node", F.col("node").alias("comp"))
 
 
 def _tiles(shared: DataFrame, blocks: DataFrame, comps: DataFrame, scratch: Scratch) -> DataFrame:
-    """x, y, node, side, comp: nodes of two blocks that share a key there while the key's nodes are in several components."""
-    about = blocks.join(comps, "node", "left").select("node", F.struct("home", "part").alias("block"), F.coalesce("comp", "node").alias("comp"))
-    about = scratch.keep(about, "about")
+    """group, side, node, comp: nodes of two blocks that share a key there while the key's nodes are in several components."""
+    about = scratch.keep(blocks.select("node", "block").join(comps, "node", "left").select("node", "block", F.coalesce("comp", "node").alias("comp")), "about")
     rest = shared.select("key", "node").join(_small(about), "node")
-    member = F.xxhash64("node", F.lit(17)).cast("decimal(38,0)")
     edges = [f(c).alias(f"{n}_{c}") for c in ("comp", "block") for n, f in (("lo", F.min), ("hi", F.max))]
-    keys = rest.groupBy("key").agg(*edges, F.count(F.lit(1)).alias("n"), F.sum(F.hash("node").cast("long")).alias("h1"), F.sum(member).alias("h2"))
-    keys = keys.filter("lo_comp < hi_comp and lo_block < hi_block").groupBy("n", "h1", "h2").agg(F.min("key").alias("key"))  # equal member lists once
-    keys = scratch.keep(keys.select("key"), "open")
+    keys = rest.groupBy("key").agg(*edges).filter("lo_comp < hi_comp and lo_block < hi_block").select("key")
+    keys = scratch.keep(keys, "open")
+    rest = scratch.keep(rest.join(_small(keys), "key"), "open-rows")
+    # Of keys with equal lists of members one will do.
+    lists = rest.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum(F.hash("node").cast("long")).alias("h1"), F.bit_xor(F.xxhash64("node", F.lit(17))).alias("h2"))
+    keys = scratch.keep(lists.groupBy("n", "h1", "h2").agg(F.min("key").alias("key")).select("key"), "lists")
     rest = scratch.keep(rest.join(_small(keys), "key"), "rest")
     side = lambda b, s: rest.groupBy("key", F.col("block").alias(b)).agg(F.min("comp").alias(f"lo_{s}"), F.max("comp").alias(f"hi_{s}"))
     pairs = side("x", 0).join(side("y", 1), "key").filter("x < y and least(lo_0, lo_1) < greatest(hi_0, hi_1)").select("key", "x", "y")
     pairs = scratch.keep(pairs, "pairs")
-    ends = [rest.join(pairs.withColumn("block", F.col(b)), ["key", "block"]).select("x", "y", "node", F.lit(s).alias("side"), "comp") for s, b in enumerate("xy")]
+    ends = [
+        rest.join(pairs.select("key", F.col(b).alias("block"), F.xxhash64("x", "y").alias("group")), ["key", "block"]).select("group", F.lit(s).alias("side"), "node", "comp")
+        for s, b in enumerate("xy")
+    ]
     return scratch.keep(ends[0].unionByName(ends[1]).distinct(), "tiles")
 
 

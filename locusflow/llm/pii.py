@@ -150,7 +150,7 @@ def proposals(text: Column) -> Column:
 
 
 def settled(spans: Column) -> Column:
-    """Proposals without those beside the base that overlap a base span, or repeat an earlier proposal's place."""
+    """Proposals without those beside the base that overlap a base span."""
     over = lambda a, b: (a["start"] < b["end"]) & (b["start"] < a["end"])
     base = F.filter(spans, lambda s: s["base"])
     return let(base, lambda b: F.concat(b, F.filter(spans, lambda s: ~s["base"] & ~F.exists(b, lambda o: over(s, o)))))

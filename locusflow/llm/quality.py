@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from locusflow.llm.common import Scratch, chunks, without_rows
+from locusflow.llm.common import Scratch, chunks, tidy, without_rows
 
 #: Frequent function words of the four languages in the corpus.
 FUNCTION_WORDS = frozenset(
@@ -93,7 +93,7 @@ def text_features(docs: DataFrame, id_col: str = "doc_id", keyed: bool = False)
             key = [pa.array([hashlib.sha256(t).digest() for t in texts], pa.binary())] if keyed else []
             yield pa.RecordBatch.from_arrays([pa.array(ids), *(pa.array(c, pa.int64()) for c in cols), *key], names=[id_col, *FEATURES, *["text_key"][: len(key)]])
 
-    return docs.select(id_col, "text").mapInArrow(run, f"{id_col} {kind}, " + ", ".join(f"{f} long" for f in FEATURES) + (", text_key binary" if keyed else ""))
+    return docs.select(id_col, "text").mapInArrow(tidy(run), f"{id_col} {kind}, " + ", ".join(f"{f} long" for f in FEATURES) + (", text_key binary" if keyed else ""))
 
 
 def ratio(a: str, b: str) -> Column:

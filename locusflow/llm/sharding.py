@@ -43,17 +43,18 @@ def numbered(df: DataFrame, order: list[str], scratch: Scratch, name: str = "num
 
     Equal keys are ordered by the other listed columns; rows alike in all of them are interchangeable.
     """
-    ranged = scratch.keep(df.repartitionByRange(*order).withColumn("pid", F.spark_partition_id()), name)
+    pid, first = (next(n for n in (f"{base}{'_' * i}" for i in range(len(df.columns) + 1)) if n not in df.columns) for base in ("_pid", "_first"))
+    ranged = scratch.keep(df.repartitionByRange(*order).withColumn(pid, F.spark_partition_id()), name)
     # One row for each partition, however many rows there are.
-    counts = sorted((r["pid"], r["n"]) for r in ranged.groupBy("pid").agg(F.count(F.lit(1)).alias("n")).collect())
+    counts = sorted((r[pid], r["n"]) for r in ranged.groupBy(pid).agg(F.count(F.lit(1)).alias("n")).collect())
     offsets, total = [], 0
-    for pid, n in counts:
-        offsets.append((pid, total))
+    for p, n in counts:
+        offsets.append((p, total))
         total += n
     spark = df.sparkSession
-    starts = spark.createDataFrame(offsets or [(0, 0)], "pid int, first long")
-    local = F.row_number().over(Window.partitionBy("pid").orderBy(*order)) - 1
-    out = ranged.join(F.broadcast(starts), "pid").withColumn("row_number", F.col("first") + local).drop("pid", "first")
+    starts = spark.createDataFrame(offsets or [(0, 0)], f"{pid} int, {first} long")
+    local = F.row_number().over(Window.partitionBy(pid).orderBy(*order)) - 1
+    out = ranged.join(F.broadcast(starts), pid).withColumn("row_number", F.col(first) + local).drop(pid, first)
     return out, total
 
 
@@ -61,8 +62,10 @@ def shard_rows(df: DataFrame, order: list[str], shards: int, seed: int = 20, scr
     """df with `row_number`, `shard` (int) and `slot` (long).
 
     Nulls in the order columns sort first; repeated rows each get a place of their own; an empty table gives no rows.
-    Extra columns pass through, but for the three names above, which must not occur in df.
+    Extra columns pass through; the three names above must not occur in df, which is checked.
     """
+    if clash := {"row_number", "shard", "slot"} & set(df.columns):
+        raise ValueError(f"columns {sorted(clash)} are names of the result")
     scratch = scratch or Scratch(df.sparkSession, "shard")
     rows, total = numbered(df, order, scratch)
 

@@ -16,8 +16,9 @@ into buckets without losing a repeat:
    span to remove. Intervals with one left extension are part of the interval one byte before.
 4. Spans meet the texts again, which are cut and hashed.
 
-Rows between the steps are packed arrays, one a bucket and flush; there are as many buckets as shuffle partitions, and a
-task holds one bucket's arrays, never its texts.
+Rows between the steps are packed arrays, one a bucket and flush. There is a bucket for each BUCKET_BYTES of text, and as
+many as shuffle partitions at least; a task holds one bucket's arrays, never its texts, and of an anchor with many
+contexts it writes out and sorts only the suffixes that begin alike, a set at a time.
 """
 
 from __future__ import annotations
@@ -30,12 +31,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from locusflow.llm.common import Scratch, chunks, mix
+from locusflow.llm.common import Scratch, chunks, mix, tidy
 
 LENGTH, K = 50, 20
 STEP = 2 << 20
 #: Contexts that a task gathers before it sends them on.
 FLUSH = 1_000_000
+#: Text bytes that a bucket is for; contexts hashed, and suffixes sorted, at a time.
+BUCKET_BYTES, CONTEXTS_AT_ONCE, SUFFIXES = 64 << 20, 50_000, 200_000
 ODD = np.uint64(0xD6E8FEB86659FD93)
 RECORD = (("h", "<u4", 4), ("c", "<u8", 6), ("doc", "<i8", 8), ("tag", "<u4", 4), ("lo", "<u4", 4), ("off", "u1", 1), ("span", "u1", 1))
 SPAN = (("doc", "<i8", 8), ("tag", "<u4", 4), ("lo", "<u4", 4), ("end", "<u4", 4))
@@ -274,7 +277,7 @@ def _find(docs: DataFrame, length: int, k: int, buckets: int, tagged: bool) -> D
         if held:
             yield flush()
 
-    return docs.select("doc_id", "text").mapInArrow(run, ROWS)
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), ROWS)
 
 
 def _settle(rows: DataFrame, length: int, buckets: int) -> DataFrame:
@@ -310,7 +313,7 @@ def _settle(rows: DataFrame, length: int, buckets: int) -> DataFrame:
                 yield out.batch()
         yield out.batch()
 
-    return _deal(rows, buckets).mapInArrow(run, ROWS)
+    return _deal(rows, buckets).mapInArrow(tidy(run), ROWS)
 
 
 def _with_texts(texts: DataFrame, rows: DataFrame, buckets: int) -> DataFrame:
@@ -337,7 +340,7 @@ def _contexts(texts: DataFrame, wanted: DataFrame, length: int, width: int, buck
                 yield out.batch()
         yield out.batch()
 
-    return _with_texts(texts, wanted, buckets).mapInArrow(run, ROWS)
+    return _with_texts(texts, wanted, buckets).mapInArrow(tidy(run), ROWS)
 
 
 def interval_spans(suffix: np.ndarray, rest: np.ndarray, doc: np.ndarray, left: np.ndarray, length: int) -> np.ndarray:
@@ -418,6 +421,45 @@ def interval_spans(suffix: np.ndarray, rest: np.ndarray, doc: np.ndarray, left:
     return out
 
 
+def _shared(body: np.ndarray, span: np.ndarray, doc: np.ndarray, length: int):
+    """(context, place) of the suffixes whose first `length` bytes several documents have, in sets of about SUFFIXES or of one
+    such string: only suffixes that begin alike can have a repeat, and only these are written out.
+    """
+    rng = np.random.default_rng(13)
+    table = rng.integers(0, 1 << 63, 256, dtype=np.uint64)
+    power = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(body.shape[1], ODD)]))
+    inverse = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(body.shape[1], np.uint64(pow(int(ODD), -1, 1 << 64)))]))
+    rows, places, codes = [], [], []
+    for a in range(0, len(body), CONTEXTS_AT_ONCE):
+        part, most = body[a : a + CONTEXTS_AT_ONCE], span[a : a + CONTEXTS_AT_ONCE]
+        total = np.zeros((len(part), body.shape[1] + 1), np.uint64)
+        np.cumsum(table[part] * power[:-1], axis=1, out=total[:, 1:])
+        for at in range(int(most.max()) + 1 if len(most) else 0):
+            has = np.flatnonzero(most >= at)
+            rows.append(has + a)
+            places.append(np.full(len(has), at, np.int16))
+            codes.append(mix((total[has, at + length] - total[has, at]) * inverse[at]))
+    if not rows:
+        return
+    row, at, code = np.concatenate(rows), np.concatenate(places), np.concatenate(codes)
+    del rows, places, codes
+    order = np.argsort(code, kind="stable")
+    row, at, code = row[order], at[order], code[order]
+    start = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+    size = np.diff(np.concatenate([start, [len(code)]]))
+    d = doc[row]
+    keep = np.repeat(np.minimum.reduceat(d, start) < np.maximum.reduceat(d, start), size)
+    row, at, code = row[keep], at[keep].astype(np.int64), code[keep]
+    if not len(row):
+        return
+    bounds = np.append(np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])), len(code))
+    i = 0
+    while i < len(bounds) - 1:
+        j = max(i + 1, int(np.searchsorted(bounds, bounds[i] + SUFFIXES, side="right")) - 1)
+        yield row[bounds[i] : bounds[j]], at[bounds[i] : bounds[j]]
+        i = j
+
+
 def _repeats(contexts: DataFrame, length: int, width: int, buckets: int) -> DataFrame:
     """Spans of repeats inside contexts; the interval tree of each bucket."""
 
@@ -426,22 +468,21 @@ def _repeats(contexts: DataFrame, length: int, width: int, buckets: int) -> Data
         for _, blobs in _whole(batches):
             x = unpack(FIELDS[CONTEXTS], blobs[CONTEXTS])
             body, span = x["body"], x["span"].astype(np.int64)
-            row = np.repeat(np.arange(len(span)), span + 1)
-            at = np.arange(len(row)) - np.repeat(np.cumsum(span + 1) - span - 1, span + 1)
-            padded = np.zeros((len(body), 2 * width), np.uint8)
-            padded[:, :width] = body
-            suffix = np.lib.stride_tricks.sliding_window_view(padded, width, axis=1)[row, at]
-            left = body[row, np.maximum(at - 1, 0)].astype(np.int64)
-            left[at == 0] = -1
-            got = interval_spans(suffix, span[row] + length - at, x["doc"][row], left, length)
-            hit = got > 0
-            row, lo = row[hit], x["lo"][row[hit]].astype(np.int64) + at[hit]
-            out.add(SPANS, _dbucket(x["doc"][row], buckets), {"doc": x["doc"][row], "tag": x["tag"][row], "lo": lo, "end": lo + got[hit]})
+            for row, at in _shared(body, span, x["doc"], length):
+                padded = np.zeros((len(row), 2 * width), np.uint8)
+                padded[:, :width] = body[row]
+                suffix = np.lib.stride_tricks.sliding_window_view(padded, width, axis=1)[np.arange(len(row)), at]
+                left = body[row, np.maximum(at - 1, 0)].astype(np.int64)
+                left[at == 0] = -1
+                got = interval_spans(suffix, span[row] + length - at, x["doc"][row], left, length)
+                hit = got > 0
+                of, lo = row[hit], x["lo"][row[hit]].astype(np.int64) + at[hit]
+                out.add(SPANS, _dbucket(x["doc"][of], buckets), {"doc": x["doc"][of], "tag": x["tag"][of], "lo": lo, "end": lo + got[hit]})
             if out.count >= FLUSH:
                 yield out.batch()
         yield out.batch()
 
-    return _deal(contexts, buckets).mapInArrow(run, ROWS)
+    return _deal(contexts, buckets).mapInArrow(tidy(run), ROWS)
 
 
 def merged(lo: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -470,7 +511,7 @@ def _cut(texts: DataFrame, spans: DataFrame, buckets: int, tagged: bool, with_te
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=False)], names=names[: len(cols)])
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_text else "")
-    return _with_texts(texts, spans, buckets).mapInArrow(run, schema)
+    return _with_texts(texts, spans, buckets).mapInArrow(tidy(run), schema)
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, with_text: bool = False, scratch: Scratch | None = None) -> DataFrame:
@@ -482,9 +523,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, with_text:
     """
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "suffix")
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     width = 2 * length - k
-    tagged = not docs.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").isEmpty()
+    ids = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("size"))
+    about = ids.agg(F.max(F.when(F.col("doc_id").isNotNull(), F.col("n"))).alias("most"), F.sum("size").alias("size")).first()
+    tagged = (about["most"] or 0) > 1
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(about["size"] or 0) // BUCKET_BYTES))
     # Kinds by document pass the deal of records untouched, so both come from one pass over the texts.
     first = _find(docs, length, k, buckets, tagged)
     found = scratch.keep(_settle(first, length, buckets), "found")
