@@ -204,7 +204,8 @@ class Index:
             if i in best:
                 continue
             near = [(d, at)]
-            for j, e, other in lines[a + 1 :]:
+            for b in range(a + 1, len(lines)):
+                j, e, other = lines[b]
                 if j != i or e > d + SHIFT:
                     break
                 if abs(int(other[0]) - int(at[0])) <= len(self.items[i][0]) + SHIFT:
