@@ -119,6 +119,11 @@ def windows(code: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
+def filled(kind: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """The values of placeholders, 0 for plain words."""
+    return np.where(kind == WORD, 0, value).view(np.uint64)
+
+
 def consistent(item: np.ndarray, doc: np.ndarray) -> bool:
     """Whether each value in the item stands for one value in the document; two may stand for the same."""
     return len(set(zip(item.tolist(), doc.tolist(), strict=True))) == len(set(item.tolist()))
@@ -136,7 +141,7 @@ class Index:
 
     def __init__(self, items: list[tuple[int, str]], width: int):
         t = Templates()
-        self.ids, self.items, hashes, at = [], [], [], []
+        self.ids, self.items, hashes, at, slots = [], [], [], [], []
         self.width = width
         for item_id, text in items:
             words = (text or "").encode().split()
@@ -144,18 +149,21 @@ class Index:
                 continue
             code, kind, value, first, low = t.of(words, np.zeros(1, np.int64))
             w = windows(code, min(width, len(code)))
-            self.items.append((code, kind, value, len(w), first, low))
+            literal = windows(low.view(np.uint64), min(width, RUN, len(low)))
+            self.items.append((code, kind, value, len(w), first, low, literal))
             self.ids.append(item_id)
             if len(code) >= width:
                 hashes.append(w)
+                slots.append(windows(filled(kind, value), width))
                 at.append(np.stack([np.full(len(w), len(self.ids) - 1), np.arange(len(w))]))
             else:  # an item shorter than a window is looked for as a whole, in windows of its own length
                 self.short = getattr(self, "short", {})
-                self.short.setdefault(len(code), []).append((w[0], len(self.ids) - 1))
+                self.short.setdefault(len(code), []).append((w[0], len(self.ids) - 1, windows(filled(kind, value), len(code))[0]))
         h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
         p = np.concatenate(at, axis=1) if at else np.zeros((2, 0), np.int64)
         order = np.argsort(h, kind="stable")
         self.hash, self.item, self.pos = h[order], p[0][order], p[1][order]
+        self.slots = (np.concatenate(slots) if slots else h)[order]
         self.uniq, self.start, self.n = np.unique(self.hash, return_index=True, return_counts=True)
         self.short = getattr(self, "short", {})
         self.marks = np.zeros(1 << 20, bool)
@@ -164,13 +172,14 @@ class Index:
     def near(self, code: np.ndarray) -> np.ndarray:
         """Places of a run of words where a window may be one of the index."""
         out = [np.flatnonzero(self.marks[windows(code, self.width) >> np.uint64(44)])]
-        out += [np.flatnonzero(np.isin(windows(code, size), np.array([h for h, _ in entries]))) for size, entries in self.short.items()]
+        out += [np.flatnonzero(np.isin(windows(code, size), np.array([h for h, *_ in entries]))) for size, entries in self.short.items()]
         return np.concatenate(out)
 
     def find(self, code: np.ndarray, kind: np.ndarray, value: np.ndarray, first: np.ndarray, low: np.ndarray):
         """Rows of (item, matched windows, item windows, first word, slots, changed slots, kind) of one document."""
-        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        found: list[tuple[np.ndarray, ...]] = []  # item, place, place in the item, whether a placeholder's value differs
         w = windows(code, self.width)
+        mine = filled(kind, value)
         if len(w) and len(self.uniq):
             k = np.searchsorted(self.uniq, w)
             k[k == len(self.uniq)] = 0
@@ -180,32 +189,38 @@ class Index:
                 where = np.repeat(hit, n)
                 ends = np.cumsum(n)
                 j = np.repeat(self.start[k[hit]] - (ends - n), n) + np.arange(int(ends[-1]))
-                found.append((self.item[j], where, self.pos[j]))
+                found.append((self.item[j], where, self.pos[j], windows(mine, self.width)[where] != self.slots[j]))
         for size, entries in self.short.items():
-            w = windows(code, size)
-            for h, item in entries:
+            w, values = windows(code, size), windows(mine, size)
+            for h, item, slots in entries:
                 at = np.flatnonzero(w == h)
                 if len(at):
-                    found.append((np.full(len(at), item), at, np.zeros(len(at), np.int64)))
+                    found.append((np.full(len(at), item), at, np.zeros(len(at), np.int64), values[at] != slots))
         if not found:
             return
-        item, where, pos = (np.concatenate(x) for x in zip(*found, strict=True))
+        item, where, pos, differs = (np.concatenate(x) for x in zip(*found, strict=True))
         diag = where - pos
         order = np.lexsort((where, diag, item))
-        item, where, diag = item[order], where[order], diag[order]
-        cut = np.flatnonzero((np.diff(item) != 0) | (np.diff(diag) != 0)) + 1
-        lines = [(int(item[a]), int(diag[a]), where[a:b]) for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(item)], strict=True)]
+        item, where, diag, differs = item[order], where[order], diag[order], differs[order]
+        begin = np.concatenate([[0], np.flatnonzero((np.diff(item) != 0) | (np.diff(diag) != 0)) + 1])
+        ends = np.append(begin[1:], len(item))
+        may = self.may_count(item, diag, where, differs, begin, kind, first, low)
+        line = lambda n: (int(item[begin[n]]), int(diag[begin[n]]), where[begin[n] : ends[n]])
         best: dict[int, tuple] = {}
-        for i, d, at in lines:
+        for n in np.flatnonzero(may).tolist():
+            i, d, at = line(n)
             if row := self.judge(i, [(d, at)], code, kind, value, first, low):
                 best[i] = max(best.get(i, row), row)
-        # Items that no single diagonal shows: diagonals near each other, in one stretch of the document.
-        for a, (i, d, at) in enumerate(lines):
+        # Items that no single diagonal shows: diagonals near each other, in one stretch of the document. They are SHIFT + 1
+        # lines at most, one of which must be able to count.
+        some = np.append(may, np.zeros(SHIFT, bool))
+        for a in np.flatnonzero(np.any([some[k : k + len(may)] for k in range(SHIFT + 1)], axis=0)).tolist():
+            i, d, at = line(a)
             if i in best:
                 continue
             near = [(d, at)]
-            for b in range(a + 1, len(lines)):
-                j, e, other = lines[b]
+            for b in range(a + 1, len(begin)):
+                j, e, other = line(b)
                 if j != i or e > d + SHIFT:
                     break
                 if abs(int(other[0]) - int(at[0])) <= len(self.items[i][0]) + SHIFT:
@@ -215,9 +230,35 @@ class Index:
         for i, (got, changed, word, total, slots) in sorted(best.items()):
             yield self.ids[i], got, total, -word, slots, -changed, "changed" if changed else "copied"
 
+    def may_count(self, item, diag, where, differs, begin, kind, first, low) -> np.ndarray:
+        """Whether judge can take each line, alone or as one of several.
+
+        It cannot where the windows cover their span without a plain word, some value differs, and no literal window of
+        the item lies at the line's shift. Texts of numbers have such lines at every place.
+        """
+        plain = np.concatenate([[0], np.cumsum(kind == WORD)])
+        width = np.minimum(self.width, np.array([len(x[0]) for x in self.items]))[item]
+        gap = np.diff(where, prepend=where[:1]) > width
+        gap[begin] = False
+        words = (plain[where + width] > plain[where]) | gap
+        may = np.logical_or.reduceat(words, begin) | ~np.logical_or.reduceat(differs, begin)
+        rest = np.flatnonzero(~may)
+        owner, at, d = item[begin[rest]], where[begin[rest]], diag[begin[rest]]
+        grams: dict[int, np.ndarray] = {}
+        for i in np.unique(owner).tolist():
+            mine, literal = self.items[i][4], self.items[i][6]
+            k = min(self.width, RUN, len(self.items[i][5]))
+            if k not in grams:
+                grams[k] = windows(low.view(np.uint64), k)
+            places = np.flatnonzero(np.isin(grams[k], literal))
+            shifts = [places[grams[k][places] == h] - p for p, h in enumerate(literal)]
+            of = np.flatnonzero(owner == i)
+            may[rest[of]] = np.isin(first[at[of]] - mine[at[of] - d[of]], np.concatenate(shifts))
+        return may
+
     def judge(self, i: int, lines: list[tuple[int, np.ndarray]], code, kind, value, first, low) -> tuple | None:
         """(matched windows, -changed slots, -first word, item windows, slots) where the windows on these diagonals mark item i."""
-        c, ki, vi, total, mine, words = self.items[i]
+        c, ki, vi, total, mine, words, _ = self.items[i]
         width = min(self.width, len(c))
         got = len(np.unique(np.concatenate([at - d for d, at in lines])))
         spans = [(int(at[0]), int(at[-1]) + width, d) for d, at in lines]
