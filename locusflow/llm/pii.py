@@ -25,7 +25,8 @@ PROBABILITY = 0.5
 #: Runs are possessive and start at their first character, so no text takes quadratic time; the matches are those of the plain patterns.
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
-CARD = r"[0-9](?:[\x20-]?+[0-9])++"
+#: Whole runs of 12 digits or more; shorter ones are no candidates.
+CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?+[0-9]){11,}+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 #: Proposed only, never base.
 SPELT_EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?[\[(]\x20?at\x20?[\])]\x20?[A-Za-z0-9-]++(?:(?:\.|\x20?[\[(]\x20?dot\x20?[\])]\x20?)[A-Za-z0-9-]++)++"
@@ -51,18 +52,19 @@ def let(value: Column, body) -> Column:
 
 
 def sums_before(lengths: Column) -> Column:
-    """For each place, the sum of what stands before it; in steps of 256, so long arrays stay far from quadratic."""
+    """For each place, the sum of what stands before it: blocks of blocks of 64, blocks of 64, then single lengths."""
     total = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + x)
+    blocks = lambda a: F.transform(F.sequence(F.lit(0), F.shiftright(F.size(a), 6)), lambda k: total(F.slice(a, k * 64 + 1, F.lit(64))))
 
-    def with_steps(n: Column, steps: Column) -> Column:
-        def at(_, i):
-            step = F.floor(i / 256).cast("int")
-            return (total(F.slice(steps, F.lit(1), step)) + total(F.slice(n, step * 256 + 1, i % 256))).cast("int")
+    def within(a: Column, i: Column) -> Column:
+        """The sum of the last, unfilled block of 64 before place i."""
+        return total(F.slice(a, i - i % 64 + 1, i % 64))
 
-        return F.transform(n, at)
+    def at(one: Column, two: Column, three: Column) -> Column:
+        up = lambda i: F.shiftright(i, 6)
+        return F.transform(one, lambda _, i: within(one, i) + within(two, up(i)) + total(F.slice(three, F.lit(1), up(up(i)))))
 
-    steps = lambda n: F.transform(F.sequence(F.lit(0), F.floor(F.size(n) / 256).cast("int")), lambda k: total(F.slice(n, k * 256 + 1, F.lit(256))))
-    return let(lengths, lambda n: let(steps(n), lambda s: with_steps(n, s)))
+    return let(lengths, lambda one: let(blocks(one), lambda two: let(blocks(two), lambda three: at(one, two, three))))
 
 
 def matches(text: Column, pattern: str) -> Column:
@@ -142,8 +144,8 @@ def proposals(text: Column) -> Column:
     parts = []
     for kind, pattern, strict, needs in plans:
         found = matches(text, pattern)
-        if kind == "card":  # short runs of digits are no candidates
-            found = F.filter(found, lambda m: F.char_length(F.regexp_replace(m["value"], "[^0-9]", "")).between(12, 19))
+        if kind == "card":  # nor are long ones
+            found = F.filter(found, lambda m: F.char_length(F.regexp_replace(m["value"], "[^0-9]", "")) <= 19)
         found = F.transform(found, partial(span, kind, strict))
         parts.append(F.coalesce(F.when(needs, found), F.array().cast(f"array<{SPAN}>")))
     return F.concat(*(p.cast(f"array<{SPAN}>") for p in parts))
@@ -152,8 +154,8 @@ def proposals(text: Column) -> Column:
 def settled(spans: Column) -> Column:
     """Proposals without those beside the base that overlap a base span."""
     over = lambda a, b: (a["start"] < b["end"]) & (b["start"] < a["end"])
-    base = F.filter(spans, lambda s: s["base"])
-    return let(base, lambda b: F.concat(b, F.filter(spans, lambda s: ~s["base"] & ~F.exists(b, lambda o: over(s, o)))))
+    apart = lambda a, b: F.concat(b, F.filter(a, lambda s: ~s["base"] & ~F.exists(b, lambda o: over(s, o))))
+    return let(spans, lambda a: let(F.filter(a, lambda s: s["base"]), lambda b: apart(a, b)))
 
 
 def learn(counted: list[tuple[tuple[int, tuple[int, ...], int, bool], int]], steps: int = 60) -> dict:

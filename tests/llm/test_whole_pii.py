@@ -1,5 +1,10 @@
 """Spans that the fitted odds add without a lead word, and those they leave out."""
 
+import random
+import re
+
+from pyspark.sql import functions as F
+
 from locusflow.llm import pii
 
 TEXT = "doc_id long, text string"
@@ -27,3 +32,18 @@ def test_no_lead_word(spark):
     assert {got[90 + i] for i in range(10)} == {""}  # numbers of cards that fail their checksum
     clean = {r.doc_id: r.text for r in pii.redact(spark.createDataFrame(corpus() + [(100 + i, t) for i, t in enumerate(texts)], TEXT)).collect()}
     assert [clean[100 + i] for i in range(4)] == ["see <secret> and go", "AWS_ACCESS_KEY_ID=<secret>", "say <email> now", "ring me on <phone> today"]
+
+
+def test_card_runs(spark):
+    """The runs proposed as cards are those of the contract's pattern with 12 to 19 digits, places by plain counting."""
+    rng = random.Random(4)
+    texts = ["".join(rng.choices("0123456789 -x\u00e9", [6] * 10 + [9, 4, 1, 1], k=rng.randrange(200))) for _ in range(300)]
+    texts.append(" ".join("4111 1111 1111 1111x" if i % 3 else "12-3,\u00e9" for i in range(6000)))
+    span = F.transform(F.filter(pii.proposals(F.col("text")), lambda s: s["kind"] == pii.KINDS.index("card")), lambda s: F.struct(s["start"], s["end"]))
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").select("doc_id", span.alias("s")).collect()
+    some = 0
+    for r in rows:
+        want = [m.span() for m in re.finditer(r"[0-9](?:[ -]?[0-9])+", texts[r.doc_id]) if 12 <= len(re.sub("[ -]", "", m.group())) <= 19]
+        assert [tuple(x) for x in r.s] == want
+        some += len(want)
+    assert some > 4200
