@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from locusflow.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
+PIECES = "piece_bpe_32k.model"
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -82,11 +83,23 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from locusflow.llm.fim import digests
+
+    return digests(table(spark, sf_dir, "documents"))
+
+
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from locusflow.llm.pieces import digests
+
+    return digests(table(spark, sf_dir, "documents"), tokenizer_path(PIECES))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    from locusflow.llm import chat
+    from locusflow.llm import chat, fim
 
-    return {"op5_chat_format": chat.SQL}
+    return {"op5_chat_format": chat.SQL, "op11_fill_in_middle": fim.SQL}
