@@ -95,11 +95,17 @@ def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(table(spark, sf_dir, "documents"), tokenizer_path(PIECES))
 
 
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from locusflow.llm.trie import prefix_trie
+
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    from locusflow.llm import chat, fim
+    from locusflow.llm import chat, fim, trie
 
-    return {"op5_chat_format": chat.SQL, "op11_fill_in_middle": fim.SQL}
+    return {"op5_chat_format": chat.SQL, "op11_fill_in_middle": fim.SQL, "op13_conversation_trie": trie.SQL}
