@@ -1,20 +1,12 @@
-"""Text and binary formats around the engine, as DataFrames.
-
-Text formats go through Spark's own readers and split by blocks. BAM and bigWig files are decoded whole by one task each
-(`binaryFile`), so a single file must fit into a task; split larger ones by chromosome.
-"""
+"""Text formats around the engine, as DataFrames, through Spark's own readers; binary ones are in `binary`."""
 
 from __future__ import annotations
 
-import struct
-import zlib
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from locusflow.operators.annotation import parse_attributes, strip_version
+from locusflow.sources.binary import READS, RUNS, read_bam, read_bigwig  # noqa: F401  (readers of one place)
 
 BED = ("chrom", "start", "end", "name", "score", "strand")
 
@@ -39,9 +31,9 @@ def bed_from_string(spark: SparkSession, text: str) -> DataFrame:
 
 
 def write_bed(df: DataFrame, path: str) -> None:
-    """The six columns of a BED file; absent ones are dots. Rows alike in all are written once."""
+    """The six columns of a BED file; absent ones are dots. Every row is written, repeated ones too."""
     cols = [F.coalesce(F.col(c).cast("string"), F.lit(".")).alias(c) if c in df.columns else F.lit(".").alias(c) for c in BED]
-    df.select(*cols).distinct().write.mode("overwrite").csv(path, sep="\t")
+    df.select(*cols).write.mode("overwrite").csv(path, sep="\t")
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
@@ -135,117 +127,3 @@ def append_line(df: DataFrame, path: str) -> None:
 
 def path_template(template: str, **parts: str) -> str:
     return template.format(**parts)
-
-
-# ---- BAM ------------------------------------------------------------------------------------------------------------
-
-READS = "path string, read_name string, flag int, chrom string, pos bigint, mapq int, cigar string, seq string"
-SEQ, CIGAR = "=ACMGRSVTWYHKDBN", "MIDNSHP=X"
-
-
-def bgzf(data: bytes) -> bytes:
-    """The content of all gzip members one after the other."""
-    out, at = [], 0
-    while at < len(data):
-        d = zlib.decompressobj(31)
-        out.append(d.decompress(data[at:]) + d.flush())
-        at = len(data) - len(d.unused_data)
-    return b"".join(out)
-
-
-def bam_records(data: bytes) -> Iterator[tuple]:
-    """(name, flag, chrom, pos, mapq, cigar, seq) of each alignment; unplaced reads have no chrom and position -1."""
-    raw = bgzf(data)
-    if raw[:4] != b"BAM\x01":
-        raise ValueError("not a BAM file")
-    at = 8 + struct.unpack_from("<i", raw, 4)[0]
-    names = []
-    (n,) = struct.unpack_from("<i", raw, at)
-    at += 4
-    for _ in range(n):
-        (size,) = struct.unpack_from("<i", raw, at)
-        names.append(raw[at + 4 : at + 3 + size].decode())
-        at += 8 + size
-    while at < len(raw):
-        (size, ref, pos, l_name, mapq, _bin, n_cigar, flag, l_seq) = struct.unpack_from("<iiiBBHHHi", raw, at)
-        p = at + 36
-        name = raw[p : p + l_name - 1].decode()
-        p += l_name
-        ops = struct.unpack_from(f"<{n_cigar}I", raw, p)
-        p += 4 * n_cigar
-        packed = raw[p : p + (l_seq + 1) // 2]
-        seq = "".join(SEQ[b >> 4] + SEQ[b & 15] for b in packed)[:l_seq]
-        yield name, flag, names[ref] if ref >= 0 else None, pos, mapq, "".join(f"{o >> 4}{CIGAR[o & 15]}" for o in ops), seq
-        at += 4 + size
-
-
-def read_bam(spark: SparkSession, path: str) -> DataFrame:
-    def run(frames):
-        for f in frames:
-            for name, content in zip(f["path"], f["content"], strict=True):
-                yield pd.DataFrame([(name, *r) for r in bam_records(content)], columns=[c.split()[0] for c in READS.split(", ")])
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, READS)
-
-
-# ---- bigWig ---------------------------------------------------------------------------------------------------------
-
-RUNS = "path string, chrom string, start bigint, end bigint, value double"
-
-
-def bigwig_runs(data: bytes) -> Iterator[tuple[str, int, int, float]]:
-    """(chrom, start, end, value) of all sections, in the order of the index."""
-    if data[:4] != struct.pack("<I", 0x888FFC26):
-        raise ValueError("not a little-endian bigWig file")
-    chrom_at, _full, index_at = struct.unpack_from("<QQQ", data, 8)
-    (packed,) = struct.unpack_from("<I", data, 52)
-    (_, _block, key, _val, _count) = struct.unpack_from("<IIIIQ", data, chrom_at)
-    names: dict[int, str] = {}
-
-    def tree(at: int) -> None:
-        leaf, n = data[at], struct.unpack_from("<H", data, at + 2)[0]
-        at += 4
-        for _ in range(n):
-            if leaf:
-                i = struct.unpack_from("<I", data, at + key)[0]
-                names[i] = data[at : at + key].rstrip(b"\0").decode()
-            else:
-                tree(struct.unpack_from("<Q", data, at + key)[0])
-            at += key + 8
-
-    tree(chrom_at + 32)
-    todo = [index_at + 48]
-    while todo:
-        at = todo.pop()
-        leaf, n = data[at], struct.unpack_from("<H", data, at + 2)[0]
-        at += 4
-        below = []
-        for i in range(n):
-            if not leaf:
-                below.append(struct.unpack_from("<Q", data, at + 24 * i + 16)[0])
-                continue
-            offset, size = struct.unpack_from("<QQ", data, at + 32 * i + 16)
-            part = data[offset : offset + size]
-            part = zlib.decompress(part) if packed else part
-            chrom, start, _end, step, span, kind, _, items = struct.unpack_from("<IIIIIBBH", part, 0)
-            for j in range(items):
-                if kind == 1:
-                    s, e, v = struct.unpack_from("<IIf", part, 24 + 12 * j)
-                elif kind == 2:
-                    s, v = struct.unpack_from("<If", part, 24 + 8 * j)
-                    e = s + span
-                else:
-                    s, (v,) = start + step * j, struct.unpack_from("<f", part, 24 + 4 * j)
-                    e = s + span
-                yield names[chrom], s, e, v
-        todo += below[::-1]
-
-
-def read_bigwig(spark: SparkSession, path: str, strand: str | None = None) -> DataFrame:
-    def run(frames):
-        for f in frames:
-            for name, content in zip(f["path"], f["content"], strict=True):
-                yield pd.DataFrame([(name, *r) for r in bigwig_runs(content)], columns=[c.split()[0] for c in RUNS.split(", ")])
-
-    out = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, RUNS)
-    return out if strand is None else out.withColumn("strand", F.lit(strand))

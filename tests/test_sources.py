@@ -60,7 +60,7 @@ def test_text_formats(spark, tmp_path):
     assert sorted(x.gene_id for x in v.collect()) == ["a", "b"]
     b = X.bed_from_string(spark, "chr1 5 9 n 0 +\nchr1 5 9 n 0 +")
     X.write_bed(b, str(tmp_path / "b"))
-    assert X.read_bed(spark, str(tmp_path / "b")).count() == 1
+    assert X.read_bed(spark, str(tmp_path / "b")).count() == 2
     assert [r.id for r in X.read_ids(spark, w("ids", "b\na\n\n")).orderBy("ord").collect()] == ["b", "a"]
     assert Settings.from_ini(w("c.ini", "[FILES]\nGENOME_FA = /x.fa\nDATADIR =\n")).files == {"GENOME_FA": "/x.fa", "DATADIR": ""}
 
