@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 EPOCH = 1704067200
@@ -33,28 +33,48 @@ def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", "chrom", "strand", F.col("pos").alias("start"), (F.col("pos") + 1 + F.floor("value").cast("bigint")).alias("end"), "value", "lib")
 
 
+def _reads(e: DataFrame) -> DataFrame:
+    i = F.col("event_id")
+    flag = F.when(F.col("strand") == "-", 16).otherwise(0) + F.when(F.floor(i / 2) % 2 == 0, 128).otherwise(64) + F.when(i % 17 == 0, 4).otherwise(0) + F.when(i % 23 == 0, 256).otherwise(0)
+    return e.withColumn("flag", flag.cast("int"))
+
+
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """flag, cigar, base and indel of one read an event."""
     i = F.col("event_id")
-    flag = F.when(F.col("strand") == "-", 16).otherwise(0) + F.when(F.floor(i / 2) % 2 == 0, 128).otherwise(64) + F.when(i % 17 == 0, 4).otherwise(0) + F.when(i % 23 == 0, 256).otherwise(0)
     cigar = F.when(F.col("k") % 3 == 0, F.concat(F.lit("30M"), (F.col("k") * 90).cast("string"), F.lit("N20M"))).otherwise("50M")
-    return events(spark, sf_dir).select(
-        "event_id", "chrom", "pos", "strand", "lib", flag.cast("int").alias("flag"), cigar.alias("cigar"),
+    return _reads(events(spark, sf_dir)).select(
+        "event_id", "chrom", "pos", "strand", "lib", "flag", cigar.alias("cigar"),
         F.element_at(F.array(*map(F.lit, "ACGT")), (i * 7 % 4 + 1).cast("int")).alias("base"),
         F.when(i % 11 == 0, -1).when(i % 13 == 0, 2).otherwise(0).alias("indel"),
     )
 
 
-def alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One read an event, with a CIGAR of matches, skips, deletions, insertions or clips and its 50 bases."""
-    i = F.col("event_id")
-    cigar = (
+def _cigar(i: Column) -> Column:
+    return (
         F.when(F.col("k") % 3 == 0, F.concat(F.lit("30M"), ((F.col("k") + 1) * 90).cast("string"), F.lit("N20M"))).when(i % 11 == 0, "20M3D30M")
         .when(i % 13 == 0, "25M2I23M").when(i % 7 == 0, "5S45M").otherwise("50M")
     )
+
+
+def alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One read an event, with a CIGAR of matches, skips, deletions, insertions or clips and its 50 bases."""
+    i = F.col("event_id")
     seq = F.substring(F.lit("ACGTTGCAGT" * 6), (i % 10 + 1).cast("int"), F.lit(50))
-    e = events(spark, sf_dir).select("event_id", "k")
-    return reads(spark, sf_dir).select("event_id", "chrom", "pos", "strand", "lib", "flag").join(e, "event_id").select("event_id", "chrom", "pos", "strand", "lib", "flag", cigar.alias("cigar"), seq.alias("seq"))
+    return _reads(events(spark, sf_dir)).select("event_id", "chrom", "pos", "strand", "lib", "flag", _cigar(i).alias("cigar"), seq.alias("seq"))
+
+
+def fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two mates an event on opposite strands, most of which overlap; bases mostly agree, a third of qualities is low."""
+    i = F.col("event_id")
+    e = events(spark, sf_dir).withColumn("mate", F.explode(F.array(F.lit(1), F.lit(2))))
+    second, minus = F.col("mate") == 2, F.col("strand") == "-"
+    pos = F.col("pos") + F.when(second, i * 7 % 60).otherwise(0)
+    flag = 3 + F.when(second, 128).otherwise(64) + F.when(minus != second, 16).otherwise(0) + F.when(i % 19 == 0, 1024).otherwise(0) - F.when(i % 29 == 0, 2).otherwise(0)
+    e = e.select("event_id", "chrom", pos.alias("pos"), "lib", flag.cast("int").alias("flag"), "mate", "k")
+    seq = F.substring(F.lit("ACGTTGCAGT" * 7), (F.pmod("pos", F.lit(10)) + F.when((i % 5 == 0) & (F.col("mate") == 2), 1).otherwise(0) + 1).cast("int"), F.lit(50))
+    qual = F.substring(F.lit("+5I.?#A9-E" * 7), (i % 7 + F.col("mate") * 2 + 1).cast("int"), F.lit(50))
+    return e.select(F.concat(F.lit("f"), i.cast("string")).alias("name"), "chrom", "pos", "lib", "flag", _cigar(i + F.col("mate")).alias("cigar"), seq.alias("seq"), F.when(i % 31 != 0, qual).alias("qual"))
 
 
 def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,6 +124,16 @@ CTE = {
 co AS (SELECT * EXCLUDE (ns, os), CAST(ns[i] AS BIGINT) AS n, os[i] AS op FROM (SELECT *, unnest(range(1, len(ns) + 1)) AS i FROM (SELECT *, regexp_extract_all(cigar, '(\\d+)([MIDNS])', 1) AS ns, regexp_extract_all(cigar, '(\\d+)([MIDNS])', 2) AS os FROM al))),
 pl AS (SELECT *, pos + coalesce(sum(CASE WHEN op IN ('M', 'D', 'N') THEN n ELSE 0 END) OVER b, 0)::BIGINT AS ref, coalesce(sum(CASE WHEN op IN ('M', 'I', 'S') THEN n ELSE 0 END) OVER b, 0)::BIGINT AS query,
   lead(op) OVER (PARTITION BY event_id ORDER BY i) AS nxt FROM co WINDOW b AS (PARTITION BY event_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))""",
+    "fr": """fm AS (SELECT ev.*, unnest([1, 2]) AS mate FROM ev),
+fq AS (SELECT 'f' || event_id AS name, chrom, lib, event_id, mate, k, pos + CASE mate WHEN 2 THEN event_id * 7 % 60 ELSE 0 END AS pos,
+  3 + CASE mate WHEN 2 THEN 128 ELSE 64 END + CASE WHEN (strand = '-') <> (mate = 2) THEN 16 ELSE 0 END + CASE WHEN event_id % 19 = 0 THEN 1024 ELSE 0 END - CASE WHEN event_id % 29 = 0 THEN 2 ELSE 0 END AS flag FROM fm),
+fr AS (SELECT name, mate, chrom, lib, pos, CAST(flag AS INTEGER) AS flag, CASE WHEN k % 3 = 0 THEN '30M' || ((k + 1) * 90) || 'N20M' WHEN (event_id + mate) % 11 = 0 THEN '20M3D30M'
+  WHEN (event_id + mate) % 13 = 0 THEN '25M2I23M' WHEN (event_id + mate) % 7 = 0 THEN '5S45M' ELSE '50M' END AS cigar,
+  substr(repeat('ACGTTGCAGT', 7), CAST((pos % 10 + 10) % 10 + CASE WHEN event_id % 5 = 0 AND mate = 2 THEN 1 ELSE 0 END + 1 AS BIGINT), 50) AS seq,
+  CASE WHEN event_id % 31 <> 0 THEN substr(repeat('+5I.?#A9-E', 7), CAST(event_id % 7 + mate * 2 + 1 AS BIGINT), 50) END AS qual FROM fq),
+fo AS (SELECT * EXCLUDE (ns, os), CAST(ns[i] AS BIGINT) AS n, os[i] AS op FROM (SELECT *, unnest(range(1, len(ns) + 1)) AS i FROM (SELECT *, regexp_extract_all(cigar, '(\\d+)([MIDNS])', 1) AS ns, regexp_extract_all(cigar, '(\\d+)([MIDNS])', 2) AS os FROM fr))),
+fp AS (SELECT *, pos + coalesce(sum(CASE WHEN op IN ('M', 'D', 'N') THEN n ELSE 0 END) OVER b, 0)::BIGINT AS ref, coalesce(sum(CASE WHEN op IN ('M', 'I', 'S') THEN n ELSE 0 END) OVER b, 0)::BIGINT AS query,
+  lead(op) OVER (PARTITION BY name, mate ORDER BY i) AS nxt FROM fo WINDOW b AS (PARTITION BY name, mate ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))""",
     "tx": """tx AS (SELECT o_orderkey AS id, o_custkey % 5 AS chrom, o_orderkey * 7919 % 40000 AS s, o_orderkey * 7919 % 40000 + 100 + o_orderkey * 31 % 2000 AS e,
   CASE WHEN o_orderkey % 2 = 0 THEN '+' ELSE '-' END AS strand, o_orderpriority AS type FROM orders)""",
     "ft": """ft AS (SELECT DISTINCT id, CASE l_returnflag WHEN 'N' THEN 'exon' WHEN 'R' THEN 'intron' ELSE 'CDS' END AS fname, s + l_partkey * 13 % (e - s) AS fs,
@@ -114,7 +144,7 @@ pl AS (SELECT *, pos + coalesce(sum(CASE WHEN op IN ('M', 'D', 'N') THEN n ELSE
     "raw": """raw AS (SELECT id, lib, CASE tx.strand WHEN '-' THEN e - pos ELSE pos - s END AS rp, count(*) AS n FROM tx JOIN ev ON ev.chrom = tx.chrom AND ev.strand = tx.strand
   AND pos BETWEEN s AND e GROUP BY ALL)""",
 }
-NEEDS = {"cov": ["ev"], "rd": ["ev"], "al": ["rd"], "ft": ["tx"], "vl": ["vec"], "raw": ["ev", "tx"]}
+NEEDS = {"cov": ["ev"], "rd": ["ev"], "al": ["rd"], "fr": ["ev"], "ft": ["tx"], "vl": ["vec"], "raw": ["ev", "tx"]}
 
 
 def sql(names: str, body: str) -> str:

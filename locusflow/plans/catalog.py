@@ -336,6 +336,31 @@ def truncation_axis(spark, sf):
     return R.truncation_axis(S.event_sites(R.pileup(B.alignments(spark, sf)), ("trun",)), B.transcripts(spark, sf))
 
 
+@query(sql("al tx", PILE + """ SELECT id, lib, CASE tx.strand WHEN '-' THEN e - pos ELSE pos - s END AS rp, trun + mismatch + deletion AS n FROM pm JOIN tx ON pm.chrom = tx.chrom AND pm.strand = tx.strand
+  AND CASE tx.strand WHEN '-' THEN pos > s AND pos <= e ELSE pos >= s AND pos < e END WHERE trun + mismatch + deletion > 0"""))
+def diagnostic_axis(spark, sf):
+    """Truncations, mismatches and deletions together along transcripts, as the default set has them."""
+    return R.truncation_axis(S.event_sites(R.pileup(B.alignments(spark, sf))), B.transcripts(spark, sf))
+
+
+QUALITY_PILE = """fx AS (SELECT name, mate, chrom, lib, flag, CASE WHEN flag & 16 <> 0 THEN '-' ELSE '+' END AS strand, pos AS start, ref + j AS pos, substr(seq, query + j + 1, 1) AS base,
+    CASE WHEN qual IS NULL THEN 255 ELSE ascii(substr(qual, query + j + 1, 1)) - 33 END AS q, CASE WHEN j = n - 1 AND nxt = 'D' THEN 'deletion' WHEN j = n - 1 AND nxt = 'I' THEN 'insertion' END AS indel
+    FROM (SELECT *, unnest(range(0, n)) AS j FROM fp WHERE op = 'M') WHERE flag & 1796 = 0 AND flag & 2 <> 0),
+fe AS (SELECT name, mate, CASE WHEN any_value(flag) & 16 <> 0 THEN max(ref + n) - 1 ELSE min(pos) END AS edge FROM fp WHERE op IN ('M', 'D', 'N') GROUP BY ALL),
+fw AS (SELECT fx.*, o.base AS ob, o.q AS oq, (fx.start, fx.flag) < (o.start, o.flag) AS is_first FROM fx LEFT JOIN fx o ON o.name = fx.name AND o.pos = fx.pos AND o.mate <> fx.mate),
+fz AS (SELECT *, CASE WHEN ob IS NULL THEN q WHEN ob = base THEN CASE WHEN is_first THEN least(200, q + oq) ELSE 0 END
+  WHEN CASE WHEN is_first THEN q >= oq ELSE q > oq END THEN floor(q * 0.8) ELSE 0 END AS settled FROM fw),
+fk AS (SELECT fz.*, fe.edge = fz.pos AS trun FROM fz JOIN fe USING (name, mate) WHERE settled >= 13 AND mate = 2),
+qp AS (SELECT chrom, pos, strand, lib, count(*) FILTER (base = 'A') AS A, count(*) FILTER (base = 'T') AS T, count(*) FILTER (base = 'C') AS C, count(*) FILTER (base = 'G') AS G,
+  count(*) FILTER (indel = 'deletion') AS deletion, count(*) FILTER (indel = 'insertion') AS insertion, count(*) FILTER (trun) AS trun FROM fk GROUP BY ALL)"""
+
+
+@query(sql("fr", QUALITY_PILE + " SELECT *, A + T + C + G - greatest(A, T, C, G) AS mismatch FROM qp"))
+def pileup_quality(spark, sf):
+    """Second mates' bases of quality 13 or more; where mates overlap, a fragment counts once."""
+    return R.quality_pileup(B.fragments(spark, sf))
+
+
 @query(sql("al", """bl AS (SELECT event_id, chrom, strand, min(ref) AS s, max(ref + n) AS e FROM (SELECT *, sum(CASE WHEN op = 'N' THEN 1 ELSE 0 END) OVER (PARTITION BY event_id ORDER BY i) AS b FROM pl) WHERE op IN ('M', 'D') GROUP BY event_id, chrom, strand, b),
 d AS (SELECT chrom, strand, s AS pos, 1 AS d FROM bl UNION ALL SELECT chrom, strand, e, -1 FROM bl), g AS (SELECT chrom, strand, pos, sum(d) AS d FROM d GROUP BY ALL),
 r AS (SELECT chrom, strand, pos AS start, lead(pos) OVER w AS "end", sum(d) OVER w AS depth FROM g WINDOW w AS (PARTITION BY chrom, strand ORDER BY pos))

@@ -115,3 +115,23 @@ def test_control_of():
     assert BG.control_of("rep2", ["rep1", "rep2", "ctrl"]) == "ctrl" and BG.control_of("rep2", ["rep1", "ctrl1"]) == "ctrl2"
     with pytest.raises(ValueError):
         BG.paired(None, "rep1", ["ctrl1"], ["rep1"])
+
+
+def test_quality_and_mates(spark):
+    """By hand: low qualities hide all that stands at their place; mates at one place count once."""
+    schema = "chrom string, pos long, lib string, flag int, cigar string, seq string, qual string, name string"
+    q = lambda *xs: "".join(chr(33 + x) for x in xs)
+    rows = [
+        ("c", 10, "x", 128 | 3, "2M1D2M", "ACGT", q(12, 13, 40, 5), "a"),  # its head is of low quality, so no truncation
+        ("c", 30, "x", 64 | 3 | 16, "3M", "AAA", q(10, 30, 30), "b"), ("c", 30, "x", 128 | 3, "3M", "ACA", q(10, 20, 40), "b"),
+        ("c", 50, "x", 64 | 3 | 16, "2M", "GG", q(30, 5), "c"), ("c", 51, "x", 128 | 3, "2M", "TT", q(30, 12), "c"),
+        ("c", 70, "x", 128 | 3, "1M", "A", None, None), ("c", 70, "x", 128 | 3, "1M", "A", None, None), ("c", 71, "x", 128 | 3, "1M", "A", "", "d"),
+        ("c", 90, "x", 128 | 3 | 1024, "1M", "A", None, "e"), ("c", 90, "x", 128 | 1, "1M", "A", None, "f"), ("c", 90, "y", 64 | 3, "1M", "A", None, "d"),
+    ]
+    out = lambda **how: {(r.pos, r.strand): (r.A, r["T"], r.C, r.G, r.deletion, r.insertion, r.trun, r.mismatch) for r in R.quality_pileup(spark.createDataFrame(rows, schema), **how).collect()}
+    alone = {(11, "+"): (0, 0, 1, 0, 1, 0, 0, 0), (13, "+"): (0, 0, 0, 1, 0, 0, 0, 0), (70, "+"): (2, 0, 0, 0, 0, 0, 2, 0), (71, "+"): (1, 0, 0, 0, 0, 0, 1, 0)}
+    # b: the second mate comes first (flags 131 and 83 at one start: the first mate leads); at 31 the first mate's C loses to 30.
+    assert out() == alone | {(51, "+"): (0, 1, 0, 0, 0, 0, 1, 0)}
+    assert out(mates=False) == alone | {(31, "+"): (0, 0, 1, 0, 0, 0, 0, 0), (32, "+"): (1, 0, 0, 0, 0, 0, 0, 0), (51, "+"): (0, 1, 0, 0, 0, 0, 1, 0)}
+    assert out(read2=False, mates=True) == {(30, "-"): (1, 0, 0, 0, 0, 0, 0, 0), (31, "-"): (1, 0, 0, 0, 0, 0, 0, 0), (32, "-"): (1, 0, 0, 0, 0, 0, 1, 0), (50, "-"): (0, 0, 0, 1, 0, 0, 0, 0), (90, "+"): (1, 0, 0, 0, 0, 0, 1, 0)}
+    assert out(least=0, mates=False)[(10, "+")] == (1, 0, 0, 0, 0, 0, 1, 0)
