@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from locusflow.functions.vectors import orient
@@ -24,3 +24,36 @@ def coverage_vectors(runs: DataFrame, transcripts: DataFrame, stranded: bool = T
     x = transcripts.join(m, "id", "left")
     at = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("end") - F.col("start") - 1), lambda p: F.coalesce(F.col("m")[p], F.lit(0.0)))
     return x.filter("end > start").select("id", orient(at, F.col("strand")).alias("v"))
+
+
+#: What the finite ends of doubles stand for where a vector is made free of missing and infinite values.
+LARGEST = 1.7976931348623157e308
+
+
+def base_values(plus: DataFrame, minus: DataFrame, regions: DataFrame) -> DataFrame:
+    """id, v: the stored value at each base of a region, 5' to 3', from the runs of its strand's own file.
+
+    Bases without a run are NaN, and so is a whole region on a chromosome that the file lacks. A region whose strand is
+    neither + nor - has the one value 1. Runs of a file do not overlap, as its format has it. Vectors are put together from
+    runs, not looked up base by base. An unstranded file serves as both.
+    """
+    runs = plus.select("chrom", "start", "end", "value").withColumn("strand", F.lit("+")).unionByName(minus.select("chrom", "start", "end", "value").withColumn("strand", F.lit("-")))
+    known = regions.filter("strand in ('+', '-') and start < end").select("id", "chrom", "strand", "start", "end")
+    pairs = overlap_pairs(known, runs)
+    own = F.struct(F.greatest("start", "b_start").alias("s"), F.least("end", "b_end").alias("e"), F.col("b_value").cast("double").alias("x"))
+    parts = pairs.groupBy("id").agg(F.array_sort(F.collect_list(own)).alias("_r"))
+    x = regions.select("id", "strand", "start", "end").join(parts, "id", "left").withColumn("_r", F.coalesce("_r", F.array().cast("array<struct<s:bigint,e:bigint,x:double>>")))
+    nan = F.lit(float("nan"))
+    until = lambda i: F.when(i == 0, F.col("start")).otherwise(F.get("_r", i - 1)["e"])
+    fill = lambda v, n: F.array_repeat(v, F.greatest(n, F.lit(0)).cast("int"))
+    body = F.flatten(F.transform("_r", lambda r, i: F.concat(fill(nan, r["s"] - until(i)), fill(r["x"], r["e"] - r["s"]))))
+    rest = fill(nan, F.col("end") - until(F.size("_r")))
+    v = F.concat(body, rest)
+    v = F.when(F.col("strand") == "+", v).when(F.col("strand") == "-", F.reverse(v)).otherwise(F.array(F.lit(1.0)))
+    return x.select("id", v.alias("v"))
+
+
+def clean(v: Column, strand: Column) -> Column:
+    """Values without missing or infinite ones (0, and the largest doubles); on -, negated as a whole if any is negative."""
+    number = F.transform(v, lambda x: F.when(F.isnan(x) | x.isNull(), 0.0).when(x == F.lit(float("inf")), LARGEST).when(x == F.lit(float("-inf")), -LARGEST).otherwise(x))
+    return orient(number, strand)

@@ -72,3 +72,23 @@ def test_manifest(spark, tmp_path):
     assert ("u1", "rep1", "bam", "a") in rows and ("u1", "ctrl", "bam", "b") in rows and ("u2", "rep1", "idr", "g") in rows
     assert M.one_experiment(m, "u2").first()["RBP"] == "S"
     assert M.missing_files(spark, M.unpivot(m).filter("path = 'a'").withColumn("path", M.F.lit(str(tmp_path / "no")))) == [str(tmp_path / "no")]
+
+
+def test_base_values(spark):
+    """Missing bases and chromosomes, other strands, infinite values and the sign of minus-strand vectors."""
+    from pyspark.sql import functions as F
+
+    from locusflow.operators import values as RV
+
+    runs = "chrom string, start long, end long, value double"
+    plus = spark.createDataFrame([("a", 2, 4, 1.5), ("a", 4, 5, float("inf")), ("a", 8, 20, 2.0)], runs)
+    minus = spark.createDataFrame([("a", 0, 3, -1.0), ("a", 3, 4, 4.0)], runs)
+    where = [(1, "a", 1, 9, "+"), (2, "a", 1, 6, "-"), (3, "z", 0, 3, "+"), (4, "a", 0, 3, "."), (5, "a", 5, 5, "+"), (6, "a", 9, 11, "+"), (7, "b", 4, 6, "-")]
+    regions = spark.createDataFrame(where, "id long, chrom string, start long, end long, strand string")
+    out = RV.base_values(plus, minus, regions).join(regions.select("id", "strand"), "id").withColumn("c", RV.clean(F.col("v"), F.col("strand")))
+    got = {r.id: (["-" if x != x else x for x in r.v], r.c) for r in out.collect()}
+    inf, top = float("inf"), RV.LARGEST
+    assert got == {
+        1: (["-", 1.5, 1.5, inf, "-", "-", "-", 2.0], [0, 1.5, 1.5, top, 0, 0, 0, 2.0]), 2: (["-", "-", 4.0, -1.0, -1.0], [0, 0, -4.0, 1.0, 1.0]),
+        3: (["-"] * 3, [0] * 3), 4: ([1.0], [1.0]), 5: ([], []), 6: ([2.0, 2.0], [2.0, 2.0]), 7: (["-"] * 2, [0] * 2),
+    }
