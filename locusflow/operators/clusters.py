@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from locusflow.functions import stats as S
 from locusflow.functions.vectors import gaussian_kernel
 from locusflow.operators.intervals import PIECE, anti_overlap, merge_by, overlap_pairs, semi_overlap, subtract_within
+from locusflow.operators.signal import interval_sums
 
 
 def dbscan(sites: DataFrame, keys: list[str], eps: int, min_samples: int | str, members: bool = False, piece: int = PIECE) -> DataFrame:
@@ -45,10 +46,11 @@ def region_clusters(sites: DataFrame, regions: DataFrame, eps: int = 2, cov_rati
     """
     r = regions.select("id", "chrom", "strand", "start", "end").filter("start < end")
     points = sites.select("chrom", "strand", F.col("pos").alias("start"), (F.col("pos") + 1).alias("end"), "is_ip")
-    hits = overlap_pairs(r, points).select("id", (F.col("end") - F.col("start")).alias("_len"), F.col("b_start").alias("pos"), F.col("b_is_ip").alias("is_ip"))
-    totals = hits.groupBy("id", "_len").agg(F.count_if("is_ip").alias("ip"), F.count_if(~F.col("is_ip")).alias("input"))
+    hits = overlap_pairs(r, points).select("id", F.col("b_start").alias("pos"), F.col("b_is_ip").alias("is_ip"))
+    counts = sites.select("chrom", "strand", "pos", F.col("is_ip").cast("int").alias("ip"), (~F.col("is_ip")).cast("int").alias("input"))
+    totals = interval_sums(counts, r, ["ip", "input"], ["chrom", "strand"], []).join(r.select("id", (F.col("end") - F.col("start")).alias("_len")), "id")
     least = F.floor(F.lit(float(cov_ratio)) * ((F.col("ip") + F.col("input")) / F.col("_len"))).cast("int")
-    hits = hits.drop("_len").join(totals.select("id", least.alias("least")), "id")
+    hits = hits.join(totals.select("id", least.alias("least")), "id")
     found = dbscan(hits if combine else hits.filter("is_ip"), ["id"], eps, "least", members)
     scored = score(fixed_size(found, size), totals.select("id", "ip", "input"), ["id"])
     return scored.join(r.select("id", "chrom", "strand"), "id")

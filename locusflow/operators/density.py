@@ -121,19 +121,22 @@ def feature_windows(values: DataFrame, features: DataFrame, length: Callable[[st
     at = F.col("rp") - F.col("rs")
     hits = hits.withColumn("pos", F.when(F.col("side") == V.LEFT, at).otherwise(F.col("width") - F.col("len") + at).cast("int")).filter("pos >= 0 and pos < width")
     sums = hits.groupBy("id", "fname", "side", "pos").agg(F.sum("value").alias("s"), F.count(F.lit(1)).alias("n"))
-    known = sums.groupBy("id", "fname", "side").agg(F.map_from_entries(F.collect_list(F.struct("pos", F.struct("s", "n")))).alias("_m"))
+    known = sums.groupBy("id", "fname", "side").agg(F.array_sort(F.collect_list(F.struct("pos", "s", "n"))).alias("_h"))
     zeros = values.groupBy("id").agg(F.first("zero").alias("zero"))
-    lens = slices.groupBy("id", "fname", "width").agg(F.collect_list("len").alias("_lens")).join(zeros, "id")
+    lens = slices.groupBy("id", "fname", "width").agg(F.array_sort(F.collect_list(F.least("len", F.col("width").cast("bigint")).cast("int"))).alias("_lens")).join(zeros, "id")
     x = lens.withColumn("side", F.explode(F.array(*map(F.lit, sides)))).join(known, ["id", "fname", "side"], "left")
-
-    def mean(p: Column) -> Column:
-        reach = F.when(F.col("side") == V.LEFT, p).otherwise(F.col("width") - 1 - p)
-        return V.let(
-            F.struct(F.size(F.filter("_lens", lambda n: n > reach)).alias("c"), F.col("_m")[p].alias("h")),
-            lambda y: F.when(y["c"] > 0, (F.coalesce(y["h"]["s"], F.lit(0.0)) + F.col("zero") * (y["c"] - F.coalesce(y["h"]["n"], F.lit(0)))) / y["c"]),
-        )
-
-    return x.select("id", "fname", "side", F.transform(F.sequence(F.lit(0), F.col("width") - 1), mean).alias("v"))
+    # Slices that reach each place are a step function of the sorted lengths, hits a sorted list: both become arrays by runs,
+    # so a place costs one step, however many slices or hits there are.
+    many = F.size("_lens")
+    until = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get("_lens", i - 1))
+    steps = F.concat(F.flatten(F.transform("_lens", lambda n, i: F.array_repeat(many - i, n - until(i)))), F.array_repeat(F.lit(0), F.col("width") - until(many)))
+    own = F.coalesce("_h", F.array().cast("array<struct<pos:int,s:double,n:bigint>>"))
+    x = x.withColumns({"_h": own, "_c": F.when(F.col("side") == V.LEFT, steps).otherwise(F.reverse(steps))})
+    gap = lambda n: F.array_repeat(F.lit(None).cast("struct<pos:int,s:double,n:bigint>"), n)
+    after = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get("_h", i - 1)["pos"] + 1)
+    placed = F.concat(F.flatten(F.transform("_h", lambda h, i: F.concat(gap(h["pos"] - after(i)), F.array(h)))), gap(F.col("width") - after(F.size("_h"))))
+    mean = F.zip_with("_c", placed, lambda c, h: F.when(c > 0, (F.coalesce(h["s"], F.lit(0.0)) + F.col("zero") * (c - F.coalesce(h["n"], F.lit(0)))) / c))
+    return x.select("id", "fname", "side", mean.alias("v"))
 
 
 def wide_matrix(matrix: DataFrame, key: str, length: int, how: str = "mean") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from locusflow.functions import stats as S
 from locusflow.functions import vectors as V
 from locusflow.operators.enrich import ks_statistic
+from locusflow.operators.signal import interval_sums, junction
 
 
 def windows_around(sites: DataFrame, shape: DataFrame, width: int) -> DataFrame:
@@ -29,6 +30,13 @@ def junction_fractions(hits: DataFrame, keys: list[str], is_junction: Column, ov
     return x.withColumn("share", F.when(F.col("n") > over, F.col("share")))
 
 
+def junction_shares(reads: DataFrame, transcripts: DataFrame, over: int, intron: int = 500) -> DataFrame:
+    """id, lib, n, share: junction reads among the reads that begin in each transcript, by library; counted by place."""
+    points = reads.select("chrom", "strand", "pos", "lib", F.lit(1).alias("n"), junction(F.col("cigar"), intron).cast("int").alias("j"))
+    x = interval_sums(points, transcripts, ["n", "j"], ["chrom", "strand"], ["lib"])
+    return x.select("id", "lib", "n", F.when(F.col("n") > over, F.col("j") / F.col("n")).alias("share"))
+
+
 def paired_t(pairs: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
     """n, t, p_greater and p_less of the paired t-test of a over b; pairs with a null are left out."""
     d = pairs.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).withColumn("_d", F.col(a) - F.col(b))

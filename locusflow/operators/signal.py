@@ -6,7 +6,7 @@ a site vector is one longer than the transcript (`inclusive=False` gives the hal
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from locusflow.operators.intervals import overlap_pairs
@@ -36,8 +36,44 @@ def profile(sites: DataFrame, transcripts: DataFrame) -> DataFrame:
     return hits.select("id", "lib", rp.alias("rp"), F.col("w").alias("n"))
 
 
+#: Pieces of positions that running counts are formed in before pieces meet.
+COUNT_PIECE = 4096
+
+
+def interval_sums(points: DataFrame, intervals: DataFrame, sums: list[str], keys: list[str], by: list[str]) -> DataFrame:
+    """id, by and the sums (longs) of points (keys, pos, by, sums; one row each or several) in half-open intervals.
+
+    A sum is that before the end less that before the start. Points and ends are put in order once, within pieces of
+    positions, and running sums go within pieces after those of the pieces before (a row a piece). So neither the length of
+    intervals nor how many of them share a point matters. Intervals with all sums 0 are absent. `by` has few values, which
+    are listed for each end.
+    """
+    places = points.groupBy(*keys, *by, "pos").agg(*(F.sum(c).cast("bigint").alias(c) for c in sums)).withColumn("_piece", F.expr(f"pos div {COUNT_PIECE}"))
+    kinds = [tuple(r) for r in places.select(*by).distinct().collect()] if by else []  # few, as names of libraries
+    ends = F.explode(F.array(F.struct(F.col("start").alias("pos"), F.lit(-1).alias("sign")), F.struct(F.col("end").alias("pos"), F.lit(1).alias("sign"))))
+    marks = intervals.filter("start < end").select("id", *keys, ends.alias("_x")).select("id", *keys, F.col("_x.pos").alias("pos"), F.col("_x.sign").alias("sign"), F.expr(f"_x.pos div {COUNT_PIECE}").alias("_piece"))
+    if by:
+        fits = {f.name: f.dataType for f in points.schema}
+        each = [F.struct(*(F.lit(v).cast(fits[c]).alias(c) for c, v in zip(by, k, strict=True))) for k in kinds]
+        marks = marks.withColumn("_by", F.explode(F.array(*each))).select("*", "_by.*").drop("_by") if each else marks.limit(0).withColumns({c: F.lit(None).cast(fits[c]) for c in by})
+    part = [*keys, *by]
+    # Sums of the pieces before each piece that has ends: pieces of both sides in order.
+    pieces = places.groupBy(*part, "_piece").agg(*(F.sum(c).alias(c) for c in sums)).unionByName(marks.select(*part, "_piece").distinct().withColumns({c: F.lit(0).cast("bigint") for c in sums}))
+    before = Window.partitionBy(*part).orderBy("_piece").rangeBetween(Window.unboundedPreceding, -1)
+    offsets = pieces.select(*part, "_piece", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_b_{c}") for c in sums)).distinct()
+    both = places.select(*part, "_piece", "pos", F.lit(None).cast(intervals.schema["id"].dataType).alias("id"), F.lit(0).alias("sign"), *sums)
+    both = both.unionByName(marks.select(*part, "_piece", "pos", "id", "sign", *(F.lit(0).cast("bigint").alias(c) for c in sums)))
+    inside = Window.partitionBy(*part, "_piece").orderBy("pos").rangeBetween(Window.unboundedPreceding, -1)
+    run = both.select(*part, "_piece", "id", "sign", *(F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(c) for c in sums)).filter("sign <> 0")
+    run = run.join(offsets, [*part, "_piece"])
+    out = run.groupBy("id", *by).agg(*(F.sum(F.col("sign") * (F.col(c) + F.col(f"_b_{c}"))).alias(c) for c in sums))
+    return out.filter(" or ".join(f"{c} <> 0" for c in sums))
+
+
 def site_counts(sites: DataFrame, transcripts: DataFrame, stranded: bool = True) -> DataFrame:
-    return on_transcripts(sites, transcripts, stranded, inclusive=False).groupBy("id", "lib").agg(F.count(F.lit(1)).alias("n"))
+    """id, lib, n of the sites in each transcript, half-open."""
+    keys = ["chrom", "strand"] if stranded else ["chrom"]
+    return interval_sums(sites.withColumn("n", F.lit(1)), transcripts, ["n"], keys, ["lib"])
 
 
 def rpk(counts: DataFrame, transcripts: DataFrame, libs: list[str]) -> DataFrame:
@@ -49,7 +85,7 @@ def rpk(counts: DataFrame, transcripts: DataFrame, libs: list[str]) -> DataFrame
 
 def enough_reads(sites: DataFrame, transcripts: DataFrame, over: float, per_base: bool = False) -> DataFrame:
     """Transcripts with more than `over` reads of either strand, or reads per base."""
-    n = on_transcripts(sites, transcripts, stranded=False, inclusive=False).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    n = interval_sums(sites.withColumn("n", F.lit(1)), transcripts, ["n"], ["chrom"], [])
     n = n.join(transcripts.select("id", (F.col("end") - F.col("start")).alias("length")), "id")
     return n.filter((F.col("n") / F.col("length") if per_base else F.col("n")) > over)
 

@@ -441,8 +441,10 @@ def density_windows(spark, sf):
     pairs = BG.paired(S.profile(B.sites(spark, sf), tx), "rep1", ["ctrl1"])
     values = BG.remove_background(pairs, tx.select("id", (F.col("end") - F.col("start") + 1).alias("length")), "relative information")
     w = D.feature_windows(values, B.features(spark, sf), Settings().length)
-    x = D.long(w).filter("x is not null")
-    return x.groupBy("id", "fname", "side").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("x"), 6).alias("total"), F.round(F.sum(F.col("x") * F.col("pos")), 4).alias("weighted"))
+    known = F.filter("v", lambda x: x.isNotNull())
+    moment = F.aggregate(F.transform("v", lambda x, p: F.coalesce(x * p, F.lit(0.0))), F.lit(0.0), lambda a, x: a + x)
+    x = w.select("id", "fname", "side", F.size(known).cast("bigint").alias("n"), F.round(V.total(F.col("v")), 6).alias("total"), F.round(moment, 4).alias("weighted"))
+    return x.filter("n > 0")
 
 
 @query(sql("raw", "SELECT id, rp, n::DOUBLE AS value FROM raw WHERE lib = 'ctrl1'"))
@@ -970,10 +972,7 @@ JUNCTION = """j AS (SELECT id, lib, count(*) AS n, avg(CASE WHEN coalesce(TRY_CA
 
 
 def _junctions(spark, sf):
-    tx = B.transcripts(spark, sf)
-    r = B.reads(spark, sf).select("chrom", "strand", "pos", F.concat_ws("|", "lib", S.junction(F.col("cigar")).cast("string")).alias("lib"))
-    hits = S.on_transcripts(r, tx, True, False).select("id", F.split("lib", r"\|")[0].alias("lib"), (F.split("lib", r"\|")[1] == "true").alias("j"))
-    return SH.junction_fractions(hits, ["id", "lib"], F.col("j"), 3)
+    return SH.junction_shares(B.reads(spark, sf), B.transcripts(spark, sf), 3)
 
 
 @query(sql("rd tx", JUNCTION + " SELECT id, lib, n, round(CASE WHEN n > 3 THEN share END, 6) AS share FROM j"))
