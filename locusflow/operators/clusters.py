@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from locusflow.functions import stats as S
 from locusflow.functions.vectors import gaussian_kernel
 from locusflow.operators.intervals import PIECE, anti_overlap, merge_by, overlap_pairs, semi_overlap, subtract_within
-from locusflow.operators.signal import interval_sums
+from locusflow.operators.signal import POINT_BIN, interval_sums
 
 
 def dbscan(sites: DataFrame, keys: list[str], eps: int, min_samples: int | str, members: bool = False, piece: int = PIECE) -> DataFrame:
@@ -20,11 +20,12 @@ def dbscan(sites: DataFrame, keys: list[str], eps: int, min_samples: int | str,
     the sorted positions of the cores, each as often as it occurs).
 
     A site is core with min_samples sites (itself included; an int or a column of each group) within eps; cores no more
-    than eps apart chain. Sites have pos and is_ip. Equal positions are counted once, with weights; neighbours are counted
+    than eps apart chain. Sites have pos and is_ip, or ip and n where they are counted by position already. Equal positions are counted once, with weights; neighbours are counted
     and chains formed in pieces of positions, so a chromosome is never one task's work.
     """
     extra = [min_samples] if isinstance(min_samples, str) else []
-    w = sites.groupBy(*keys, "pos", *extra).agg(F.count_if("is_ip").alias("ip"), F.count(F.lit(1)).alias("n"))
+    counted = {"ip", "n"} <= set(sites.columns)
+    w = sites.select(*keys, "pos", *extra, "ip", "n") if counted else sites.groupBy(*keys, "pos", *extra).agg(F.count_if("is_ip").alias("ip"), F.count(F.lit(1)).alias("n"))
     home = F.floor(F.col("pos") / piece)
     # A position is listed in each piece that one of its neighbours may lie in, and judged in its own.
     listed = w.withColumn("_piece", F.explode(F.sequence(F.floor((F.col("pos") - eps) / piece), F.floor((F.col("pos") + eps) / piece))))
@@ -45,13 +46,17 @@ def region_clusters(sites: DataFrame, regions: DataFrame, eps: int = 2, cov_rati
     sites per base, rounded down; without `combine` clusters are of ip sites only, against the totals of both.
     """
     r = regions.select("id", "chrom", "strand", "start", "end").filter("start < end")
-    points = sites.select("chrom", "strand", F.col("pos").alias("start"), (F.col("pos") + 1).alias("end"), "is_ip")
-    hits = overlap_pairs(r, points).select("id", F.col("b_start").alias("pos"), F.col("b_is_ip").alias("is_ip"))
-    counts = sites.select("chrom", "strand", "pos", F.col("is_ip").cast("int").alias("ip"), (~F.col("is_ip")).cast("int").alias("input"))
-    totals = interval_sums(counts, r, ["ip", "input"], ["chrom", "strand"], []).join(r.select("id", (F.col("end") - F.col("start")).alias("_len")), "id")
-    least = F.floor(F.lit(float(cov_ratio)) * ((F.col("ip") + F.col("input")) / F.col("_len"))).cast("int")
-    hits = hits.join(totals.select("id", least.alias("least")), "id")
-    found = dbscan(hits if combine else hits.filter("is_ip"), ["id"], eps, "least", members)
+    places = sites.groupBy("chrom", "strand", "pos").agg(F.count_if("is_ip").alias("ip"), F.count(F.lit(1)).alias("n"))
+    counts = places.select("chrom", "strand", "pos", "ip", (F.col("n") - F.col("ip")).alias("input"))
+    totals = interval_sums(counts, r, ["ip", "input"], ["chrom", "strand"], [])
+    size_of = F.col("end") - F.col("start")
+    least = F.floor(F.lit(float(cov_ratio)) * ((F.col("ip") + F.col("input")) / size_of)).cast("int")
+    known = r.join(totals, "id").select("id", "chrom", "strand", "start", "end", least.alias("least"))
+    used = places if combine else places.filter("ip > 0").withColumn("n", F.col("ip"))
+    # Places are counted before regions multiply them, and regions carry their own threshold.
+    binned = known.withColumn("_bin", F.explode(F.sequence(F.expr(f"start div {POINT_BIN}"), F.expr(f"(end - 1) div {POINT_BIN}"))))
+    hits = binned.join(used.withColumn("_bin", F.expr(f"pos div {POINT_BIN}")), ["chrom", "strand", "_bin"]).filter("pos >= start and pos < end").select("id", "pos", "ip", "n", "least")
+    found = dbscan(hits, ["id"], eps, "least", members)
     scored = score(fixed_size(found, size), totals.select("id", "ip", "input"), ["id"])
     return scored.join(r.select("id", "chrom", "strand"), "id")
 

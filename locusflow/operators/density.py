@@ -99,8 +99,8 @@ def multi_feature_average(slices: DataFrame, length: int, side: str) -> DataFram
     return means.groupBy("id", "fname").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("v"))
 
 
-#: Bins of positions that slices and values are joined by.
-SLICE_BIN = 512
+#: Bins of positions that slices and values are joined by: about a slice's length, so that few candidates miss.
+SLICE_BIN = 64
 
 
 def feature_windows(values: DataFrame, features: DataFrame, length: Callable[[str], int], sides: tuple[str, ...] = (V.LEFT, V.RIGHT)) -> DataFrame:
