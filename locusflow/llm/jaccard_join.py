@@ -300,6 +300,7 @@ def _links(members: DataFrame, sets: DataFrame, num: int, den: int, scratch: Scr
         scratch.release()
         whole = _small(likely).join(sets.select("node", "elements"), "node").select("group", "side", "comp", "elements")
         out = scratch.keep(_dealt(whole).mapInArrow(tidy(link), "a long, b long"), name)
+    scratch.drop(f"{name}-likely")
     scratch.release()
     return out
 
@@ -325,6 +326,7 @@ def components(edges: DataFrame, scratch: Scratch, label: str) -> DataFrame:
         sig = sign(new)
         scratch.drop(f"{label}-l{step - 1}")
         scratch.drop(f"{label}-{step - 1}")
+        scratch.release()
         now = new
         if sig == seen:
             break
@@ -348,6 +350,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     classes = scratch.keep(classes.filter("copies > 1").drop("copies"), "classes")
     rows = scratch.keep(feats.select("doc_id", *whole).join(classes, whole, "left").withColumn("node", F.when(F.col("doc_id").isNotNull(), F.coalesce("first", "doc_id"))).select("doc_id", "n_shingles", "node"), "rows")
 
+    scratch.drop("classes")
     keyed = feats.filter("size(keys) > 0").select(F.explode("keys").alias("key"), F.col("doc_id").alias("node"))
     shared = scratch.keep(_shared(keyed.repartition("key").sortWithinPartitions("key", "node")), "shared")
     scratch.drop("features")
@@ -355,16 +358,28 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
 
     homes = _homes(shared, scratch)
     sets = scratch.keep(_sets(docs, homes, k), "sets")
-    blocks = scratch.keep(_blocks(homes, sets), "blocks")
+    blocks = scratch.keep(_blocks(homes, sets, scratch), "blocks")
+    scratch.drop("cut")
     links = _links(scratch.keep(_in_blocks(blocks), "members"), sets, num, den, scratch, "links")
+    scratch.drop("members")
     comps = scratch.keep(components(links.unionByName(_one_node(rows, homes)), scratch, "first"), "comps")
+    scratch.drop("links")
+    scratch.drop("homes")
+    scratch.release()
 
     tiles = _tiles(shared, blocks, comps, scratch)
+    for name in ("shared", "blocks", "about", "open", "open-rows", "lists", "rest", "pairs"):
+        scratch.drop(name)
+    scratch.release()
     if not tiles.isEmpty():
         across = _links(tiles, sets, num, den, scratch, "links-across")
         if not across.isEmpty():
             known = comps.filter("node <> comp").select(F.col("comp").alias("a"), F.col("node").alias("b"))
             comps = scratch.keep(components(known.unionByName(across), scratch, "second"), "comps-across")
+        for name in ("tiles", "links-across"):
+            scratch.drop(name)
+    scratch.drop("sets")
+    scratch.release()
     return rows.join(comps, "node", "left").select("doc_id", "n_shingles", F.coalesce("comp", "node").alias("component_id"))
 
 
@@ -382,7 +397,10 @@ def _homes(shared: DataFrame, scratch: Scratch) -> DataFrame:
     to = homes.select(F.col("node").alias("home"), F.col("home").alias("next"))
     for _ in range(2):
         homes = homes.join(to, "home").select("node", F.col("next").alias("home"))
-    return scratch.keep(homes, "homes")
+    homes = scratch.keep(homes, "homes")
+    scratch.drop("nearest")
+    scratch.release()
+    return homes
 
 
 def _block(home: Column, part: Column) -> Column:
@@ -390,13 +408,18 @@ def _block(home: Column, part: Column) -> Column:
     return F.xxhash64(home, part)
 
 
-def _blocks(homes: DataFrame, sets: DataFrame) -> DataFrame:
-    """node, home, parts, block: homes of many nodes or bytes are cut into parts of about BLOCK nodes, BLOCK_BYTES at most."""
+def _blocks(homes: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """node, home, parts, block: homes of many nodes or bytes are cut into parts of about BLOCK nodes, BLOCK_BYTES at most.
+
+    Only homes that are cut are joined back, so that no family's nodes meet in one task; they are few, each having many nodes
+    or bytes, and broadcast where their number is small.
+    """
     load = sets.select("node", "size").join(homes, "node").groupBy("home").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("elements"))
     parts = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("elements") * 8 / BLOCK_BYTES)).cast("int")
-    load = load.select("home", parts.alias("parts"))
+    cut = scratch.keep(load.select("home", parts.alias("parts")).filter("parts > 1"), "cut")
+    x = homes.join(_small(cut), "home", "left").select("node", "home", F.coalesce("parts", F.lit(1)).alias("parts"))
     part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    return homes.join(load, "home").select("node", "home", "parts", _block(F.col("home"), part).alias("block"))
+    return x.select("node", "home", "parts", _block(F.col("home"), part).alias("block"))
 
 
 def _in_blocks(blocks: DataFrame) -> DataFrame:
@@ -415,6 +438,7 @@ def _tiles(shared: DataFrame, blocks: DataFrame, comps: DataFrame, scratch: Scra
     keys = rest.groupBy("key").agg(*edges).filter("lo_comp < hi_comp and lo_block < hi_block").select("key")
     keys = scratch.keep(keys, "open")
     rest = scratch.keep(rest.join(_small(keys), "key"), "open-rows")
+    scratch.release()
     # Of keys with equal lists of members one will do.
     lists = rest.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum(F.hash("node").cast("long")).alias("h1"), F.bit_xor(F.xxhash64("node", F.lit(17))).alias("h2"))
     keys = scratch.keep(lists.groupBy("n", "h1", "h2").agg(F.min("key").alias("key")).select("key"), "lists")
