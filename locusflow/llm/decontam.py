@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from locusflow.llm.common import Numbers, Scratch, WordHashes, chunks, mix, tidy, without_rows
 
 WINDOW, COVERAGE, RUN, SHIFT = 8, 0.5, 13, 3
-#: Words, and a quarter of the match, that must be literally alike where slots differ.
+#: Words, and a quarter of the match, that must be literally alike where slots differ; items of fewer words are no evidence.
 LITERAL = 4
 BLOCK_BYTES = 8 << 20
 UNITS = frozenset(
@@ -156,7 +156,7 @@ class Index:
                 hashes.append(w)
                 slots.append(windows(filled(kind, value), width))
                 at.append(np.stack([np.full(len(w), len(self.ids) - 1), np.arange(len(w))]))
-            else:  # an item shorter than a window is looked for as a whole, in windows of its own length
+            elif len(words) >= LITERAL:  # an item shorter than a window is looked for as a whole, in windows of its own length
                 self.short = getattr(self, "short", {})
                 self.short.setdefault(len(code), []).append((w[0], len(self.ids) - 1, windows(filled(kind, value), len(code))[0]))
         h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
@@ -241,7 +241,11 @@ class Index:
         gap = np.diff(where, prepend=where[:1]) > width
         gap[begin] = False
         words = (plain[where + width] > plain[where]) | gap
-        may = np.logical_or.reduceat(words, begin) | ~np.logical_or.reduceat(differs, begin)
+        # Names at an item's edge may differ and yet be its own.
+        edge = np.array([[len(x[1]) and x[1][0] == NAME, len(x[1]) and x[1][-1] == NAME] for x in self.items], bool)
+        last = np.array([x[3] - 1 for x in self.items])
+        at_edge = (edge[item, 0] & (where == diag)) | (edge[item, 1] & (where - diag == last[item]))
+        may = np.logical_or.reduceat(words | at_edge, begin) | ~np.logical_or.reduceat(differs, begin)
         rest = np.flatnonzero(~may)
         owner, at, d = item[begin[rest]], where[begin[rest]], diag[begin[rest]]
         grams: dict[int, np.ndarray] = {}
@@ -256,6 +260,22 @@ class Index:
             may[rest[of]] = np.isin(first[at[of]] - mine[at[of] - d[of]], np.concatenate(shifts))
         return may
 
+    def at_edges(self, i: int, same: np.ndarray, d: int, ki, vi, value, first, ends, low) -> np.ndarray:
+        """The document's values of slots. Where an item begins or ends with names, further names beside them in the document
+        are no part of it: such a run counts as the item's if it ends or begins with it."""
+        out, (c, _, _, _, mine, words, _) = value[same].copy(), self.items[i]
+        for k in np.flatnonzero(((same - d == 0) | (same - d == len(c) - 1)) & (out != vi[same - d])).tolist():
+            p, q = int(same[k]), int(same[k] - d)
+            if ki[q] != NAME:
+                continue
+            own = words[mine[q] : mine[q + 1] if q + 1 < len(mine) else len(words)]
+            a, b = int(first[p]), int(ends[p + 1])
+            front = q == len(c) - 1 and np.array_equal(low[a : a + len(own)], own)
+            back = q == 0 and b - a >= len(own) and np.array_equal(low[b - len(own) : b], own)
+            if front and b - a >= len(own) or back:
+                out[k] = vi[q]
+        return out
+
     def judge(self, i: int, lines: list[tuple[int, np.ndarray]], code, kind, value, first, low) -> tuple | None:
         """(matched windows, -changed slots, -first word, item windows, slots) where the windows on these diagonals mark item i."""
         c, ki, vi, total, mine, words, _ = self.items[i]
@@ -271,7 +291,7 @@ class Index:
             fits, word = code[a:b] == c[a - d : b - d], kind[a:b] == WORD
             same = np.flatnonzero(fits & ~word) + a
             slots.append(vi[same - d])
-            there.append(value[same])
+            there.append(self.at_edges(i, same, d, ki, vi, value, first, ends, low))
             literal += int((fits & word).sum())
             if not whole:  # word by word, from the matches' first plain word on
                 anchor = np.flatnonzero(fits & word)
@@ -290,8 +310,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) ->
     """One row for each document and benchmark item found in it, with its best diagonal (SCHEMA).
 
     Null or empty texts match nothing, in either table; equal items are all reported; documents of equal id are reported
-    each on its own, and those without id too, with a null id; items under WINDOW tokens must match as a whole. Other columns
-    are not read.
+    each on its own, and those without id too, with a null id; items under WINDOW tokens must match as a whole, and items of
+    fewer than LITERAL words are not looked for: a word or a number says nothing about where it comes from. A long text is
+    one step, whose memory grows with the product of equal windows in it and in an item. Other columns are not read.
     """
     return _keyed(docs, benchmark, width).drop("text_key")
 

@@ -55,4 +55,15 @@ def test_lines_that_cannot_count(monkeypatch):
             m.setattr(decontam.Index, "may_count", every)
             assert got == list(index.find(code, kind, value, first, low))
         some += len(got)
-    assert some > 50
+    assert some > 40  # items of under four words are not looked for
+
+
+def test_short_items_and_names_at_edges(spark):
+    """A word or number marks nothing; names beside those that an item begins or ends with change no slot."""
+    items = [(1, "yes"), (2, "42"), (3, "Paris"), (4, "Anna Berg walked over the old bridge and met her friend Tom Hill"), (5, "they all went home to Rome")]
+    docs = [
+        (1, "She said yes in Paris at 42 Main Street"), (2, "yes"), (3, "then Maria Anna Berg walked over the old bridge and met her friend Tom Hill Junior again"),
+        (4, "then Maria Keller walked over the old bridge and met her friend Tom Hill again"), (5, "so they all went home to Rome Again and slept"), (6, "so they all went home to Oslo and slept"),
+    ]
+    got = decontam.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id, r.kind) for r in got.collect()} == {(3, 4, "copied"), (4, 4, "changed"), (5, 5, "copied"), (6, 5, "changed")}
