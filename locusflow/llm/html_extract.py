@@ -29,7 +29,7 @@ INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small"
     " span strike strong sub sup time tt u var wbr".split()
 )
-BOILER = frozenset("nav header footer aside form menu dialog button fieldset".split())
+BOILER = frozenset("nav header footer aside form menu dialog button".split())
 MAIN = frozenset("article main".split())
 #: Words in class or id that name something beside the article.
 BESIDE = re.compile(
@@ -38,6 +38,13 @@ BESIDE = re.compile(
     r"comment\w*|disqus|replies|respond|share|sharing|social|related|recommend\w*|newsletter|subscri\w*|signup|login|search|"
     r"pagination|pager|copyright)(?:$|[\s_-])", re.I
 )
+#: Words that may stand beside those of BESIDE in a name within the article; with others, as in social-history or
+#: related-work, the name tells what the text is about.
+USUAL = frozenset(
+    "post posts article articles story stories link links button buttons list box bar form icon icons media content section block wrapper wrap"
+    " container area item items news letter us this title count inner group row col item more top bottom left right main side text body panel"
+    " unit slot ad ads google tags tag bookmarks tools toolbox feed stream thread".split()
+)
 #: Words in class or id of an element that holds the article where a page has neither article nor main.
 CONTENT = re.compile(r"(?:^|\s)(?:content|main|main-content|page-content|(?:post|entry|article|story)(?:-?(?:content|body|text))?|articlebody)(?:$|\s)", re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
@@ -51,8 +58,18 @@ SPACE = re.compile(r"\s+")
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "main", "boiler", "beside", "title")
 
 
-def _kind(tag: str, attrs: str) -> int:
-    """What an element makes of its content: bits 1 raw or hidden, 2 main, 4 boilerplate element, 8 named as beside, 16 named as content."""
+def _beside(value: str, inside: bool) -> bool:
+    """Whether a class or id names something beside the article; inside of it all words of the name must be usual ones."""
+    if not inside:
+        return BESIDE.search(value) is not None
+    return any(
+        BESIDE.search(name) and all(w in USUAL or w.isdigit() or BESIDE.search(w) for w in re.split(r"[_-]+", name.lower()) if w) for name in value.split()
+    )
+
+
+def _kind(tag: str, attrs: str, inside: bool = False) -> int:
+    """What an element makes of its content: bits 1 raw or hidden, 2 main, 4 boilerplate element, 8 named as beside, 16 named as
+    content; inside tells that it stands within the article."""
     k = (tag in RAW) | (tag in MAIN) << 1 | (tag in BOILER) << 2
     if not attrs:
         return k
@@ -64,7 +81,7 @@ def _kind(tag: str, attrs: str) -> int:
             roles = value.lower().split()
             k |= 2 * ("main" in roles) | 4 * (not ROLES.isdisjoint(roles))
         elif name in ("class", "id") and tag not in ("html", "body", "article", "main"):
-            k |= 8 * (BESIDE.search(value) is not None) | 16 * (CONTENT.search(value) is not None)
+            k |= 8 * _beside(value, inside) | 16 * (CONTENT.search(value) is not None)
     return k
 
 
@@ -72,23 +89,31 @@ class Open:
     """The open elements: tag and bits of the surroundings of each, and where each tag and the block elements stand."""
 
     def __init__(self):
-        self.stack: list[tuple[str, int]] = []
+        self.stack: list[tuple] = []
         self.places: dict[str, list[int]] = {}
         self.blocks: list[int] = []
         self.bits = self.links = 0
+        #: (number, bits 4 and 8, tag) of the open elements that have any, in order, and how many there were
+        self.marks: tuple[tuple[int, int, str], ...] = ()
+        self.marked = 0
 
     def push(self, tag: str, own: int) -> None:
         self.places.setdefault(tag, []).append(len(self.stack))
         if tag not in INLINE:
             self.blocks.append(len(self.stack))
-        self.stack.append((tag, self.bits))
-        self.bits |= own
+        self.stack.append((tag, self.bits, self.marks))
+        self.bits |= own & ~12
+        if own & 12:
+            self.marked += 1
+            self.marks = (*self.marks, (self.marked, own & 12, tag))
+        elif tag in ("h1", "h2") and self.bits & 2 and self.marks and self.marks[-1][2] == "header":
+            self.marks = self.marks[:-1]  # the article's own title
         self.links += tag == "a"
 
     def close(self, at: int) -> None:
         """Ends the element at this place and all in it."""
         while len(self.stack) > at:
-            tag, self.bits = self.stack.pop()
+            tag, self.bits, self.marks = self.stack.pop()
             self.places[tag].pop()
             if tag not in INLINE:
                 self.blocks.pop()
@@ -109,19 +134,19 @@ class Open:
 
 def blocks(page: str) -> list[tuple[str, float, int]]:
     """(text, share of its characters in links, context bits) of each block that has text."""
-    out: list[tuple[str, float, int]] = []
+    out: list[tuple[str, float, int, tuple]] = []
     now = Open()
     text: list[str] = []
-    in_link = block_bits = 0
+    in_link, block_bits, block_marks = 0, 0, ()
 
     def add(piece: str) -> None:
-        nonlocal in_link, block_bits
+        nonlocal in_link, block_bits, block_marks
         if piece and now.top() == "head" and not piece.isspace():
             now.close(now.last("head"))
         if not piece or now.bits & 1:
             return
         if not text:
-            block_bits = now.bits
+            block_bits, block_marks = now.bits, now.marks
         text.append(piece)
         in_link += len(piece) * (now.links > 0)
 
@@ -131,7 +156,7 @@ def blocks(page: str) -> list[tuple[str, float, int]]:
             raw = "".join(text)
             whole = SPACE.sub(" ", html.unescape(raw)).strip()
             if whole:
-                out.append((whole, in_link / max(len(raw), 1), block_bits))
+                out.append((whole, in_link / max(len(raw), 1), block_bits, block_marks))
             text, in_link = [], 0
 
     pos, size, lower = 0, len(page), None
@@ -165,23 +190,42 @@ def blocks(page: str) -> list[tuple[str, float, int]]:
             continue
         if tag in IMPLIED:
             now.imply(IMPLIED[tag])
-        now.push(tag, _kind(tag, attrs) if attrs or tag in RAW or tag in MAIN or tag in BOILER else 0)
+        now.push(tag, _kind(tag, attrs, bool(now.bits & 2)) if attrs or tag in RAW or tag in MAIN or tag in BOILER else 0)
         if tag in RAW_TEXT:
             lower = page.lower() if lower is None else lower
             stop = lower.find(f"</{tag}", b)
             pos = size if stop < 0 else stop
     add(page[pos:])
     end()
-    return out
+    return settled(out)
+
+
+def settled(found: list[tuple[str, float, int, tuple]]) -> list[tuple[str, float, int]]:
+    """Blocks with bits 4 and 8 of the marked elements around them, but for wrappers of the page.
+
+    A marked element that holds half of the page's words and all of its article (or, on a page without one, four fifths of
+    the words) is no menu or sidebar, whatever its name says: a form around the whole page, a wrapper named no-sidebar.
+    """
+    own = 2 if any(b & 2 for _, _, b, _ in found) else 16
+    words = [t.count(" ") + 1 for t, *_ in found]
+    total, main = sum(words), sum(n for n, (_, _, b, _) in zip(words, found, strict=True) if b & own)
+    held: dict[int, list[int]] = {}
+    for n, (_, _, b, marks) in zip(words, found, strict=True):
+        for k, *_ in marks:
+            at = held.setdefault(k, [0, 0])
+            at[0] += n
+            at[1] += n if b & own else 0
+    void = {k for k, (n, m) in held.items() if (m == main and 2 * n >= total if main else 5 * n >= 4 * total)}
+    return [(t, d, b | 4 * any(x & 4 for k, x, _ in marks if k not in void) | 8 * any(x & 8 for k, x, _ in marks if k not in void)) for t, d, b, marks in found]
 
 
 def features(found: list[tuple[str, float, int]]) -> np.ndarray:
-    """FEATURES of each block; words are counted up to 200, which is beyond any test of the tree."""
+    """FEATURES of each block."""
     n = len(found)
     x = np.zeros((n, len(FEATURES)))
     if not n:
         return x
-    x[:, 0] = [min(t.count(" ") + 1, 200) for t, _, _ in found]
+    x[:, 0] = [t.count(" ") + 1 for t, _, _ in found]
     x[:, 1] = [d for _, d, _ in found]
     x[1:, 2:4] = x[:-1, :2]
     x[:-1, 4:6] = x[1:, :2]
@@ -259,7 +303,7 @@ def main_text(page: str, tree) -> str:
 def extract_pages(pages: DataFrame) -> DataFrame:
     """page_id, url, text (empty if none) and n_chars of every row.
 
-    Null or empty html gives an empty text; tags cut off at the end of a page are dropped; repeated rows give a row each;
+    Null or empty html gives an empty text; a long page is one step of its own and is read in linear time; tags cut off at the end of a page are dropped; repeated rows give a row each;
     other columns are not read and an empty table gives no rows.
     """
     tree = train()

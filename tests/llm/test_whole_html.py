@@ -28,3 +28,27 @@ def test_text_ends_a_head():
 
 def test_head_stays_out():
     assert html_extract.blocks("<head><title>x</title><noscript><p>no</p></noscript> <template><div>no</div></template></head>") == []
+
+
+PARTS = ["The first paragraph has a fair number of plain words in it.", "So has the second one, which goes on for a while longer.", "And the third ends it all, with yet more words than before."]
+TEXT = "".join(f"<p>{p}</p>" for p in PARTS)
+NAV = "<nav><a href=/>Home</a> <a href=/b>Blog</a></nav>"
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        (f"<body><form id=aspnetForm>{NAV}<article><h1>T</h1>{TEXT}</article></form></body>", ["T", *PARTS]),
+        (f"<body><div class='no-sidebar'>{NAV}<article><h1>T</h1>{TEXT}</article></div></body>", ["T", *PARTS]),
+        (f"<body>{NAV}<article><h1>T</h1><div class='social-history'>{TEXT}</div></article></body>", ["T", *PARTS]),
+        (f"<body>{NAV}<main><h1>T</h1>{TEXT}<section id='related-work'><h2>Related</h2>{TEXT}</section></main></body>", ["T", *PARTS, "Related", *PARTS]),
+        (f"<body>{NAV}<article><h1>T</h1><fieldset>{TEXT}</fieldset></article></body>", ["T", *PARTS]),
+        (f"<body>{NAV}<article><header><h1>Title here</h1><p>Press office</p></header>{TEXT}</article></body>", ["Title here", *PARTS]),
+        # Comments stay out, however many words they have, and so do boxes within the article.
+        (f"<body>{NAV}<article><h1>T</h1>{TEXT}</article><div id='comments'>{TEXT * 9}</div></body>", ["T", *PARTS]),
+        (f"<body>{NAV}<article><h1>T</h1>{TEXT}</article><div id='comments'><article class='comment'>{TEXT * 4}</article></div></body>", ["T", *PARTS]),
+        (f"<body><article><h1>T</h1>{TEXT}<div class='related-posts'><p>Other things to read here</p></div></article></body>", ["T", *PARTS]),
+    ],
+)
+def test_marks_are_no_veto(page, want):
+    assert html_extract.main_text(page, html_extract.train()) == "\n".join(want)
