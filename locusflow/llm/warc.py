@@ -18,12 +18,15 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from locusflow.llm.common import BROADCAST_ROWS, Scratch, chunks, tidy
 
+#: Records of a file, and the most that one may have to be written with others: so a file has 1 GB at most, or one record.
 RECORDS_PER_FILE = 2000
+SHARED_BYTES = (1 << 30) // RECORDS_PER_FILE
 LEVEL = 4
 VERSION = re.compile(rb"WARC/\d+\.\d+\r\n")
 GZIP = b"\x1f\x8b\x08"
@@ -37,8 +40,9 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record_id(page_id: int) -> str:
-    return f"<urn:uuid:{uuid.uuid5(NAMESPACE, f'page-{page_id}')}>"
+def record_id(page_id: int | None, own: str = "") -> str:
+    """The id of a page's record; `own` tells records without a page_id apart."""
+    return f"<urn:uuid:{uuid.uuid5(NAMESPACE, f'page-{own if page_id is None else page_id}')}>"
 
 
 def clean(value: str | None) -> str:
@@ -46,7 +50,7 @@ def clean(value: str | None) -> str:
     return re.sub(r"\s+", " ", value or "").strip()
 
 
-def record(page_id: int, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
+def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, own: str = "") -> bytes:
     """One record without its last line end, which the writer adds.
 
     A revisit has no payload, but its digest and, as an extension field, its length.
@@ -54,7 +58,7 @@ def record(page_id: int, url: str | None, payload: bytes, refers_to: int | None)
     http = HEAD % len(payload)
     block = http if refers_to is not None else http + payload
     fields = [
-        "WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {record_id(page_id)}",
+        "WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {record_id(page_id, own)}",
         f"WARC-Date: {DATE}", f"WARC-Target-URI: {clean(url)}", f"WARC-Payload-Digest: sha1:{digest(payload)}",
         f"X-Payload-Length: {len(payload)}", f"X-Page-ID: {page_id}", "Content-Type: application/http; msgtype=response",
     ]
@@ -201,7 +205,8 @@ def write_warc(pages: DataFrame, path: str, scratch: Scratch, least: int = 0) ->
 
     Null html is an empty payload and null urls are empty; other columns are not written. Of equal payloads the largest
     page_id is the response; rows of that id are responses each, and rows without page_id are revisits of it (responses,
-    where no row of the payload has an id). Rows of one page_id and different html are taken each by its own payload.
+    where no row of the payload has an id), each with a record id of its own. Rows of one page_id and different html are
+    taken each by its own payload. Pages of more than SHARED_BYTES have a file each, so that every file can be read as a whole.
     """
     last = originals(pages, scratch, least).withColumnRenamed("same", "_same")
     last = F.broadcast(last) if last.count() <= BROADCAST_ROWS else last  # else a shuffle, of which adaptive execution splits hot payloads
@@ -210,15 +215,18 @@ def write_warc(pages: DataFrame, path: str, scratch: Scratch, least: int = 0) ->
     joined = joined.select("page_id", "url", "html", F.when(revisit, F.col("refers_to")).alias("refers_to"))
 
     def run(batches):
+        task, count = f"{TaskContext.get().stageId()}-{TaskContext.get().partitionId()}", 0
         for (ids, urls, refers), texts in chunks(batches, "html", ["page_id", "url", "refers_to"]):
-            rows = [packed(record(*x) + b"\r\n") for x in zip(ids, urls, texts, refers, strict=True)]
+            rows = [packed(record(*x, f"none-{task}-{count + k}") + b"\r\n") for k, x in enumerate(zip(ids, urls, texts, refers, strict=True))]
+            count += len(rows)
             ends = np.cumsum([0, *map(len, rows)], dtype=np.int32)
             # Bytes as they are, which Arrow's own cast to strings would refuse.
             out = pa.StringArray.from_buffers(len(rows), pa.py_buffer(ends), pa.py_buffer(b"".join(rows)))
             yield pa.RecordBatch.from_arrays([out], names=["value"])
 
-    lines = joined.mapInArrow(tidy(run), "value string")
-    lines.write.mode("overwrite").option("lineSep", "\0").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    long = F.coalesce(F.octet_length("html"), F.lit(0)) > SHARED_BYTES
+    for part, name, most in ((joined.where(~long), "shared", RECORDS_PER_FILE), (joined.where(long), "single", 1)):
+        part.mapInArrow(tidy(run), "value string").write.mode("overwrite").option("lineSep", "\0").option("maxRecordsPerFile", most).text(f"{path}/{name}")
 
 
 def packed(record: bytes) -> bytes:
@@ -269,7 +277,11 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 
 
 def round_trip(pages: DataFrame, scratch: Scratch | None = None) -> DataFrame:
-    """Writes pages as archives to the shared folder and reads them back: one row for each page."""
+    """Writes pages as archives to the shared folder and reads them back: one row for each row of pages.
+
+    Null html is an empty payload; repeated rows give a row each; a null page_id stays null; an empty table gives no rows;
+    other columns are not written.
+    """
     scratch = scratch or Scratch(pages.sparkSession, "warc")
     write_warc(pages, scratch.path("archives"), scratch)
     back = read_warc(pages.sparkSession, scratch.path("archives"))

@@ -137,3 +137,19 @@ def test_registered(name, spark, duck, compare):
         compare(df, duck.sql(queries.oracle_sql()[name]))
     else:
         assert df.count() > 0
+
+
+def test_warc_files_by_bytes(spark, tmp_path, monkeypatch):
+    """Long pages have a file each; rows without page_id have record ids of their own."""
+    from locusflow.llm import common, warc
+
+    monkeypatch.setattr(warc, "SHARED_BYTES", 100)
+    rows = [(i, f"u{i}", f"<p>{i}</p>" * (1 if i % 3 else 40)) for i in range(12)] + [(None, None, "<p>x</p>"), (None, "u", "<p>y</p>"), (None, None, None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    warc.write_warc(df, str(tmp_path / "w"), common.Scratch(spark, "bytes"))
+    back = warc.read_warc(spark, str(tmp_path / "w")).filter("gap is null").collect()
+    assert len(back) == 15 and len({r.record_id for r in back}) == 15
+    per_file = {}
+    for r in back:
+        per_file.setdefault(r.file, []).append(r.payload_bytes)
+    assert sum(len(v) == 1 and v[0] > 100 for v in per_file.values()) == 4 and sum(max(v) <= 100 for v in per_file.values()) == 1
