@@ -99,17 +99,22 @@ def reads_strand_mate_filter(spark, sf):
     return out
 
 
-MANIFEST = "('u1','A','b0','c0','b1',CAST(NULL AS VARCHAR)),('u2','B','x0','y0','x1','y1')"
+MANIFEST = """m AS (SELECT 's' || s_suppkey AS uid, s_name AS rbp, 'b' || s_suppkey AS bam_0, 'c' || s_nationkey AS bam_control_0, CASE WHEN s_suppkey % 3 <> 0 THEN 'b' || s_suppkey || '.2' END AS bam_1,
+  CASE WHEN s_suppkey % 3 = 1 THEN 'c' || s_nationkey || '.2' END AS bam_control_1 FROM supplier)"""
 
 
-@query(f"""WITH m(uid, rbp, bam_0, bam_control_0, bam_1, bam_control_1) AS (VALUES {MANIFEST})
-SELECT uid, rbp, CASE WHEN col LIKE '%control%' THEN 'ctrl' ELSE 'ip' END AS role, CAST(regexp_extract(col, '(\\d+)$', 1) AS BIGINT) AS pair, 'bam' AS kind, path
+@query(f"""WITH {MANIFEST} SELECT uid, rbp, CASE WHEN col LIKE '%control%' THEN 'ctrl' ELSE 'ip' END AS role, CAST(regexp_extract(col, '(\\d+)$', 1) AS BIGINT) AS pair, 'bam' AS kind, path
 FROM (UNPIVOT m ON bam_0, bam_control_0, bam_1, bam_control_1 INTO NAME col VALUE path)""")
 def manifest_unpivot(spark, sf):
+    """Suppliers as experiments of one or two replicates, some without a control of the second."""
     from locusflow.sources.manifest import unpivot
 
-    rows = [("u1", "A", "b0", "c0", "b1", None), ("u2", "B", "x0", "y0", "x1", "y1")]
-    return unpivot(spark.createDataFrame(rows, "uid string, rbp string, bam_0 string, bam_control_0 string, bam_1 string, bam_control_1 string")).select("uid", "rbp", "role", "pair", "kind", "path")
+    k, n = F.col("s_suppkey").cast("string"), F.col("s_nationkey").cast("string")
+    wide = B.table(spark, sf, "supplier").select(
+        F.concat(F.lit("s"), k).alias("uid"), F.col("s_name").alias("rbp"), F.concat(F.lit("b"), k).alias("bam_0"), F.concat(F.lit("c"), n).alias("bam_control_0"),
+        F.when(F.col("s_suppkey") % 3 != 0, F.concat(F.lit("b"), k, F.lit(".2"))).alias("bam_1"), F.when(F.col("s_suppkey") % 3 == 1, F.concat(F.lit("c"), n, F.lit(".2"))).alias("bam_control_1"),
+    )
+    return unpivot(wide).select("uid", "rbp", "role", "pair", "kind", "path")
 
 
 # ---- counts on transcripts ------------------------------------------------------------------------------------------
@@ -284,10 +289,14 @@ def metagene_subset(spark, sf):
     return A.select_transcripts(tx, ids, 800, "1-URGENT").select("id", "chrom", "type")
 
 
-@query("""SELECT i AS id, motif, rel, pos FROM (VALUES (1, 'AATAAA', 12::BIGINT, 105::BIGINT), (1, 'ATTAAA', -3::BIGINT, 90::BIGINT), (3, 'AATAAA', 0::BIGINT, 7::BIGINT)) t(i, motif, rel, pos)""")
+@query(sql("ev", """SELECT event_id AS id, 'AATAAA' AS motif, k - 10 AS rel, pos FROM ev WHERE event_id % 4 <> 0
+UNION ALL SELECT event_id, 'ATTAAA', -k, pos + 7 FROM ev WHERE event_id % 4 = 3"""))
 def polya_signal_parse(spark, sf):
-    rows = spark.createDataFrame([(1, "AATAAA@12@105;ATTAAA@-3@90;"), (2, ""), (3, "AATAAA@0@7")], "id int, signals string")
-    return A.parse_polya_signals(rows).drop("signals")
+    """Signal strings made of events: none, one, or two with a closing mark."""
+    e, i = B.events(spark, sf), F.col("event_id")
+    one = F.concat(F.lit("AATAAA@"), (F.col("k") - 10).cast("string"), F.lit("@"), F.col("pos").cast("string"))
+    two = F.concat(one, F.lit(";ATTAAA@"), (-F.col("k")).cast("string"), F.lit("@"), (F.col("pos") + 7).cast("string"), F.lit(";"))
+    return A.parse_polya_signals(e.select(i.alias("id"), F.when(i % 4 == 3, two).when(i % 4 != 0, one).otherwise("").alias("signals"))).select("id", "motif", "rel", "pos")
 
 
 @query("SELECT p_partkey AS id, split_part(p_brand || '.' || p_size, '.', 1) AS gene FROM part")
@@ -1094,10 +1103,12 @@ def plot_heat_map(spark, sf):
     return big(P.heat_map(_paired(spark, sf)).select("id", "rank"), "rank")
 
 
-@query("""SELECT fname, side, pos, CASE WHEN (side = 'left') = (fname = 'branchpoint') THEN pos - 50 ELSE pos END AS label FROM (SELECT unnest(['exon', 'branchpoint']) AS fname), (SELECT unnest(['left', 'right']) AS side), (SELECT unnest(range(0, 50)) AS pos)""")
+@query(sql("vl", """x AS (SELECT DISTINCT CASE rep % 2 WHEN 0 THEN 'exon' ELSE 'branchpoint' END AS fname, CASE id % 2 WHEN 0 THEN 'left' ELSE 'right' END AS side, pos FROM vl)
+SELECT fname, side, pos::BIGINT AS pos, CAST(CASE WHEN (side = 'left') = (fname = 'branchpoint') THEN pos - 50 ELSE pos END AS BIGINT) AS label FROM x"""))
 def plot_axis_labels(spark, sf):
-    x = spark.range(50).select(F.col("id").alias("pos"), F.explode(F.array(F.lit("exon"), F.lit("branchpoint"))).alias("fname")).withColumn("side", F.explode(F.array(F.lit("left"), F.lit("right"))))
-    return x.select("fname", "side", "pos", P.axis_label(F.col("fname"), F.col("side"), F.col("pos"), F.lit(50)).alias("label"))
+    """Labels of the positions that vectors of either feature and side have."""
+    x = D.long(B.vectors(spark, sf)).select(F.when(F.col("rep") % 2 == 0, "exon").otherwise("branchpoint").alias("fname"), F.when(F.col("id") % 2 == 0, "left").otherwise("right").alias("side"), F.col("pos").cast("bigint").alias("pos")).distinct()
+    return big(x.select("fname", "side", "pos", P.axis_label(F.col("fname"), F.col("side"), F.col("pos"), F.lit(50)).alias("label")), "label")
 
 
 @query(sql("sq", RVALUE + " SELECT kmer, CASE WHEN fq = 0 THEN true ELSE fi / fq > 2 END OR fi > 0.125 AS labelled FROM r"))
@@ -1161,3 +1172,33 @@ def motif_refinement(spark, sf):
     sites = s.select("id", ((F.col("id") * 13) % 120).cast("int").alias("pos"), F.lit(1).alias("n"))
     out, _ = M.refine(s.filter("role = 'ip'").select("id", "seq"), sites, 5, bg, iterations=2)
     return out.select("id", "motif", "place", *r6("score", "loglik"), "include")
+
+
+MATCHED = REGIONAL + """, mk AS (SELECT id, s, e, row_number() OVER (PARTITION BY id ORDER BY s, e) - 1 AS k FROM fx),
+ov AS (SELECT fx.id, greatest(fx.s, tx.s) AS a, least(fx.e, tx.e) AS b FROM fx JOIN tx USING (id) WHERE greatest(fx.s, tx.s) < least(fx.e, tx.e)),
+gp AS (SELECT id, max(b) OVER (PARTITION BY id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p, a FROM ov),
+pt AS (SELECT id, p AS a, a AS b FROM gp WHERE p < a UNION ALL SELECT tx.id, tx.s, coalesce(min(ov.a), tx.e) FROM tx LEFT JOIN ov ON ov.id = tx.id GROUP BY tx.id, tx.s, tx.e
+  UNION ALL SELECT tx.id, max(ov.b), tx.e FROM tx JOIN ov ON ov.id = tx.id GROUP BY tx.id, tx.e),
+pk AS (SELECT id, a, b, row_number() OVER (PARTITION BY id ORDER BY a, b) AS n FROM pt WHERE a < b AND id IN (SELECT id FROM fx)),
+rc AS (SELECT DISTINCT id, 0::BIGINT AS n, 0::BIGINT AS nx, NULL::BIGINT AS ws, NULL::BIGINT AS we FROM mk
+  UNION ALL SELECT rc.id, pk.n, CASE WHEN b - a >= mk.e - mk.s THEN nx + 1 ELSE nx END, CASE WHEN b - a >= mk.e - mk.s THEN ceil((a + b) / 2 - (mk.e - mk.s) / 2)::BIGINT END,
+    CASE WHEN b - a >= mk.e - mk.s THEN greatest(ceil((a + b) / 2 + (mk.e - mk.s) / 2), 0)::BIGINT END FROM rc JOIN pk ON pk.id = rc.id AND pk.n = rc.n + 1 LEFT JOIN mk ON mk.id = rc.id AND mk.k = rc.nx)"""
+
+
+@query(sql("ev tx", MATCHED + ' SELECT id, ws AS start, we AS "end" FROM rc WHERE ws IS NOT NULL').replace("WITH ", "WITH RECURSIVE ", 1))
+def region_controls(spark, sf):
+    """Control windows of region clusters, in what the clusters leave of their region."""
+    return C.matched_controls(_regional(spark, sf), B.transcripts(spark, sf))
+
+
+@query()
+def motif_set_refinement(spark, sf):
+    """Refinement with a set of matrices over documents as sequences; without SQL, as it iterates (tests plant motifs)."""
+    from locusflow.operators import motif_em
+
+    letters = F.translate(F.lower("seq"), "abcdefghijklmnopqrstuvwxyzéèçñäöü .,|", "ACGUACGUACGUACGUACGUACGUACACGUACGUACG")
+    s = B.sequences(spark, sf).select("id", letters.alias("seq"), "role")
+    ip = s.filter("role = 'ip'").select("id", F.when(F.col("id") % 2 == 0, "+").otherwise("-").alias("strand"), F.lit(0).cast("long").alias("start"), F.length("seq").cast("long").alias("end"), "seq", (F.col("id") % 3 / 2).alias("pseudoscore"))
+    events = s.select("id", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("j")).select("id", (F.col("id") * 13 + F.col("j") * 7) % 60)
+    out, _ = motif_em.refine_set(ip, events.toDF("id", "pos"), s.filter("role = 'input'").select("id", "seq"), k=5, rounds=1, draws=20)
+    return out.select("id", "start", "end", "include", "stamp", "motif", "place", *r6("score", "log_l"))
