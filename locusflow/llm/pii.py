@@ -253,7 +253,11 @@ def redact(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """docs with every span replaced by its kind in angle brackets; overlapping spans become one, named by the first.
 
     The proposals are computed twice, to fit and to replace, so nothing but their patterns is stored. Null texts stay null.
+    Texts of any length are one row each; repeated rows are redacted each; extra columns pass through, but for two names of
+    its own, which is checked.
     """
+    if clash := {"_locusflow_spans", "_locusflow_merged"} & set(docs.columns):
+        raise ValueError(f"columns {sorted(clash)} are names used within")
     scratch = scratch or Scratch(docs.sparkSession, "redact")
     fitted = model(scratch.keep(docs.select(settled(proposals(F.col("text"))).alias("spans")), "proposals"))
     name = lambda k: F.element_at(F.array(*map(F.lit, KINDS)), k + 1)
