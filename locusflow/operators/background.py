@@ -12,7 +12,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from locusflow.functions.vectors import METHODS, SITE_PSEUDOCOUNT
+from locusflow.functions.vectors import METHODS, SITE_PSEUDOCOUNT, gaussian_kernel
 
 
 def control_of(replicate: str, libraries: Iterable[str]) -> str:
@@ -80,3 +80,40 @@ def pooled_information(pairs: DataFrame, pseudocount: float) -> DataFrame:
     x = pairs.select("id", (F.col("ip") + pseudocount).alias("p"), (F.col("ct") + pseudocount).alias("q"))
     x = x.withColumns({"p": F.col("p") / F.sum("p").over(w), "q": F.col("q") / F.sum("q").over(w)})
     return x.groupBy("id").agg(F.sum(F.greatest(F.col("p") * F.ln(F.col("p") / F.col("q")), F.lit(0.0))).alias("information"))
+
+
+def smoothed_information(pairs: DataFrame, lengths: DataFrame, sigma: float, pseudocount: float = 1e-3, keys: list[str] | None = None) -> DataFrame:
+    """keys, rp, value, zero, rest: p ln(p/q) of smoothed shares of pooled counts, for places that a site reaches.
+
+    pairs: keys, rp, ip, ctrl (sparse); lengths: keys, length (of vectors). Shares are of counts plus the pseudocount, smoothed
+    by a normalised Gaussian with mirrored edges. Each site is spread to the places it reaches, reflections at either edge
+    included (as often as a short vector needs), so no vector is dense: where no site reaches, smoothing leaves the
+    pseudocount as it is, and `zero` is the value there, at `rest` places.
+    """
+    keys = keys or ["id"]
+    kernel = gaussian_kernel(sigma)
+    r = len(kernel) // 2
+    taps = F.explode(F.array(*(F.struct(F.lit(d - r).alias("d"), F.lit(w).alias("w")) for d, w in enumerate(kernel))))
+    known = pairs.join(lengths.select(*keys, F.col("length").cast("bigint").alias("length")), keys).filter("rp >= 0 and rp < length")
+    w = Window.partitionBy(*keys)
+    known = known.withColumns({"s_ip": F.sum("ip").over(w) + F.lit(pseudocount) * F.col("length"), "s_ctrl": F.sum("ctrl").over(w) + F.lit(pseudocount) * F.col("length")})
+    x = known.withColumn("_t", taps)
+    # Places i with i + d at the site, or at its mirror image, on the line of period 2 * length.
+    images = F.array(F.pmod(F.col("rp") - F.col("_t.d"), 2 * F.col("length")), F.pmod(-1 - F.col("rp") - F.col("_t.d"), 2 * F.col("length")))
+    x = x.withColumn("_i", F.explode(images)).filter("_i < length")
+    y = x.groupBy(*keys, F.col("_i").alias("rp")).agg(
+        F.sum(F.col("ip") * F.col("_t.w")).alias("ip"), F.sum(F.col("ctrl") * F.col("_t.w")).alias("ctrl"),
+        *(F.first(c).alias(c) for c in ("s_ip", "s_ctrl", "length")),
+    )
+    p, q = (F.col("ip") + pseudocount) / F.col("s_ip"), (F.col("ctrl") + pseudocount) / F.col("s_ctrl")
+    flat_p, flat_q = F.lit(pseudocount) / F.col("s_ip"), F.lit(pseudocount) / F.col("s_ctrl")
+    rest = (F.col("length") - F.count(F.lit(1)).over(w)).cast("bigint")
+    return y.select(*keys, "rp", (p * F.ln(p / q)).alias("value"), (flat_p * F.ln(flat_p / flat_q)).alias("zero"), rest.alias("rest"))
+
+
+def information_matrix(values: DataFrame, keys: list[str], experiment: str) -> DataFrame:
+    """keys (without the experiment), rp and a column of positive values for each experiment: transcripts by experiments at
+    each place that any site reaches; negative and absent values are 0."""
+    ids = [k for k in keys if k != experiment]
+    positive = values.withColumn("value", F.greatest("value", F.lit(0.0)))
+    return positive.groupBy(*ids, "rp").pivot(experiment).agg(F.first("value")).na.fill(0.0)

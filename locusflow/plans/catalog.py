@@ -1202,3 +1202,38 @@ def motif_set_refinement(spark, sf):
     events = s.select("id", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("j")).select("id", (F.col("id") * 13 + F.col("j") * 7) % 60)
     out, _ = motif_em.refine_set(ip, events.toDF("id", "pos"), s.filter("role = 'input'").select("id", "seq"), k=5, rounds=1, draws=20)
     return out.select("id", "start", "end", "include", "stamp", "motif", "place", *r6("score", "log_l"))
+
+
+@query(sql("raw", """t AS (SELECT id, rp, sum(n) FILTER (lib IN ('rep1', 'rep2'))::DOUBLE AS ip, sum(n) FILTER (lib IN ('ctrl1', 'ctrl2'))::DOUBLE AS ct FROM raw WHERE lib <> 'other' GROUP BY ALL),
+z AS (SELECT t.id, rp, coalesce(ip, 0) AS ip, coalesce(ct, 0) AS ct, e - s + 1 AS len, sum(coalesce(ip, 0)) OVER (PARTITION BY t.id) + 0.001::DOUBLE * (e - s + 1) AS si, sum(coalesce(ct, 0)) OVER (PARTITION BY t.id) + 0.001::DOUBLE * (e - s + 1) AS sc FROM t JOIN tx ON tx.id = t.id),
+g AS (SELECT d, exp(-d * d / 2.0::DOUBLE) / sum(exp(-d * d / 2.0::DOUBLE)) OVER () AS w FROM (SELECT unnest(range(-4, 5)) AS d)),
+m AS (SELECT id, rp - d AS i, ip * w AS ip, ct * w AS ct, len, si, sc FROM z, g UNION ALL SELECT id, -1 - rp - d, ip * w, ct * w, len, si, sc FROM z, g UNION ALL SELECT id, 2 * len - 1 - rp - d, ip * w, ct * w, len, si, sc FROM z, g),
+y AS (SELECT id, i, sum(ip) + 0.001::DOUBLE AS ip, sum(ct) + 0.001::DOUBLE AS ct, any_value(len) AS len, any_value(si) AS si, any_value(sc) AS sc FROM m WHERE i >= 0 AND i < len GROUP BY id, i),
+v AS (SELECT id, i, len, ip / si * ln((ip / si) / (ct / sc)) AS x, 0.001::DOUBLE / si * ln((0.001::DOUBLE / si) / (0.001::DOUBLE / sc)) AS zero FROM y)
+SELECT id, count(*) AS n, any_value(len) - count(*) AS rest, round(sum(x) + any_value(zero) * (any_value(len) - count(*)), 5) AS total, round(sum(x * i) / any_value(len), 5) AS moment FROM v GROUP BY id"""))
+def smoothed_information_track(spark, sf):
+    """Smoothed relative information of pooled replicates against pooled controls along transcripts, from sparse profiles;
+    checked by the places reached, the rest, the sum over all places and the first moment."""
+    tx = B.transcripts(spark, sf)
+    raw = S.profile(B.sites(spark, sf), tx).filter("lib <> 'other'")
+    t = raw.repartition("id").groupBy("id", "rp").agg(*(F.sum(F.when(F.col("lib").startswith(k), F.col("n")).otherwise(0)).cast("double").alias(c) for k, c in (("rep", "ip"), ("ctrl", "ctrl"))))
+    length = F.col("end") - F.col("start") + 1
+    v = BG.smoothed_information(t, tx.select("id", length.alias("length")), 1.0).join(tx.select("id", length.alias("length")), "id")
+    x = v.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.first("rest").alias("rest"), F.sum("value").alias("s"), F.first("zero").alias("zero"), F.sum(F.col("value") * F.col("rp")).alias("m"), F.first("length").alias("len"))
+    return x.select("id", "n", "rest", F.round(F.col("s") + F.col("zero") * F.col("rest"), 5).alias("total"), F.round(F.col("m") / F.col("len"), 5).alias("moment"))
+
+
+@query(sql("", """c AS (SELECT doc_id AS id, i - 1 AS place, substr(s, i, 1) AS c FROM (SELECT doc_id, s, unnest(range(1, length(s) + 1)) AS i FROM (SELECT doc_id, translate(text, 'eanrtdsl', '([{<)]}>') AS s FROM documents)) WHERE contains('([{<)]}>', substr(s, i, 1))),
+k AS (SELECT id, place, translate(c, ')]}>', '([{<') AS kind, contains('([{<', c) AS opens FROM c),
+l AS (SELECT *, sum(CASE WHEN opens THEN 1 ELSE -1 END) OVER (PARTITION BY id, kind ORDER BY place) + CASE WHEN opens THEN 0 ELSE 1 END AS level FROM k),
+p AS (SELECT id, kind, place, opens, lead(place) OVER w AS nxt, lead(opens) OVER w AS up FROM l WINDOW w AS (PARTITION BY id, kind, level ORDER BY place))
+SELECT id, kind, count(*) AS n_brackets, count(*) FILTER (opens AND NOT up) AS n_pairs, coalesce(sum(nxt - place) FILTER (opens AND NOT up), 0)::BIGINT AS span FROM p GROUP BY id, kind""").replace("WITH ,", "WITH ").replace("WITH \n", "WITH "))
+def structure_pairs(spark, sf):
+    """Partners of brackets in documents' whole texts, letters standing for brackets of four kinds."""
+    from locusflow.operators import structure
+
+    d = B.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.translate("text", "eanrtdsl", "([{<)]}>").alias("structure"))
+    d = d.withColumn("structure", F.regexp_replace("structure", r"[^()\[\]{}<>]", "."))
+    x = structure.partners(d)
+    pair = F.col("partner").isNotNull() & (F.col("partner") > F.col("place"))
+    return x.groupBy("id", "kind").agg(F.count(F.lit(1)).alias("n_brackets"), F.count_if(pair).alias("n_pairs"), F.coalesce(F.sum(F.when(pair, F.col("partner") - F.col("place"))), F.lit(0)).cast("bigint").alias("span"))
