@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from locusflow.functions import stats as S
 from locusflow.functions.vectors import gaussian_kernel
-from locusflow.operators.intervals import PIECE, anti_overlap, merge_by, overlap_pairs, semi_overlap, subtract_within
+from locusflow.operators.intervals import PIECE, anti_overlap, merge_by, overlap_counts, semi_overlap, subtract_within
 from locusflow.operators.signal import POINT_BIN, interval_sums
+from locusflow.store import settle
 
 
 def dbscan(sites: DataFrame, keys: list[str], eps: int, min_samples: int | str, members: bool = False, piece: int = PIECE) -> DataFrame:
@@ -31,6 +32,11 @@ def dbscan(sites: DataFrame, keys: list[str], eps: int, min_samples: int | str,
     listed = w.withColumn("_piece", F.explode(F.sequence(F.floor((F.col("pos") - eps) / piece), F.floor((F.col("pos") + eps) / piece))))
     near = F.sum("n").over(Window.partitionBy(*keys, "_piece").orderBy("pos").rangeBetween(-eps, eps))
     core = listed.withColumn("near", near).filter((F.col("_piece") == home) & (F.col("near") >= (F.col(min_samples) if extra else F.lit(min_samples))))
+    return _chains(core, keys, eps, members, piece)
+
+
+def _chains(core: DataFrame, keys: list[str], eps: int, members: bool, piece: int = PIECE) -> DataFrame:
+    """Clusters of core places (keys, pos, ip, n): those no more than eps apart chain."""
     reach = core.withColumns({"start": F.col("pos"), "end": F.col("pos") + eps, "_in": F.col("n") - F.col("ip")})
     sums = {"no_ip": (F.sum("ip"), F.sum("no_ip")), "no_input": (F.sum("_in"), F.sum("no_input"))}
     if members:
@@ -53,10 +59,18 @@ def region_clusters(sites: DataFrame, regions: DataFrame, eps: int = 2, cov_rati
     least = F.floor(F.lit(float(cov_ratio)) * ((F.col("ip") + F.col("input")) / size_of)).cast("int")
     known = r.join(totals, "id").select("id", "chrom", "strand", "start", "end", least.alias("least"))
     used = places if combine else places.filter("ip > 0").withColumn("n", F.col("ip"))
-    # Places are counted before regions multiply them, and regions carry their own threshold.
+    # Neighbours of a place are listed once, before regions multiply it. A place that has too few on the whole strand is core in
+    # no region, and one at a region's edge has the listed ones inside, so whether a place on a region is core is known where
+    # they meet. Only cores are shuffled: with a threshold of cov_ratio times the mean, few of a region's places.
+    home = F.floor(F.col("pos") / PIECE)
+    listed = used.withColumn("_piece", F.explode(F.sequence(F.floor((F.col("pos") - eps) / PIECE), F.floor((F.col("pos") + eps) / PIECE))))
+    w = Window.partitionBy("chrom", "strand", "_piece").orderBy("pos").rangeBetween(-eps, eps)
+    listed = listed.withColumns({"_near": F.sum("n").over(w), "_nb": F.collect_list(F.struct("pos", "n")).over(w)}).filter(F.col("_piece") == home).drop("_piece")
     binned = known.withColumn("_bin", F.explode(F.sequence(F.expr(f"start div {POINT_BIN}"), F.expr(f"(end - 1) div {POINT_BIN}"))))
-    hits = binned.join(used.withColumn("_bin", F.expr(f"pos div {POINT_BIN}")), ["chrom", "strand", "_bin"]).filter("pos >= start and pos < end").select("id", "pos", "ip", "n", "least")
-    found = dbscan(hits, ["id"], eps, "least", members)
+    hits = binned.join(listed.withColumn("_bin", F.expr(f"pos div {POINT_BIN}")), ["chrom", "strand", "_bin"]).filter("pos >= start and pos < end and _near >= least")
+    inside = F.aggregate("_nb", F.lit(0).cast("bigint"), lambda s, x: s + F.when((x["pos"] >= F.col("start")) & (x["pos"] < F.col("end")), x["n"]).otherwise(0))
+    near = F.when((F.col("pos") - eps >= F.col("start")) & (F.col("pos") + eps < F.col("end")), F.col("_near")).otherwise(inside)
+    found = _chains(hits.filter(near >= F.col("least")).select("id", "pos", "ip", "n"), ["id"], eps, members)
     scored = score(fixed_size(found, size), totals.select("id", "ip", "input"), ["id"])
     return scored.join(r.select("id", "chrom", "strand"), "id")
 
@@ -142,9 +156,13 @@ def score_bins(df: DataFrame, column: str = "pseudoscore", width: float = 0.2) -
 
 def purity_by_bin(new: DataFrame, old: DataFrame, key: list[str], by: str = "bin") -> DataFrame:
     """by, n, purity, sensitivity: for each group of new, its share that overlaps old, and the share of old that overlaps it."""
-    pairs = overlap_pairs(new.select(*key, by, "chrom", "strand", "start", "end"), old.withColumn("_old", F.struct(*key)).select("_old", "chrom", "strand", "start", "end"))
+    # Looked at four times; clusters are far fewer than what they come from.
+    new, old = settle(new.select(*key, by, "chrom", "strand", "start", "end"), "purity"), old.select(*key, "chrom", "strand", "start", "end")
     sizes = new.groupBy(by).agg(F.count(F.lit(1)).alias("n"))
-    hits = pairs.groupBy(by).agg(F.count_distinct(F.struct(*key)).alias("h"), F.count_distinct("b__old").alias("o"))
+    mine = overlap_counts(new, old, ["chrom", "strand"], "_n").filter("_n > 0").groupBy(by).agg(F.count_distinct(F.struct(*key)).alias("h"))
+    # A row of old for each of the few groups: pairs are never formed.
+    theirs = overlap_counts(old.crossJoin(F.broadcast(sizes.select(by))), new, ["chrom", "strand", by], "_n").filter("_n > 0").groupBy(by).agg(F.count_distinct(F.struct(*key)).alias("o"))
+    hits = mine.join(theirs, by, "full")
     total = old.agg(F.count(F.lit(1)).alias("m"))
     x = sizes.join(hits, by, "left").na.fill(0).crossJoin(F.broadcast(total))
     return x.select(by, "n", F.try_divide("h", "n").alias("purity"), F.try_divide("o", "m").alias("sensitivity"))
