@@ -82,31 +82,37 @@ for _i, _c in enumerate(ALPHABET):
 _CODES[[ord("T"), ord("t")]] = ALPHABET.index("U")
 
 
+#: Starts of windows that one numpy pass takes.
+PASS = 1 << 18
+
+
 def best_windows(data: np.ndarray, ends: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of sequences that lie one after the other in data (letters as bytes) and end at `ends`: the best score of a window and
-    its first place. Scores are over the consensus'. Sequences shorter than the matrix score 0 at 0."""
-    code = _CODES[data]
-    n, width = len(code), len(m)
-    starts = np.append(0, ends[:-1])
+    its first place. Scores are over the consensus'. Sequences shorter than the matrix score 0 at 0. Windows are taken PASS at a
+    time, wherever sequences end, so memory depends on neither the batch nor the length of a sequence."""
+    width, most = len(m), m.max(1).prod()
+    starts = np.append(0, ends[:-1]).astype(np.int64)
     score, place = np.zeros(len(ends)), np.zeros(len(ends), np.int64)
-    fit = ends - starts >= width
-    if n < width or not fit.any():
-        return score, place
-    total = np.ones(n - width + 1)
+    score[ends - starts >= width] = -1.0
     padded = np.hstack([m, np.zeros((width, 1))])  # other letters, at -1, weigh nothing
-    for j in range(width):
-        total *= padded[j][code[j : n - width + 1 + j]]
-    size = np.where(fit, ends - starts - width + 1, 0)
-    first = np.append(0, np.cumsum(size))
-    at = np.repeat(starts, size) + np.arange(first[-1]) - np.repeat(first[:-1], size)
-    own = total[at]
-    best = np.maximum.reduceat(own, first[:-1][fit])
-    hit = np.flatnonzero(own == np.repeat(best, size[fit]))
-    seq = np.repeat(np.flatnonzero(fit), size[fit])[hit]
-    seq, index = np.unique(seq, return_index=True)
-    score[fit] = best / m.max(1).prod()
-    place[seq] = at[hit[index]] - starts[seq]
-    return score, place
+    for begin in range(0, len(data) - width + 1, PASS):
+        code = _CODES[data[begin : begin + PASS + width - 1]]
+        total = np.ones(len(code) - width + 1)
+        for j in range(width):
+            total *= padded[j][code[j : len(total) + j]]
+        at = np.arange(begin, begin + len(total))
+        seq = np.searchsorted(ends, at, "right")
+        fit = at + width <= ends[seq]
+        at, seq, total = at[fit], seq[fit], total[fit]
+        if not len(at):
+            continue
+        first = np.flatnonzero(np.diff(seq, prepend=-1))
+        best, own = np.maximum.reduceat(total, first), seq[first]
+        hit = np.flatnonzero(total == np.repeat(best, np.diff(np.append(first, len(seq)))))
+        hit = hit[np.unique(seq[hit], return_index=True)[1]]
+        better = best > score[own]  # of equal ones the first stays
+        score[own[better]], place[own[better]] = best[better], (at[hit] - starts[own])[better]
+    return np.where(ends - starts >= width, score / most, 0.0), place
 
 
 def explain(clusters: DataFrame, matrices: list[np.ndarray]) -> DataFrame:
