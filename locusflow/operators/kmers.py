@@ -111,15 +111,28 @@ def motif_places(seqs: DataFrame, motif: str) -> DataFrame:
     return seqs.withColumn("m_start", start.cast("bigint")).withColumn("m_end", F.col("m_start") + k)
 
 
-def region_sequences(regions: DataFrame, genome: DataFrame, chunk: int) -> DataFrame:
+def region_sequences(regions: DataFrame, genome: DataFrame, chunk: int, whole: bool = False) -> DataFrame:
     """regions with seq, cut from a genome stored in chunks (chrom, chunk, seq) of fixed size; transcribed by strand.
 
-    A region is joined with each chunk that it touches and put together again.
+    A region in one chunk or two neighbours is cut where it meets them, so no sequence is shuffled; only longer ones are joined
+    with each chunk that they touch and put together again. Regions that touch no chunk are left out, or, with `whole`, have
+    an empty seq.
     """
-    r = regions.withColumn("chunk", F.explode(F.sequence(F.expr(f"start div {chunk}"), F.expr(f"(end - 1) div {chunk}"))))
-    lo = F.greatest(F.col("start") - F.col("chunk") * chunk, F.lit(0))
-    hi = F.least(F.col("end") - F.col("chunk") * chunk, F.lit(chunk))
-    part = F.substring("_g", (lo + 1).cast("int"), (hi - lo).cast("int"))
-    parts = r.join(genome.withColumnRenamed("seq", "_g"), ["chrom", "chunk"]).select(*regions.columns, "chunk", part.alias("_p"))
-    whole = parts.groupBy(*regions.columns).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "_p"))), lambda s: s["_p"]), "").alias("seq"))
-    return whole.withColumn("seq", rna(F.col("seq"), F.col("strand")))
+    first, last = F.expr(f"start div {chunk}"), F.expr(f"(end - 1) div {chunk}")
+
+    def part(seq: str, at: Column) -> Column:
+        lo, hi = F.greatest(F.col("start") - at * chunk, F.lit(0)), F.least(F.col("end") - at * chunk, F.lit(chunk))
+        return F.coalesce(F.substring(seq, (lo + 1).cast("int"), (hi - lo).cast("int")), F.lit(""))
+
+    span = F.abs(last - first)
+    near = regions.filter(F.coalesce(span <= 1, F.lit(whole))).withColumns({"chunk": F.least(first, last), "_two": span == 1})
+    own = genome.select("chrom", "chunk", F.coalesce("seq", F.lit("")).alias("_g"))
+    pairs = own.join(own.select("chrom", (F.col("chunk") - 1).alias("chunk"), F.col("_g").alias("_h")), ["chrom", "chunk"], "full")
+    near = near.join(pairs, ["chrom", "chunk"], "left" if whole else "inner")
+    if not whole:
+        near = near.filter(F.col("_g").isNotNull() | (F.col("_two") & F.col("_h").isNotNull()))
+    near = near.select(*regions.columns, F.concat(part("_g", F.col("chunk")), F.when(F.col("_two"), part("_h", F.col("chunk") + 1)).otherwise("")).alias("seq"))
+    r = regions.filter(span > 1).withColumn("chunk", F.explode(F.sequence(first, last)))
+    parts = r.join(own, ["chrom", "chunk"], "left" if whole else "inner").select(*regions.columns, "chunk", part("_g", F.col("chunk")).alias("_p"))
+    far = parts.groupBy(*regions.columns).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "_p"))), lambda s: s["_p"]), "").alias("seq"))
+    return near.unionByName(far).withColumn("seq", rna(F.col("seq"), F.col("strand")))
