@@ -9,7 +9,6 @@ from locusflow.plans import catalog
 from tests.conftest import SMALL
 
 
-
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
