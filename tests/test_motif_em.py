@@ -111,3 +111,24 @@ def test_nothing_to_refine(spark):
     for rows in ([], [(1, "+", 0, 9, None, None)], [(1, "+", 0, 9, "ACGUACGUA", 0.1)]):
         out, log = E.refine_set(spark.createDataFrame(rows, schema), events, controls, k=3, rounds=2, draws=2)
         assert out.count() == len(rows) and not log and out.filter("include").isEmpty()
+
+
+def test_query_leaves_out_no_work(spark, monkeypatch):
+    """The query refines with the operator's own rounds, draws and length of k-mers, on all clusters, events and controls."""
+    import inspect
+
+    from locusflow.plans import bindings, catalog
+
+    seen = {}
+    own = inspect.signature(E.refine_set)
+
+    def refine(*args, **given):
+        seen.update(own.bind(*args, **given).arguments)
+        return args[0].selectExpr("*", "true AS include", "0 AS stamp", "0 AS motif", "0L AS place", "1D AS score", "0D AS log_l"), []
+
+    rows = [(i, "ACGU" * 20, "ip" if i % 2 else "input") for i in range(40)]
+    monkeypatch.setattr(E, "refine_set", refine)
+    monkeypatch.setattr(bindings, "sequences", lambda *_: spark.createDataFrame(rows, "id long, seq string, role string"))
+    catalog.motif_set_refinement(spark, "")
+    assert seen["clusters"].count() == 20 and seen["controls"].count() == 20 and seen["events"].count() == 200
+    assert all(seen.get(n, own.parameters[n].default) == own.parameters[n].default for n in ("k", "rounds", "draws", "most_kmers"))
