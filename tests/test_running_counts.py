@@ -74,3 +74,22 @@ def test_run_moments(spark):
     x = RV.runs_on_transcripts(r, tx).withColumn("c", F.round(F.col("value") * 100).cast("bigint"))
     want = x.groupBy("id").agg(F.count(F.lit(1)).alias("n_bases"), F.sum("c").alias("total"), F.sum(F.col("c") * F.col("rp")).alias("weighted"))
     assert sorted(map(tuple, RV.run_moments(r, tx).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_site_moments(spark):
+    rng = random.Random(6)
+    sites = spark.createDataFrame([(rng.choice("abc"), rng.randrange(-20, 500), rng.choice("+-"), rng.choice(("x", "y"))) for _ in range(700)], "chrom string, pos long, strand string, lib string")
+    tx = spark.createDataFrame([t for t in spans(rng, 60) if t[3] <= t[4]], KIND)
+    v = S.dense(S.profile(sites, tx), tx).collect()
+    want = sorted((r.id, r.lib, len(r.v), int(sum(r.v)), int(sum(i * x for i, x in enumerate(r.v)))) for r in v)
+    assert sorted(map(tuple, S.site_moments(sites, tx).collect())) == want and len(want) > 40
+
+
+@pytest.mark.parametrize("name", ["site_vector"])
+def test_no_place_meets_a_transcript(spark, name):
+    """Sums are looked up at the ends of transcripts: no vector is collected, and no join is by bins."""
+    from locusflow.plans.catalog import QUERIES
+    from tests.conftest import SMALL
+
+    plan = QUERIES[name](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and "_bin" not in plan
