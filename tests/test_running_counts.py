@@ -85,7 +85,7 @@ def test_site_moments(spark):
     assert sorted(map(tuple, S.site_moments(sites, tx).collect())) == want and len(want) > 40
 
 
-@pytest.mark.parametrize("name", ["site_vector"])
+@pytest.mark.parametrize("name", ["site_vector", "stored_base_values"])
 def test_no_place_meets_a_transcript(spark, name):
     """Sums are looked up at the ends of transcripts: no vector is collected, and no join is by bins."""
     from locusflow.plans.catalog import QUERIES
